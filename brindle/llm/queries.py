@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from brindle.llm.chat import chat_digest, format_chat
 from brindle.llm.common import table
 from brindle.llm.linededup import with_unique_lines
+from brindle.llm.media import stored_texts
 from brindle.llm.mixing import mixed_sources
 from brindle.llm.neardup import near_duplicates
 from brindle.llm.sql import SQL
+from brindle.llm.tokens import token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -48,3 +50,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored_texts(table(spark, sf_dir, "documents"))
