@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from brindle.llm.chat import chat_digest, format_chat
 from brindle.llm.common import table
+from brindle.llm.langid import identify_language
 from brindle.llm.linededup import with_unique_lines
 from brindle.llm.media import stored_texts
 from brindle.llm.mixing import mixed_sources
 from brindle.llm.neardup import near_duplicates
+from brindle.llm.secrets import scan_secrets
 from brindle.llm.sql import SQL
 from brindle.llm.tokens import token_counts
 
@@ -60,3 +62,13 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_texts(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
