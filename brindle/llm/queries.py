@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.llm.chat import chat_digest, format_chat
 from brindle.llm.common import table
+from brindle.llm.decontam import contaminated
 from brindle.llm.langid import identify_language
 from brindle.llm.linededup import with_unique_lines
 from brindle.llm.media import stored_texts
@@ -17,6 +18,7 @@ from brindle.llm.neardup import near_duplicates
 from brindle.llm.secrets import scan_secrets
 from brindle.llm.sql import SQL
 from brindle.llm.tokens import token_counts
+from brindle.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -72,3 +74,13 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
