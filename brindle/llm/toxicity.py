@@ -23,11 +23,11 @@ SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 @dataclass(frozen=True)
 class Training:
-    """The sample: at most per_label labelled documents of each label by hash order, and `chars` characters of each from a seeded place. `parts` are the shares that fit the counts; the others fit the calibration, and in turn."""
+    """The sample: at most per_label labelled documents of each label by hash order, and `chars` characters of each from a seeded place. One document in `parts` fits the calibration, the others the counts."""
 
-    per_label: int = 2500
-    chars: int = 20_000
-    parts: int = 2
+    per_label: int = 2000
+    chars: int = 8000
+    parts: int = 3
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -53,15 +53,18 @@ class WordRatios:
                     seen[k][s[max(0, i - ORDER) : i]][s[i]] += n
                     for m in range(min(i, ORDER)):
                         lower[m][s[i - m : i]].add(s[max(0, i - m - 1) : i - m] + s[i : i + 1])
-        shared = [{c: Counter(x[-1] for x in v) for c, v in level.items()} for level in lower]
+        shared = [{c: (own := Counter(x[-1] for x in v), sum(own.values())) for c, v in level.items()} for level in lower]
+        known: dict[bytes, float] = {}
 
         def back(context: bytes, b: int) -> float:
-            p = 1 / 256
-            for m in range(len(context) + 1):
-                counts = shared[m].get(context[len(context) - m :]) if m < len(shared) else None
-                if counts:
-                    total = sum(counts.values())
-                    p = max(counts.get(b, 0) - DISCOUNT, 0) / total + DISCOUNT * len(counts) / total * p
+            """The continuation probability of b, from the shortest context to the whole one."""
+            key = context + bytes((b,))
+            if (p := known.get(key)) is None:
+                p = back(context[1:], b) if context else 1 / 256
+                if found := shared[len(context)].get(context):
+                    counts, total = found
+                    p = (max(counts.get(b, 0) - DISCOUNT, 0) + DISCOUNT * len(counts) * p) / total
+                known[key] = p
             return p
 
         self.rest, self.pair = {}, {}
@@ -107,26 +110,23 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 class Model:
     def __init__(self, rows: list[tuple[int, list[bytes]]], true_share: float, parts: int):
-        counts = [[Counter(), Counter()] for _ in range(parts)]
+        counts = Counter(), Counter()
         for i, (y, words) in enumerate(rows):
-            counts[i % parts][y].update(words)
-        both = lambda y, ks: sum((counts[k][y] for k in ks), Counter())
-        x, label = [], []
-        for k in range(parts):
-            ratios = WordRatios(*(both(y, [j for j in range(parts) if j != k]) for y in (1, 0)))
-            own: dict[bytes, float] = {}
-            for y, words in rows[k::parts]:
-                for w in words:
-                    if w not in own:
-                        own[w] = ratios(w)
-                x.append(features([own[w] for w in words]))
-                label.append(y)
+            if i % parts:
+                counts[y].update(words)
+        self.ratios = WordRatios(counts[1], counts[0])
+        x, label, own = [], [], {}
+        for y, words in rows[::parts]:
+            for w in words:
+                if w not in own:
+                    own[w] = self.ratios(w)
+            x.append(features([own[w] for w in words]))
+            label.append(y)
         x, label = np.array(x), np.array(label)
         share = label.mean()
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
         z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
         self.weights = logistic(z, label, np.where(label == 1, true_share / share, (1 - true_share) / (1 - share)))
-        self.ratios = WordRatios(both(1, range(parts)), both(0, range(parts)))
 
     def score(self, ratios: list[float]) -> float:
         z = np.append((np.array(features(ratios)) - self.mean) / self.scale, 1.0)
@@ -148,11 +148,9 @@ def trained(docs: DataFrame, labels: DataFrame, how: Training) -> Model | float:
     start = F.pmod(order, F.greatest(F.length("text") - how.chars, F.lit(1))) + 1
     rows = own.select("y", F.substr("text", start.cast("int"), F.lit(how.chars)).alias("t"), order.alias("h")).collect()
     rows = [(r["y"], words_of(r["t"])) for r in sorted(rows, key=lambda r: (r["h"], r["t"]))]
-    parts = how.parts
-    halves = [{y for y, _ in rows[k::parts]} for k in range(parts)]
-    if any(len(h) < 2 for h in halves):
+    if any(len({y for i, (y, _) in enumerate(rows) if (i % how.parts == 0) == fit}) < 2 for fit in (True, False)):
         return count[1] / n
-    return Model(rows, count[1] / n, parts)
+    return Model(rows, count[1] / n, how.parts)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, how: Training = Training()) -> DataFrame:
