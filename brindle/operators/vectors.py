@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from brindle.functions.scalars import embedding_ngrams
+from brindle.functions.scalars import CJK, col
 
 #: Constants of the hash embedding (fixed values): FNV-1a and splitmix64.
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -28,16 +31,28 @@ def gram_vector(gram: str, dim: int) -> np.ndarray:
     return np.fmod(z.view(np.int64), 3) - 1
 
 
+def text_grams(text: str | None) -> list[str]:
+    """What `embedding_ngrams` gives, in Python."""
+    t = (text or "").strip().lower()
+    if len(re.findall(CJK, t)) > len(t) // 2:
+        skip = lambda c: c.isspace() or unicodedata.category(c).startswith("P")
+        found = [t[i : i + k] for i in range(len(t)) if not skip(t[i]) for k in (1, 2, 3) if i + k <= len(t)]
+    else:
+        w = re.findall(r"(?:[^\W_]|['-])+", t)
+        found = [g for i, x in enumerate(w) if len(x.encode()) > 2 for g in (x, *(f"{x} {y}" for y in w[i + 1 : i + 2]))]
+    return list(dict.fromkeys(found))
+
+
 def hash_embed(text, dim: int = 384) -> Column:
     """Unit vector of a text: the sum of the vectors of its distinct n-grams."""
 
     @F.pandas_udf("array<float>")
-    def embed(grams: pd.Series) -> pd.Series:
+    def embed(texts: pd.Series) -> pd.Series:
         known: dict[str, np.ndarray] = {}
         out = []
-        for g in grams:
+        for text in texts:
             total = np.zeros(dim, np.int64)
-            for x in g if g is not None else ():
+            for x in text_grams(text):
                 v = known.get(x)
                 if v is None:
                     if len(known) > 50_000:
@@ -48,7 +63,7 @@ def hash_embed(text, dim: int = 384) -> Column:
             out.append((total / norm if norm else total.astype(float)).astype(np.float32))
         return pd.Series(out)
 
-    return embed.asNondeterministic()(embedding_ngrams(text))  # else it would be inlined where it is used
+    return embed(col(text))
 
 
 def doubles(v) -> Column:

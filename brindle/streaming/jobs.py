@@ -64,7 +64,7 @@ def quota_ledger(uses: DataFrame, limits: DataFrame) -> DataFrame:
     """
     period = F.create_map(*(F.lit(x) for kv in PERIODS.items() for x in kv))
     per_second = uses.groupBy("provider", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(F.count("*").alias("n"))
-    rows = per_second.join(F.broadcast(limits.limit(100_000)), "provider", "left").withColumn("span", F.coalesce(period[F.col("period")], F.lit(86400)) * 1_000_000)
+    rows = per_second.join(F.broadcast(limits.limit(100_000)), "provider", "left").withColumn("span", F.coalesce(period[F.col("period")], F.lit(86400)).cast("long") * 1_000_000)
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("t")
