@@ -31,6 +31,7 @@ class NearDup:
     chunks: int = 12
     width: int = 4
     distance: int = 21
+    tries: int = 4
 
 
 def signatures(docs: DataFrame, how: NearDup) -> DataFrame:
@@ -101,7 +102,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
 
 
 def nearest_links(multi: DataFrame, reps: DataFrame, sets: DataFrame, how: NearDup) -> DataFrame:
-    """Links of each node to the nearest, by signature, of the most central nodes of its buckets."""
+    """Links of each node to the `tries` nearest, by signature, of the most central nodes of its buckets; the other links are left to `remaining_links`."""
 
     def distances(batches):
         for b in batches:
@@ -115,7 +116,8 @@ def nearest_links(multi: DataFrame, reps: DataFrame, sets: DataFrame, how: NearD
     sig = reps.select("node", "sig")
     signed = pairs.join(sig.withColumnsRenamed({"node": "a", "sig": "x"}), "a").join(sig.withColumnsRenamed({"node": "b", "sig": "y"}), "b")
     near = signed.select("a", "b", "x", "y").mapInArrow(distances, "a long, b long, d int").where(F.col("d") <= how.distance)
-    best = near.groupBy("b").agg(F.min(F.struct("d", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
+    ranked = near.groupBy("b").agg(F.array_sort(F.collect_list(F.struct("d", "a"))).alias("m"))  # a node has a few buckets only
+    best = ranked.select("b", F.explode(F.slice("m", 1, how.tries)).alias("m")).select(F.col("m.a").alias("a"), "b")
     return confirmed(best, sets, how)
 
 
