@@ -43,29 +43,43 @@ def text_grams(text: str | None) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def _embedded(texts: pd.Series, dim: int) -> pd.Series:
+    known: dict[str, np.ndarray] = {}
+    out = []
+    for text in texts:
+        total = np.zeros(dim, np.int64)
+        for x in text_grams(text):
+            v = known.get(x)
+            if v is None:
+                if len(known) > 50_000:
+                    known.clear()
+                v = known[x] = gram_vector(x, dim)
+            total += v
+        norm = float(np.sqrt((total * total).sum()))
+        out.append((total / norm if norm else total.astype(float)).astype(np.float32))
+    return pd.Series(out)
+
+
 def hash_embed(text, dim: int = 384) -> Column:
     """Unit vector of a text: the sum of the vectors of its distinct n-grams."""
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        known: dict[str, np.ndarray] = {}
-        out = []
-        for text in texts:
-            total = np.zeros(dim, np.int64)
-            for x in text_grams(text):
-                v = known.get(x)
-                if v is None:
-                    if len(known) > 50_000:
-                        known.clear()
-                    v = known[x] = gram_vector(x, dim)
-                total += v
-            norm = float(np.sqrt((total * total).sum()))
-            out.append((total / norm if norm else total.astype(float)).astype(np.float32))
-        return pd.Series(out)
+        return _embedded(texts, dim)
 
     return embed(col(text))
 
 
+def embed_texts(df: DataFrame, key: str, text: str, dim: int = 384, vector: str = "vector") -> DataFrame:
+    """(key, vector): hash_embed as a step of its own, for frames whose vectors then go into higher-order functions."""
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame({key: f[key], vector: _embedded(f[text], dim)})
+
+    return df.select(key, text).mapInPandas(run, f"{key} long, {vector} array<float>")
+
+
 def doubles(v) -> Column:
     return F.transform(v, lambda x: x.cast("double"))
 

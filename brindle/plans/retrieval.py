@@ -171,8 +171,8 @@ def fts_08(spark, d):
 def fts_09(spark, d):
     q = asked(spark, d)
     full = R.top_k(R.bm25(docs(spark, d), q, every_term=True), 60)
-    qv = q.select("qid", V.hash_embed("query", 64).alias("vector"))
-    dv = docs(spark, d).select(F.col("doc_id").alias("id"), V.hash_embed("text", 64).alias("vector"))
+    qv = V.embed_texts(q, "qid", "query", 64)
+    dv = V.embed_texts(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id", "text", 64)
     return V.hybrid_fuse(full, V.vector_topk(qv, dv, 60), 20)
 
 
@@ -181,7 +181,7 @@ E = "(select vec_id, label, embedding::double[] as v from embeddings)"
 
 @query("vec_01")
 def vec_01(spark, d):
-    return docs(spark, d).select("doc_id", V.hash_embed("text").alias("v")).select("doc_id", F.size("v").alias("dim"), F.round(V.dot(V.doubles("v"), V.doubles("v")), 4).alias("norm2"))
+    return V.embed_texts(docs(spark, d), "doc_id", "text", vector="v").select("doc_id", F.size("v").alias("dim"), F.round(V.dot(V.doubles("v"), V.doubles("v")), 4).alias("norm2"))
 
 
 @query("vec_02", r"""with w as (select doc_id, regexp_extract_all(lower(trim(text)), '[\p{L}\p{Nd}''-]+') as ws from documents),
