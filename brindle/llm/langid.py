@@ -19,12 +19,13 @@ TABLE = bytes(b - 96 if 97 <= b <= 122 else b - 64 if 65 <= b <= 90 else b - 101
 
 @dataclass(frozen=True)
 class Training:
-    """The sample: about per_lang labelled documents of each of the most_langs commonest languages, and `chars` characters of each from a seeded place."""
+    """At least `steps` steps of training, and `epochs` rounds over the sample: about per_lang labelled documents of each of the most_langs commonest languages, and `chars` characters of each from a seeded place."""
 
     per_lang: int = 800
     most_langs: int = 256
     chars: int = 400
     epochs: int = 6
+    steps: int = 600
     rate: float = 0.01
     seed: int = 3
 
@@ -53,7 +54,7 @@ class ByteNetwork:
         draw = np.random.default_rng(how.seed)
         params = [*self.filters, self.bias, self.out, self.shift]
         first, second, t = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params], 0
-        for _ in range(how.epochs):
+        for _ in range(max(how.epochs, -(-how.steps * 64 // len(x)))):
             order = draw.permutation(len(x))
             for at in range(0, len(x), 64):
                 pick = order[at : at + 64]

@@ -37,7 +37,7 @@ def drop_bitmaps(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
 
 
 def with_unique_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    r"""docs with _n_lines, _n_dropped and _kept (the text without its repeated lines).
+    r"""(doc, n_lines, n_dropped, kept): doc is the row of docs as a struct, so no column name clashes; kept is its text without repeated lines.
 
     A line's key is the line without white space at its ends, A-Z lower-cased;
     keys of least_chars code points or more that several documents hold stay
@@ -46,23 +46,21 @@ def with_unique_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFr
     rows that repeat a doc_id as one document.
     """
     t = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_text": F.xxhash64(t)})
+    keyed = docs.select(F.struct("*").alias("doc"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.xxhash64(t).alias("_text"))
     out = keyed.join(drop_bitmaps(docs, least_chars), ["_id", "_text"], "left")
-    kept = F.expr(r"array_join(filter(split(coalesce(text, ''), '\n', -1), (l, i) -> (shiftright(coalesce(_drop[cast(i div 64 as int)], 0L), i % 64) & 1L) = 0L), '\n')")
+    kept = F.expr(r"array_join(filter(split(coalesce(doc.text, ''), '\n', -1), (l, i) -> (shiftright(coalesce(_drop[cast(i div 64 as int)], 0L), i % 64) & 1L) = 0L), '\n')")
     dropped = F.expr("aggregate(map_values(_drop), 0L, (n, b) -> n + bit_count(b))")
-    out = out.withColumns(
-        {
-            "_n_lines": (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long"),
-            "_n_dropped": F.coalesce(dropped, F.lit(0)).cast("long"),
-            "_kept": F.when(F.col("_drop").isNull(), t).otherwise(kept),
-        }
+    t = F.coalesce(F.col("doc.text"), F.lit(""))
+    return out.select(
+        "doc",
+        (F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        F.coalesce(dropped, F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("_drop").isNull(), t).otherwise(kept).alias("kept"),
     )
-    return out.drop("_id", "_text", "_drop")
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with text replaced by what stays of it, and n_chars to match where there is such a column; no row goes. Null texts stay null."""
-    out = with_unique_lines(docs)
-    text = F.when(F.col("text").isNull(), F.lit(None).cast("string")).otherwise(F.col("_kept"))
-    new = {"text": text.alias("text"), "n_chars": F.length(text).cast("long").alias("n_chars")}
-    return out.select(*(new.get(c, F.col(f"`{c}`")) for c in docs.columns))
+    text = F.when(F.col("doc.text").isNull(), F.lit(None).cast("string")).otherwise(F.col("kept"))
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return with_unique_lines(docs).select(*(new.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +17,7 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
+DIGIT = re.compile("[0-9]")
 IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 #: Symbols of the models, after the start symbol 0.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
@@ -46,19 +48,21 @@ def codes(s: str) -> np.ndarray:
 
 
 class Markov:
-    """Log probabilities of a character after another, from labelled strings, with half a count added to each."""
+    """Log probabilities of a character after another, from labelled strings, backed off to the characters alone with the weight of five counts."""
 
     def __init__(self, samples: list[str]):
         n = len(ALPHABET) + 1
-        counts = np.full((n, n), 0.5)
+        counts = np.zeros((n, n))
         for s in samples:
             c = codes(s)
             np.add.at(counts, (np.concatenate(([0], c[:-1])), c), 1)
-        self.log = np.log(counts[:, 1:] / counts[:, 1:].sum(axis=1, keepdims=True))
+        single = counts[:, 1:].sum(axis=0) + 0.5
+        p = counts[:, 1:] + 5 * single / single.sum()
+        self.log = np.log(p / p.sum(axis=1, keepdims=True))
 
 
 def labelled_samples(docs: DataFrame, most_docs: int, chars: int) -> tuple[list[str], list[str]]:
-    """(random, ordinary) strings: secrets and other identifiers of at most 2 * most_docs documents by hash order, from `chars` characters of each from a seeded place; a random string of each of `RANDOM_KINDS` for every 8 documents asked for is added."""
+    """(random, ordinary) strings: secrets, and identifiers that several of them have, of at most 2 * most_docs documents by hash order, from `chars` characters of each from a seeded place; a random string of each of `RANDOM_KINDS` for every 8 documents asked for is added."""
     order = F.xxhash64(F.lit("secrets"), "doc_id", "text")
     part = lambda at: F.substr("text", at, F.lit(chars))
     hit = r"(?i)(?:passwd|password|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
@@ -67,14 +71,16 @@ def labelled_samples(docs: DataFrame, most_docs: int, chars: int) -> tuple[list[
     some = own.where(F.col("text").rlike(hit)).orderBy(order).limit(most_docs).select(part(at).alias("t"))
     start = F.pmod(order, F.greatest(F.length("text") - chars, F.lit(1))) + 1
     other = own.orderBy(order).limit(most_docs).select(part(start.cast("int")).alias("t"))
-    random, ordinary = [], []
+    random, found = [], Counter()
     for (t,) in [*some.collect(), *other.collect()]:
         spans = base_spans(t)
         random += [s for a, _, b in spans for s in re.findall(r"[A-Za-z0-9+/_=-]{8,}", t[a:b])[-1:]]
-        ordinary += [m[0] for m in IDENTIFIER.finditer(t) if not any(a < m.end() and m.start() < b for a, _, b in spans)]
+        found.update({m[0] for m in IDENTIFIER.finditer(t) if not any(a < m.end() and m.start() < b for a, _, b in spans)})
     draw = np.random.default_rng(5)
     for kind in RANDOM_KINDS:
         random += ["".join(draw.choice(list(kind), draw.integers(20, 41))) for _ in range(most_docs // 8)]
+    # what only one document has may be a secret that no pattern knows
+    ordinary = [s for s, n in found.items() if n > 1] or list(found)
     return sorted(random), sorted(ordinary)
 
 
@@ -82,8 +88,8 @@ def scan_secrets(docs: DataFrame, most_docs: int = 2000, chars: int = 4000) -> D
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov) for each row of docs.
 
     Every whole text is scanned (null: empty). The pattern matches stay as
-    they are; kind markov adds runs of 16 or more of `ALPHABET` that overlap
-    none of them and that a first-order Markov model of random strings finds
+    they are; kind markov adds runs of 16 or more of `ALPHABET`, digits and others, that
+    overlap none of them and that a first-order Markov model of random strings finds
     likelier than one of ordinary identifiers, by `LEAST` in all and
     `LEAST_PER_CHAR` for each character. The models are trained on a bounded
     sample: see `labelled_samples` (most_docs, chars).
@@ -94,6 +100,8 @@ def scan_secrets(docs: DataFrame, most_docs: int = 2000, chars: int = 4000) -> D
     def added(text: str, base: list) -> list:
         out = []
         for m in CANDIDATE.finditer(text):
+            if not DIGIT.search(m[0]) or m[0].isdigit():
+                continue
             c = codes(m[0]).astype(np.intp)
             score = ratio[np.concatenate(([0], c[:-1])), c - 1].sum()
             if score >= max(LEAST, LEAST_PER_CHAR * len(c)) and not any(a < m.end() and m.start() < b for a, _, b in base):
