@@ -18,16 +18,18 @@ FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 GAMMA, MIX1, MIX2, SEED = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 42
 
 
-def gram_vector(gram: str, dim: int) -> np.ndarray:
-    """Components in -3..1: remainders keep the sign."""
-    h = FNV_START
-    for byte in gram.encode():
-        h = ((h ^ byte) * FNV_PRIME) & (2**64 - 1)
-    with np.errstate(over="ignore"):
-        z = np.uint64(h ^ SEED) + np.arange(1, dim + 1, dtype=np.uint64) * np.uint64(GAMMA)
-        z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX1)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX2)
-        z = z ^ (z >> np.uint64(31))
+def gram_vectors(grams: list[str], dim: int) -> np.ndarray:
+    """A row of components in -3..1 for each n-gram: remainders keep the sign."""
+    raw = [g.encode() for g in grams]
+    size = np.array([len(x) for x in raw])
+    byte = np.frombuffer(b"".join(x.ljust(size.max(), b"\0") for x in raw), np.uint8).reshape(len(raw), -1).astype(np.uint64)
+    h = np.full(len(raw), FNV_START, np.uint64)
+    for j in range(byte.shape[1]):
+        h = np.where(j < size, (h ^ byte[:, j]) * np.uint64(FNV_PRIME), h)
+    z = (h ^ np.uint64(SEED))[:, None] + np.arange(1, dim + 1, dtype=np.uint64) * np.uint64(GAMMA)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(MIX1)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(MIX2)
+    z = z ^ (z >> np.uint64(31))
     return np.fmod(z.view(np.int64), 3) - 1
 
 
@@ -44,17 +46,11 @@ def text_grams(text: str | None) -> list[str]:
 
 
 def _embedded(texts: pd.Series, dim: int) -> pd.Series:
-    known: dict[str, np.ndarray] = {}
     out = []
     for text in texts:
-        total = np.zeros(dim, np.int64)
-        for x in text_grams(text):
-            v = known.get(x)
-            if v is None:
-                if len(known) > 50_000:
-                    known.clear()
-                v = known[x] = gram_vector(x, dim)
-            total += v
+        total, grams = np.zeros(dim, np.int64), text_grams(text)
+        for at in range(0, len(grams), 1024):
+            total += gram_vectors(grams[at : at + 1024], dim).sum(axis=0)
         norm = float(np.sqrt((total * total).sum()))
         out.append((total / norm if norm else total.astype(float)).astype(np.float32))
     return pd.Series(out)
