@@ -62,17 +62,21 @@ class Markov:
 
 
 def labelled_samples(docs: DataFrame, most_docs: int, chars: int) -> tuple[list[str], list[str]]:
-    """(random, ordinary) strings: secrets, and identifiers that several of them have, of at most 2 * most_docs documents by hash order, from `chars` characters of each from a seeded place; a random string of each of `RANDOM_KINDS` for every 8 documents asked for is added."""
+    """(random, ordinary) strings: secrets, and identifiers that several of them have, of about most_docs documents with a hit and most_docs others, by a seeded hash, from `chars` characters of each from a seeded place; a random string of each of `RANDOM_KINDS` for every 8 documents asked for is added."""
     order = F.xxhash64(F.lit("secrets"), "doc_id", "text")
     part = lambda at: F.substr("text", at, F.lit(chars))
     hit = r"(?i)(?:passwd|password|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
     at = F.greatest(F.regexp_instr("text", F.lit(hit)) - 20, F.lit(1))
     own = docs.where("text is not null").select("doc_id", "text")
-    some = own.where(F.col("text").rlike(hit)).orderBy(order).limit(most_docs).select(part(at).alias("t"))
+    chance = F.pmod(order, F.lit(1_000_003)) / 1_000_003.0
+    hits = own.where(F.col("text").rlike(hit))
+    rest = own.where(~F.col("text").rlike(hit))
+    n_hits, n = hits.count(), rest.count()
     start = F.pmod(order, F.greatest(F.length("text") - chars, F.lit(1))) + 1
-    other = own.orderBy(order).limit(most_docs).select(part(start.cast("int")).alias("t"))
+    some = hits.where(chance < most_docs / max(n_hits, 1)).select(part(at).alias("t"))
+    other = rest.where(chance < most_docs / max(n, 1)).select(part(start.cast("int")).alias("t"))
     random, found = [], Counter()
-    for (t,) in [*some.collect(), *other.collect()]:
+    for (t,) in sorted(some.collect()) + sorted(other.collect()):
         spans = base_spans(t)
         random += [s for a, _, b in spans for s in re.findall(r"[A-Za-z0-9+/_=-]{8,}", t[a:b])[-1:]]
         found.update({m[0] for m in IDENTIFIER.finditer(t) if not any(a < m.end() and m.start() < b for a, _, b in spans)})
