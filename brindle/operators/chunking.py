@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from brindle.sources.loaders import spread
+
 HEADING = re.compile(r"#{1,6} ")
 CHUNKS = "array<struct<chunk_index:int,heading:string,content:string>>"
 
@@ -94,5 +96,5 @@ def chunk_array(text: Column, most: int = 2048, overlap: int = 128) -> Column:
 
 def chunk(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = 2048, overlap: int = 128) -> DataFrame:
     """(doc_id, chunk_id, chunk_index, heading, content) of each document."""
-    rows = df.select(F.col(key).alias("doc_id"), F.explode(chunk_array(F.col(text), most, overlap)).alias("c"))
+    rows = spread(df.select(key, text)).select(F.col(key).alias("doc_id"), F.explode(chunk_array(F.col(text), most, overlap)).alias("c"))
     return rows.select("doc_id", F.xxhash64("doc_id", "c.chunk_index").alias("chunk_id"), "c.chunk_index", "c.heading", "c.content")

@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from brindle.functions.scalars import contains_word, tokenize
+from brindle.sources.loaders import spread
 
 K1, B, RRF_PAIR, RRF_LISTS = 1.2, 0.75, 30, 60
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, id, tf, positions, doc_len): the inverted index; write it partitioned by a hash of term to reuse it."""
-    tokens = docs.select(F.col(id_col).alias("id"), tokenize(text_col).alias("t")).select("id", F.size("t").alias("doc_len"), F.posexplode("t").alias("pos", "term"))
+    tokens = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), tokenize(text_col).alias("t")).select("id", F.size("t").alias("doc_len"), F.posexplode("t").alias("pos", "term"))
     return tokens.groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select("term", "id", "tf", "positions", "doc_len")
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, id, tf, doc_len) without positions: tokens are counted before they are shuffled."""
-    tokens = docs.select(F.col(id_col).alias("id"), tokenize(text_col).alias("t")).select("id", F.size("t").alias("doc_len"), F.explode("t").alias("term"))
+    tokens = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), tokenize(text_col).alias("t")).select("id", F.size("t").alias("doc_len"), F.explode("t").alias("term"))
     return tokens.groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf")).select("term", "id", "tf", "doc_len")
 
 
@@ -31,7 +32,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: n_docs, avg_len (over at least one document)."""
-    return docs.agg(F.count("*").alias("n_docs"), (F.coalesce(F.sum(F.size(tokenize(text_col))), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avg_len"))
+    return spread(docs.select(text_col)).agg(F.count("*").alias("n_docs"), (F.coalesce(F.sum(F.size(tokenize(text_col))), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avg_len"))
 
 
 def with_idf(df: DataFrame, n_docs: str = "n_docs") -> DataFrame:
@@ -47,7 +48,7 @@ def bm25(docs: DataFrame, queries: DataFrame, every_term: bool = False) -> DataF
     """
     terms = query_terms(queries)
     asked = terms.select("term").distinct()
-    found = docs.select(F.col("doc_id").alias("id"), tokenize("text").alias("t")).select("id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).join(asked, "term")
+    found = spread(docs.select("doc_id", "text")).select(F.col("doc_id").alias("id"), tokenize("text").alias("t")).select("id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).join(asked, "term")
     counts = found.groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf"))
     df = counts.groupBy("term").agg(F.count("*").alias("df"))
     scored = with_idf(df.crossJoin(F.broadcast(corpus_stats(docs))))

@@ -7,11 +7,13 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from brindle.functions.scalars import CJK, col
+from brindle.sources.loaders import spread
 
 #: Constants of the hash embedding (fixed values): FNV-1a and splitmix64.
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
@@ -73,7 +75,7 @@ def embed_texts(df: DataFrame, key: str, text: str, dim: int = 384, vector: str
         for f in frames:
             yield pd.DataFrame({key: f[key], vector: _embedded(f[text], dim)})
 
-    return df.select(key, text).mapInPandas(run, f"{key} long, {vector} array<float>")
+    return spread(df.select(key, text)).mapInPandas(run, f"{key} long, {vector} array<float>")
 
 
 def doubles(v) -> Column:
@@ -97,35 +99,53 @@ def l2_normalize(v) -> Column:
     return F.when(n == 0, v).otherwise(F.transform(v, lambda x: x / n))
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, block: int = 4096) -> DataFrame:
+def _packed(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """(ids, units): unit vectors of up to `rows` rows of a partition, by id, as bytes of 64-bit numbers; no shuffle."""
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, rows):
+                part = b.slice(at, rows)
+                ids = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                v = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
+                v = v / np.maximum(np.sqrt((v * v).sum(axis=1, keepdims=True)), 1e-300)
+                order = np.argsort(ids, kind="stable")
+                yield pa.RecordBatch.from_arrays([pa.array([ids[order].tobytes()], pa.binary()), pa.array([v[order].tobytes()], pa.binary())], ["ids", "units"])
+
+    rows_of = df.select(F.col(key).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("v")).where("id is not null and v is not null")
+    return rows_of.mapInArrow(run, "ids binary, units binary")
+
+
+def _nearest(q: np.ndarray, y: np.ndarray, c: np.ndarray, x: np.ndarray, k: int) -> pa.RecordBatch:
+    """(qid, id, score): the k best of x (by id) for each row of y; of equal scores the least ids."""
+    s = y @ x.T
+    r = np.round(s, 12)
+    k = min(k, len(c))
+    least = np.partition(r, -k, axis=1)[:, -k][:, None]
+    above, level = r > least, r == least
+    level &= level.cumsum(axis=1) <= k - above.sum(axis=1, keepdims=True)
+    i, j = np.nonzero(above | level)
+    return pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(c[j]), pa.array(s[i, j])], ["qid", "id", "score"])
+
+
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, block: int = 1024) -> DataFrame:
     """(qid, id, score, rank): exact cosine top k of corpus (id, vector) for queries (qid, vector).
 
-    Queries go in blocks of at most `block` to every partition of the corpus,
-    which multiplies matrices and passes on its own k best for each query; the
-    shuffle then holds k rows a partition and query, not pairs.
+    Both sides are packed into blocks of at most `block` vectors; each pair of
+    blocks is one product of matrices that passes on k rows a query, however
+    many vectors are equal. The planner broadcasts a side only if its size
+    allows it. Rows without id or vector are left out.
     """
-    q = queries.select("qid", F.pmod(F.xxhash64("qid"), F.greatest(F.ceil(F.lit(queries.count() / block)), F.lit(1))).alias("part"), "vector")
-    blocks = q.groupBy("part").agg(F.collect_list(F.struct("qid", "vector")).alias("qs"))
 
-    def best(frames):
-        for f in frames:
-            if not len(f):
-                continue
-            x = np.array(f["vector"].tolist(), dtype=np.float64)
-            x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
-            ids = f["id"].to_numpy()
-            for _, own in f.groupby("part", sort=False):
-                qs = own["qs"].iloc[0]
-                y = np.array([r["vector"] for r in qs], dtype=np.float64)
-                y /= np.maximum(np.sqrt((y * y).sum(axis=1, keepdims=True)), 1e-300)
-                at = f.index.get_indexer(own.index)
-                s = y @ x[at].T
-                for r, row in zip(qs, s, strict=True):
-                    order = np.lexsort((ids[at], -np.round(row, 12)))[:k]
-                    yield pd.DataFrame({"qid": r["qid"], "id": ids[at][order], "score": row[order]})
-
-    pairs = corpus.select("id", "vector").crossJoin(F.broadcast(blocks))
-    near = pairs.mapInPandas(best, "qid long, id long, score double")
+    def best(batches):
+        for b in batches:
+            for row in zip(*b.columns, strict=True):
+                q, c = (np.frombuffer(row[i].as_buffer(), np.int64) for i in (0, 2))
+                y, x = (np.frombuffer(row[i].as_buffer()).reshape(n, -1) for i, n in ((1, len(q)), (3, len(c))))
+                yield _nearest(q, y, c, x, k)
+
+    asked = _packed(queries, "qid", block).withColumnsRenamed({"ids": "qids", "units": "qunits"})
+    near = asked.crossJoin(_packed(corpus, "id", block)).mapInArrow(best, "qid long, id long, score double")
     w = W.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

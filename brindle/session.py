@@ -5,7 +5,7 @@ from pyspark.sql import SparkSession
 
 def session(name: str = "brindle", master: str | None = None, **conf) -> SparkSession:
     """UTC, adaptive plans and Arrow; conf adds settings, with _ for dots."""
-    b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.execution.arrow.pyspark.enabled", "true")
+    b = SparkSession.builder.appName(name).config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.execution.arrow.pyspark.enabled", "true").config("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
     if master:
         b = b.master(master)
     for k, v in conf.items():

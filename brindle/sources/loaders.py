@@ -15,6 +15,20 @@ from brindle.functions.scalars import CJK, FILE_KINDS, file_kind, host
 IDEAS = "title string, title_zh string, prompt string, prompt_zh string, image_urls array<string>, source_url string, author string, license string, lang string"
 CATALOG = "data struct<total:long,page:long,page_size:long,models:array<struct<id:string,name:string,media_type:string,vendor:struct<name:string>,pricing:struct<price:double,unit:string>,tags:array<string>>>>"
 MOST_PAGE = 10 << 20
+SPREAD_BYTES = 1 << 30
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over more tasks if it comes from fewer files than there are cores and is small by the planner's figures; else df.
+
+    A file of one row group is read by one task, which would then do all the
+    work on its texts. Tables beyond SPREAD_BYTES are never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if not 0 < len(df.inputFiles()) < cores:
+        return df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(min(cores, 1 + (size >> 20))) if size <= SPREAD_BYTES else df
 
 
 def load_ideas_json(spark: SparkSession, path: str) -> DataFrame:

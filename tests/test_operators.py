@@ -106,3 +106,18 @@ def test_ingest_stream(spark, tmp_path):
         spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).write.mode("append").parquet(src)
         jobs.ingest_stream(spark.readStream.schema("text string").parquet(src), out, str(tmp_path / "cp")).awaitTermination()
     assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+
+
+def test_nearest_vectors_with_ties(spark):
+    v = np.random.default_rng(0).normal(size=(600, 8))
+    v[5:200] = v[5]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "id long, vector array<double>")
+    asked = df.where("id % 50 = 0").selectExpr("id as qid", "vector").union(spark.createDataFrame([(-1, None)], "qid long, vector array<double>"))
+    got = {}
+    for r in vectors.vector_topk(asked, df, 7, 64).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["id"]))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert sorted(got) == list(range(0, 600, 50))
+    for q, found in got.items():
+        assert [i for _, i in sorted(found)] == np.lexsort((np.arange(600), -np.round(u[q] @ u.T, 12)))[:7].tolist()
+    assert vectors.vector_topk(asked, df.limit(0), 7).count() == vectors.vector_topk(asked.limit(0), df, 7).count() == 0
