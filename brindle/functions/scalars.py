@@ -270,3 +270,34 @@ def word_separator(a, b) -> Column:
     """What joins two lines: nothing after a hyphen or between CJK characters, else a blank."""
     x, y = F.substring(col(a), -1, 1), F.substring(col(b), 1, 1)
     return F.when((x == "") | (y == "") | (x == "-") | (x.rlike(CJK) & y.rlike(CJK)), "").otherwise(" ")
+
+
+def glob_pattern(glob: Column) -> Column:
+    g = F.regexp_replace(glob, r"([.+^$(){}|\[\]\\])", r"\\$1")
+    return F.concat(F.lit("^"), F.replace(F.replace(g, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
+
+
+def and_filter(tokens: Column, terms: Column) -> Column:
+    """All terms are among the tokens; true for no terms."""
+    return F.size(F.array_except(terms, tokens)) == 0
+
+
+def param_summary(params: Column) -> Column:
+    """Parameters (map of name to struct kind, values, least, most) as text, by name: a flag's name, name=a|b with at most six values, name=least-most."""
+
+    def one(e):
+        k, p = e["key"], e["value"]
+        few = F.when(F.size(p["values"]) > 6, F.concat(F.slice(p["values"], 1, 6), F.array(F.lit("...")))).otherwise(p["values"])
+        span = F.concat(k, F.lit("="), p["least"].cast("string"), F.lit("-"), p["most"].cast("string"))
+        return F.when(p["kind"] == "boolean", k).when(p["kind"] == "enum", F.concat(k, F.lit("="), F.array_join(few, "|"))).when(p["kind"] == "range", F.coalesce(span, k))
+
+    return F.array_join(F.array_compact(F.transform(F.array_sort(F.map_entries(params)), one)), ", ")
+
+
+#: Media types by file kind or extension (fixed values).
+MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "mp3": "audio/mpeg", "wav": "audio/wav", "ogg": "audio/ogg", "flac": "audio/flac", "mp4": "video/mp4", "webm": "video/webm"}
+
+
+def mime_type(ext) -> Column:
+    e = F.lower(col(ext))
+    return reduce(lambda c, kv: c.when(e == kv[0], kv[1]), MIME.items(), F.when(F.lit(False), "")).otherwise("application/octet-stream")

@@ -98,3 +98,26 @@ def chunk(df: DataFrame, key: str = "doc_id", text: str = "text", most: int = 20
     """(doc_id, chunk_id, chunk_index, heading, content) of each document."""
     rows = spread(df.select(key, text)).select(F.col(key).alias("doc_id"), F.explode(chunk_array(F.col(text), most, overlap)).alias("c"))
     return rows.select("doc_id", F.xxhash64("doc_id", "c.chunk_index").alias("chunk_id"), "c.chunk_index", "c.heading", "c.content")
+
+
+PIECES = "array<struct<heading:string,content:string>>"
+
+
+def split_large(heading, content, most: int = 2048, overlap: int = 128) -> Column:
+    """The pieces of a section."""
+
+    @F.pandas_udf(PIECES)
+    def run(heads: pd.Series, contents: pd.Series) -> pd.Series:
+        return pd.Series([[{"heading": h, "content": c} for h, c in pieces_of(head or "", body or "", most, overlap)] for head, body in zip(heads, contents, strict=True)])
+
+    return run(heading, content)
+
+
+def merge_small(pieces, most: int = 2048) -> Column:
+    """Pieces in order, joined while both together are shorter than half of `most`; the first heading stays."""
+
+    @F.pandas_udf(PIECES)
+    def run(all_pieces: pd.Series) -> pd.Series:
+        return pd.Series([[{"heading": h, "content": c} for h, c in merged([(p["heading"], p["content"]) for p in ps], most)] for ps in all_pieces])
+
+    return run(pieces)

@@ -191,3 +191,44 @@ def noise_band(std: Column, kurtosis: Column) -> Column:
     s = F.when(std < 1, 0.8).when(std < 3, 0.6).when(std < 8, 0.4).otherwise(0.2)
     k = F.when(kurtosis > 10, 0.7).when(kurtosis > 3, 0.5).otherwise(0.3)
     return F.when(std < 0, -1.0).otherwise((s + k) / 2)
+
+
+def png_text_chunks(content) -> Column:
+    """The text chunks of PNG bytes as a map."""
+
+    @F.pandas_udf("map<string,string>")
+    def run(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: png_text(bytes(c or b"")))
+
+    return run(content)
+
+
+def jpeg_scores(content) -> Column:
+    @F.pandas_udf("double")
+    def run(contents: pd.Series) -> pd.Series:
+        return contents.map(lambda c: jpeg_quant_score(bytes(c or b"")))
+
+    return run(content)
+
+
+def score_items(items: DataFrame) -> DataFrame:
+    """(id, rate, level, signals, error) of media items (id, content): labels and markers in the bytes, text chunks and tables fused; an item that can't be read carries its error and fails nothing else."""
+
+    def read(c) -> tuple[str | None, float | None, str | None]:
+        if not c:
+            return None, None, "no content"
+        try:
+            return png_text(c).get("AIGC"), jpeg_quant_score(c), None
+        except (ValueError, TypeError, IndexError, struct.error) as e:
+            return None, None, f"{type(e).__name__}: {e}"
+
+    def run(frames):
+        for f in frames:
+            yield pd.DataFrame([(i, *read(c)) for i, c in zip(f["id"], f["content"], strict=True)], columns=["id", "label", "jpeg", "error"])
+
+    parsed = items.withColumn("marked", c2pa_strings(marker_scan(F.col("content"))["slice"])["source"])
+    source = F.when(F.lower("marked").contains("algorithmic"), "AI Generated")
+    read_items = items.select("id", "content").mapInPandas(run, "id long, label string, jpeg double, error string")
+    both = read_items.join(parsed.select("id", source.alias("source")), "id")
+    f = fused_signals({"c2pa_source": F.col("source"), "tc260": F.col("label").isNotNull(), "jpeg": F.col("jpeg")})
+    return both.select("id", F.when(F.col("error").isNull(), f).alias("f"), "error").select("id", "f.rate", "f.level", "f.signals", "error")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from brindle.functions.scalars import host, meaningful_chars
+from brindle.functions.scalars import glob_pattern, host, meaningful_chars
 
 
 def scope(df: DataFrame, project: str, column: str = "project") -> DataFrame:
@@ -41,11 +41,6 @@ def grep(df: DataFrame, pattern: str, key: str = "doc_id", text: str = "text", i
     return lines.join(F.broadcast(near), [key, "at"]).select(key, (F.col("at") + 1).alias("line_no"), "line", "is_match")
 
 
-def glob_pattern(glob: Column) -> Column:
-    g = F.regexp_replace(glob, r"([.+^$(){}|\[\]\\])", r"\\$1")
-    return F.concat(F.lit("^"), F.replace(F.replace(g, F.lit("*"), F.lit(".*")), F.lit("?"), F.lit(".")), F.lit("$"))
-
-
 def glob_any(name: Column, globs: list[str]) -> Column:
     return reduce(lambda a, g: a | F.regexp_like(name, glob_pattern(F.lit(g))), globs, F.lit(False))
 

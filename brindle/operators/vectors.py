@@ -47,7 +47,7 @@ def text_grams(text: str | None) -> list[str]:
     return list(dict.fromkeys(found))
 
 
-def _embedded(texts: pd.Series, dim: int) -> pd.Series:
+def embedded(texts: pd.Series, dim: int) -> pd.Series:
     out = []
     for text in texts:
         total, grams = np.zeros(dim, np.int64), text_grams(text)
@@ -63,7 +63,7 @@ def hash_embed(text, dim: int = 384) -> Column:
 
     @F.pandas_udf("array<float>")
     def embed(texts: pd.Series) -> pd.Series:
-        return _embedded(texts, dim)
+        return embedded(texts, dim)
 
     return embed(col(text))
 
@@ -73,7 +73,7 @@ def embed_texts(df: DataFrame, key: str, text: str, dim: int = 384, vector: str
 
     def run(frames):
         for f in frames:
-            yield pd.DataFrame({key: f[key], vector: _embedded(f[text], dim)})
+            yield pd.DataFrame({key: f[key], vector: embedded(f[text], dim)})
 
     return spread(df.select(key, text)).mapInPandas(run, f"{key} long, {vector} array<float>")
 
@@ -188,3 +188,21 @@ def rerank(results: DataFrame, scorer: Column | None, k: int) -> DataFrame:
     ok = scorer.isNotNull() & ~F.isnan(scorer) & (F.abs(scorer) != float("inf"))
     w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
     return results.withColumn("score", F.when(ok, scorer).otherwise(F.col("score"))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def vec_to_blob(v) -> Column:
+    """A vector as little-endian 32-bit floats."""
+
+    @F.pandas_udf("binary")
+    def run(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda x: None if x is None else np.asarray(x, dtype="<f4").tobytes())
+
+    return run(v)
+
+
+def blob_to_vec(b) -> Column:
+    @F.pandas_udf("array<float>")
+    def run(blobs: pd.Series) -> pd.Series:
+        return blobs.map(lambda x: None if x is None else np.frombuffer(x, dtype="<f4"))
+
+    return run(b)

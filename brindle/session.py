@@ -1,5 +1,8 @@
 """A session with what the engine relies on."""
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -11,3 +14,9 @@ def session(name: str = "brindle", master: str | None = None, **conf) -> SparkSe
     for k, v in conf.items():
         b = b.config(k.replace("_", "."), v)
     return b.getOrCreate()
+
+
+def scratch(spark: SparkSession, what: str) -> str:
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir); in a temporary one only where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="spark-")
+    return f"{found.rstrip('/')}/{what}-{uuid.uuid4().hex}"

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from brindle.functions.scalars import CJK, FILE_KINDS, file_kind, host
+from brindle.functions.scalars import CJK, FILE_KINDS, file_kind, glob_pattern, host, human_size
 
 IDEAS = "title string, title_zh string, prompt string, prompt_zh string, image_urls array<string>, source_url string, author string, license string, lang string"
 CATALOG = "data struct<total:long,page:long,page_size:long,models:array<struct<id:string,name:string,media_type:string,vendor:struct<name:string>,pricing:struct<price:double,unit:string>,tags:array<string>>>>"
@@ -32,13 +32,13 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def load_ideas_json(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of entries; malformed files fail."""
-    return spark.read.schema(IDEAS).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """The entries of files that hold a JSON array each; malformed files fail."""
+    return spark.read.schema(IDEAS).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(path)
 
 
 def load_ideas_csv(spark: SparkSession, path: str) -> DataFrame:
     """Rows with a content column; author and sourceMedia are JSON."""
-    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
+    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("recursiveFileLookup", True).csv(path)
     if "content" not in raw.columns:
         raise ValueError("no content column")
     get = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
@@ -47,11 +47,9 @@ def load_ideas_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """All JSON and CSV entries of a folder with their file name."""
-    own = lambda df, ext: df.withColumn("file", F.lit(ext))
-    a = own(load_ideas_json(spark, f"{folder}/*.json"), "json")
-    b = own(load_ideas_csv(spark, f"{folder}/*.csv"), "csv")
-    return a.unionByName(b)
+    """All JSON and CSV entries of a folder with their file's path, whose order is the order of sources."""
+    parts = load_ideas_json(spark, f"{folder}/*.json"), load_ideas_csv(spark, f"{folder}/*.csv")
+    return parts[0].withColumn("file", F.input_file_name()).unionByName(parts[1].withColumn("file", F.input_file_name()))
 
 
 def load_tree(spark: SparkSession, folder: str) -> DataFrame:
@@ -160,4 +158,11 @@ def link_filter(links: DataFrame, limit: int) -> DataFrame:
 
 def load_catalog_pages(spark: SparkSession, path: str) -> DataFrame:
     """The models of all pages of a catalog."""
-    return spark.read.schema(CATALOG).option("multiLine", True).json(path).select(F.explode("data.models").alias("m")).select("m.*")
+    return spark.read.schema(CATALOG).option("multiLine", True).option("recursiveFileLookup", True).json(path).select(F.explode("data.models").alias("m")).select("m.*")
+
+
+def find_files(files: DataFrame, pattern: str, limit: int = 50) -> DataFrame:
+    """The first `limit` files (path, length) by path whose name matches the glob or holds pattern in any case."""
+    name = F.substring_index("path", "/", -1)
+    hit = F.regexp_like(name, glob_pattern(F.lit(pattern))) | F.contains(F.lower(name), F.lit(pattern.lower()))
+    return files.where(hit).select("path", "length", human_size("length").alias("size")).orderBy("path", "length").limit(limit)

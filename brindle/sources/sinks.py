@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.functions.scalars import project_dir, slugify
+from brindle.functions.scalars import checksum, project_dir, slugify
 
 
 def results_json(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -28,3 +28,13 @@ def save_doc_files(df: DataFrame, path: str) -> None:
     name = F.concat(F.date_format("created_at", "yyyy-MM-dd"), F.lit("_"), F.substring("id", 1, 12), F.lit("-"), slugify("title"), F.lit(".md"))
     project = F.when(F.coalesce("project", F.lit("")) == "", "global").otherwise(project_dir("project"))
     df.select(project.alias("project_dir"), name.alias("name"), "text").write.partitionBy("project_dir").mode("overwrite").parquet(path)
+
+
+def reindex(saved: DataFrame, dim: int = 384) -> dict[str, DataFrame]:
+    """documents (id, project, title, size), chunks and embeddings made anew from saved files (project_dir, name, text): the project is the folder, none for global, and the title what follows the first - of the name."""
+    from brindle.operators.chunking import chunk
+    from brindle.operators.vectors import hash_embed
+
+    docs = saved.select(checksum("text").alias("id"), F.when(F.col("project_dir") == "global", "").otherwise(F.col("project_dir")).alias("project"), F.regexp_extract("name", r"(?s)^[^-]*-(.*)\.md$", 1).alias("title"), F.octet_length("text").alias("size"), "text")
+    chunks = chunk(docs, "id", "text")
+    return {"documents": docs.drop("text"), "chunks": chunks, "embeddings": chunks.select("chunk_id", hash_embed("content", dim).alias("vector"))}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -64,7 +66,7 @@ def quota_ledger(uses: DataFrame, limits: DataFrame) -> DataFrame:
     """
     period = F.create_map(*(F.lit(x) for kv in PERIODS.items() for x in kv))
     per_second = uses.groupBy("provider", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(F.count("*").alias("n"))
-    rows = per_second.join(F.broadcast(limits.limit(100_000)), "provider", "left").withColumn("span", F.coalesce(period[F.col("period")], F.lit(86400)).cast("long") * 1_000_000)
+    rows = per_second.join(limits, "provider", "left").withColumn("span", F.coalesce(period[F.col("period")], F.lit(86400)).cast("long") * 1_000_000)
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values("t")
@@ -80,12 +82,36 @@ def quota_ledger(uses: DataFrame, limits: DataFrame) -> DataFrame:
     return rows.groupBy("provider").applyInPandas(fold, "provider string, used long, window_start long, windows long, total long, can_use boolean")
 
 
+def provider_lists(providers: DataFrame) -> DataFrame:
+    """(strategy, listed, usable): the candidates of each strategy among providers (provider, weight, used, total, tags), a configuration table.
+
+    quality and cheap take the tags quality and free, all providers where none has the tag; auto takes both,
+    free ones with the least quota left first (no limit counts as 999), or all. Usable are those with quota left.
+    """
+    tagged = lambda t: F.array_contains("tags", t)
+    free, good = tagged("free"), tagged("quality")
+    kinds = {"quality": (good, F.lit(0)), "cheap": (free, F.lit(0)), "auto": (free | good, F.when(free, F.when(F.col("total") <= 0, 999).otherwise(F.col("total") - F.col("used"))).otherwise(2**31)), "all": (F.lit(True), F.lit(0))}
+    rows = reduce(DataFrame.unionByName, (providers.withColumns({"strategy": F.lit(k), "on": F.coalesce(on, F.lit(False)), "place": place.cast("long")}) for k, (on, place) in kinds.items()))
+    one = F.struct("on", "place", "provider", F.greatest(F.coalesce("weight", F.lit(1)), F.lit(1)).alias("weight"), ((F.col("total") <= 0) | (F.col("used") < F.col("total"))).alias("usable"))
+    g = rows.groupBy("strategy").agg(F.array_sort(F.collect_list(one)).alias("every"))
+    mine = F.filter("every", lambda x: x["on"])
+    g = g.withColumn("listed", F.when(F.size(mine) > 0, mine).otherwise(F.col("every")))
+    return g.select("strategy", F.transform("listed", lambda x: x["provider"]).alias("listed"), F.filter("listed", lambda x: x["usable"]).alias("usable"))
+
+
 def route_provider(requests: DataFrame, providers: DataFrame, seed: int = 1) -> DataFrame:
-    """(req, provider, rank): usable providers (provider, weight, used, total) of each request in weighted random order, seeded."""
-    usable = providers.where("total <= 0 or used < total")
-    u = (F.pmod(F.xxhash64(F.lit(seed), "req", "provider"), F.lit(2**31 - 1)) + 1) / float(2**31)
-    scored = requests.crossJoin(F.broadcast(usable.limit(10_000))).withColumn("x", -F.log(u) / F.col("weight"))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("req").orderBy("x", "provider"))).select("req", "provider", "rank")
+    """(req, ordered): the usable providers of each request (req, strategy, preferred) in weighted random order, seeded.
+
+    Manual requests take those of their preferred list; unknown strategies count as auto. The order is that of
+    -log(u) / weight with u from a hash of seed, request and provider, made within each row.
+    """
+    low = F.lower(F.coalesce("strategy", F.lit("auto")))
+    kind = F.when(low == "manual", "all").when(low.isin("quality", "cheap"), low).otherwise("auto")
+    r = requests.withColumn("_manual", low == "manual").withColumn("strategy", kind).join(provider_lists(providers).drop("listed"), "strategy", "left")
+    mine = F.when(F.col("_manual"), F.filter("usable", lambda p: F.array_contains("preferred", p["provider"]))).otherwise(F.col("usable"))
+    u = lambda p: (F.pmod(F.xxhash64(F.lit(seed), F.col("req"), p["provider"]), F.lit(2**31 - 1)) + 1) / float(2**31)
+    keyed = F.transform(mine, lambda p: F.struct((-F.log(u(p)) / p["weight"]).alias("x"), p["provider"].alias("provider")))
+    return r.select("req", F.transform(F.array_sort(keyed), lambda p: p["provider"]).alias("ordered"))
 
 
 def ingest_stream(files: DataFrame, target: str, checkpoint: str):

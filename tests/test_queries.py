@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from brindle.plans import registry, retrieval, tables  # noqa: F401
+from brindle.plans import files, registry, retrieval, tables  # noqa: F401
 
 DIR = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
