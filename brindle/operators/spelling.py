@@ -50,8 +50,6 @@ def spelling_fixes(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """
     parts = F.regexp_extract("word", r"""(?s)^(.*?)([.,!?;:)\]"'”’]*)$""", 1)
     w = words.select("word").distinct().withColumn("clean", parts).where(F.col("clean").rlike(r"[^\d\p{P}]") & ((F.col("clean") == F.lower("clean")) | (F.length("clean") < 4)))
-    known = known_words(w.select(F.col("clean").alias("word")), dictionary).select(F.col("word").alias("clean"))
-    w = w.join(known, "clean", "left_anti")
     low = F.lower("clean")
     typo = low
     for old, new in TYPOS:
@@ -60,12 +58,13 @@ def spelling_fixes(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     swap = lambda i: F.transform(F.split(F.coalesce(alike[F.substr("clean", i, F.lit(1))], F.lit("")), ""), lambda c: F.when(c != "", F.concat(F.substr("clean", F.lit(1), i - 1), c, F.substr("clean", i + 1))))
     swaps = F.when(F.length("clean") >= 2, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("clean"), F.lit(1))), swap)))
     tries = F.filter(F.concat(F.array(F.when(typo != low, typo)), F.coalesce(swaps, F.array().cast("array<string>"))), lambda c: c.isNotNull())
-    cand = w.select("clean", F.posexplode(tries).alias("place", "cand")).distinct()
-    good = known_words(cand.select(F.col("cand").alias("word")), dictionary).select(F.col("word").alias("cand"))
-    first = cand.join(good, "cand", "left_semi").groupBy("clean").agg(F.min_by("cand", "place").alias("fixed"))
-    rest = w.select("clean").distinct().join(first, "clean", "left_anti").withColumn("word", F.lower("clean"))
-    near = rest.join(within_one_edit(rest.select("word"), dictionary), "word").select("clean", F.col("suggestion").alias("fixed"))
-    found = w.join(first.unionByName(near), "clean")
+    cand = w.select("clean").distinct().select("clean", F.posexplode(F.concat(F.array("clean"), tries)).alias("place", "cand"))
+    forms = cand.select("clean", "place", "cand", F.explode(stems(F.col("cand"))).alias("term"))
+    hits = forms.join(dictionary.select("term").distinct(), "term", "left_semi").groupBy("clean").agg(F.min(F.struct("place", "cand")).alias("hit"))
+    seen = w.join(hits, "clean", "left").where("hit is null or hit.place > 0")
+    lost = seen.where("hit is null").select(F.lower("clean").alias("word"))
+    near = within_one_edit(lost, dictionary).select(F.col("word").alias("low"), "suggestion")
+    found = seen.withColumn("low", F.when(F.col("hit").isNull(), F.lower("clean"))).join(near, "low", "left").withColumn("fixed", F.coalesce("hit.cand", "suggestion"))
     return found.select("word", F.concat(_restored(F.col("fixed"), F.col("clean")), F.substr("word", F.length("clean") + 1)).alias("fixed")).where("word <> fixed")
 
 
