@@ -2,96 +2,214 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from dataclasses import dataclass
 from math import log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.common import stored
 from brindle.llm.langid import fold
 
 #: Letters of context; words are modelled byte by byte between a start and an end mark.
 ORDER = 6
 START, END = b"\x02", b"\x03"
 DISCOUNT = 0.75
-REMEMBERED = 500_000
+COUNTS = ("ordinary", "toxic", "ordinary_rest", "toxic_rest")
 SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 
 
 @dataclass(frozen=True)
 class Training:
-    """The sample: at most per_label labelled documents of each label by hash order, and `chars` characters of each from a seeded place. One document in `parts` fits the calibration, the others the counts."""
+    """The calibration: of one labelled document in `parts`, at most per_label of each label by hash order. Blocks of documents end at block_docs or block_bytes."""
 
     per_label: int = 2000
-    chars: int = 8000
     parts: int = 3
+    block_docs: int = 4096
+    block_bytes: int = 16 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode().translate(SPLIT).split()
 
 
-class WordRatios:
-    """log P(word | toxic) - log P(word | ordinary), divided by nothing.
+def grams_of(word: bytes) -> list[int]:
+    """Each byte of the marked word after up to ORDER bytes before it, packed: a word has no zero bytes, so leading zeros mean a shorter context."""
+    s = START + word + END
+    return [int.from_bytes(s[max(0, i - ORDER) : i + 1], "big") for i in range(1, len(s))]
 
-    Each class has interpolated Kneser-Ney counts of a byte after up to
-    ORDER bytes of its word; both back off to one continuation model of all
-    samples, so what only one class has seen stays comparable. A byte that
-    neither class has seen there cancels but for the back-off weights.
+
+def last(x: np.ndarray, n: int) -> np.ndarray:
+    return x & ((1 << 8 * n) - 1)
+
+
+class Continuations:
+    """Continuation probabilities of a byte after no byte and after one, from (pair of bytes, number of distinct bytes before it) of all documents: at most 2**16 rows."""
+
+    def __init__(self, pairs: list[tuple[int, int]]):
+        before = np.zeros((256, 256))
+        none = np.zeros(256)
+        for pair, n in pairs:
+            before[pair >> 8, pair & 255] = n
+            none[pair & 255] += 1
+        self.none = (np.maximum(none - DISCOUNT, 0) + DISCOUNT * (none > 0).sum() / 256) / max(none.sum(), 1)
+        total = before.sum(axis=1, keepdims=True)
+        own = np.maximum(before - DISCOUNT, 0) + DISCOUNT * (before > 0).sum(axis=1, keepdims=True) * self.none
+        self.one = np.where(total > 0, own / np.maximum(total, 1), self.none)
+
+
+def gram_ratios(grams: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], short: Continuations) -> list[np.ndarray]:
+    """log P(byte | context, toxic) - log P(byte | context, ordinary) of each gram, for each (ordinary, toxic) counts.
+
+    grams are all distinct ones of all documents whose contexts end in the
+    same two bytes. Each class has interpolated Kneser-Ney counts; both back
+    off to the continuation counts of all documents, so a context that neither
+    class has seen gives 0.
     """
+    b = last(grams, 1)
+    context = grams >> 8
+    size = sum((context >= 1 << 8 * k).astype(int) for k in range(ORDER))
+    p = np.where(size > 1, short.one[last(context, 1), b], short.none[b])
+    for m in range(2, ORDER):
+        deep = context >= 1 << 8 * m
+        keys, n = np.unique(last(np.unique(last(grams[deep], m + 2)), m + 1), return_counts=True)
+        if len(keys):
+            _, at = np.unique(keys >> 8, return_inverse=True)
+            total, kinds = np.bincount(at, n), np.bincount(at)
+            i = np.searchsorted(keys, last(grams[deep], m + 1))
+            p[deep] = (np.maximum(n[i] - DISCOUNT, 0) + DISCOUNT * kinds[at[i]] * p[deep]) / total[at[i]]
+    _, at = np.unique(context, return_inverse=True)
+    out = []
+    for pair in counts:
+        q = []
+        for c in pair:
+            total, kinds = np.bincount(at, c)[at], np.bincount(at, c > 0)[at]
+            seen = np.maximum(total, 1)
+            q.append(np.where(total > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds * p) / seen, p))
+        out.append(np.log(q[1] / q[0]))
+    return out
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, ordinary, toxic, ordinary_rest, toxic_rest) of docs (text, y, fits): in documents with label y, and in those of them that don't fit the calibration; 0 for words of other documents only."""
+
+    def run(batches):
+        for b in batches:
+            kinds = [Counter() for _ in range(5)]
+            for text, y, fits in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                kinds[4 if y is None else 2 * y + bool(fits)].update(words_of(text.as_py()))
+            words = list({w for k in kinds for w in k})
+            n = [np.fromiter((k[w] for w in words), np.int64, len(words)) for k in kinds[:4]]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *map(pa.array, (n[0] + n[1], n[2] + n[3], n[0], n[2]))], ["word", *COUNTS])
+
+    rows = docs.select("text", "y", "fits").mapInArrow(run, "word binary, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def word_ratios(words: DataFrame) -> DataFrame:
+    """(word, ratio, ratio_rest) of all words of `word_counts`: log P(word | toxic) - log P(word | ordinary), by all labelled documents and by those that don't fit the calibration."""
+
+    def spread(batches):
+        for b in batches:
+            grams = [grams_of(w) for w in b.column(0).to_pylist()]
+            at = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
+            made = pa.array(np.fromiter((x for g in grams for x in g), np.int64, len(at)))
+            yield pa.RecordBatch.from_arrays([made, *(c.take(pa.array(at)) for c in b.columns)], ["gram", *b.schema.names])
+
+    counts = ", ".join(f"{c} long" for c in COUNTS)
+    grams = words.mapInArrow(spread, f"gram long, word binary, {counts}").groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    grams = stored(grams, "toxicity-grams")
+    triples = grams.select(F.col("gram").bitwiseAND(0xFFFFFF).alias("t")).distinct()
+    pairs = triples.groupBy(F.col("t").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum((F.col("t") > 0xFFFF).cast("long")).alias("n"))
+    short = Continuations([(r["pair"], r["n"]) for r in pairs.collect()])
 
-    def __init__(self, toxic: Counter, ordinary: Counter):
-        seen = [defaultdict(Counter), defaultdict(Counter)]
-        lower: list[dict] = [defaultdict(set) for _ in range(ORDER + 1)]
-        for k, words in enumerate((ordinary, toxic)):
-            for w, n in words.items():
-                s = START + w + END
-                for i in range(1, len(s)):
-                    seen[k][s[max(0, i - ORDER) : i]][s[i]] += n
-                    for m in range(min(i, ORDER)):
-                        lower[m][s[i - m : i]].add(s[max(0, i - m - 1) : i - m] + s[i : i + 1])
-        shared = [{c: (own := Counter(x[-1] for x in v), sum(own.values())) for c, v in level.items()} for level in lower]
-        known: dict[bytes, float] = {}
-
-        def back(context: bytes, b: int) -> float:
-            """The continuation probability of b, from the shortest context to the whole one."""
-            key = context + bytes((b,))
-            if (p := known.get(key)) is None:
-                p = back(context[1:], b) if context else 1 / 256
-                if found := shared[len(context)].get(context):
-                    counts, total = found
-                    p = (max(counts.get(b, 0) - DISCOUNT, 0) + DISCOUNT * len(counts) * p) / total
-                known[key] = p
-            return p
-
-        self.rest, self.pair = {}, {}
-        for context in {*seen[0], *seen[1]}:
-            own = [s.get(context, {}) for s in seen]
-            total = [sum(c.values()) for c in own]
-            weight = [DISCOUNT * len(c) / t if t else 1.0 for c, t in zip(own, total, strict=True)]
-            self.rest[context] = log(weight[1] / weight[0])
-            for b in {*own[0], *own[1]}:
-                p = back(context[1:], b)
-                q = [(max(c.get(b, 0) - DISCOUNT, 0) / t if t else 0.0) + w * p for c, t, w in zip(own, total, weight, strict=True)]
-                self.pair[context + bytes([b])] = log(q[1] / q[0])
-
-    def __call__(self, word: bytes) -> float:
-        s, r = START + word + END, 0.0
-        for i in range(1, len(s)):
-            x = s[max(0, i - ORDER) : i + 1]
-            v = self.pair.get(x)
-            r += self.rest.get(x[:-1], 0.0) if v is None else v
-        return r
-
-
-def features(ratios: list[float]) -> list[float]:
+    def ratios(t: pa.Table) -> pa.Table:
+        col = {c: t[c].to_numpy() for c in ("gram", *COUNTS)}
+        made = gram_ratios(col["gram"], [(col["ordinary"], col["toxic"]), (col["ordinary_rest"], col["toxic_rest"])], short)
+        return pa.table([t["gram"], *map(pa.array, made)], ["gram", "ratio", "ratio_rest"])
+
+    ending = F.shiftright(F.col("gram"), 8).bitwiseAND(0xFFFF)
+    scored = stored(grams.groupBy(ending.alias("ending")).applyInArrow(ratios, "gram long, ratio double, ratio_rest double").where("ratio <> 0 or ratio_rest <> 0"), "toxicity-ratios")
+    own = words.select("word").mapInArrow(spread, "gram long, word binary")
+    # the shortest contexts are those of most words, and at most 2**16
+    few = own.where(F.col("gram") < 1 << 24).join(F.broadcast(scored.where(F.col("gram") < 1 << 24)), "gram")
+    many = own.where(F.col("gram") >= 1 << 24).join(scored.where(F.col("gram") >= 1 << 24), "gram")
+    return few.unionByName(many).groupBy("word").agg(F.sum("ratio").alias("ratio"), F.sum("ratio_rest").alias("ratio_rest"))
+
+
+def document_features(docs: DataFrame, ratios: DataFrame, how: Training) -> DataFrame:
+    """(doc_id, mark, features) for each row of docs (doc_id, mark, text) by ratios (word, ratio).
+
+    A block of documents sends each of its words once, with the places of
+    the documents that have it; what comes back is put together by block.
+    """
+
+    def blocks(batches):
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+
+        def made(ids, marks, known, at, of):
+            at, of = np.array(at, np.int64), np.repeat(np.arange(len(of), dtype=np.int64), of)
+            order = np.lexsort((of, at))
+            at, of = at[order], of[order]
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
+            step = np.diff(of, prepend=0)
+            step[first] = of[first]
+            step = step.astype(np.uint16)
+            places = [x.tobytes() for x in np.split(step, first[1:])] if len(at) else []
+            # the empty word stands for the block's own rows
+            head = pa.ipc.new_stream(sink := pa.BufferOutputStream(), (t := pa.table([pa.array(ids, pa.int64()), pa.array(marks, pa.int32())], ["doc_id", "mark"])).schema)
+            head.write_table(t)
+            head.close()
+            return pa.RecordBatch.from_arrays([pa.array([block] * (len(known) + 1), pa.int64()), pa.array([b"", *known], pa.binary()), pa.array([sink.getvalue().to_pybytes(), *places], pa.binary())], ["block", "word", "places"])
+
+        ids, marks, known, at, of, size = [], [], {}, [], [], 0
+        for b in batches:
+            for doc_id, mark, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                text = text.as_py()
+                words = words_of(text)
+                at += [known.setdefault(w, len(known)) for w in words]
+                of.append(len(words))
+                ids.append(doc_id)
+                marks.append(mark)
+                size += len(text or "")
+                if len(ids) >= how.block_docs or size >= how.block_bytes:
+                    yield made(ids, marks, known, at, of)
+                    ids, marks, known, at, of, size = [], [], {}, [], [], 0
+                    block += 1
+        if ids:
+            yield made(ids, marks, known, at, of)
+
+    def together(t: pa.Table) -> pa.Table:
+        head, ratio, at = None, [], []
+        for word, places, r in zip(t["own"].to_pylist(), t["places"], t["ratio"].to_pylist(), strict=True):
+            if word:
+                head = pa.ipc.open_stream(places.as_py()).read_all()
+            else:
+                of = np.frombuffer(places.as_py(), np.uint16).cumsum(dtype=np.int64)
+                at.append(of)
+                ratio.append(np.full(len(of), r))
+        n = head.num_rows
+        at, ratio = (np.concatenate(at), np.concatenate(ratio)) if at else (np.zeros(0, np.int64), np.zeros(0))
+        order = np.argsort(at, kind="stable")
+        ends = np.bincount(at, minlength=n).cumsum()
+        found = [features(x) for x in np.split(ratio[order], ends[:-1])]
+        return pa.table([head["doc_id"], head["mark"], pa.array(found, pa.list_(pa.float64()))], ["doc_id", "mark", "features"])
+
+    sent = docs.select("doc_id", "mark", "text").mapInArrow(blocks, "block long, word binary, places binary")
+    back = sent.join(ratios, "word", "left").select("block", (F.octet_length("word") == 0).alias("own"), "places", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
+    return back.groupBy("block").applyInArrow(together, "doc_id long, mark int, features array<double>")
+
+
+def features(ratios: np.ndarray) -> list[float]:
     """Of a document's word ratios: their mean (the length-normalised log-likelihood difference), the largest ones, and how many and how large a share are clearly toxic."""
-    if not ratios:
+    if not len(ratios):
         return [0.0] * 7
-    r = np.sort(np.asarray(ratios))[::-1]
+    r = np.sort(ratios)[::-1]
     top = np.clip(r[:5], -3, 8)
     high = float((r > 3).sum())
     return [float(np.clip(r.mean(), -1, 1)), float(top[0]), float(top[: min(3, len(r))].mean()), float(top.mean()), log(1 + high), high / len(r) ** 0.5, float(len(r) > 0)]
@@ -108,33 +226,23 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return w
 
 
-class Model:
-    def __init__(self, rows: list[tuple[int, list[bytes]]], true_share: float, parts: int):
-        counts = Counter(), Counter()
-        for i, (y, words) in enumerate(rows):
-            if i % parts:
-                counts[y].update(words)
-        self.ratios = WordRatios(counts[1], counts[0])
-        x, label, own = [], [], {}
-        for y, words in rows[::parts]:
-            for w in words:
-                if w not in own:
-                    own[w] = self.ratios(w)
-            x.append(features([own[w] for w in words]))
-            label.append(y)
-        x, label = np.array(x), np.array(label)
+class Calibration:
+    """The logistic of `features`, fitted on documents that the counts of their ratios didn't see."""
+
+    def __init__(self, x: np.ndarray, label: np.ndarray, true_share: float):
         share = label.mean()
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
         z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
         self.weights = logistic(z, label, np.where(label == 1, true_share / share, (1 - true_share) / (1 - share)))
 
-    def score(self, ratios: list[float]) -> float:
-        z = np.append((np.array(features(ratios)) - self.mean) / self.scale, 1.0)
-        return float(1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30))))
+    def score(self) -> Column:
+        terms = (float(w / s) * (F.get("features", F.lit(i)) - float(m)) for i, (w, m, s) in enumerate(zip(self.weights[:-1], self.mean, self.scale, strict=True)))
+        z = sum(terms, F.lit(float(self.weights[-1])))
+        return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
-def trained(docs: DataFrame, labels: DataFrame, how: Training) -> Model | float:
-    """A model, or the share of toxic labels if only one label (or none: 0) is there to learn from."""
+def trained(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[DataFrame, Calibration] | float:
+    """(word, ratio) of all words of docs and the calibration, or the share of toxic labels if only one label (or none: 0) is there to learn from."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
     count = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -142,51 +250,40 @@ def trained(docs: DataFrame, labels: DataFrame, how: Training) -> Model | float:
     if len(count) < 2:
         return count.get(1, 0) / max(n, 1)
     order = F.xxhash64(F.lit("toxicity"), "doc_id")
-    some = known.where("y = 0").orderBy(order).limit(how.per_label).union(known.where("y = 1").orderBy(order).limit(how.per_label))
+    part = known.where(F.pmod(order, F.lit(how.parts)) == 0)
     # at most 2 * per_label rows of two numbers
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(some), "doc_id")
-    start = F.pmod(order, F.greatest(F.length("text") - how.chars, F.lit(1))) + 1
-    rows = own.select("y", F.substr("text", start.cast("int"), F.lit(how.chars)).alias("t"), order.alias("h")).collect()
-    rows = [(r["y"], words_of(r["t"])) for r in sorted(rows, key=lambda r: (r["h"], r["t"]))]
-    if any(len({y for i, (y, _) in enumerate(rows) if (i % how.parts == 0) == fit}) < 2 for fit in (True, False)):
+    fit = stored(part.where("y = 0").orderBy(order).limit(how.per_label).union(part.where("y = 1").orderBy(order).limit(how.per_label)), "toxicity-fit")
+    known = known.join(F.broadcast(fit.select("doc_id", F.lit(True).alias("fits"))), "doc_id", "left")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
+    sides = own.select("doc_id").join(known, "doc_id").groupBy("y", F.coalesce("fits", F.lit(False)).alias("fits")).count().count()
+    if sides < 4:
         return count[1] / n
-    return Model(rows, count[1] / n, how.parts)
+    words = stored(word_counts(own.join(known, "doc_id", "left")), "toxicity-words")
+    ratios = stored(word_ratios(words), "toxicity-scores")
+    some = own.join(F.broadcast(fit), "doc_id").select("doc_id", F.col("y").alias("mark"), "text")
+    found = document_features(some, ratios.select("word", F.col("ratio_rest").alias("ratio")), how).select("mark", "features").collect()
+    found = sorted((r["mark"], r["features"]) for r in found)
+    return ratios.select("word", "ratio"), Calibration(np.array([x for _, x in found]), np.array([y for y, _ in found]), count[1] / n)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, how: Training = Training()) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text); labels has (doc_id, toxic).
 
-    Learns from a bounded sample (`Training`) of the labels outside the
-    held-out fold, crc32(doc_id as text) mod 4 = 2; of repeated labels the
-    largest counts. Every word of the whole text is scored by `WordRatios`;
-    the score is a logistic of `features`, calibrated on the documents that
-    the counts didn't see. Null and empty texts get the score of no words; a
-    null doc_id counts as the empty text for the fold. With labels of one
-    kind only, the score is their share.
+    Learns from all labels outside the held-out fold, crc32(doc_id as text)
+    mod 4 = 2; of repeated labels the largest counts. The class counts are
+    those of the whole texts of all these documents, the continuation counts
+    those of all documents, and every word of the whole text is scored. The
+    score is a logistic of `features`, calibrated on a bounded sample
+    (`Training`) by ratios that leave its documents out. Null and empty texts
+    get the score of no words; a null doc_id counts as the empty text for the
+    fold. With labels of one kind only, the score is their share.
     """
     model = trained(docs, labels, how)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
-    if not isinstance(model, Model):
-        scored = own.select("doc_id", "held_out", F.lit(float(model)).alias("score"))
+    if isinstance(model, float):
+        scored = own.select("doc_id", "held_out", F.lit(model).alias("score"))
     else:
-        sent = docs.sparkSession.sparkContext.broadcast(model)  # as large as the bounded sample's n-grams
-
-        def run(batches):
-            model, known = sent.value, {}
-            ratios = model.ratios
-            for b in batches:
-                scores = []
-                for text in b.column(2):
-                    found = []
-                    for w in words_of(text.as_py()):
-                        r = known.get(w)
-                        if r is None:
-                            if len(known) > REMEMBERED:
-                                known.clear()
-                            r = known[w] = ratios(w)
-                        found.append(r)
-                    scores.append(model.score(found))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64())], ["doc_id", "held_out", "score"])
-
-        scored = own.mapInArrow(run, "doc_id long, held_out boolean, score double")
+        ratios, calibration = model
+        found = document_features(own.select("doc_id", F.col("held_out").cast("int").alias("mark"), "text"), ratios, how)
+        scored = found.select("doc_id", (F.col("mark") == 1).alias("held_out"), calibration.score().alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -180,6 +180,18 @@ def test_toxicity(spark, odd, empty):
     assert all(x["score"] == 0 for x in rows(toxicity.toxicity(odd, none))) and rows(toxicity.toxicity(empty, labels)) == []
 
 
+def test_toxicity_counts_all(spark):
+    """A word of the first 20 letters of long documents is known, whatever the sample, and known words keep their places."""
+    draw = random.Random(4)
+    plain = lambda n: " ".join(draw.choice(("river", "stone", "cloud", "paper", "green", "music")) for _ in range(n))
+    docs = [(i, ("qzxvwk " if i % 2 else "") + plain(20 if zlib.crc32(str(i).encode()) % 4 == 2 else 12_000)) for i in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
+    got = rows(toxicity.toxicity(df, labels, how=toxicity.Training(block_docs=7)))
+    assert sorted(x["doc_id"] for x in got) == list(range(80)) and sum(x["held_out"] for x in got) > 5
+    assert all(x["predicted"] == x["doc_id"] % 2 for x in got if x["held_out"])
+
+
 def test_decontamination(spark, odd, empty):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lam mu nu xi omicron pi rho sigma tau upsilon"
     w = item.split()
