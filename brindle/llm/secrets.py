@@ -16,15 +16,18 @@ KEYWORDS = ("passw", "secret", "token", "api")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
-DIGIT = re.compile("[0-9]")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{8,}")
 IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 #: Symbols of the models, after the start symbol 0.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Labelled random strings besides those that the corpus has: alphabets to draw from.
 RANDOM_KINDS = (ALPHABET[:62], "0123456789abcdef", ALPHABET[26:62], ALPHABET[:64])
+#: Scores of strings that a task keeps.
+REMEMBERED = 100_000
 #: Least log-likelihood ratio of a span, in nats, and per character.
 LEAST, LEAST_PER_CHAR = 12.0, 0.4
+#: Share of the ordinary strings of `CANDIDATE` length that may pass the threshold a character.
+FALSE_HITS = 0.001
 
 _TABLE = np.zeros(128, np.uint8)
 for _i, _c in enumerate(ALPHABET):
@@ -84,31 +87,45 @@ def labelled_samples(docs: DataFrame, most_docs: int, chars: int) -> tuple[list[
     for kind in RANDOM_KINDS:
         random += ["".join(draw.choice(list(kind), draw.integers(20, 41))) for _ in range(most_docs // 8)]
     # what only one document has may be a secret that no pattern knows
-    ordinary = [s for s, n in found.items() if n > 1] or list(found)
+    ordinary = {s for s, n in found.items() if n > 1} or set(found)
+    # identifiers in capitals are as ordinary, and too few to learn from
+    ordinary |= {s.upper() for s in ordinary}
     return sorted(random), sorted(ordinary)
 
 
+def log_ratio(ratio: np.ndarray, s: str) -> float:
+    c = codes(s).astype(np.intp)
+    return float(ratio[np.concatenate(([0], c[:-1])), c - 1].sum())
+
+
+def least_per_char(ratio: np.ndarray, ordinary: list[str]) -> float:
+    """`LEAST_PER_CHAR`, or more where more than `FALSE_HITS` of the ordinary strings would pass."""
+    own = [log_ratio(ratio, s) / len(s) for s in ordinary if CANDIDATE.fullmatch(s)]
+    return max(LEAST_PER_CHAR, float(np.quantile(own, 1 - FALSE_HITS))) if own else LEAST_PER_CHAR
+
+
 def scan_secrets(docs: DataFrame, most_docs: int = 2000, chars: int = 4000) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov) for each row of docs.
 
     Every whole text is scanned (null: empty). The pattern matches stay as
-    they are; kind markov adds runs of 16 or more of `ALPHABET`, digits and others, that
+    they are; kind markov adds runs of 8 or more of `ALPHABET`, letters or digits alone too, that
     overlap none of them and that a first-order Markov model of random strings finds
     likelier than one of ordinary identifiers, by `LEAST` in all and
-    `LEAST_PER_CHAR` for each character. The models are trained on a bounded
+    `least_per_char` for each character. The models are trained on a bounded
     sample: see `labelled_samples` (most_docs, chars).
     """
     random, ordinary = labelled_samples(docs, most_docs, chars)
     ratio = Markov(random).log - Markov(ordinary).log
+    per_char = least_per_char(ratio, ordinary)
 
-    def added(text: str, base: list) -> list:
+    def added(text: str, base: list, known: dict) -> list:
         out = []
         for m in CANDIDATE.finditer(text):
-            if not DIGIT.search(m[0]) or m[0].isdigit():
-                continue
-            c = codes(m[0]).astype(np.intp)
-            score = ratio[np.concatenate(([0], c[:-1])), c - 1].sum()
-            if score >= max(LEAST, LEAST_PER_CHAR * len(c)) and not any(a < m.end() and m.start() < b for a, _, b in base):
+            if (score := known.get(m[0])) is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                score = known[m[0]] = log_ratio(ratio, m[0])
+            if score >= max(LEAST, per_char * len(m[0])) and not any(a < m.end() and m.start() < b for a, _, b in base):
                 out.append((m.start(), 3, m.end()))
         return out
 
@@ -117,12 +134,13 @@ def scan_secrets(docs: DataFrame, most_docs: int = 2000, chars: int = 4000) -> D
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
 
     def run(batches):
+        known = {}
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                more = added(text, base)
+                more = added(text, base, known)
                 n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
                 rows.append((doc_id, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(base + more), len(more)))
             if rows:

@@ -120,6 +120,15 @@ def test_secrets(spark, odd, empty):
     assert len(rows(secrets.scan_secrets(odd))) == 10 and rows(secrets.scan_secrets(empty)) == []
 
 
+def test_secrets_of_letters(spark):
+    """Random letters alone and short random strings are compared too; words in capitals stay."""
+    text = "see xQzKvWpLmRtYbNdG and q7Zx9KwV2p but INTERNATIONALISATION"
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    learned = spark.read.parquet(f"{DIR}/documents.parquet").select(F.col("doc_id") + 100, "text")
+    r = rows(secrets.scan_secrets(df.union(learned)).where("doc_id = 1"))[0]
+    assert [text[int(a) : int(b)] for _, a, b in (s.split(":") for s in r["spans"].split(","))] == ["xQzKvWpLmRtYbNdG", "q7Zx9KwV2p"]
+
+
 def test_language(spark, odd, empty):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     r = rows(langid.identify_language(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out"))
