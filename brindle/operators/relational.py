@@ -24,8 +24,8 @@ def find_by_prefix(df: DataFrame, prefixes: DataFrame, key: str) -> DataFrame:
     Keys are cut to each length that a prefix has, so the join is an equi-join.
     """
     sized = prefixes.select("prefix", F.length("prefix").alias("n"))
-    lengths = [r[0] for r in sized.select("n").distinct().orderBy("n").limit(256).collect()]
-    heads = df.select(key, F.explode(F.array(*(F.substring(key, 1, n) for n in lengths))).alias("prefix")).distinct() if lengths else df.select(key, F.lit("").alias("prefix")).limit(0)
+    lengths = sized.where("n is not null").select("n").distinct()
+    heads = df.select(key).join(F.broadcast(lengths), F.length(key) >= F.col("n")).select(key, F.substr(key, F.lit(1), F.col("n")).alias("prefix")).distinct()
     hits = sized.join(heads, "prefix", "left").groupBy("prefix").agg(F.count(key).alias("n"), F.min(key).alias("k"))
     return hits.select("prefix", F.when(F.col("n") == 0, "none").when(F.col("n") == 1, "one").otherwise("ambiguous").alias("status"), F.when(F.col("n") == 1, F.col("k")).alias("found"))
 

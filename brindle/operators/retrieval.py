@@ -81,7 +81,7 @@ def match_or(counts: DataFrame, terms: DataFrame) -> DataFrame:
 def match_prefix(counts: DataFrame, prefixes: DataFrame) -> DataFrame:
     """(qid, id) with a term that starts with prefix: the dictionary is searched by equal first bytes, then its terms are looked up."""
     lengths = prefixes.select(F.length("prefix").alias("n")).distinct()
-    heads = counts.select("term").distinct().join(F.broadcast(lengths.where("n > 0").limit(64)), F.length("term") >= F.col("n")).select("term", F.substr("term", F.lit(1), F.col("n")).alias("prefix"))
+    heads = counts.select("term").distinct().join(F.broadcast(lengths.where("n > 0")), F.length("term") >= F.col("n")).select("term", F.substr("term", F.lit(1), F.col("n")).alias("prefix"))
     return counts.join(heads.join(prefixes, "prefix"), "term").select("qid", "id").distinct()
 
 

@@ -121,3 +121,14 @@ def test_nearest_vectors_with_ties(spark):
     for q, found in got.items():
         assert [i for _, i in sorted(found)] == np.lexsort((np.arange(600), -np.round(u[q] @ u.T, 12)))[:7].tolist()
     assert vectors.vector_topk(asked, df.limit(0), 7).count() == vectors.vector_topk(asked.limit(0), df, 7).count() == 0
+
+
+def test_prefixes_of_many_lengths(spark):
+    """No length of a prefix is left out."""
+    from brindle.operators import relational, retrieval
+
+    key = "".join(chr(97 + i % 26) for i in range(300))
+    p = spark.createDataFrame([(i, key[:i]) for i in range(1, 301)], "qid long, prefix string")
+    assert retrieval.match_prefix(spark.createDataFrame([(key, 1)], "term string, id long"), p).count() == 300
+    found = relational.find_by_prefix(spark.createDataFrame([(key,)], "k string"), p.select("prefix"), "k")
+    assert found.where("status = 'one'").count() == 300
