@@ -256,8 +256,8 @@ def vec_09(spark, d):
 @query("vec_10", f"""with m as (select label, i, avg(v[i]) as m from {E}, unnest(range(1, 65)) as u(i) where vec_id % 3 <> 0 group by all),
 n as (select label, sqrt(sum(m * m)) as n from m group by 1) select label, i, round(m / n, 6) as x from m join n using (label)""")
 def vec_10(spark, d):
-    e = table(spark, d, "embeddings").groupBy("label").agg(F.collect_list("embedding").alias("vs"), F.collect_list((F.col("vec_id") % 3).cast("int")).alias("mask"))
-    p = e.select("label", F.posexplode(V.mean_pool("vs", "mask")).alias("p", "x"))
+    m = V.mean_embedding(table(spark, d, "embeddings").where("vec_id % 3 <> 0"), "label", "embedding")
+    p = m.select("label", F.posexplode(V.l2_normalize("mean")).alias("p", "x"))
     return p.select("label", (F.col("p") + 1).cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 

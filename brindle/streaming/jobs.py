@@ -61,8 +61,8 @@ def quota_ledger(uses: DataFrame, limits: DataFrame) -> DataFrame:
     """(provider, used, window_start, windows, total, can_use) from uses (provider, ts) and limits (provider, total, period).
 
     A window opens at the first use and again at the first use more than a
-    period later. Uses are counted by second before the fold, which follows each provider's
-    seconds in order.
+    period later. Uses are counted by microsecond before the fold, which follows each provider's
+    uses in order in one group.
     """
     period = F.create_map(*(F.lit(x) for kv in PERIODS.items() for x in kv))
     per_second = uses.groupBy("provider", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(F.count("*").alias("n"))

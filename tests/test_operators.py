@@ -132,3 +132,11 @@ def test_prefixes_of_many_lengths(spark):
     assert retrieval.match_prefix(spark.createDataFrame([(key, 1)], "term string, id long"), p).count() == 300
     found = relational.find_by_prefix(spark.createDataFrame([(key,)], "k string"), p.select("prefix"), "k")
     assert found.where("status = 'one'").count() == 300
+
+
+def test_pooling_gathers_no_vectors(spark):
+    """vec_10 sums before the shuffle; no label's vectors come together in one row."""
+    from brindle.plans.retrieval import vec_10
+
+    plan = vec_10(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(embedding" not in plan and "collect_list(" in plan
