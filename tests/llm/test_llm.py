@@ -150,6 +150,29 @@ def test_lines(odd, empty, spark):
     assert rows(with_unique_lines(empty)) == []
 
 
+def test_hot_lines(spark):
+    """A line of most documents is dealt over ranges, and its first document still keeps it; documents left without text go."""
+    from brindle.llm.linededup import hot_keepers
+
+    texts = {i: "a line of nearly all\n" * (1 + i % 2) + f"line number {i // 2} of two" for i in range(1500, 0, -1) if i != 7}
+    texts |= {7: "only here, surely\n" * 3, 2000: "A LINE OF NEARLY ALL", 2001: None}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    first, want = {}, {}
+    for i, t in sorted(texts.items()):
+        lines = (t or "").split("\n")
+        keys = [x.strip(" \t\r").lower() for x in lines]
+        for k in keys:
+            first.setdefault(k, i)
+        want[i] = "\n".join(x for x, k in zip(lines, keys) if len(k) < 10 or first[k] == i)
+    got = {r["doc"]["doc_id"]: r["kept"] for r in rows(with_unique_lines(df))}
+    assert got == want
+    left = {r["doc_id"]: r["text"] for r in rows(without_repeated_lines(df))}
+    assert left == {i: None if i == 2001 else t for i, t in want.items() if t.strip() or i == 2001}
+    many = spark.range(20_000).select((F.col("id") % 3).alias("h"), F.lit(0).cast("long").alias("g"), (F.col("id") + 5).alias("_id"), F.lit(0).alias("at"))
+    many = many.union(spark.range(20_000).select(F.col("id") + 9, F.lit(1).cast("long"), F.col("id"), F.lit(0)))
+    assert sorted((r["h"], r["first"]) for r in rows(hot_keepers(many, 8))) == [(0, 5), (1, 6), (2, 7)]
+
+
 def test_near_duplicates(spark, odd, empty):
     draw = random.Random(3)
     base = [[f"w{draw.randint(0, 5000)}" for _ in range(n)] for n in (5, 20, 60, 150)]
