@@ -2,247 +2,212 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
-from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brindle.llm.common import stored
 from brindle.llm.langid import fold
 
-#: Letters of context; words are modelled byte by byte between a start and an end mark.
-ORDER = 6
-START, END = b"\x02", b"\x03"
-DISCOUNT = 0.75
+#: Symbols of a gram, and bits of a symbol: texts are read as blanks (0; runs of white space and ASCII punctuation), letters in any case, digits (27) and four kinds of other bytes.
+ORDER, BITS = 5, 5
+GRAMS, CONTEXTS, SYMBOLS = 1 << BITS * ORDER, 1 << BITS * (ORDER - 1), 1 << BITS
+DISCOUNT = 0.9
 COUNTS = ("ordinary", "toxic", "ordinary_rest", "toxic_rest")
-SPLIT = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def _symbol(b: int) -> int:
+    c = chr(b)
+    if b >= 128:
+        return 92 if b in (0xC2, 0xC3) else 95 if b >= 0xC0 else 93 + (b >> 5 & 1)
+    return 64 + ord(c.lower()) - 96 if c.isalpha() else 91 if c.isdigit() else 32
+
+
+TABLE = bytes(map(_symbol, range(256)))
 
 
 @dataclass(frozen=True)
 class Training:
-    """The calibration: of one labelled document in `parts`, at most per_label of each label by hash order. Blocks of documents end at block_docs or block_bytes."""
+    """The calibration: of one labelled document in `parts`, at most per_label of each label by hash order. clear: nats above which a word's log-likelihood ratio counts. chunk: bytes of text that a task works on at a time."""
 
     per_label: int = 2000
     parts: int = 3
-    block_docs: int = 4096
-    block_bytes: int = 16 << 20
+    clear: float = 2.0
+    chunk: int = 4 << 20
+
+
+def grams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The gram at each symbol of texts, where words start, and which text each word is of: a word is its symbols and the blank after it, its contexts run over the words before it in the text."""
+    pad = b" " * (ORDER - 1)
+    parts = [b" ".join(t.translate(TABLE).split()) for t in texts]
+    parts = [p + b" " if p else p for p in parts]
+    n = np.fromiter(map(len, parts), np.int64, len(parts))
+    s = (np.frombuffer(pad + pad.join(parts) + pad, np.uint8) & 31).astype(np.int32)
+    at = np.arange(n.sum()) + np.repeat(np.arange(len(parts)) * (ORDER - 1), n)
+    code = np.zeros(len(at), np.int32)
+    for j in range(ORDER):
+        code = (code << BITS) | s[at + j]
+    ends = np.flatnonzero((code & 31) == 0)
+    starts = np.concatenate((np.zeros(1, np.intp), ends[:-1] + 1)) if len(ends) else ends
+    return code, starts, np.searchsorted(np.cumsum(n), starts, "right")
+
+
+def chunks(batches, how: Training):
+    """(batch rows, texts) of at most about how.chunk bytes, from Arrow batches whose last column is text."""
+    for b in batches:
+        texts = [t.as_py() or b"" for t in b.column(b.num_columns - 1).cast(pa.binary())]
+        at = size = 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= how.chunk or i + 1 == len(texts):
+                yield b.slice(at, i + 1 - at), texts[at : i + 1]
+                at, size = i + 1, 0
+
+
+def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    if len(parts) < 2:
+        return parts
+    keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
+    return [(keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64))]
+
+
+def gram_counts(docs: DataFrame, how: Training) -> DataFrame:
+    """(gram, ordinary, toxic, ordinary_rest, toxic_rest) of docs (text, y, fits), at most GRAMS rows: how often in documents with label y, and in those of them that don't fit the calibration; 0 for grams of other documents only."""
 
+    def run(batches):
+        seen, found = np.zeros(GRAMS, bool), [[] for _ in range(4)]
+        for b, texts in chunks(batches, how):
+            code, starts, of = grams(texts)
+            seen[code] = True
+            y, fits = b.column(0).to_pylist(), b.column(1).to_pylist()
+            kind = np.array([4 if k is None else 2 * k + bool(f) for k, f in zip(y, fits, strict=True)])
+            each = np.repeat(kind[of], np.diff(np.append(starts, len(code))))
+            for k in range(4):
+                if (each == k).any():
+                    found[k] = _merged([*found[k], np.unique(code[each == k], return_counts=True)])
+        keys = np.flatnonzero(seen).astype(np.int32)
+        n = np.zeros((4, len(keys)), np.int64)
+        for k in range(4):
+            for g, c in found[k]:
+                n[k, np.searchsorted(keys, g)] = c
+        made = n[0] + n[1], n[2] + n[3], n[0], n[2]
+        for at in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (keys, *made)], ["gram", *COUNTS])
+
+    rows = docs.select("y", "fits", "text").mapInArrow(run, "gram int, " + ", ".join(f"{c} long" for c in COUNTS))
+    return rows.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
+
+def _low(c: str, symbols: int) -> Column:
+    return F.col(c).bitwiseAND((1 << BITS * symbols) - 1)
+
+
+def continuations(counts: DataFrame) -> DataFrame:
+    """(low, p): the shared back-off, P(last symbol | the ones before it in low), from how many symbols come before each shorter gram in all documents; shorter contexts are interpolated with the same discount."""
+    p, level = None, counts.select("gram")
+    levels = []
+    for symbols in range(ORDER - 1, 0, -1):
+        level = level.groupBy(_low("gram", symbols).alias("gram")).agg(F.count("*").alias("n"))
+        levels.append(level)
+    for level in reversed(levels):
+        own = W.partitionBy(F.shiftright("gram", BITS))
+        level = level.select("gram", "n", F.sum("n").over(own).alias("total"), F.count("*").over(own).alias("kinds"))
+        if p is None:
+            level = level.withColumn("lower", F.lit(1.0 / SYMBOLS))
+            symbols = 1
+        else:
+            level = level.withColumn("low", _low("gram", symbols)).join(p, "low").withColumnRenamed("p", "lower")
+            symbols += 1
+        p = level.select(F.col("gram").alias("low"), ((F.greatest(F.col("n") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("kinds") * F.col("lower")) / F.col("total")).alias("p"))
+    return p
+
+
+def log_ratios(counts: DataFrame) -> DataFrame:
+    """(gram, ratio, rest, unseen, unseen_rest) of all grams in labelled documents: log P(symbol | context, toxic) - log P(symbol | context, ordinary) by all labelled documents and by those that don't fit the calibration, and both for symbols that the labelled documents don't have after the gram's context.
+
+    Each class interpolates its own counts with the back-off that both share,
+    so a context that neither class has gives 0.
+    """
+    own = W.partitionBy(F.shiftright("gram", BITS * 1))
+    stats = counts.select("*", *(F.sum(c).over(own).alias(f"{c}_total") for c in COUNTS), *(F.sum((F.col(c) > 0).cast("int")).over(own).alias(f"{c}_kinds") for c in COUNTS))
+    stats = stats.where("ordinary + toxic > 0").withColumn("low", _low("gram", ORDER - 1)).join(continuations(counts), "low")
 
-def words_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode().translate(SPLIT).split()
+    def left(c):
+        return F.when(F.col(f"{c}_total") > 0, DISCOUNT * F.col(f"{c}_kinds") / F.col(f"{c}_total")).otherwise(1.0)
 
+    def chance(c):
+        return F.coalesce(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) / F.nullif(F.col(f"{c}_total"), F.lit(0)), F.lit(0.0)) + left(c) * F.col("p")
 
-def grams_of(word: bytes) -> list[int]:
-    """Each byte of the marked word after up to ORDER bytes before it, packed: a word has no zero bytes, so leading zeros mean a shorter context."""
-    s = START + word + END
-    return [int.from_bytes(s[max(0, i - ORDER) : i + 1], "big") for i in range(1, len(s))]
+    of = lambda f, end: F.log(f("toxic" + end) / f("ordinary" + end)).cast("float")
+    return stats.select("gram", of(chance, "").alias("ratio"), of(chance, "_rest").alias("rest"), of(left, "").alias("unseen"), of(left, "_rest").alias("unseen_rest"))
 
 
-def last(x: np.ndarray, n: int) -> np.ndarray:
-    return x & ((1 << 8 * n) - 1)
+class Ratios:
+    """The log ratio of every gram: sent to the tasks as what labelled documents have, at most GRAMS rows of 8 bytes, and made into a table of GRAMS 2-byte numbers there."""
 
+    def __init__(self, gram: np.ndarray, ratio: np.ndarray, unseen: np.ndarray):
+        self.gram, self.ratio = gram, ratio.astype(np.float16)
+        self.context, first = np.unique(gram >> BITS, return_index=True)
+        self.unseen = unseen[first].astype(np.float16)
 
-class Continuations:
-    """Continuation probabilities of a byte after no byte and after one, from (pair of bytes, number of distinct bytes before it) of all documents: at most 2**16 rows."""
+    def table(self) -> np.ndarray:
+        out = np.zeros((CONTEXTS, SYMBOLS), np.float16)
+        out[self.context] = self.unseen[:, None]
+        out = out.reshape(-1)
+        out[self.gram] = self.ratio
+        return out
 
-    def __init__(self, pairs: list[tuple[int, int]]):
-        before = np.zeros((256, 256))
-        none = np.zeros(256)
-        for pair, n in pairs:
-            before[pair >> 8, pair & 255] = n
-            none[pair & 255] += 1
-        self.none = (np.maximum(none - DISCOUNT, 0) + DISCOUNT * (none > 0).sum() / 256) / max(none.sum(), 1)
-        total = before.sum(axis=1, keepdims=True)
-        own = np.maximum(before - DISCOUNT, 0) + DISCOUNT * (before > 0).sum(axis=1, keepdims=True) * self.none
-        self.one = np.where(total > 0, own / np.maximum(total, 1), self.none)
 
+def document_ratios(texts: list[bytes], table: np.ndarray, clear: float) -> tuple[np.ndarray, np.ndarray]:
+    """(clear, mean) of each text: the mean over its words of what their log-likelihood ratio has above `clear`, and the mean ratio a symbol; 0 without words."""
+    code, starts, of = grams(texts)
+    ratio = table[code].astype(np.float64)
+    word = np.add.reduceat(ratio, starts) if len(starts) else np.zeros(0)
+    n = np.maximum(np.bincount(of, minlength=len(texts)), 1)
+    size = np.diff(np.append(starts, len(code)))
+    above = np.bincount(of, np.maximum(word - clear, 0), len(texts)) / n
+    return above, np.bincount(of, word, len(texts)) / np.maximum(np.bincount(of, size, len(texts)), 1)
 
-def gram_ratios(grams: np.ndarray, counts: list[tuple[np.ndarray, np.ndarray]], short: Continuations) -> list[np.ndarray]:
-    """log P(byte | context, toxic) - log P(byte | context, ordinary) of each gram, for each (ordinary, toxic) counts.
 
-    grams are all distinct ones of all documents whose contexts end in the
-    same two bytes. Each class has interpolated Kneser-Ney counts; both back
-    off to the continuation counts of all documents, so a context that neither
-    class has seen gives 0.
-    """
-    b = last(grams, 1)
-    context = grams >> 8
-    size = sum((context >= 1 << 8 * k).astype(int) for k in range(ORDER))
-    p = np.where(size > 1, short.one[last(context, 1), b], short.none[b])
-    for m in range(2, ORDER):
-        deep = context >= 1 << 8 * m
-        keys, n = np.unique(last(np.unique(last(grams[deep], m + 2)), m + 1), return_counts=True)
-        if len(keys):
-            _, at = np.unique(keys >> 8, return_inverse=True)
-            total, kinds = np.bincount(at, n), np.bincount(at)
-            i = np.searchsorted(keys, last(grams[deep], m + 1))
-            p[deep] = (np.maximum(n[i] - DISCOUNT, 0) + DISCOUNT * kinds[at[i]] * p[deep]) / total[at[i]]
-    _, at = np.unique(context, return_inverse=True)
-    out = []
-    for pair in counts:
-        q = []
-        for c in pair:
-            total, kinds = np.bincount(at, c)[at], np.bincount(at, c > 0)[at]
-            seen = np.maximum(total, 1)
-            q.append(np.where(total > 0, (np.maximum(c - DISCOUNT, 0) + DISCOUNT * kinds * p) / seen, p))
-        out.append(np.log(q[1] / q[0]))
-    return out
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, ordinary, toxic, ordinary_rest, toxic_rest) of docs (text, y, fits): in documents with label y, and in those of them that don't fit the calibration; 0 for words of other documents only."""
+def scored_texts(docs: DataFrame, ratios: Ratios, how: Training) -> DataFrame:
+    """(doc_id, mark, x, mean) for each row of docs (doc_id, mark, text); x is the length-normalised difference that the score is made of."""
+    sent = docs.sparkSession.sparkContext.broadcast(ratios)
 
     def run(batches):
-        for b in batches:
-            kinds = [Counter() for _ in range(5)]
-            for text, y, fits in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                kinds[4 if y is None else 2 * y + bool(fits)].update(words_of(text.as_py()))
-            words = list({w for k in kinds for w in k})
-            n = [np.fromiter((k[w] for w in words), np.int64, len(words)) for k in kinds[:4]]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), *map(pa.array, (n[0] + n[1], n[2] + n[3], n[0], n[2]))], ["word", *COUNTS])
-
-    rows = docs.select("text", "y", "fits").mapInArrow(run, "word binary, " + ", ".join(f"{c} long" for c in COUNTS))
-    return rows.groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
-
-
-def word_ratios(words: DataFrame) -> DataFrame:
-    """(word, ratio, ratio_rest) of all words of `word_counts`: log P(word | toxic) - log P(word | ordinary), by all labelled documents and by those that don't fit the calibration."""
-
-    def spread(batches):
-        for b in batches:
-            grams = [grams_of(w) for w in b.column(0).to_pylist()]
-            at = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-            made = pa.array(np.fromiter((x for g in grams for x in g), np.int64, len(at)))
-            yield pa.RecordBatch.from_arrays([made, *(c.take(pa.array(at)) for c in b.columns)], ["gram", *b.schema.names])
-
-    counts = ", ".join(f"{c} long" for c in COUNTS)
-    grams = words.mapInArrow(spread, f"gram long, word binary, {counts}").groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS))
-    grams = stored(grams, "toxicity-grams")
-    triples = grams.select(F.col("gram").bitwiseAND(0xFFFFFF).alias("t")).distinct()
-    pairs = triples.groupBy(F.col("t").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum((F.col("t") > 0xFFFF).cast("long")).alias("n"))
-    short = Continuations([(r["pair"], r["n"]) for r in pairs.collect()])
-
-    def ratios(t: pa.Table) -> pa.Table:
-        col = {c: t[c].to_numpy() for c in ("gram", *COUNTS)}
-        made = gram_ratios(col["gram"], [(col["ordinary"], col["toxic"]), (col["ordinary_rest"], col["toxic_rest"])], short)
-        return pa.table([t["gram"], *map(pa.array, made)], ["gram", "ratio", "ratio_rest"])
-
-    ending = F.shiftright(F.col("gram"), 8).bitwiseAND(0xFFFF)
-    scored = stored(grams.groupBy(ending.alias("ending")).applyInArrow(ratios, "gram long, ratio double, ratio_rest double").where("ratio <> 0 or ratio_rest <> 0"), "toxicity-ratios")
-    own = words.select("word").mapInArrow(spread, "gram long, word binary")
-    # the shortest contexts are those of most words, and at most 2**16
-    few = own.where(F.col("gram") < 1 << 24).join(F.broadcast(scored.where(F.col("gram") < 1 << 24)), "gram")
-    many = own.where(F.col("gram") >= 1 << 24).join(scored.where(F.col("gram") >= 1 << 24), "gram")
-    return few.unionByName(many).groupBy("word").agg(F.sum("ratio").alias("ratio"), F.sum("ratio_rest").alias("ratio_rest"))
-
-
-def document_features(docs: DataFrame, ratios: DataFrame, how: Training) -> DataFrame:
-    """(doc_id, mark, features) for each row of docs (doc_id, mark, text) by ratios (word, ratio).
-
-    A block of documents sends each of its words once, with the places of
-    the documents that have it; what comes back is put together by block.
-    """
+        table = sent.value.table()
+        for b, texts in chunks(batches, how):
+            above, mean = document_ratios(texts, table, how.clear)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.log(above + 0.01)), pa.array(mean)], ["doc_id", "mark", "x", "mean"])
 
-    def blocks(batches):
-        from pyspark import TaskContext
-
-        block = TaskContext.get().partitionId() << 32
-
-        def made(ids, marks, known, at, of):
-            at, of = np.array(at, np.int64), np.repeat(np.arange(len(of), dtype=np.int64), of)
-            order = np.lexsort((of, at))
-            at, of = at[order], of[order]
-            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else at
-            step = np.diff(of, prepend=0)
-            step[first] = of[first]
-            step = step.astype(np.uint16)
-            places = [x.tobytes() for x in np.split(step, first[1:])] if len(at) else []
-            # the empty word stands for the block's own rows
-            head = pa.ipc.new_stream(sink := pa.BufferOutputStream(), (t := pa.table([pa.array(ids, pa.int64()), pa.array(marks, pa.int32())], ["doc_id", "mark"])).schema)
-            head.write_table(t)
-            head.close()
-            return pa.RecordBatch.from_arrays([pa.array([block] * (len(known) + 1), pa.int64()), pa.array([b"", *known], pa.binary()), pa.array([sink.getvalue().to_pybytes(), *places], pa.binary())], ["block", "word", "places"])
-
-        ids, marks, known, at, of, size = [], [], {}, [], [], 0
-        for b in batches:
-            for doc_id, mark, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                text = text.as_py()
-                words = words_of(text)
-                at += [known.setdefault(w, len(known)) for w in words]
-                of.append(len(words))
-                ids.append(doc_id)
-                marks.append(mark)
-                size += len(text or "")
-                if len(ids) >= how.block_docs or size >= how.block_bytes:
-                    yield made(ids, marks, known, at, of)
-                    ids, marks, known, at, of, size = [], [], {}, [], [], 0
-                    block += 1
-        if ids:
-            yield made(ids, marks, known, at, of)
-
-    def together(t: pa.Table) -> pa.Table:
-        head, ratio, at = None, [], []
-        for word, places, r in zip(t["own"].to_pylist(), t["places"], t["ratio"].to_pylist(), strict=True):
-            if word:
-                head = pa.ipc.open_stream(places.as_py()).read_all()
-            else:
-                of = np.frombuffer(places.as_py(), np.uint16).cumsum(dtype=np.int64)
-                at.append(of)
-                ratio.append(np.full(len(of), r))
-        n = head.num_rows
-        at, ratio = (np.concatenate(at), np.concatenate(ratio)) if at else (np.zeros(0, np.int64), np.zeros(0))
-        order = np.argsort(at, kind="stable")
-        ends = np.bincount(at, minlength=n).cumsum()
-        found = [features(x) for x in np.split(ratio[order], ends[:-1])]
-        return pa.table([head["doc_id"], head["mark"], pa.array(found, pa.list_(pa.float64()))], ["doc_id", "mark", "features"])
-
-    sent = docs.select("doc_id", "mark", "text").mapInArrow(blocks, "block long, word binary, places binary")
-    back = sent.join(ratios, "word", "left").select("block", (F.octet_length("word") == 0).alias("own"), "places", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))
-    return back.groupBy("block").applyInArrow(together, "doc_id long, mark int, features array<double>")
-
-
-def features(ratios: np.ndarray) -> list[float]:
-    """Of a document's word ratios: their mean (the length-normalised log-likelihood difference), the largest ones, and how many and how large a share are clearly toxic."""
-    if not len(ratios):
-        return [0.0] * 7
-    r = np.sort(ratios)[::-1]
-    top = np.clip(r[:5], -3, 8)
-    high = float((r > 3).sum())
-    return [float(np.clip(r.mean(), -1, 1)), float(top[0]), float(top[: min(3, len(r))].mean()), float(top.mean()), log(1 + high), high / len(r) ** 0.5, float(len(r) > 0)]
-
-
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Weights by Newton's method with a little ridge."""
-    w = np.zeros(x.shape[1])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (weight * p * (1 - p))[:, None]).T @ x + 1e-1 * np.eye(len(w))
-        step = np.linalg.solve(h, x.T @ (weight * (y - p)) - 1e-1 * w)
-        w += np.clip(step, -2, 2)
-    return w
+    return docs.select("doc_id", "mark", "text").mapInArrow(run, "doc_id long, mark int, x double, mean double")
 
 
 class Calibration:
-    """The logistic of `features`, fitted on documents that the counts of their ratios didn't see."""
+    """The logistic of x, fitted on documents that the counts of their ratios didn't see."""
 
     def __init__(self, x: np.ndarray, label: np.ndarray, true_share: float):
         share = label.mean()
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+        weight = np.where(label == 1, true_share / share, (1 - true_share) / (1 - share))
+        self.mean, self.scale = x.mean(), x.std() + 1e-3
         z = np.c_[(x - self.mean) / self.scale, np.ones(len(x))]
-        self.weights = logistic(z, label, np.where(label == 1, true_share / share, (1 - true_share) / (1 - share)))
-
-    def score(self) -> Column:
-        terms = (float(w / s) * (F.get("features", F.lit(i)) - float(m)) for i, (w, m, s) in enumerate(zip(self.weights[:-1], self.mean, self.scale, strict=True)))
-        z = sum(terms, F.lit(float(self.weights[-1])))
+        w = np.zeros(2)
+        for _ in range(40):  # Newton's method with a little ridge
+            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+            h = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-1 * np.eye(2)
+            w += np.clip(np.linalg.solve(h, z.T @ (weight * (label - p)) - 1e-1 * w), -2, 2)
+        self.slope, self.shift = max(w[0], 0.0), w[1]
+
+    def score(self, x: Column) -> Column:
+        z = (x - float(self.mean)) * float(self.slope / self.scale) + float(self.shift)
         return 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
 
 
-def trained(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[DataFrame, Calibration] | float:
-    """(word, ratio) of all words of docs and the calibration, or the share of toxic labels if only one label (or none: 0) is there to learn from."""
+def trained(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[Ratios, Calibration] | float:
+    """The ratios and the calibration, or the share of toxic labels if only one label (or none: 0) is there to learn from."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 4) != 2))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("y"))
     count = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
@@ -258,32 +223,38 @@ def trained(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[DataFram
     sides = own.select("doc_id").join(known, "doc_id").groupBy("y", F.coalesce("fits", F.lit(False)).alias("fits")).count().count()
     if sides < 4:
         return count[1] / n
-    words = stored(word_counts(own.join(known, "doc_id", "left")), "toxicity-words")
-    ratios = stored(word_ratios(words), "toxicity-scores")
+    counts = stored(gram_counts(own.join(known, "doc_id", "left"), how), "toxicity-grams")
+    t = log_ratios(counts).toArrow()
+    gram, ratio, rest, unseen, unseen_rest = (t[c].to_numpy() for c in t.column_names)
     some = own.join(F.broadcast(fit), "doc_id").select("doc_id", F.col("y").alias("mark"), "text")
-    found = document_features(some, ratios.select("word", F.col("ratio_rest").alias("ratio")), how).select("mark", "features").collect()
-    found = sorted((r["mark"], r["features"]) for r in found)
-    return ratios.select("word", "ratio"), Calibration(np.array([x for _, x in found]), np.array([y for y, _ in found]), count[1] / n)
+    found = scored_texts(some, Ratios(gram, rest, unseen_rest), how).groupBy("doc_id", "mark").agg(F.max("x").alias("x")).orderBy("doc_id").collect()
+    calibration = Calibration(np.array([r["x"] for r in found]), np.array([r["mark"] for r in found]), count[1] / n)
+    return Ratios(gram, ratio, unseen), calibration
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, how: Training = Training()) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text); labels has (doc_id, toxic).
+    """(doc_id, held_out, score, predicted, log_ratio) for each row of docs (doc_id, text); labels has (doc_id, toxic).
 
     Learns from all labels outside the held-out fold, crc32(doc_id as text)
-    mod 4 = 2; of repeated labels the largest counts. The class counts are
-    those of the whole texts of all these documents, the continuation counts
-    those of all documents, and every word of the whole text is scored. The
-    score is a logistic of `features`, calibrated on a bounded sample
-    (`Training`) by ratios that leave its documents out. Null and empty texts
-    get the score of no words; a null doc_id counts as the empty text for the
-    fold. With labels of one kind only, the score is their share.
+    mod 4 = 2; of repeated labels the largest counts. Texts are sequences of
+    `ORDER`-grams of symbols whose contexts run over word ends; the class
+    counts are those of the whole texts of all these documents, the
+    continuation counts those of all documents. The score is a logistic of one
+    number, the log-likelihood difference of the words that are clearly more
+    toxic (`Training.clear`), normalised by the number of words, and is fitted
+    on a bounded sample (`Training`) by ratios that leave its documents out.
+    log_ratio is the plain difference, normalised by length. Null and empty
+    texts, and those without a letter, digit or non-ASCII byte, get the score of no
+    words; long texts are scored whole; repeated rows get the same score. A
+    null doc_id counts as the empty text for the fold. With labels of one kind
+    only, the score is their share; an empty table gives no rows.
     """
     model = trained(docs, labels, how)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "text")
     if isinstance(model, float):
-        scored = own.select("doc_id", "held_out", F.lit(model).alias("score"))
+        scored = own.select("doc_id", "held_out", F.lit(model).alias("score"), F.lit(0.0).alias("log_ratio"))
     else:
         ratios, calibration = model
-        found = document_features(own.select("doc_id", F.col("held_out").cast("int").alias("mark"), "text"), ratios, how)
-        scored = found.select("doc_id", (F.col("mark") == 1).alias("held_out"), calibration.score().alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        found = scored_texts(own.select("doc_id", F.col("held_out").cast("int").alias("mark"), "text"), ratios, how)
+        scored = found.select("doc_id", (F.col("mark") == 1).alias("held_out"), calibration.score(F.col("x")).alias("score"), F.col("mean").alias("log_ratio"))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "log_ratio")
