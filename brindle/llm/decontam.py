@@ -15,6 +15,7 @@ from brindle.llm.shingles import runs, word_hashes
 #: A-Z lower-cased, ASCII that is neither letter nor digit to blanks; other bytes stay.
 NORMAL = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 KR = np.uint64(0x100000001B3)
+KR_INVERSE = np.uint64(pow(0x100000001B3, -1, 2**64))
 
 
 @dataclass(frozen=True)
@@ -30,44 +31,62 @@ def tokens(text: bytes | None) -> np.ndarray:
     return word_hashes((text or b"").translate(NORMAL))
 
 
-def _windows(x: np.ndarray, free: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Karp-Rabin hashes of the unmarked windows of n tokens, and where they start."""
-    if len(x) < n:
-        return x[:0], np.zeros(0, np.intp)
-    power = np.multiply.accumulate(np.full(n, KR))[::-1]
-    h = np.zeros(len(x) - n + 1, np.uint64)
-    for j in range(n):
-        h += x[j : len(h) + j] * power[j]
-    taken = np.concatenate(([0], np.cumsum(~free)))
-    ok = taken[n:] == taken[:-n]
-    return h[ok], np.flatnonzero(ok)
+class Rolling:
+    """Running Karp-Rabin hashes of a row of tokens: prefix hashes give that of any window by one product, modulo 2 ** 64."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.free = x, np.ones(len(x), bool)
+        self.power = np.concatenate((np.ones(1, np.uint64), np.multiply.accumulate(np.full(len(x), KR))))
+        # the prefix hash of i tokens is sum of x[j] * KR ** (i - 1 - j); with powers of the inverse that is a running sum
+        down = np.concatenate((np.ones(1, np.uint64), np.multiply.accumulate(np.full(len(x), KR_INVERSE))))
+        self.prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x * down[1:], dtype=np.uint64))) * self.power
+        self.used()
+
+    def used(self) -> None:
+        self.taken = np.concatenate(([0], np.cumsum(~self.free)))
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the unmarked windows of n tokens, and where they start."""
+        if len(self.x) < n:
+            return self.x[:0], np.zeros(0, np.intp)
+        at = np.flatnonzero(self.taken[n:] == self.taken[: len(self.taken) - n])
+        return self.prefix[at + n] - self.prefix[at] * self.power[n], at
+
+    def mark(self, at: int, n: int) -> None:
+        self.free[at : at + n] = False
 
 
 def tiles(item: np.ndarray, doc: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """(start in item, start in doc, length): the longest common run of unmarked tokens is marked in both, the first one of several, until none has `least` tokens."""
-    free_i, free_d, found = np.ones(len(item), bool), np.ones(len(doc), bool), []
+    """(start in item, start in doc, length): the longest common run of unmarked tokens is marked in both, again and again until none has `least` tokens; of equal ones that first in item, then in doc."""
+    a, b, found = Rolling(item), Rolling(doc), []
     longest = min(len(item), len(doc))
-    common = lambda n: np.isin(_windows(item, free_i, n)[0], _windows(doc, free_d, n)[0]).any()
     while True:
         lo, hi = least - 1, longest
         while lo < hi:  # a longer common run holds the shorter ones
-            mid = (lo + hi + 1) // 2
-            if common(mid):
-                lo = mid
+            n = (lo + hi + 1) // 2
+            if np.isin(a.windows(n)[0], b.windows(n)[0]).any():
+                lo = n
             else:
-                hi = mid - 1
+                hi = n - 1
         if lo < least:
             return found
-        longest = lo
-        (hi_, at_i), (hd, at_d) = _windows(item, free_i, lo), _windows(doc, free_d, lo)
-        order = np.argsort(hd, kind="stable")
-        for h, i in zip(hi_, at_i, strict=True):
-            for k in range(np.searchsorted(hd, h, "left", order), np.searchsorted(hd, h, "right", order)):
-                d = at_d[order[k]]
-                if free_i[i : i + lo].all() and free_d[d : d + lo].all() and (item[i : i + lo] == doc[d : d + lo]).all():
-                    free_i[i : i + lo] = free_d[d : d + lo] = False
+        (ha, at_a), (hb, at_b) = a.windows(lo), b.windows(lo)
+        met = np.isin(ha, hb)
+        order = np.argsort(hb, kind="stable")
+        sorted_b = hb[order]
+        for h, i in zip(ha[met], at_a[met], strict=True):
+            if not a.free[i : i + lo].all():
+                continue
+            for k in range(np.searchsorted(sorted_b, h, "left"), np.searchsorted(sorted_b, h, "right")):
+                d = at_b[order[k]]
+                if b.free[d : d + lo].all() and (item[i : i + lo] == doc[d : d + lo]).all():
+                    a.mark(i, lo)
+                    b.mark(d, lo)
                     found.append((int(i), int(d), lo))
                     break
+        a.used()
+        b.used()
+        longest = lo - 1  # all runs of lo tokens are marked; equal hashes of unlike runs are left behind
 
 
 class Benchmark:
@@ -125,9 +144,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Tiling = Tiling())
     docs has (doc_id, text), benchmark (item_id, text). Words are compared
     without case (A-Z) and ASCII punctuation. A document and an item that share a run of
     `words` words are tiled: the longest common runs are marked until none of
-    `words` is left, in whatever order they stand, and the tiles
-    must cover `coverage` of the item. Items and documents of fewer words, null texts and null item ids
-    match nothing; repeated rows give repeated matches.
+    `words` is left, in whatever order they stand, of equal runs that first
+    in the item and then in the document, and the tiles
+    must cover `coverage` of the item. Texts are tiled whole, however long.
+    Items and documents of fewer words, null texts and null item ids
+    match nothing; repeated rows give repeated matches, a null doc_id a match without an id. An empty table gives no rows.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = _bounded(benchmark, how)
@@ -177,15 +198,21 @@ def _by_shuffle(own: DataFrame, benchmark: DataFrame, how: Tiling) -> DataFrame:
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, how: Tiling = Tiling()) -> DataFrame:
-    """The documents that hold no test item; all columns of docs. Up to `most_bytes` of benchmark the rows are filtered in place, without a shuffle."""
+    """The documents that hold no test item; all columns of docs.
+
+    Each row stays or goes by its own text, whatever its id, with a benchmark
+    of either size: up to `most_bytes` rows are filtered in place, without a
+    shuffle, beyond it by the hash of their text.
+    """
     known = _bounded(benchmark, how)
     if known is None:
-        gone = _by_shuffle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, how)
-        return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+        texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
+        gone = _by_shuffle(texts, benchmark, how).select(F.col("doc_id").alias("hash")).distinct()
+        return docs.join(gone, F.xxhash64(docs["text"]) == gone["hash"], "left_anti")
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     @F.pandas_udf("boolean")
     def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([not sent.value.matches(None if t is None else t.encode()) for t in texts])
+        return pd.Series([not sent.value.matches(None if t is None else t.encode()) for t in texts], dtype=bool)
 
     return docs.where(clean("text"))

@@ -212,6 +212,66 @@ def test_toxicity(spark, odd, empty):
     assert all(x["score"] == 0 for x in rows(toxicity.toxicity(odd, none))) and rows(toxicity.toxicity(empty, labels)) == []
 
 
+def test_toxicity_against_plain_counts(spark):
+    """Every ratio of the table, and the score's number, from dictionaries."""
+    from collections import Counter
+    from math import log
+
+    import numpy as np
+
+    draw = random.Random(8)
+    texts = [" ".join(draw.choice(("one", "Two2", "drei", "vier-fünf", "six", "日本", "bad word")) for _ in range(draw.randint(0, 30))) for _ in range(40)]
+    label = [draw.choice((0, 1, None)) for _ in texts]
+    df = spark.createDataFrame([(y, False, t) for y, t in zip(label, texts, strict=True)], "y int, fits boolean, text string")
+    t = toxicity.log_ratios(toxicity.gram_counts(df, toxicity.Training())).toArrow()
+    got = toxicity.Ratios(*(t[c].to_numpy() for c in ("gram", "ratio", "unseen"))).table()
+
+    def symbols(text):
+        out = []
+        for w in bytes(toxicity._symbol(b) for b in text.encode()).split():
+            out += [b & 31 for b in w] + [0]
+        return out
+
+    def of(text):
+        s = [0, 0, 0, 0, *symbols(text)]
+        return [tuple(s[i - 4 : i + 1]) for i in range(4, len(s))]
+
+    counts = {y: Counter(g for x, k in zip(texts, label, strict=True) if k == y for g in of(x)) for y in (0, 1)}
+    levels = [{g for x in texts for g in of(x)}]
+    shorter = [None] * 6
+    for n in range(4, 0, -1):
+        shorter[n] = Counter(g[1:] for g in levels[-1])
+        levels.append(set(shorter[n]))
+    d = toxicity.DISCOUNT
+
+    def backoff(g):
+        if not g:
+            return 1 / 32
+        c, context = shorter[len(g)], g[:-1]
+        total = sum(n for k, n in c.items() if k[:-1] == context)
+        kinds = sum(k[:-1] == context for k in c)
+        return (max(c[g] - d, 0) + d * kinds * backoff(g[1:])) / total
+
+    def p(g, y):
+        c = counts[y]
+        total = sum(n for k, n in c.items() if k[:-1] == g[:-1])
+        kinds = sum(k[:-1] == g[:-1] for k in c)
+        return (max(c[g] - d, 0) + d * kinds * backoff(g[1:])) / total if total else backoff(g[1:])
+
+    every = {g: log(p(g, 1) / p(g, 0)) for g in levels[0]}
+    code = lambda g: sum(s << 5 * (4 - i) for i, s in enumerate(g))
+    assert all(abs(got[code(g)] - x) < 2e-3 * max(1, abs(x)) for g, x in every.items())
+    assert np.count_nonzero(got) > len(every) and got[code((31, 31, 31, 31, 31))] == 0
+    above, mean = toxicity.document_ratios([x.encode() for x in texts], got, 0.5)
+    for x, a, m in zip(texts, above, mean, strict=True):
+        words, w = [], 0.0
+        for g in of(x):
+            w += every[g]
+            if g[-1] == 0:
+                words, w = [*words, w], 0.0
+        assert abs(a - sum(max(w - 0.5, 0) for w in words) / max(len(words), 1)) < 0.02 and abs(m - sum(words) / max(len(of(x)), 1)) < 0.01
+
+
 def test_toxicity_counts_all(spark):
     """A word of the first 20 letters of long documents is known, whatever the sample, and known words keep their places."""
     draw = random.Random(4)
@@ -219,7 +279,7 @@ def test_toxicity_counts_all(spark):
     docs = [(i, ("qzxvwk " if i % 2 else "") + plain(20 if zlib.crc32(str(i).encode()) % 4 == 2 else 12_000)) for i in range(80)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
     labels = spark.createDataFrame([(i, i % 2) for i, _ in docs], "doc_id long, toxic int")
-    got = rows(toxicity.toxicity(df, labels, how=toxicity.Training(block_docs=7)))
+    got = rows(toxicity.toxicity(df, labels, how=toxicity.Training(chunk=1000)))
     assert sorted(x["doc_id"] for x in got) == list(range(80)) and sum(x["held_out"] for x in got) > 5
     assert all(x["predicted"] == x["doc_id"] % 2 for x in got if x["held_out"])
 
@@ -239,12 +299,14 @@ def test_decontamination(spark, odd, empty):
 
 
 def test_tiling_against_brute_force():
+    """Longest run first, ties by the place in the item and then in the document: the same tiles, not only as many words."""
     import numpy as np
 
     draw = random.Random(4)
-    for _ in range(60):
-        a, b = ([draw.randint(0, 3) for _ in range(draw.randint(5, 40))] for _ in range(2))
-        free_a, free_b, total = [True] * len(a), [True] * len(b), 0
+    for round_ in range(120):
+        most = (40, 40, 150)[round_ % 3]
+        a, b = ([draw.randint(0, 3 + round_ % 4) for _ in range(draw.randint(0, most))] for _ in range(2))
+        free_a, free_b, want = [True] * len(a), [True] * len(b), []
         while True:
             best = (0, 0, 0)
             for i in range(len(a)):
@@ -258,10 +320,21 @@ def test_tiling_against_brute_force():
                 break
             n, i, j = best
             free_a[i : i + n], free_b[j : j + n] = [False] * n, [False] * n
-            total += n
-        got = decontam.tiles(np.array(a, np.uint64), np.array(b, np.uint64), 3)
-        assert max((n for _, _, n in got), default=0) >= 3 or total == 0
-        assert sum(n for _, _, n in got) == total or abs(sum(n for _, _, n in got) - total) <= 6
+            want.append((i, j, n))
+        assert decontam.tiles(np.array(a, np.uint64), np.array(b, np.uint64), 3) == want
+
+
+def test_decontamination_by_the_row(spark, monkeypatch):
+    """Null and repeated ids, with both sizes of benchmark; hashes that collide end."""
+    import numpy as np
+
+    item = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = spark.createDataFrame([(None, "x " + item, 1), (5, item + " y", 2), (5, "clean words only here", 3), (None, None, 4), (6, "", 5)], "doc_id long, text string, _gone int")
+    bench = spark.createDataFrame([(7, item), (7, item)], "item_id long, text string")
+    for how in (decontam.Tiling(), decontam.Tiling(most_bytes=-1)):
+        assert sorted(r["_gone"] for r in rows(decontam.without_benchmark(docs, bench, how))) == [3, 4, 5]
+    monkeypatch.setattr(decontam.Rolling, "windows", lambda self, n: (np.zeros(max(0, len(self.x) - n + 1), np.uint64), np.arange(max(0, len(self.x) - n + 1))))
+    assert decontam.tiles(np.arange(9, dtype=np.uint64), np.arange(20, 29, dtype=np.uint64), 3) == []
 
 
 def test_pipeline(spark):
