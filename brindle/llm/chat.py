@@ -8,12 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from brindle.llm.common import stored
+
 START, END = "<|im_start|>", "<|im_end|>"
 
 
 @dataclass(frozen=True)
 class ChatFormat:
-    """budget: tokens of a window's new turns. history: tokens of earlier turns that a window repeats, at most the budget. extra: tokens that the marks of a turn count."""
+    """budget: tokens of a window, all its turns counted. history: most tokens of earlier turns that a window repeats. extra: tokens that the marks of a turn count."""
 
     budget: int = 512
     history: int = 128
@@ -44,36 +46,50 @@ def placed_turns(conversations: DataFrame, how: ChatFormat) -> DataFrame:
 
     Sums are taken within blocks of turns, then over the blocks, so a
     conversation that holds a third of all rows spreads over many tasks.
+    A window has room for the budget less history and the leading system turn
+    (a quarter of the budget at least). The line of tokens is cut into
+    stretches of that room; what ends in a stretch is one window if it fits,
+    else the turn that reaches into the stretch from before is a window of its own.
     """
     c = conversations.select("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")).alias("conv"), F.coalesce(F.col("turn").cast("long"), F.lit(-(2**62))).alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     c = c.withColumns({"tokens": F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) + how.extra, "block": F.expr(f"turn div {how.block}")})
-    sums = c.groupBy("conv", "block").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"))
-    before = W.partitionBy("conv").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-    sums = sums.select("conv", "block", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"))
     inside = W.partitionBy("conv", "block").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, 0)
-    c = c.withColumns({"end": F.sum("tokens").over(inside), "at": F.count("*").over(inside) - 1}).join(sums, ["conv", "block"])
-    c = c.select("conv", "conv_id", "role", "text", (F.col("t") + F.col("end") - F.col("tokens")).alias("start"), (F.col("t") + F.col("end")).alias("end"), (F.col("n") + F.col("at")).alias("at"))
-    return c.withColumn("window", F.expr(f"(end - 1) div {how.budget}"))
+    lead = F.first(F.when(F.col("role") == "system", F.col("tokens")).otherwise(0)).over(inside)
+    c = c.withColumns({"end": F.sum("tokens").over(inside), "at": F.count("*").over(inside) - 1, "lead": lead})
+    line = W.partitionBy("conv").orderBy("block")
+    before = line.rowsBetween(W.unboundedPreceding, -1)
+    sums = c.groupBy("conv", "block").agg(F.max("end").alias("t"), F.count("*").alias("n"), F.max("lead").alias("lead"))
+    room = F.greatest(F.lit(how.budget - how.history) - F.first("lead").over(line.rowsBetween(W.unboundedPreceding, 0)), F.lit(how.budget // 4))
+    sums = sums.select("conv", "block", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n"), room.alias("room"))
+    c = c.drop("lead").join(sums, ["conv", "block"])
+    c = c.select("conv", "conv_id", "role", "text", "tokens", "room", (F.col("t") + F.col("end") - F.col("tokens")).alias("start"), (F.col("t") + F.col("end")).alias("end"), (F.col("n") + F.col("at")).alias("at"))
+    c = c.withColumn("stretch", F.expr("(end - 1) div room"))
+    own = W.partitionBy("conv", "stretch")
+    fits = (F.max("end").over(own) - F.min("start").over(own) <= F.col("room")) | (F.expr("start div room") == F.col("stretch"))
+    return c.withColumn("window", 2 * F.col("stretch") + fits.cast("int")).drop("stretch", "room")
 
 
 def format_chat(conversations: DataFrame, how: ChatFormat = ChatFormat()) -> DataFrame:
-    """(conv_id, window, n_repeated, formatted, loss) from conversations (conv_id, turn, role, text).
+    """(conv_id, window, n_repeated, tokens, formatted, loss) from conversations (conv_id, turn, role, text).
 
     A conversation's turns, by (turn, role, text) with null turns first, lie on a line of tokens
-    (words of the text, and `extra`). A turn is new in the window in whose
-    stretch of `budget` tokens it ends; windows without new turns do not
-    exist. Later windows first repeat the conversation's leading system turn,
+    (words of the text, and `extra`). Each turn is new in one window (see `placed_turns`).
+    Later windows first repeat the conversation's leading system turn,
     then the turns that start within the last `history` tokens before the
-    window's first new turn. n_repeated: how many turns are repeated; formatted: all
+    window's first new turn. All of that is at most `budget` tokens, but for
+    two cases that are never cut: a single new turn that alone exceeds the
+    room, and a system turn of over 3/4 of the budget less history. n_repeated: how many turns are
+    repeated; tokens: of all turns; formatted: all
     turns with their marks; loss: (start, chars) of the escaped text of each new turn of
     `learn_role`, code points from 0 into formatted, so repeated targets are masked. Null roles and texts are
-    empty; conversations without an id are one conversation.
+    empty; conversations without an id are one conversation; equal rows are
+    turns of their own; further columns are left out; an empty table gives no rows.
     """
-    turns = placed_turns(conversations, how)
+    turns = stored(placed_turns(conversations, how), "turns")
     system = F.col("at") == 0
     system = system & (F.col("role") == "system")
     windows = turns.groupBy("conv", "window").agg(F.min("start").alias("first")).where("first > 0")
-    part = lambda k, df: df.select("conv", "conv_id", "window", F.struct(F.lit(k).alias("part"), "at", "role", "text").alias("x"))
+    part = lambda k, df: df.select("conv", "conv_id", "window", F.struct(F.lit(k).alias("part"), "at", "role", "text", "tokens").alias("x"))
     buckets = F.sequence(F.expr(f"greatest(first - {how.history}, 0) div {how.history}"), F.expr(f"(first - 1) div {how.history}"))
     asked = windows.withColumn("bucket", F.explode(buckets))
     past = turns.where(~system).drop("window").withColumn("bucket", F.expr(f"start div {how.history}"))
@@ -94,6 +110,7 @@ def format_chat(conversations: DataFrame, how: ChatFormat = ChatFormat()) -> Dat
         "conv_id",
         "window",
         F.size(F.filter("turns", lambda t: t["part"] < 2)).alias("n_repeated"),
+        F.aggregate("turns", F.lit(0).cast("long"), lambda n, t: n + t["tokens"]).alias("tokens"),
         F.array_join(F.transform("turns", marked), "").alias("formatted"),
         F.aggregate("turns", zero, walk, lambda acc: acc["loss"]).alias("loss"),
     )

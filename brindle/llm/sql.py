@@ -12,8 +12,10 @@ t as (
   select *, len(regexp_extract_all(text, '{WORD}')) + 4 as tokens,
     row_number() over (partition by conv_id order by turn, role, text) - 1 as pos,
     24 + length(replace(replace(role, '\', '\\'), '<|', '<\|')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) as chars from c),
-p as (select *, sum(tokens) over (partition by conv_id order by pos) as e from t),
-w as (select *, e - tokens as s, cast(e - 1 as bigint) // 512 as win from p),
+p as (select *, sum(tokens) over (partition by conv_id order by pos) as e,
+    greatest(384 - first_value(case when role = 'system' then tokens else 0 end) over (partition by conv_id order by pos), 128) as room from t),
+k as (select *, e - tokens as s, cast(e - 1 as bigint) // room as stretch from p),
+w as (select *, 2 * stretch + case when cast(s as bigint) // room = stretch or max(e) over (partition by conv_id, stretch) - min(s) over (partition by conv_id, stretch) <= room then 1 else 0 end as win from k),
 f as (select conv_id, win, min(s) as first from w group by all having min(s) > 0),
 again as (
   select f.conv_id, sum(chars) as chars from f join w on f.conv_id = w.conv_id

@@ -53,6 +53,34 @@ def test_chat_round_trip(spark):
     assert rows(chat_digest(format_chat(df.limit(0)))) == []
 
 
+def test_chat_budget(spark):
+    """A window's turns, repeated ones and the system turn included, keep to the budget; a longer single turn stands alone; every turn is new once."""
+    from brindle.llm.chat import ChatFormat
+
+    draw = random.Random(6)
+    talk = [(c, i, "system" if i == 0 and c % 2 else ("user", "assistant")[i % 2], "w " * (draw.choice((300, 400, 320)) if c == 0 else draw.choice((0, 5, 60, 200, 900)))) for c in range(6) for i in range(60)]
+    talk += [(9, 0, "system", "w " * 700), (9, 1, "user", "w"), (9, 2, "assistant", "w " * 200), *((7, 3, "user", f"{i} w") for i in range(900))]
+    df = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    how, new = ChatFormat(), 0
+    for r in rows(format_chat(df)):
+        parts = r["formatted"].split("<|im_end|>\n")[:-1]
+        assert r["tokens"] == sum(len(p.split("\n", 1)[1].split()) + how.extra for p in parts)
+        n = len(parts) - r["n_repeated"]
+        new += n
+        lead = max((len(t.split()) + 4 for c, i, role, t in talk if c == r["conv_id"] and role == "system"), default=0)
+        assert n >= 1 and (r["tokens"] <= how.budget or n == 1 or lead > how.budget * 3 // 4 - how.history), r["conv_id"]
+    assert new == len(talk)
+    few = rows(format_chat(spark.createDataFrame([(1, i, "user", "w") for i in range(20)], "conv_id long, turn long, role string, text string")))
+    assert len(few) == 1 and few[0]["tokens"] == 100
+
+
+def test_chat_edges(spark):
+    """Null columns, repeated turns, long texts and clashing names."""
+    df = spark.createDataFrame([(None, None, None, None, "x", 1), (1, 1, "user", "a", "x", 1), (1, 1, "user", "a", "x", 1), (1, 2, "assistant", LONG, "x", 1)], "conv_id long, turn long, role string, text string, window string, at int")
+    got = {r["conv_id"]: r for r in rows(chat_digest(format_chat(df)))}
+    assert got[None]["n_turns"] == 1 and got[1]["n_turns"] == 3 and got[1]["loss_chars"] == len(LONG)
+
+
 def test_mix(spark, odd, empty):
     assert rows(mixed_sources(empty)) == []
     got = rows(mixed_sources(odd))
@@ -106,6 +134,23 @@ def test_media(spark, odd, empty, tmp_path):
     bad[max(r["offset"] for r in whole) + 50] ^= 255
     file.write_bytes(bad)
     assert sum(r["error"] is not None for r in rows(media.read_archives(spark, path, splitBytes=100))) == 1
+    broken = rows(media.media_features(media.read_archives(spark, path)))
+    assert sum(r["payload_sha256"] is None and r["error"] is not None for r in broken) == 1 and len(broken) == 4
+    file.write_bytes(b"no archive")
+    assert all(r["media"] is None and r["error"] for r in rows(media.read_archives(spark, path)))
+    bare = spark.createDataFrame([(1, None), (2, b"GIF"), (None, media.to_png(b""))], "doc_id long, media binary")
+    assert {r["doc_id"]: (r["n_bytes"], bool(r["error"])) for r in rows(media.media_features(bare))} == {1: (None, True), 2: (None, True), None: (0, False)}
+
+
+def test_foreign_archives(spark, tmp_path):
+    import json
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("photo.jpeg", b"x")
+        z.writestr("deep/er/12.png", b"y")
+    (tmp_path / "_manifest-1.json").write_text(json.dumps([["a.zip", (tmp_path / "a.zip").stat().st_size]]))
+    assert sorted((r["doc_id"] or 0, bytes(r["media"])) for r in rows(media.read_archives(spark, str(tmp_path)))) == [(0, b"x"), (12, b"y")]
 
 
 def test_secrets(spark, odd, empty):
