@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
@@ -69,6 +70,12 @@ def _opened(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
 
 
+def _own_id(name: str) -> int | None:
+    """The number that a member's file name is, without its extension; else null."""
+    own = name.rsplit("/", 1)[-1].rsplit(".", 1)[0]
+    return int(own) if re.fullmatch(r"-?[0-9]{1,19}", own) and -(2**63) <= int(own) < 2**63 else None
+
+
 @dataclass
 class Written(WriterCommitMessage):
     archives: list
@@ -130,7 +137,7 @@ class ArchiveWriter(DataSourceArrowWriter):
 
 
 class ArchiveReader(DataSourceReader):
-    """A partition is a byte range of an archive: it reads the members that start there, each on its own, by offset, again if that fails."""
+    """A partition is a byte range of an archive: it reads the members that start there, each on its own, by offset, again if that fails. An archive that can't be opened gives one row with its error for each range."""
 
     def __init__(self, options):
         self.path, self.split = options["path"], int(options.get("splitbytes", 16 << 20))
@@ -150,32 +157,38 @@ class ArchiveReader(DataSourceReader):
         if not partition.archive:
             return
         store, _ = _opened(self.path)
-        with store.open_input_file(partition.archive) as f, zipfile.ZipFile(f) as archive:
-            rows, held = [], 0
-            for member in archive.infolist():
-                if not partition.start <= member.header_offset < partition.end:
-                    continue
-                media, error = self.member(store, partition.archive, archive, member)
-                own = member.filename.split("/")[1].removesuffix(".png")
-                rows.append((int(own) if own else None, partition.archive, member.header_offset, media, error))
-                held += len(media or b"")
-                if held >= self.batch:
-                    yield self.rows(rows)
-                    rows, held = [], 0
-            if rows:
+        archive, error = self.tried(lambda: zipfile.ZipFile(store.open_input_file(partition.archive)))
+        if archive is None:
+            yield self.rows([(None, partition.archive, partition.start, None, error)])
+            return
+        rows, held = [], 0
+        for member in archive.infolist():
+            if not partition.start <= member.header_offset < partition.end:
+                continue
+            media, error = self.tried(lambda m=member: archive.read(m), lambda m=member: self.anew(store, partition.archive, m))
+            rows.append((_own_id(member.filename), partition.archive, member.header_offset, media, error))
+            held += len(media or b"")
+            if held >= self.batch:
                 yield self.rows(rows)
+                rows, held = [], 0
+        archive.close()
+        if rows:
+            yield self.rows(rows)
+
+    @staticmethod
+    def anew(store, name, member):
+        with store.open_input_file(name) as f, zipfile.ZipFile(f) as again:
+            return again.read(member)
 
-    def member(self, store, name, archive, member):
+    def tried(self, first, then=None):
+        """(result, None) of the first try that works, or (None, error)."""
         error = ""
         for k in range(self.tries):
             try:
-                if k == 0:
-                    return archive.read(member), None
-                with store.open_input_file(name) as f, zipfile.ZipFile(f) as again:
-                    return again.read(member), None
-            except (OSError, ValueError, zipfile.BadZipFile, zlib.error) as e:
-                error = str(e)
-        return None, error or "unreadable"
+                return (first if k == 0 or then is None else then)(), None
+            except (OSError, ValueError, RuntimeError, NotImplementedError, zipfile.BadZipFile, zlib.error) as e:
+                error = f"{type(e).__name__}: {e}"
+        return None, error
 
     @staticmethod
     def rows(rows):
@@ -224,26 +237,36 @@ def as_media(docs: DataFrame) -> DataFrame:
 
 
 def media_features(media: DataFrame) -> DataFrame:
-    """Digests and features of media (doc_id, media): feature is the share of samples in sixteen bands, in thousandths. Members that could not be read raise an error."""
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    """Digests and features of media (doc_id, media, and error if there is one): feature is the share of samples in sixteen bands, in thousandths.
+
+    A null medium, or one that is no such PNG, gives nulls and an error. Equal
+    media give equal rows; an empty table gives none.
+    """
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "error"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
+
+    def made(doc_id, media, error):
+        if media is None:
+            return doc_id, *[None] * 7, error or "no medium"
+        try:
+            payload, n = from_png(media)
+        except (ValueError, IndexError, struct.error, zlib.error) as e:
+            return doc_id, *[None] * 7, f"{type(e).__name__}: {e}"
+        bands = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16) * 1000 // max(len(payload), 1)
+        return doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-SIDE:]), len(media), hashlib.sha256(media).hexdigest(), "-".join(map(str, bands)), None
 
     def run(batches):
         for b in batches:
-            rows = []
-            for doc_id, media in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                media = media.as_py()
-                payload, n = from_png(media)
-                bands = np.bincount(np.frombuffer(payload, np.uint8) >> 4, minlength=16) * 1000 // len(payload)
-                rows.append((doc_id, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-SIDE:]), len(media), hashlib.sha256(media).hexdigest(), "-".join(map(str, bands))))
+            rows = [made(i, m.as_py(), e) for i, m, e in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return media.select("doc_id", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    error = F.col("error") if "error" in media.columns else F.lit(None).cast("string").alias("error")
+    return media.select("doc_id", "media", error).mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string")
 
 
 def stored_texts(docs: DataFrame) -> DataFrame:
-    """Each text of docs stored as a medium in archives in the shared folder, read back, with digests and features. Null and empty texts are 64 bytes 0. An empty table gives no rows."""
+    """Each text of docs stored as a medium in archives in the shared folder, read back, with digests and features. Null and empty texts are 64 bytes 0; long texts are stored whole; repeated rows are media of their own; further columns are left out. An empty table gives no rows."""
     spark = docs.sparkSession
     path = new_path(spark, "media")
     write_archives(as_media(docs), path)
