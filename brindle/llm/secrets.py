@@ -5,12 +5,15 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from brindle.llm.common import stored
+
 KINDS = ("assign", "access", "hex", "markov")
 KEYWORDS = ("passw", "secret", "token", "api")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -24,9 +27,9 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 RANDOM_KINDS = (ALPHABET[:62], "0123456789abcdef", ALPHABET[26:62], ALPHABET[:64])
 #: Scores of strings that a task keeps.
 REMEMBERED = 100_000
-#: Least log-likelihood ratio of a span, in nats, and per character.
-LEAST, LEAST_PER_CHAR = 12.0, 0.4
-#: Share of the ordinary strings of `CANDIDATE` length that may pass the threshold a character.
+#: Least log-likelihood ratio of a span, in nats, and per character, where the ordinary strings ask for no more.
+LEAST, LEAST_PER_CHAR = 10.0, 0.4
+#: Share of the ordinary strings of `CANDIDATE` length that may pass each threshold.
 FALSE_HITS = 0.001
 
 _TABLE = np.zeros(128, np.uint8)
@@ -34,6 +37,16 @@ for _i, _c in enumerate(ALPHABET):
     _TABLE[ord(_c)] = _i + 1
 
 
+@dataclass(frozen=True)
+class Sample:
+    """About looked_at documents by a seeded hash, of these at most docs with a hit and docs without, `chars` characters of each from the hit or a seeded place; drawn: random strings of each kind that are added."""
+
+    looked_at: int = 40_000
+    docs: int = 2000
+    chars: int = 4000
+    drawn: int = 60
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the pattern matches."""
     found = []
@@ -64,28 +77,28 @@ class Markov:
         self.log = np.log(p / p.sum(axis=1, keepdims=True))
 
 
-def labelled_samples(docs: DataFrame, most_docs: int, chars: int) -> tuple[list[str], list[str]]:
-    """(random, ordinary) strings: secrets, and identifiers that several of them have, of about most_docs documents with a hit and most_docs others, by a seeded hash, from `chars` characters of each from a seeded place; a random string of each of `RANDOM_KINDS` for every 8 documents asked for is added."""
+def labelled_samples(docs: DataFrame, how: Sample) -> tuple[list[str], list[str]]:
+    """(random, ordinary) labelled strings of a bounded sample (`Sample`): what the patterns match, and the identifiers that several documents have; `drawn` random strings of each of `RANDOM_KINDS` are added."""
     order = F.xxhash64(F.lit("secrets"), "doc_id", "text")
-    part = lambda at: F.substr("text", at, F.lit(chars))
+    part = lambda at: F.substr("text", at, F.lit(how.chars))
     hit = r"(?i)(?:passwd|password|secret|token|api_?key)[\"']?\x20*[:=]|AKIA[A-Z0-9]{12}|[0-9a-f]{32}"
-    at = F.greatest(F.regexp_instr("text", F.lit(hit)) - 20, F.lit(1))
-    own = docs.where("text is not null").select("doc_id", "text")
-    chance = F.pmod(order, F.lit(1_000_003)) / 1_000_003.0
-    hits = own.where(F.col("text").rlike(hit))
-    rest = own.where(~F.col("text").rlike(hit))
-    n_hits, n = hits.count(), rest.count()
-    start = F.pmod(order, F.greatest(F.length("text") - chars, F.lit(1))) + 1
-    some = hits.where(chance < most_docs / max(n_hits, 1)).select(part(at).alias("t"))
-    other = rest.where(chance < most_docs / max(n, 1)).select(part(start.cast("int")).alias("t"))
+    own = docs.where("text is not null").select("doc_id", "text").withColumn("order", order)
+    # the hash is looked at before any text is searched
+    chance = min(1.0, how.looked_at / max(docs.count(), 1))
+    some = own.where(F.pmod("order", F.lit(1_000_003)) / 1_000_003.0 < chance)
+    at = F.regexp_instr("text", F.lit(hit)).cast("int")
+    start = F.when(F.col("at") > 0, F.greatest(F.col("at") - 20, F.lit(1))).otherwise((F.pmod("order", F.greatest(F.length("text") - how.chars, F.lit(1))) + 1).cast("int"))
+    parts = some.withColumn("at", at).select("order", (F.col("at") > 0).alias("hit"), part(start).alias("t")).groupBy("order", "hit").agg(F.min("t").alias("t"))  # a repeated row once
+    parts = stored(parts, "secret-sample")
+    kept = parts.where("hit").orderBy("order").limit(how.docs).union(parts.where("not hit").orderBy("order").limit(how.docs))
     random, found = [], Counter()
-    for (t,) in sorted(some.collect()) + sorted(other.collect()):
+    for (t,) in sorted(kept.select("t").collect()):
         spans = base_spans(t)
         random += [s for a, _, b in spans for s in re.findall(r"[A-Za-z0-9+/_=-]{8,}", t[a:b])[-1:]]
         found.update({m[0] for m in IDENTIFIER.finditer(t) if not any(a < m.end() and m.start() < b for a, _, b in spans)})
     draw = np.random.default_rng(5)
     for kind in RANDOM_KINDS:
-        random += ["".join(draw.choice(list(kind), draw.integers(20, 41))) for _ in range(most_docs // 8)]
+        random += ["".join(draw.choice(list(kind), draw.integers(20, 41))) for _ in range(how.drawn)]
     # what only one document has may be a secret that no pattern knows
     ordinary = {s for s, n in found.items() if n > 1} or set(found)
     # identifiers in capitals are as ordinary, and too few to learn from
@@ -98,25 +111,35 @@ def log_ratio(ratio: np.ndarray, s: str) -> float:
     return float(ratio[np.concatenate(([0], c[:-1])), c - 1].sum())
 
 
-def least_per_char(ratio: np.ndarray, ordinary: list[str]) -> float:
-    """`LEAST_PER_CHAR`, or more where more than `FALSE_HITS` of the ordinary strings would pass."""
-    own = [log_ratio(ratio, s) / len(s) for s in ordinary if CANDIDATE.fullmatch(s)]
-    return max(LEAST_PER_CHAR, float(np.quantile(own, 1 - FALSE_HITS))) if own else LEAST_PER_CHAR
+class Detector:
+    """Log-likelihood ratio of two Markov models, and its least values: in all and per character, what `FALSE_HITS` of a quarter of the ordinary strings exceed that the thresholds' models didn't see."""
+
+    def __init__(self, random: list[str], ordinary: list[str]):
+        # a fixed hash parts the strings, so that neighbours in the alphabet part too
+        held = lambda s: hashlib.blake2b(s.encode(), digest_size=1).digest()[0] % 4 == 0
+        seen = Markov([s for s in random if not held(s)]).log - Markov([s for s in ordinary if not held(s)]).log
+        scores = [(log_ratio(seen, s), len(s)) for s in ordinary if held(s) and CANDIDATE.fullmatch(s)]
+        top = lambda x, floor: max(floor, float(np.quantile(x, 1 - FALSE_HITS))) if scores else floor
+        self.per_char = top([r / n for r, n in scores], LEAST_PER_CHAR)
+        self.least = top([r for r, _ in scores], LEAST)
+        self.ratio = Markov(random).log - Markov(ordinary).log
+
+    def __call__(self, s: str) -> bool:
+        return log_ratio(self.ratio, s) >= max(self.least, self.per_char * len(s))
 
 
-def scan_secrets(docs: DataFrame, most_docs: int = 2000, chars: int = 4000) -> DataFrame:
+def scan_secrets(docs: DataFrame, how: Sample = Sample()) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov) for each row of docs.
 
-    Every whole text is scanned (null: empty). The pattern matches stay as
+    Every whole text is scanned, however long (null: empty). The pattern matches stay as
     they are; kind markov adds runs of 8 or more of `ALPHABET`, letters or digits alone too, that
     overlap none of them and that a first-order Markov model of random strings finds
-    likelier than one of ordinary identifiers, by `LEAST` in all and
-    `least_per_char` for each character. The models are trained on a bounded
-    sample: see `labelled_samples` (most_docs, chars).
+    likelier than one of ordinary identifiers, by the values of `Detector`. The
+    models are trained on a bounded sample of the corpus: see
+    `labelled_samples`. Repeated rows get equal spans, other columns are left
+    out, an empty table gives no rows.
     """
-    random, ordinary = labelled_samples(docs, most_docs, chars)
-    ratio = Markov(random).log - Markov(ordinary).log
-    per_char = least_per_char(ratio, ordinary)
+    secret = Detector(*labelled_samples(docs, how))
 
     def added(text: str, base: list, known: dict) -> list:
         out = []
@@ -124,8 +147,8 @@ def scan_secrets(docs: DataFrame, most_docs: int = 2000, chars: int = 4000) -> D
             if (score := known.get(m[0])) is None:
                 if len(known) >= REMEMBERED:
                     known.clear()
-                score = known[m[0]] = log_ratio(ratio, m[0])
-            if score >= max(LEAST, per_char * len(m[0])) and not any(a < m.end() and m.start() < b for a, _, b in base):
+                score = known[m[0]] = secret(m[0])
+            if score and not any(a < m.end() and m.start() < b for a, _, b in base):
                 out.append((m.start(), 3, m.end()))
         return out
 
