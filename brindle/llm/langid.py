@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,6 +119,7 @@ def trained(docs: DataFrame, how: Training) -> ByteNetwork | None:
     chance = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], how.per_lang / r["count"])))
     order = F.xxhash64(F.lit("langid"), "doc_id", "text")
     picked = rows.where(F.pmod(order, F.lit(1_000_003)) / 1_000_003.0 < chance[F.col("lang")])
+    picked = picked.dropDuplicates(["doc_id", "lang", "text"])  # a repeated row is learnt once
     start = F.pmod(order, F.greatest(F.length("text") - how.chars, F.lit(1))) + 1
     found = picked.select("lang", F.substr("text", start.cast("int"), F.lit(how.chars)).alias("t")).collect()
     draw, x, y = np.random.default_rng(how.seed), [], []
@@ -131,37 +133,49 @@ def trained(docs: DataFrame, how: Training) -> ByteNetwork | None:
     return net
 
 
+def language(docs: DataFrame, how: Training = Training()) -> Callable[[Column], Column]:
+    """A function of a text column that gives (lang_pred, score), by a network trained on docs (doc_id, text, lang)."""
+    net = trained(docs, how)
+
+    @F.pandas_udf("lang_pred string, score double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        tables = net.tables()
+        for texts, letters in batches:
+            parts = [predicted(net, tables, texts[at : at + 512], letters[at : at + 512].to_numpy(dtype=bool)) for at in range(0, len(texts), 512)]
+            yield pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"lang_pred": pd.Series(dtype=str), "score": pd.Series(dtype=float)})
+
+    def of(text: Column) -> Column:
+        if net is None:
+            return F.struct(F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return run(text, F.coalesce(F.rlike(text, F.lit(r"\p{L}")), F.lit(False)))
+
+    return of
+
+
+def predicted(net: ByteNetwork, tables: dict, texts: pd.Series, letters: np.ndarray) -> pd.DataFrame:
+    """The language of each text and its score: the mean of its windows' log probabilities, weighted by letters, and its softmax; of equal ones the first language by code point."""
+    x, doc = windows([(t or "").encode() for t in texts])
+    logs = net.log_probabilities(x, tables)
+    weight = np.count_nonzero(x, axis=1) + 1e-3
+    total = np.zeros((len(texts), len(net.langs)))
+    np.add.at(total, doc, logs * weight[:, None])
+    total /= np.bincount(doc, weight, len(texts))[:, None]
+    p = np.exp(total - total.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    return pd.DataFrame({"lang_pred": [net.langs[k] if ok else "und" for k, ok in zip(p.argmax(axis=1), letters, strict=True)], "score": np.where(letters, p.max(axis=1), 0.0)})
+
+
 def identify_language(docs: DataFrame, how: Training = Training()) -> DataFrame:
     """docs (doc_id, text, lang, ...) to (doc_id, held_out, lang_pred, score).
 
     A byte network learns from a bounded sample (`Training`) of the labelled
     documents outside the held-out fold, crc32(doc_id as text) mod 3 = 1. Every
-    whole text is cut into windows of 256 bytes; the mean of their log
+    whole text, however long, is cut into windows of 256 bytes; the mean of their log
     probabilities, weighted by letters, gives the language and its softmax
-    the score. Null texts and texts without a letter are `und` with score 0,
-    and so is all if nothing is labelled. A null doc_id counts as the empty text for the fold.
+    the score; of equal languages the first by code point is taken. Null texts and texts without a letter are `und` with score 0,
+    and so is all if nothing is labelled. Repeated rows get the same answer, a null doc_id counts as the empty text
+    for the fold, other columns are left out, an empty table gives no rows.
     """
-    net = trained(docs, how)
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    if net is None:
-        return own.select("doc_id", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-
-    def run(batches):
-        tables = net.tables()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                b = batch.slice(at, 512)
-                texts = [t.as_py() or b"" for t in b.column(2).cast(pa.binary())]
-                x, doc = windows(texts)
-                logs = net.log_probabilities(x, tables)
-                weight = np.count_nonzero(x, axis=1) + 1e-3
-                total = np.zeros((len(texts), len(net.langs)))
-                np.add.at(total, doc, logs * weight[:, None])
-                total /= np.bincount(doc, weight, len(texts))[:, None]
-                p = np.exp(total - total.max(axis=1, keepdims=True))
-                p /= p.sum(axis=1, keepdims=True)
-                letters = b.column(3).to_numpy(zero_copy_only=False)
-                pred = [net.langs[k] if ok else "und" for k, ok in zip(p.argmax(axis=1), letters, strict=True)]
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pred, pa.string()), pa.array(np.where(letters, p.max(axis=1), 0.0))], ["doc_id", "held_out", "lang_pred", "score"])
-
-    return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    of = language(docs, how)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id"), 3) == 1).alias("held_out"), of(F.col("text")).alias("p"))
+    return own.select("doc_id", "held_out", "p.lang_pred", "p.score")
