@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
     what is still apart. component_id is the smallest doc_id that links reach.
     Null or blank texts have no shingles: they are linked with nothing and
     kept. Rows with a null doc_id are kept, not linked, and get a null
-    component. Rows that repeat an id count as one document for linking.
+    component. Rows that repeat an id count as one document for linking. Texts
+    count whole, however long; other columns are left out; an empty table gives no rows.
     """
     sigs = stored(signatures(docs, how), "signatures")
     classes = stored(sigs.where("n_shingles > 0 and doc_id is not null").groupBy("cls").agg(F.min("doc_id").alias("node"), F.max("sig").alias("sig")), "classes")
@@ -191,6 +192,13 @@ def near_duplicates(docs: DataFrame, how: NearDup = NearDup()) -> DataFrame:
 
 
 def without_near_duplicates(docs: DataFrame, how: NearDup = NearDup(words=5)) -> DataFrame:
-    """The documents that stand for their component; all columns of docs."""
-    gone = near_duplicates(docs, how).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """One document of each component, the one whose hash is smallest; all columns of docs.
+
+    Rows are linked and go by the hash of their id and text, so a row without
+    an id goes like any other and a row that repeats an id stays or goes by
+    its own text; rows equal in both are one document. Five-word shingles, as
+    for all stages that no contract binds to others.
+    """
+    found = near_duplicates(docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text"), how)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["doc_id"], "left_anti")

@@ -1,4 +1,8 @@
-"""A training corpus from `documents`, in stages that each read what the one before has written."""
+"""A training corpus from `documents`, in stages that each read what the one before has written.
+
+Each stage takes nulls in any column, repeated rows and empty tables as the
+operator that it calls says; all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
@@ -7,20 +11,23 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import stored, table
 from brindle.llm.decontam import without_benchmark
-from brindle.llm.langid import identify_language
+from brindle.llm.langid import language
 from brindle.llm.linededup import without_repeated_lines
 from brindle.llm.mixing import mixed_sources
 from brindle.llm.neardup import without_near_duplicates
 
+#: Least score of a language (a softmax over the learned ones): see the README for what it costs.
+LEAST_SCORE = 0.3
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go."""
-    gone = identify_language(docs).where("lang_pred = 'und'").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").where(F.col("text").isNotNull())
+    """Documents without a language (no text, or no letter in it) go, and those whose language the network gives less than LEAST_SCORE. Each row by its own text."""
+    p = language(docs)(F.col("text"))
+    return docs.where((p["lang_pred"] != "und") & (p["score"] >= LEAST_SCORE))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of several documents stay in the first one only."""
+    """Lines of several documents stay in the first one only; documents of which nothing stays go."""
     return without_repeated_lines(docs)
 
 
@@ -30,12 +37,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a test item of the benchmark go."""
+    """Documents that hold a test item of the benchmark go, each row by its own text."""
     return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes; every row has its own answer."""
     return mixed_sources(docs)
 
 

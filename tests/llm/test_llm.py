@@ -174,6 +174,53 @@ def test_secrets_of_letters(spark):
     assert [text[int(a) : int(b)] for _, a, b in (s.split(":") for s in r["spans"].split(","))] == ["xQzKvWpLmRtYbNdG", "q7Zx9KwV2p"]
 
 
+def test_base_spans_against_plain_scan(spark):
+    """The contract's patterns by a scan of every start, kinds apart, leftmost and non-overlapping; and held-out strings of the sample."""
+    draw, letters = random.Random(9), "pPasw0:=\"' tokenAKI1fe-."
+    bits = ["password", "PASSWD", "api_key", "apikey", "token", "secret", "AKIA", "=", ":", " ", '"', "'", "0f" * 16, "ABCDEFGHIJKL", "x" * 8, "é"]
+    for _ in range(300):
+        t = "".join(draw.choice(bits) if draw.random() < 0.6 else draw.choice(letters) for _ in range(draw.randint(0, 40)))
+        want = []
+        for kind, (p, ok) in enumerate(((r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?""", None), (r"AKIA[A-Z0-9]+", 16), (r"[0-9a-f]+", 32))):
+            at = 0
+            while at < len(t):
+                m = re.compile(p, re.I | re.A if kind == 0 else 0).match(t, at)
+                if m and kind == 0:
+                    v = re.compile(r"[A-Za-z0-9+/_.=-]+").match(t, m.end())
+                    # the pattern gives its optional parts back if that is what lets it match
+                    full = re.compile(p + r"([A-Za-z0-9+/_.=-]+)", re.I | re.A).match(t, at)
+                    m, size = full, len(full[1]) if full else 0
+                    assert v is None or full is not None
+                else:
+                    size = len(m[0]) if m else 0
+                if m and m.end() > at:
+                    if size >= (ok or 8):
+                        want.append((m.start(), kind, m.end()))
+                    at = m.end()
+                else:
+                    at += 1
+        assert sorted(secrets.base_spans(t)) == sorted(want), t
+    random_, ordinary = secrets.labelled_samples(spark.read.parquet(f"{DIR}/documents.parquet"), secrets.Sample())
+    model = secrets.Detector(random_[::2], ordinary[::2])
+    own, other = random_[1::2], [x for x in ordinary[1::2] if secrets.CANDIDATE.fullmatch(x)]
+    assert sum(map(model, own)) >= 0.95 * len(own) and sum(map(model, other)) <= 0.02 * len(other)
+
+
+def test_network_by_tables_is_the_network():
+    """Inference by look-up tables gives what filters, pooling and softmax give position by position."""
+    import numpy as np
+
+    net = langid.ByteNetwork(["a", "b", "c"], 4)
+    net.bias[:] = np.linspace(-0.3, 0.3, len(net.bias))
+    x, of = langid.windows([b"", b"Hello, world \xc3\xa9" * 40, bytes(range(256))])
+    assert of.tolist() == [0, 1, 1, 1, 2]
+    got = net.log_probabilities(x, net.tables())
+    for row, logs in zip(x, got, strict=True):
+        pooled = [max(sum(f[j, row[i + j], k] for j in range(len(f))) for i in range(len(row) - len(f) + 1)) for f in net.filters for k in range(langid.FILTERS)]
+        z = np.maximum(np.array(pooled) + net.bias, 0) @ net.out + net.shift
+        assert np.allclose(logs, z - np.log(np.exp(z).sum()), atol=1e-4)
+
+
 def test_language(spark, odd, empty):
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     r = rows(langid.identify_language(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out"))
@@ -390,8 +437,29 @@ def test_pipeline(spark):
         columns, before = docs.columns, docs.count()
         docs = spark.createDataFrame(stage(spark, docs, DIR).collect(), docs.schema)
         assert sorted(docs.columns) == sorted(columns) and 0.5 * before < docs.count() <= before, name
+        assert not docs.where("trim(text) = ''").count()
     assert {"doc_id", "taken"} <= set(corpus_pipeline.STAGES[-1][1](spark, docs, DIR).columns)
 
 
+def test_pipeline_stages_by_the_row(spark, odd, empty):
+    """Each stage on nulls, repeats, clashing names and an empty table; rows go by their own text."""
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{DIR}/benchmark.parquet").first()["text"]
+    near = " ".join(f"w{i}" for i in range(60))
+    made = [(None, item), (5, item), (5, "word by word it stays"), (None, near), (8, near + " end"), (None, None)]
+    docs = odd.select("doc_id", "text", "lang", "source", "n_chars", "key", "_id").union(spark.createDataFrame([(i, t, "en", "s", 1, "k", 0) for i, t in made], DOCS))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, DIR)
+        assert sorted(got.columns) == sorted(docs.columns) and stage(spark, empty, DIR).count() == 0
+        left[name] = [(r["doc_id"], r["text"]) for r in rows(got)]
+    assert {t for _, t in left["language ID"]} == {"word", "a b c d e", LONG, "one\ntwo\n" * 3, *(t for _, t in made if t)} and len(left["language ID"]) == 11
+    gone = left["MinHash near-dedup"]
+    assert ((None, near) in gone) != ((8, near + " end") in gone) and (5, "word by word it stays") in gone and sum(t == item for _, t in gone) == 1
+    assert not any(t == item for _, t in left["benchmark decontamination"]) and (5, "word by word it stays") in left["benchmark decontamination"]
+    assert len(rows(corpus_pipeline.STAGES[-1][1](spark, docs, DIR))) == 16 and corpus_pipeline.STAGES[-1][1](spark, empty, DIR).count() == 0
+
+
 def test_names():
     assert {int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES} == set(range(1, 11))
