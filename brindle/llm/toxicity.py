@@ -75,8 +75,8 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray
     return [(keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64))]
 
 
-def gram_counts(docs: DataFrame, how: Training) -> DataFrame:
-    """(gram, ordinary, toxic, ordinary_rest, toxic_rest) of docs (text, y, fits), at most GRAMS rows: how often in documents with label y, and in those of them that don't fit the calibration; 0 for grams of other documents only."""
+def gram_counts(docs: DataFrame, labelled: DataFrame, how: Training) -> DataFrame:
+    """(gram, ordinary, toxic, ordinary_rest, toxic_rest) of all grams of docs (text), at most GRAMS rows: how often in the documents of labelled (text, y, fits) with label y, and in those of them that don't fit the calibration."""
 
     def run(batches):
         seen, found = np.zeros(GRAMS, bool), [[] for _ in range(4)]
@@ -98,7 +98,9 @@ def gram_counts(docs: DataFrame, how: Training) -> DataFrame:
         for at in range(0, len(keys), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (keys, *made)], ["gram", *COUNTS])
 
-    rows = docs.select("y", "fits", "text").mapInArrow(run, "gram int, " + ", ".join(f"{c} long" for c in COUNTS))
+    kind = "gram int, " + ", ".join(f"{c} long" for c in COUNTS)
+    every = docs.select(F.lit(None).cast("int").alias("y"), F.lit(False).alias("fits"), "text").mapInArrow(run, kind)
+    rows = every.union(labelled.select("y", "fits", "text").mapInArrow(run, kind))
     return rows.groupBy("gram").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
@@ -223,7 +225,9 @@ def trained(docs: DataFrame, labels: DataFrame, how: Training) -> tuple[Ratios,
     sides = own.select("doc_id").join(known, "doc_id").groupBy("y", F.coalesce("fits", F.lit(False)).alias("fits")).count().count()
     if sides < 4:
         return count[1] / n
-    counts = stored(gram_counts(own.join(known, "doc_id", "left"), how), "toxicity-grams")
+    # only texts outside the held-out fold are shuffled to their labels, at every size
+    labelled = own.where(fold(F.col("doc_id"), 4) != 2).hint("merge").join(known, "doc_id")
+    counts = stored(gram_counts(own, labelled, how), "toxicity-grams")
     t = log_ratios(counts).toArrow()
     gram, ratio, rest, unseen, unseen_rest = (t[c].to_numpy() for c in t.column_names)
     some = own.join(F.broadcast(fit), "doc_id").select("doc_id", F.col("y").alias("mark"), "text")
