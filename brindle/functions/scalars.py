@@ -9,17 +9,23 @@ from pyspark.sql import functions as F
 
 HAN = "[一-鿿㐀-䶿豈-﫿]"
 CJK = "[一-鿿㐀-䶿豈-﫿぀-ヿ가-힯]"
+#: What optical reading counts as CJK: ideographs, kana, syllables, CJK punctuation and full-width forms; brackets that open and close (fixed values).
+WIDE = r"\u4E00-\u9FFF\u3040-\u30FF\uAC00-\uD7AF\u3000-\u303F\uFF00-\uFFEF"
+WIDE_OPEN, WIDE_CLOSE = r"\uFF08\u300A\u300C\u3010", r"\uFF09\u300B\u300D\u3011"
+#: What Chinese reading models write for a blank (fixed value).
+FILLER = "极"
 #: Hosts of the machine itself (fixed values).
 LOCAL_HOSTS = ("localhost", "127.0.0.1", "::1")
 #: File kinds by extension (fixed values).
 FILE_KINDS = {
-    "text": ("txt", "md", "markdown", "rst", "org"),
-    "html": ("html", "htm"),
-    "code": ("go", "py", "js", "ts", "java", "c", "cpp", "h", "rs", "rb", "sh"),
-    "json": ("json",),
-    "yaml": ("yaml", "yml"),
+    "markdown": ("md", "markdown", "mdown"),
+    "text": ("txt",),
     "pdf": ("pdf",),
     "docx": ("docx",),
+    "code": ("go", "py", "rs", "ts", "tsx", "js", "jsx", "java", "c", "cpp", "h", "hpp", "rb", "php", "sh", "bash", "swift", "kt", "scala"),
+    "json": ("json",),
+    "yaml": ("yaml", "yml"),
+    "html": ("html", "htm", "xhtml"),
 }
 #: Words that lower or raise a score read from an answer (fixed values).
 AI_WORDS = ("ai-generated", "likely ai", "artificial", "synthetic", "deepfake", "generated")
@@ -35,11 +41,22 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+TOKEN = r"[\p{L}\p{Nd}]+"
+
+
 def tokenize(text) -> Column:
     """Lower-cased runs of letters and digits; a run of more than two CJK characters becomes its overlapping pairs."""
-    runs = F.regexp_extract_all(F.lower(col(text)), F.lit(r"[\p{L}\p{Nd}]+"), F.lit(0))
+    runs = F.regexp_extract_all(F.lower(col(text)), F.lit(TOKEN), F.lit(0))
     pairs = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - 1), lambda i: F.substr(t, i, F.lit(2)))
-    return F.flatten(F.transform(runs, lambda t: F.when((F.length(t) > 2) & t.rlike(f"^{CJK}+$"), pairs(t)).otherwise(F.array(t))))
+    # most texts have no CJK characters and take no second look at their runs
+    cut = F.flatten(F.transform(runs, lambda t: F.when((F.length(t) > 2) & t.rlike(f"^{CJK}+$"), pairs(t)).otherwise(F.array(t))))
+    return F.when(col(text).rlike(CJK), cut).otherwise(runs)
+
+
+def token_count(text) -> Column:
+    """size(tokenize(text)), without an array for most texts; 0 for null."""
+    n = F.when(col(text).rlike(CJK), F.size(tokenize(text))).otherwise(F.regexp_count(F.lower(col(text)), F.lit(TOKEN)))
+    return F.coalesce(n, F.lit(0))
 
 
 def words(text) -> Column:
@@ -135,12 +152,16 @@ def sniff_media(content) -> Column:
 
 
 def first_paragraph(text) -> Column:
-    """At most 300 characters: up to a line break after 50, else the last sentence end after 50, else cut with dots."""
-    t = F.trim(col(text))
-    cut = F.substring(t, 1, 300)
-    nl = F.locate("\n", cut) - 1
-    dot = F.length(F.regexp_extract(cut, r"(?s)^(.*)\. ", 1))
-    return F.when(F.length(t) <= 300, t).when(nl > 50, F.substr(t, F.lit(1), nl)).when(dot > 50, F.substr(t, F.lit(1), dot + 1)).otherwise(F.concat(cut, F.lit("...")))
+    """All of up to 300 bytes; else up to the first line break if it comes after 50 bytes of them, else up to the last sentence end after 50, else as many whole characters as 300 bytes hold, with dots."""
+    t = F.regexp_replace(col(text), r"^[\s\p{Z}\x85]+|[\s\p{Z}\x85]+$", "")
+    b = F.encode(t, "UTF-8")
+    head = F.decode(F.substring(b, 1, 300), "ISO-8859-1")  # a character a byte
+    nl = F.locate("\n", head) - 1
+    dot = F.length(F.regexp_extract(head, r"(?s)^(.*)\. ", 1))
+    inside = F.hex(F.substring(b, 301, 1)).between("80", "BF")
+    whole = F.when(inside, F.regexp_replace(head, r"[\xC0-\xFF][\x80-\xBF]*$", "")).otherwise(head)
+    upto = lambda n: F.decode(F.substr(b, F.lit(1), n), "UTF-8")
+    return F.when(F.octet_length(b) <= 300, t).when(nl > 50, upto(nl)).when(dot > 50, upto(dot + 1)).otherwise(F.concat(F.decode(F.encode(whole, "ISO-8859-1"), "UTF-8"), F.lit("...")))
 
 
 def word_count(text) -> Column:
@@ -233,33 +254,33 @@ def contains_word(text, term) -> Column:
 
 
 def is_english_line(line) -> Column:
-    """Over 0.7 of the ASCII and Han characters are ASCII, blanks aside."""
-    t = F.regexp_replace(col(line), r"\s", "")
+    """Over 0.7 of the ASCII characters and ideographs are ASCII, blanks and fillers aside."""
+    t = F.regexp_replace(col(line), f"[ {FILLER}]", "")
     ascii_n = F.length(F.regexp_replace(t, r"[^\x00-\x7F]", ""))
-    han = F.length(F.regexp_replace(t, f"[^{HAN[1:-1]}]", ""))
+    han = F.length(F.regexp_replace(t, "[^一-鿿]", ""))
     return (ascii_n + han > 0) & (ascii_n / F.greatest(ascii_n + han, F.lit(1)) > 0.7)
 
 
 def cjk_latin_spacing(text) -> Column:
-    t = F.regexp_replace(col(text), f"({CJK})([A-Za-z0-9])", "$1 $2")
-    return F.regexp_replace(t, f"([A-Za-z0-9])({CJK})", "$1 $2")
+    """A blank between a CJK character and an ASCII letter or digit, but none after an opening or before a closing bracket."""
+    after = f"(?<=[{WIDE}&&[^{WIDE_OPEN}]])(?=[A-Za-z0-9])"
+    before = f"(?<=[A-Za-z0-9])(?=[{WIDE}&&[^{WIDE_CLOSE}]])"
+    return F.regexp_replace(col(text), f"{after}|{before}", " ")
 
 
-def post_process_line(text) -> Column:
-    t = F.regexp_replace(col(text), "[　 ]", " ")
-    t = F.regexp_replace(t, r"([.,])(\p{L})", "$1 $2")
-    t = F.regexp_replace(t, r"([:;?!])(\S)", "$1 $2")
-    return F.trim(F.regexp_replace(t, " +", " "))
+def post_process_line(text, table: dict[str, str] | None = None) -> Column:
+    """Fillers to blanks, blanks squeezed and trimmed; a blank after . and , before an ASCII letter and after each of : ; ? ! that something follows; then the corrections of table."""
+    t = F.regexp_replace(F.replace(col(text), F.lit(FILLER), F.lit(" ")), " +", " ")
+    t = F.regexp_replace(t, r"^[\s\p{Z}\x85]+|[\s\p{Z}\x85]+$", "")
+    t = F.regexp_replace(t, r"(?s)[.,](?=[A-Za-z])|[:;?!](?=.)", "$0 ")
+    return apply_corrections(t, table or {})
 
 
-def fix_digit_confusion(text) -> Column:
-    """1 between or after letters to l, 0 to o or O; twice, as a fixed digit is a letter for the next one."""
-    t = col(text)
-    for _ in range(2):
-        t = F.regexp_replace(t, r"(?<=[a-z])1(?=[a-z]|\b)", "l")
-        t = F.regexp_replace(t, r"(?<=[A-Z])0(?=[A-Z]|\b)", "O")
-        t = F.regexp_replace(t, r"(?<=[a-z])0(?=[a-z]|\b)", "o")
-    return t
+def fix_digit_confusion(text, table: dict[str, str] | None = None) -> Column:
+    """1 between ASCII letters, or after one at the end of the text, to l; 0 between them to O, after one at the end to o; then the corrections of table."""
+    t = F.regexp_replace(col(text), r"(?<=[A-Za-z])1(?=[A-Za-z]|\z)", "l")
+    t = F.regexp_replace(t, r"(?<=[A-Za-z])0(?=[A-Za-z])", "O")
+    return apply_corrections(F.regexp_replace(t, r"(?<=[A-Za-z])0\z", "o"), table or {})
 
 
 def apply_corrections(text, table: dict[str, str]) -> Column:
@@ -267,9 +288,15 @@ def apply_corrections(text, table: dict[str, str]) -> Column:
 
 
 def word_separator(a, b) -> Column:
-    """What joins two lines: nothing after a hyphen or between CJK characters, else a blank."""
+    """What joins two pieces of a line: nothing between CJK characters, after a hyphen and before punctuation, else a blank; nothing if one is empty."""
     x, y = F.substring(col(a), -1, 1), F.substring(col(b), 1, 1)
-    return F.when((x == "") | (y == "") | (x == "-") | (x.rlike(CJK) & y.rlike(CJK)), "").otherwise(" ")
+    wide = f"[{WIDE}]"
+    return F.when((x == "") | (y == "") | (x == "-") | (x.rlike(wide) & y.rlike(wide)) | y.rlike(r"\p{P}"), "").otherwise(" ")
+
+
+def levenshtein_bytes(a, b) -> Column:
+    """Edit distance in bytes."""
+    return F.levenshtein(*(F.decode(F.encode(col(c), "UTF-8"), "ISO-8859-1") for c in (a, b)))
 
 
 def glob_pattern(glob: Column) -> Column:
@@ -294,10 +321,27 @@ def param_summary(params: Column) -> Column:
     return F.array_join(F.array_compact(F.transform(F.array_sort(F.map_entries(params)), one)), ", ")
 
 
-#: Media types by file kind or extension (fixed values).
-MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "mp3": "audio/mpeg", "wav": "audio/wav", "ogg": "audio/ogg", "flac": "audio/flac", "mp4": "video/mp4", "webm": "video/webm"}
+#: Media types of images by extension, and extensions of audio and image files (fixed values).
+MIME = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "jfif": "image/jpeg", "gif": "image/gif", "webp": "image/webp", "bmp": "image/bmp"}
+AUDIO = ("wav", "mp3", "flac", "ogg", "opus", "aac", "m4a", "pcm")
+IMAGE = ("png", "jpg", "jpeg", "jfif", "gif", "webp", "bmp")
 
 
 def mime_type(ext) -> Column:
-    e = F.lower(col(ext))
-    return reduce(lambda c, kv: c.when(e == kv[0], kv[1]), MIME.items(), F.when(F.lit(False), "")).otherwise("application/octet-stream")
+    """The media type of an image's extension; '' for others."""
+    return reduce(lambda c, kv: c.when(col(ext) == kv[0], kv[1]), MIME.items(), F.when(F.lit(False), "")).otherwise("")
+
+
+def is_audio(ext) -> Column:
+    return F.lower(col(ext)).isin(*AUDIO)
+
+
+def is_image(ext) -> Column:
+    return F.lower(col(ext)).isin(*IMAGE)
+
+
+def is_likely_image(content) -> Column:
+    """Bytes of four or more that start as a PNG, JPEG, GIF or (more than 12 of them) WebP do."""
+    h = F.hex(F.substring(col(content), 1, 12))
+    webp = h.startswith("52494646") & (F.substring(h, 17, 8) == "57454250") & (F.octet_length(col(content)) > 12)
+    return (F.octet_length(col(content)) >= 4) & (h.startswith("89504E47") | h.startswith("FFD8FF") | h.startswith("47494638") | webp)

@@ -2,20 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from brindle.functions.scalars import text_key, url_basename
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brindle-"))
-    return df.checkpoint()
+from brindle.session import cut
 
 
 def entry_keys() -> Column:
@@ -31,19 +23,21 @@ def dedup_keep_first(rows: DataFrame, keys: Column, order: str = "pos") -> DataF
 
     Each round decides what is certain: a row goes if a kept row has one of
     its keys, and stays if it is the first open one on all of its keys. The
-    least open row is always decided, so it ends.
+    least open row is always decided, so it ends; a round more is needed for
+    each link of the longest chain of open rows in which each shares a key
+    with the next, and few sources have chains of more than a handful.
     """
-    pairs = _cut(rows.select(order, F.explode_outer(keys).alias("key")).distinct())
+    pairs = cut(rows.select(order, F.explode_outer(keys).alias("key")).distinct())
     kept = pairs.where("key is null").select(order)
     pairs = pairs.where("key is not null")
     while pairs.limit(1).count():
         first = pairs.groupBy("key").agg(F.min(order).alias("first"))
         state = pairs.join(first, "key").groupBy(order).agg(F.bool_and(F.col(order) == F.col("first")).alias("stays"))
-        now = _cut(state.where("stays").select(order))
-        kept = _cut(kept.union(now))
+        now = cut(state.where("stays").select(order))
+        kept = cut(kept.union(now))
         taken = pairs.join(now, order, "left_semi").select("key").distinct()
         gone = pairs.join(taken, "key", "left_semi").select(order).distinct()
-        pairs = _cut(pairs.join(gone, order, "left_anti"))
+        pairs = cut(pairs.join(gone, order, "left_anti"))
     return rows.join(kept, order, "left_semi")
 
 
@@ -62,17 +56,28 @@ def prune_duplicates(df: DataFrame, key: str, checksum: Column) -> DataFrame:
     return df.join(gone, key, "left_anti")
 
 
-def upsert_documents(target: DataFrame, updates: DataFrame, key: str = "id") -> DataFrame:
-    """target with updates put in or over by key; created_at stays the first."""
-    both = target.withColumn("_p", F.lit(1)).unionByName(updates.withColumn("_p", F.lit(0)), allowMissingColumns=True)
+def upsert_documents(target: DataFrame, updates: DataFrame, now=None, key: str = "id") -> DataFrame:
+    """target with updates put in or over by key: created_at stays the first, updated_at of what updates touch is now (a column or value; the current time if none is given)."""
+    now = F.current_timestamp() if now is None else now if isinstance(now, Column) else F.lit(now)
+    both = target.withColumn("_p", F.lit(1)).unionByName(updates.withColumns({"updated_at": now, "_p": F.lit(0)}), allowMissingColumns=True)
     own = W.partitionBy(key)
     both = both.withColumn("created_at", F.min("created_at").over(own)).withColumn("_n", F.row_number().over(own.orderBy("_p")))
     return both.where("_n = 1").drop("_n", "_p")
 
 
-def replace_chunks(target: DataFrame, new: DataFrame, doc: str = "doc_id") -> DataFrame:
-    """target with all rows of new's documents replaced by new."""
-    return target.join(new.select(doc).distinct(), doc, "left_anti").unionByName(new)
+def replace_chunks(tables: dict[str, DataFrame], chunks: DataFrame, embeddings: DataFrame, postings: DataFrame, doc: str = "doc_id") -> dict[str, DataFrame]:
+    """tables (chunks, embeddings, postings), each with all rows of the documents of chunks replaced by the new ones.
+
+    A document whose new chunks and embeddings differ in number fails the job
+    before anything is replaced; documents kept out of the index have no new postings.
+    """
+    counted = lambda df, n: df.groupBy(doc).agg(F.count("*").alias(n))
+    uneven = counted(chunks, "c").join(counted(embeddings, "e"), doc, "full_outer").where("coalesce(c, 0) <> coalesce(e, 0)").limit(5).collect()
+    if uneven:
+        raise ValueError(f"chunks and embeddings differ in number: {[(r[doc], r['c'], r['e']) for r in uneven]}")
+    touched = chunks.select(doc).distinct()
+    new = {"chunks": chunks, "embeddings": embeddings, "postings": postings}
+    return {k: tables[k].join(touched, doc, "left_anti").unionByName(new[k]) for k in new}
 
 
 def delete_documents(tables: dict[str, DataFrame], ids: DataFrame, doc: str = "doc_id") -> dict[str, DataFrame]:

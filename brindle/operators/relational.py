@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from brindle.functions.scalars import glob_pattern, host, meaningful_chars
+from brindle.session import cut
+
+#: Terminal states of tasks (fixed values).
+DONE = ("completed", "success", "succeeded")
+FAILED = ("failed", "failure", "cancelled", "expired")
 
 
 def scope(df: DataFrame, project: str, column: str = "project") -> DataFrame:
@@ -63,17 +68,28 @@ def skip_known(new: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
     return reduce(lambda d, k: d.join(known.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti"), keys, new)
 
 
-def provider_of_host(df: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
-    """df with provider: the first rule (rule_no, domain, provider) whose domain the host is or ends with after a dot.
+def provider_of_host(df: DataFrame, rules: DataFrame, url: str = "url", default: str | None = None) -> DataFrame:
+    """df with provider: the first rule (rule_no, domain, provider) whose domain the host is or ends with after a dot; default for other URLs, none for empty ones.
 
+    Rules may have suffix and suffix_provider: URLs that end in suffix, or in it and a slash, are of the latter.
     A host has few suffixes, so these are joined with the domains instead of trying every rule.
     """
     h = host(url)
     labels = F.split(h, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     pairs = df.select(url).distinct().select(url, F.explode(suffixes).alias("domain")).join(rules, "domain")
-    best = pairs.groupBy(url).agg(F.min_by("provider", "rule_no").alias("provider"))
-    return df.join(best, url, "left")
+    best = pairs.groupBy(url).agg(F.min_by(F.struct(*(c for c in rules.columns if c != "domain")), "rule_no").alias("_rule"))
+    found = F.col("_rule.provider")
+    if "suffix" in rules.columns:
+        ends = F.endswith(F.col(url), F.col("_rule.suffix")) | F.endswith(F.col(url), F.concat("_rule.suffix", F.lit("/")))
+        found = F.when(ends, F.col("_rule.suffix_provider")).otherwise(found)
+    return df.join(best, url, "left").withColumn("provider", F.when(F.coalesce(F.col(url), F.lit("")) != "", F.coalesce(found, F.lit(default)))).drop("_rule")
+
+
+def without_dead_urls(docs: DataFrame, statuses: DataFrame, url: str = "url") -> DataFrame:
+    """docs without those whose URL has a status of 400 or more, or none (unreachable), in statuses (url, status); documents without a URL, or with one that was not looked at, stay."""
+    dead = statuses.where((F.col("status") >= 400) | F.col("status").isNull()).select(F.col(url)).where(F.col(url) != "").distinct()
+    return docs.join(dead, url, "left_anti")
 
 
 def entity_provider(df: DataFrame, table: DataFrame, code: str = "code") -> DataFrame:
@@ -107,6 +123,57 @@ def cheapest_variant(df: DataFrame, size: str, quality: str, price: str) -> Data
     return df.groupBy(F.col(size).alias("size")).agg(F.min(F.struct(F.col(price).alias("price"), F.col(quality).alias("quality"))).alias("m")).select("size", "m.quality", "m.price")
 
 
+def usage_totals(df: DataFrame) -> DataFrame:
+    """(model, prompt_tokens, completion_tokens, total_tokens, cost) of uses (model, prompt_tokens, completion_tokens, cost); missing numbers count as 0."""
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
+    t = df.groupBy("model").agg(total("prompt_tokens"), total("completion_tokens"), total("cost"))
+    return t.select("model", "prompt_tokens", "completion_tokens", (F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"), "cost")
+
+
+def task_summary(df: DataFrame) -> DataFrame:
+    """(state, n, cost, credits, actual_time) of tasks (status, cost, credits, actual_time): by completed, failed and open; numbers of tasks without them count as 0."""
+    low = F.lower("status")
+    state = F.when(low.isin(*DONE), "completed").when(low.isin(*FAILED), "failed").otherwise("open")
+    total = lambda c: F.sum(F.coalesce(c, F.lit(0))).alias(c)
+    return df.groupBy(state.alias("state")).agg(F.count("*").alias("n"), total("cost"), total("credits"), total("actual_time"))
+
+
+def radial_profile(spectrum: DataFrame, key: str, h: int, w: int) -> DataFrame:
+    """(key, high, slope) from power spectra of h x w (key, y, x, power), the middle at (h / 2, w / 2): mean log power by whole distance from it, the part of the last 30 % of the distances, and the slope of the log profile over log distance from 3 on; -2 from fewer than three positive means."""
+    n = min(h // 2, w // 2)
+    r = F.floor(F.sqrt(F.pow(F.col("x") - w // 2, F.lit(2)) + F.pow(F.col("y") - h // 2, F.lit(2)))).cast("int")
+    p = spectrum.select(key, r.alias("r"), F.log(F.col("power") + 1e-10).alias("p")).where(F.col("r") < n).groupBy(key, "r").agg(F.avg("p").alias("p"))
+    fit = (F.col("r") >= 3) & (F.col("p") > 0)
+    a, b = F.when(fit, F.log(F.col("r").cast("double"))), F.when(fit, F.log("p"))
+    s = p.groupBy(key).agg(F.sum("p").alias("all"), F.sum(F.when(F.col("r") >= n * 7 // 10, F.col("p")).otherwise(0.0)).alias("hf"), F.count(a).alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * b).alias("sab"), F.sum(a * a).alias("saa"))
+    slope = F.when(F.col("n") > 2, (F.col("n") * F.col("sab") - F.col("sa") * F.col("sb")) / (F.col("n") * F.col("saa") - F.col("sa") * F.col("sa") + 1e-10)).otherwise(-2.0)
+    return s.select(key, (F.col("hf") / (F.col("all") + 1e-10)).alias("high"), slope.alias("slope"))
+
+
+def catalog_by_vendor(df: DataFrame, vendor: str, model: str) -> DataFrame:
+    """(vendor, n, model): each model with its vendor, 'Other' for none, and how many that vendor has; counts are joined, so no vendor's models meet in one row."""
+    own = df.select(F.coalesce(F.nullif(vendor, F.lit("")), F.lit("Other")).alias("vendor"), F.col(model).alias("model"))
+    return own.join(own.groupBy("vendor").agg(F.count("*").alias("n")), "vendor").select("vendor", "n", "model")
+
+
+def rank_in_group(df: DataFrame, group: str, *order: Column) -> DataFrame:
+    """df with rank: the place of each row in its group by order, from 1, with groups of any size.
+
+    Rows are range-partitioned and sorted; a row's place in the whole is its
+    place in the partition and the sizes of the partitions before, and the
+    rank is the distance from the first place of its group.
+    """
+    ranged = df.repartitionByRange(F.col(group).asc_nulls_last(), *order).sortWithinPartitions(F.col(group).asc_nulls_last(), *order)
+    placed = cut(ranged.withColumn("_i", F.monotonically_increasing_id())).withColumns({"_part": F.shiftright("_i", 33), "_at": F.col("_i").bitwiseAND((1 << 33) - 1)})
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    # a row a partition
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = placed.join(F.broadcast(before), "_part").withColumn("_at", F.col("_at") + F.col("_before"))
+    first = placed.groupBy(F.col(group).alias("_g")).agg(F.min("_at").alias("_first"))
+    out = placed.join(first, F.col(group).eqNullSafe(F.col("_g")))
+    return out.withColumn("rank", F.col("_at") - F.col("_first") + 1).drop("_i", "_part", "_at", "_before", "_g", "_first")
+
+
 def weighted_mean(score: Column, weight: Column) -> Column:
     """0.5 without weight."""
     return F.coalesce(F.sum(score * weight) / F.nullif(F.sum(weight), F.lit(0.0)), F.lit(0.5))

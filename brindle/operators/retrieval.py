@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from brindle.functions.scalars import contains_word, tokenize
+from brindle.functions.queries import parse_query
+from brindle.functions.scalars import contains_word, token_count, tokenize
+from brindle.operators import vectors
+from brindle.operators.relational import scope
+from brindle.session import stored
 from brindle.sources.loaders import spread
 
 K1, B, RRF_PAIR, RRF_LISTS = 1.2, 0.75, 30, 60
@@ -32,29 +36,64 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def corpus_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One row: n_docs, avg_len (over at least one document)."""
-    return spread(docs.select(text_col)).agg(F.count("*").alias("n_docs"), (F.coalesce(F.sum(F.size(tokenize(text_col))), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avg_len"))
+    return spread(docs.select(text_col)).agg(F.count("*").alias("n_docs"), (F.coalesce(F.sum(token_count(text_col)), F.lit(0)) / F.greatest(F.count("*"), F.lit(1))).alias("avg_len"))
+
+
+def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, df, n_docs, avg_len): texts are read once, and a task sends each of its terms once; a row without a term carries the totals."""
+    t = spread(docs.select(text_col)).select(F.coalesce(tokenize(text_col), F.array().cast("array<string>")).alias("t"))
+    own = t.select(F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("t"))).alias("term"), F.size("t").alias("n"))
+    counts = own.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("n"))).alias("n"))
+    counts = stored(counts, "frequencies")
+    totals = counts.where("term is null").select(F.col("df").alias("n_docs"), (F.col("n") / F.greatest("df", F.lit(1))).alias("avg_len"))
+    return counts.where("term is not null").select("term", "df").join(F.broadcast(totals))
+
+
+def write_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", project: str | None = None, vault: str | None = None, buckets: int = 256) -> None:
+    """Store the index of docs under path for many queries: postings by a hash of the term, frequencies, and lengths with the project of each document. Documents whose vault column holds are left out."""
+    open_docs = docs.where(~F.coalesce(F.col(vault), F.lit(False))) if vault else docs
+    p = postings(open_docs, id_col, text_col)
+    p.withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")).repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+    document_frequencies(open_docs, text_col).write.mode("overwrite").parquet(f"{path}/frequencies")
+    scoped = F.coalesce(F.col(project), F.lit("")) if project else F.lit("")
+    open_docs.select(F.col(id_col).alias("id"), scoped.alias("project"), F.octet_length(text_col).alias("bytes")).write.mode("overwrite").parquet(f"{path}/documents")
+
+
+def read_index(spark, path: str, terms: DataFrame | None = None, buckets: int = 256) -> DataFrame:
+    """(term, id, tf, positions, doc_len, df, n_docs, avg_len) of an index, of the terms asked for only: their buckets are pruned from the scan by a bounded list."""
+    p = spark.read.parquet(f"{path}/postings")
+    if terms is not None:
+        asked = terms.select("term").distinct()
+        found = [r[0] for r in asked.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b")).distinct().collect()]  # at most `buckets` numbers
+        p = p.where(F.col("bucket").isin(found)).join(asked, "term", "left_semi")
+    return p.drop("bucket").join(spark.read.parquet(f"{path}/frequencies"), "term")
 
 
 def with_idf(df: DataFrame, n_docs: str = "n_docs") -> DataFrame:
     return df.withColumn("idf", F.log(1.0 + (F.col(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
 
 
+def bm25_of(counts: DataFrame, stats: DataFrame, terms: DataFrame) -> DataFrame:
+    """(qid, id, score, n_matched, n_terms): BM25 by counts (term, id, tf, doc_len), which need hold no terms but those asked for, stats (n_docs, avg_len) and terms of `query_terms`; repeated query terms count as often as they stand."""
+    df = counts.groupBy("term").agg(F.count("*").alias("df"))
+    scored = with_idf(df.join(F.broadcast(stats)))
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    hits = counts.join(scored, "term").withColumn("part", part).join(terms, "term")
+    return hits.groupBy("qid", "id", "n_terms").agg(F.sum(F.col("part") * F.col("times")).alias("score"), F.count("*").alias("n_matched"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, every_term: bool = False) -> DataFrame:
     """(qid, id, score, n_matched): BM25 of each document that has a term (or every term) of each query.
 
     Only terms that queries ask for are counted and shuffled: the corpus'
-    tokens meet the distinct query terms first. Repeated query terms count
-    as often as they stand.
+    tokens meet the distinct query terms first, and the few counts that are
+    left are stored for the frequencies and the scores.
     """
     terms = query_terms(queries)
     asked = terms.select("term").distinct()
     found = spread(docs.select("doc_id", "text")).select(F.col("doc_id").alias("id"), tokenize("text").alias("t")).select("id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).join(asked, "term")
-    counts = found.groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf"))
-    df = counts.groupBy("term").agg(F.count("*").alias("df"))
-    scored = with_idf(df.crossJoin(F.broadcast(corpus_stats(docs))))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
-    hits = counts.join(scored, "term").withColumn("part", part).join(terms, "term")
-    out = hits.groupBy("qid", "id", "n_terms").agg(F.sum(F.col("part") * F.col("times")).alias("score"), F.count("*").alias("n_matched"))
+    counts = stored(found.groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf")), "asked-terms")
+    out = bm25_of(counts, corpus_stats(docs), terms)
     if every_term:
         out = out.where("n_matched = n_terms")
     return out.select("qid", "id", "score", "n_matched")
@@ -113,6 +152,14 @@ def ngram_bag(df: DataFrame, key: str, text: str, n: int = 3) -> DataFrame:
     return grams.groupBy(key, "gram").agg(F.count("*").alias("n"))
 
 
+def shared_cosine(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(x, y, cosine) of the bags a (x, gram, n), a stated query set, and b (y, gram, n) that share a gram: one join, whose products are summed before the shuffle."""
+    na = a.groupBy("x").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("na"))
+    nb = b.groupBy("y").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("nb"))
+    dot = a.withColumnRenamed("n", "n1").join(b.withColumnRenamed("n", "n2"), "gram").groupBy("x", "y").agg(F.sum(F.col("n1") * F.col("n2")).alias("dot"))
+    return dot.join(na, "x").join(nb, "y").select("x", "y", (F.col("dot") / (F.col("na") * F.col("nb"))).alias("cosine"))
+
+
 def sparse_cosine(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     """pairs (x, y) with cosine of the bags a (x, gram, n) and b (y, gram, n); 0 if either is empty."""
     na = a.groupBy("x").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("na"))
@@ -137,6 +184,53 @@ def rrf_fuse_lists(a: DataFrame, b: DataFrame, limit: int, k: int = RRF_LISTS) -
     return top_k(scored, limit)
 
 
+def parsed_terms(queries: DataFrame) -> DataFrame:
+    """(qid, part, kind, bytes, terms) of queries (qid, query): the parts of each parsed search string, with the tokens that they must match and the length of the part."""
+    parts = queries.select("qid", F.posexplode(parse_query(F.col("query"))).alias("part", "p"))
+    return parts.select("qid", "part", "p.kind", F.octet_length("p.term").alias("bytes"), tokenize("p.term").alias("terms")).where(F.size("terms") > 0)
+
+
+def part_matches(index: DataFrame, parts: DataFrame) -> DataFrame:
+    """(qid, part, id) of the documents of index (term, id, positions) that hold each part: a phrase's tokens in a row, a prefix's last token as the start of one, else the token. Joins by terms throughout."""
+    key = F.struct("qid", "part")
+    rows = parts.select(key.alias("qid"), "kind", "terms")
+    single = rows.where("kind <> 'prefix' and size(terms) = 1").select("qid", F.col("terms")[0].alias("term"))
+    found = index.select("term", "id").join(single, "term").select("qid", "id")
+    found = found.union(match_phrase(index, rows.where("kind <> 'prefix' and size(terms) > 1").select("qid", F.col("terms").alias("phrase"))))
+    found = found.union(match_prefix(index, rows.where("kind = 'prefix'").select("qid", F.element_at("terms", -1).alias("prefix"))))
+    return found.distinct().select("qid.qid", "qid.part", "id")
+
+
+def search_ladder(index: DataFrame, parts: DataFrame) -> DataFrame:
+    """(qid, id, stage) of the first stage that finds anything: 1 all parts, 2 all parts of more than two bytes, 3 any part of three bytes or more, where there are two such at least."""
+    hits = part_matches(index, parts).join(parts.select("qid", "part", (F.col("bytes") > 2).alias("long")), ["qid", "part"])
+    n = parts.groupBy("qid").agg(F.count("*").alias("n"), F.count(F.when(F.col("bytes") > 2, 1)).alias("n_long"))
+    g = hits.groupBy("qid", "id").agg(F.count("*").alias("k"), F.count(F.when(F.col("long"), 1)).alias("k_long")).join(n, "qid")
+    stage = F.when(F.col("k") == F.col("n"), 1).when((F.col("n_long") > 0) & (F.col("k_long") == F.col("n_long")), 2).when((F.col("n_long") > 1) & (F.col("k_long") > 0), 3)
+    g = g.select("qid", "id", stage.alias("stage")).where("stage is not null")
+    best = g.groupBy("qid").agg(F.min("stage").alias("stage"))
+    return g.join(best, ["qid", "stage"]).select("qid", "id", "stage")
+
+
+def full_text_search(docs: DataFrame, queries: DataFrame, limit: int, project: str = "", project_col: str = "project") -> DataFrame:
+    """(qid, id, score, stage, rank): the best `limit` documents of docs (doc_id, text, project) that the ladder of each parsed query finds, by BM25 of the query's tokens in the scoped documents' corpus (rank 0 where a document holds prefixes only)."""
+    index = stored(postings(docs), "postings")
+    own = scope(docs, project, project_col).select(F.col("doc_id").alias("id"))
+    parts = stored(parsed_terms(queries), "parsed")
+    found = search_ladder(index, parts).join(own, "id", "left_semi")
+    scored = bm25_of(index.select("term", "id", "tf", "doc_len"), corpus_stats(docs), query_terms(queries))
+    both = found.join(scored, ["qid", "id"], "left").select("qid", "id", F.coalesce("score", F.lit(0.0)).alias("score"), "stage")
+    return top_k(both, limit)
+
+
+def hybrid_search(docs: DataFrame, queries: DataFrame, corpus_vectors: DataFrame, query_vectors: DataFrame, limit: int = 10, project: str = "", min_score: float = 0.8, project_col: str = "project") -> DataFrame:
+    """(qid, id, score, rank): full-text and vector search (corpus id, vector; queries qid, vector) of three times `limit` each in the documents of a project, fused."""
+    full = full_text_search(docs, queries, 3 * limit, project, project_col)
+    own = scope(docs, project, project_col).select(F.col("doc_id").alias("id"))
+    near = vectors.vector_topk(query_vectors, corpus_vectors.join(own, "id", "left_semi"), 3 * limit)
+    return vectors.hybrid_fuse(full, near, limit, min_score)
+
+
 def idea_search(docs: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     """(qid, id, rrf_score, rank): documents with every query term, by BM25 (twice it if the first line has a query term) and by cosine of byte triples, fused."""
     scored = bm25(docs, queries, every_term=True)
@@ -151,3 +245,8 @@ def idea_search(docs: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     cos = sparse_cosine(bags, texts, pairs).withColumnsRenamed({"x": "qid", "y": "id"})
     fused = rrf_pair(hit.join(cos, ["qid", "id"]), "bm25", "cosine")
     return top_k(fused.select("qid", "id", "rrf_score"), k, by="rrf_score")
+
+
+def random_ideas(docs: DataFrame, n: int, seed: int, key: str = "doc_id") -> DataFrame:
+    """n rows in the order of a seeded hash of key; the same seed gives the same rows."""
+    return docs.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)

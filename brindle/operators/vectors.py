@@ -170,7 +170,7 @@ def hybrid_fuse(fts: DataFrame, vec: DataFrame, limit: int, min_score: float = 0
     v = vec.select("qid", "id", F.col("score").alias("v"))
     both = f.join(v, ["qid", "id"], "full_outer")
     score = F.when(F.col("f").isNotNull() & F.col("v").isNotNull(), F.greatest("f", "v") + 0.2).when(F.col("f").isNotNull(), F.col("f")).when(F.col("v") >= min_score, F.col("v") * 0.5)
-    w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
+    w = W.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "id")  # sums of floats differ in their last digits
     return both.select("qid", "id", score.alias("score")).where("score is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 

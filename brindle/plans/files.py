@@ -18,10 +18,10 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
-def ideas_json(spark, d, path):
+def ideas_json(spark, d, path, which="true"):
     """documents as files of a JSON array each: a folder a thousand ids, so that no array grows with the table."""
     entry = F.struct(F.col("source").alias("title"), F.col("text").alias("prompt"), F.array(F.concat(F.lit("img/"), "doc_id")).alias("image_urls"), F.col("doc_id").cast("string").alias("source_url"), "lang")
-    g = docs(spark, d).groupBy(F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value"))
+    g = docs(spark, d).where(which).groupBy(F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value"))
     g.write.partitionBy("part").text(path)
 
 
@@ -46,12 +46,17 @@ def src_02(spark, d):
     return loaders.load_ideas_csv(spark, path).select("title", "prompt", F.col("image_urls")[0].alias("image"), "source_url", "author", "lang")
 
 
-@query("src_03", "select 'json' as kind, source_url, n from (select doc_id::varchar as source_url, length(text) as n from documents) union all select 'csv', doc_id::varchar, length(text) from documents where trim(text) <> ''")
+@query("src_03", """select n, name, source_url, len from (select 0 as n, 'a.json' as name, doc_id::varchar as source_url, length(text) as len from documents
+union all select 1, 'b.csv', doc_id::varchar, length(text) from documents where trim(text) <> '' union all select 4, 'e.json', doc_id::varchar, length(text) from documents where doc_id % 2 = 0)""")
 def src_03(spark, d):
+    """A folder whose third and fourth sources, a broken array and a table without contents, count for nothing."""
     path = scratch(spark, "ideas")
     ideas_json(spark, d, path + "/a.json")
     ideas_csv(spark, d, path + "/b.csv")
-    return loaders.scan_sources(spark, path).select(F.regexp_extract("file", r"/[ab]\.(json|csv)/", 1).alias("kind"), "source_url", F.length("prompt").cast("long").alias("n"))
+    docs(spark, d).select(F.concat(F.lit('[{"title": "'), "doc_id").alias("value")).write.text(path + "/c.json")
+    docs(spark, d).select("doc_id").write.option("header", True).csv(path + "/d.csv")
+    ideas_json(spark, d, path + "/e.json", "doc_id % 2 = 0")
+    return loaders.scan_sources(spark, path).select("n", "name", "source_url", F.length("prompt").cast("long").alias("len"))
 
 
 @query("src_04", "select source, 'txt' as ext, cast(sum(strlen(text) + 1) as bigint) as bytes from documents group by 1")
@@ -62,15 +67,26 @@ def src_04(spark, d):
     return files.groupBy("source", "ext").agg(F.sum("length").alias("bytes"))
 
 
-@query("src_05", """with f as (select doc_id, text, ['txt', 'py', 'html', 'pdf', 'bin'][doc_id % 5 + 1] as ext from documents)
-select doc_id, case ext when 'pdf' then 'unsupported: pdf' when 'bin' then 'binary' end as error, case ext when 'txt' then text when 'py' then '```py' || chr(10) || text || chr(10) || '```' || chr(10) when 'html' then 'Source: d/' || doc_id || chr(10) || chr(10) || text end as markdown from f""")
+KINDS = ("txt", "PY", "yml", "json", "xhtml", "mdown", "pdf", "docx", "bin", "log")
+
+
+@query("src_05", f"""with f as (select doc_id, case when doc_id % 10 = 8 then chr(0) || text else text end as text, {list(KINDS)}[doc_id % 10 + 1] as ext from documents)
+select doc_id, case ext when 'pdf' then 'unsupported: pdf' when 'docx' then 'unsupported: docx' when 'bin' then 'unsupported file type: .bin' end as error, case when ext in ('txt', 'mdown', 'log') then text when ext = 'PY' then '```PY' || chr(10) || text || chr(10) || '```' when ext = 'json' then '```json' || chr(10) || text || chr(10) || '```'
+when ext = 'yml' then '```yaml' || chr(10) || text || chr(10) || '```' when ext = 'xhtml' then 'Source: d/' || doc_id || repeat(chr(10), 2) || '```html' || chr(10) || text || chr(10) || '```' end as markdown from f""")
 def src_05(spark, d):
-    ext = F.element_at(F.array(*map(F.lit, ("txt", "py", "html", "pdf", "bin"))), (F.col("doc_id") % 5 + 1).cast("int"))
+    ext = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 10 + 1).cast("int"))
     content = F.encode(F.when(ext == "bin", F.concat(F.lit("\0"), "text")).otherwise(F.col("text")), "UTF-8")
     files = docs(spark, d).select("doc_id", F.concat(F.lit("d/"), "doc_id").alias("path"), ext.alias("ext"), content.alias("content"))
     return loaders.load_document(files).select("doc_id", "error", "markdown")
 
 
+@query("src_06_sizes", "select page_id, case when strlen(html) * 4000 > 10485760 then 'page too large' end as error from pages where page_id % 5 = 0")
+def src_06_sizes(spark, d):
+    """Every fifth page blown up: what is beyond the limit carries an error."""
+    big = table(spark, d, "pages").where("page_id % 5 = 0").withColumn("html", F.repeat("html", 4000))
+    return loaders.ingest_pages(big).select("page_id", "error")
+
+
 @query("src_06")
 def src_06(spark, d):
     return loaders.ingest_pages(table(spark, d, "pages"))
@@ -78,11 +94,16 @@ def src_06(spark, d):
 
 @query("src_09", "select p_partkey::varchar as id, p_name as name, p_type as media_type, case when p_partkey % 4 > 0 then p_brand end as vendor, p_retailprice as price from part")
 def src_09(spark, d):
+    """A catalog of pages of a thousand, with pages after the one that reaches the total, which are left out."""
     path = scratch(spark, "catalog")
     vendor = F.when(F.col("p_partkey") % 4 > 0, F.struct(F.col("p_brand").alias("name")))
     model = F.struct(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("media_type"), vendor.alias("vendor"), F.struct(F.col("p_retailprice").alias("price")).alias("pricing"))
-    pages = table(spark, d, "part").groupBy(F.floor(F.col("p_partkey") / 1000).alias("page")).agg(F.collect_list(model).alias("models"))
-    pages.select("page", F.to_json(F.struct(F.struct("page", "models").alias("data"))).alias("value")).write.partitionBy("page").text(path)
+    parts = table(spark, d, "part")
+    total = parts.agg(F.count("*").alias("total"))
+    later = parts.where("p_partkey % 1000 = 1")
+    rows = parts.select(F.floor(F.col("p_partkey") / 1000).alias("page"), model.alias("m")).union(later.select(F.col("p_partkey") + 10**9, model))
+    pages = rows.groupBy("page").agg(F.collect_list("m").alias("models")).crossJoin(total)
+    pages.select("page", F.to_json(F.struct(F.lit(True).alias("success"), F.struct("total", "page", "models").alias("data"))).alias("value")).write.partitionBy("page").text(path)
     return loaders.load_catalog_pages(spark, path).select("id", "name", "media_type", F.col("vendor.name").alias("vendor"), F.col("pricing.price").alias("price"))
 
 
@@ -95,17 +116,22 @@ def saved_files(spark, d):
     at = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 28).cast("int")).cast("timestamp")
     project = F.when(F.col("doc_id") % 10 == 0, "").otherwise(F.col("source"))
     sinks.save_doc_files(docs(spark, d).select(S.checksum("text").alias("id"), at.alias("created_at"), project.alias("project"), F.substring_index("text", "\n", 1).alias("title"), "text"), path)
-    return spark.read.parquet(path)
+    return sinks.load_doc_files(spark, path)
 
 
-@query("snk_04", SAVED)
+@query("snk_04", f"select distinct project_dir, name, text from ({SAVED})")
 def snk_04(spark, d):
     return saved_files(spark, d).select("project_dir", "name", "text")
 
 
-@query("snk_05", f"select sha256(text) as id, case when project_dir = 'global' then '' else project_dir end as project, regexp_extract(name, '^[^-]*-(.*)[.]md$', 1) as title, strlen(text) as size from ({SAVED})")
+@query("snk_05", f"select sha256(text) as id, case when project_dir = 'global' then '' else project_dir end as project, regexp_extract(name, '^[^-]*-(.*)[.]md$', 1) as title, strlen(text) as size, true as whole from (select distinct project_dir, name, text from ({SAVED}))")
 def snk_05(spark, d):
-    return sinks.reindex(saved_files(spark, d))["documents"]
+    """Each document with whether its chunks are numbered without a gap and have a vector each."""
+    t = sinks.reindex(saved_files(spark, d), 16)
+    key = ["project", "name"]
+    own = t["chunks"].join(t["embeddings"], "chunk_id", "left").groupBy(*key).agg(F.count("*").alias("n"), F.count_distinct("chunk_index").alias("k"), F.max("chunk_index").alias("last"), F.min(F.coalesce(F.size("vector"), F.lit(0))).alias("dim"))
+    whole = (F.col("dim") == 16) & (F.col("n") == F.col("k")) & (F.col("n") == F.col("last") + 1)
+    return t["documents"].join(own, key, "left").select("id", "project", "title", "size", whole.alias("whole"))
 
 
 @query("snk_08", "select doc_id as n, '## ' || doc_id || '. ' || source || repeat(chr(10), 2) || '```' || chr(10) || text || chr(10) || '```' || repeat(chr(10), 2) || '![](img/' || doc_id || ')' || repeat(chr(10), 2) || 'a · u' as markdown from documents")
@@ -157,13 +183,16 @@ def sc_10(spark, d):
     return links.select("page_id", loaders.resolve(F.col("url"), F.col("href")).alias("link")).distinct()
 
 
-EXTS = ("md", "html", "go", "json", "yml", "pdf", "docx", "png", "PY", "mp3")
+EXTS = ("md", "markdown", "mdown", "txt", "pdf", "docx", "go", "py", "rs", "ts", "tsx", "js", "jsx", "java", "c", "cpp", "h", "hpp", "rb", "php", "sh", "bash", "swift", "kt", "scala", "json", "yaml", "yml", "html", "htm", "xhtml", "png", "jpg", "jpeg", "jfif", "gif", "webp", "bmp", "wav", "mp3", "flac", "ogg", "opus", "aac", "m4a", "pcm", "PY", "PNG", "rst", "")
 
 
-@query("sc_12", f"with e as (select p_partkey, lower({list(EXTS)}[p_partkey % 10 + 1]) as e from part) select p_partkey, case when e = 'md' then 'text' when e in ('go', 'py') then 'code' when e = 'yml' then 'yaml' when e in ('html', 'json', 'pdf', 'docx') then e else 'unknown' end as kind, case e when 'png' then 'image/png' when 'mp3' then 'audio/mpeg' else 'application/octet-stream' end as mime from e")
+@query("sc_12", f"""with e as (select p_partkey, {list(EXTS)}[p_partkey % {len(EXTS)} + 1] as raw from part), l as (select *, lower(raw) as e from e)
+select p_partkey, case when e in ('md', 'markdown', 'mdown') then 'markdown' when e = 'txt' then 'text' when e in ('yaml', 'yml') then 'yaml' when e in ('html', 'htm', 'xhtml') then 'html' when e in ('json', 'pdf', 'docx') then e
+when e in ('go', 'py', 'rs', 'ts', 'tsx', 'js', 'jsx', 'java', 'c', 'cpp', 'h', 'hpp', 'rb', 'php', 'sh', 'bash', 'swift', 'kt', 'scala') then 'code' else 'unknown' end as kind,
+case when raw in ('jpg', 'jpeg', 'jfif') then 'image/jpeg' when raw in ('png', 'gif', 'webp', 'bmp') then 'image/' || raw else '' end as mime, e in ('wav', 'mp3', 'flac', 'ogg', 'opus', 'aac', 'm4a', 'pcm') as audio, e in ('png', 'jpg', 'jpeg', 'jfif', 'gif', 'webp', 'bmp') as image from l""")
 def sc_12(spark, d):
-    ext = F.element_at(F.array(*map(F.lit, EXTS)), (F.col("p_partkey") % 10 + 1).cast("int"))
-    return table(spark, d, "part").select("p_partkey", S.file_kind(ext).alias("kind"), S.mime_type(ext).alias("mime"))
+    ext = F.element_at(F.array(*map(F.lit, EXTS)), (F.col("p_partkey") % len(EXTS) + 1).cast("int"))
+    return table(spark, d, "part").select("p_partkey", S.file_kind(ext).alias("kind"), S.mime_type(ext).alias("mime"), S.is_audio(ext).alias("audio"), S.is_image(ext).alias("image"))
 
 
 @query("sc_18", r"select doc_id, regexp_replace(lang || upper(lang[1]) || source, '([a-z0-9])([A-Z])', '\1 \2', 'g') as spaced, case when length(text) > 160 then substr(text, 1, 160) || '...' else text end as short, regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]') as control from documents")
@@ -187,14 +216,21 @@ def sc_22(spark, d):
     return table(spark, d, "part").select("p_partkey", F.when(even, x).otherwise(F.concat(x, F.lit("="))).alias("x"))
 
 
-@query("txt_01", r"select doc_id, regexp_replace(regexp_replace(replace(text, 'e', '猫'), '(猫)([A-Za-z0-9])', '\1 \2', 'g'), '([A-Za-z0-9])(猫)', '\1 \2', 'g') as x from documents")
+@query("txt_01", r"""with t as (select doc_id, replace(replace(replace(replace(text, 'e', '猫'), 'th', '（'), 'an', '）'), 'o', '。') as t from documents)
+select doc_id, regexp_replace(regexp_replace(t, '([猫）。])([A-Za-z0-9])', '\1 \2', 'g'), '([A-Za-z0-9])([猫（。])', '\1 \2', 'g') as x from t""")
 def txt_01(spark, d):
-    return docs(spark, d).select("doc_id", S.cjk_latin_spacing(F.replace("text", F.lit("e"), F.lit("猫"))).alias("x"))
+    t = F.col("text")
+    for old, new in (("e", "猫"), ("th", "（"), ("an", "）"), ("o", "。")):
+        t = F.replace(t, F.lit(old), F.lit(new))
+    return docs(spark, d).select("doc_id", S.cjk_latin_spacing(t).alias("x"))
 
 
-@query("txt_03")
+@query("txt_03", """with t as (select doc_id, string_split(translate(text, 'lo', '10') || ['a1', 'b0', ' 1', '00'][doc_id % 4 + 1], '') as s from documents),
+x as (select doc_id, s, list_transform(range(1, len(s) + 1), lambda i: case when s[i] in ('0', '1') and i > 1 and regexp_matches(s[i - 1], '^[A-Za-z]$') then
+case when i = len(s) then case s[i] when '1' then 'l' else 'o' end when regexp_matches(s[i + 1], '^[A-Za-z]$') then case s[i] when '1' then 'l' else 'O' end else s[i] end else s[i] end) as f from t) select doc_id, array_to_string(f, '') as x from x""")
 def txt_03(spark, d):
-    return docs(spark, d).select("doc_id", S.fix_digit_confusion(F.translate("text", "lo", "10")).alias("x"))
+    end = F.element_at(F.array(*map(F.lit, ("a1", "b0", " 1", "00"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return docs(spark, d).select("doc_id", S.fix_digit_confusion(F.concat(F.translate("text", "lo", "10"), end)).alias("x"))
 
 
 def letters():
@@ -207,13 +243,13 @@ def dictionary(spark, d):
     return w.where("length(term) >= 2").distinct()
 
 
-@query("txt_06", """with t as (select distinct unnest(regexp_extract_all(lower(text), '[a-z'']+')) as t from (select text from documents where doc_id % 2 = 0 union all select text from benchmark)), d as (select t from t where length(t) >= 2), w as (select distinct unnest(regexp_extract_all(lower(text), '[a-z'']+')) as w from documents where doc_id % 2 = 1),
+@query("txt_06", """with t as (select distinct unnest(regexp_extract_all(lower(text), '[a-z'']+')) as t from (select text from documents where doc_id % 2 = 0 union all select text from benchmark)), d as (select t from t where length(t) >= 2), w as (select distinct unnest(regexp_extract_all(lower(text), '[a-z'']+')) as w from documents),
 x as (select w, length(w) as n from w where length(w) > 1 or w in ('a', 'i')),
 f as (select w, w as t from x union all select w, left(w, n - 2) from x where ends_with(w, '''s') union all select w, left(w, n - 1) from x where ends_with(w, 's') and n > 3 union all select w, left(w, n - 3) || 'y' from x where ends_with(w, 'ies') and n > 4 union all select w, left(w, n - 2) from x where ends_with(w, 'ed') and n > 4 union all select w, left(w, n - 1) from x where ends_with(w, 'ed') and n > 4
 union all select w, left(w, n - 3) from x where ends_with(w, 'ing') and n > 5 union all select w, left(w, n - 3) || 'e' from x where ends_with(w, 'ing') and n > 5 union all select w, left(w, n - 2) from x where ends_with(w, 'er') and n > 4 union all select w, left(w, n - 3) from x where ends_with(w, 'est') and n > 5)
 select distinct w as word from f where t in (select t from d)""")
 def txt_06(spark, d):
-    words = docs(spark, d).where("doc_id % 2 = 1").select(F.explode(letters()).alias("word"))
+    words = docs(spark, d).select(F.explode(letters()).alias("word"))
     return spelling.known_words(words, dictionary(spark, d))
 
 
@@ -229,12 +265,12 @@ def txt_08(spark, d):
     return spelling.split_words(joined, dictionary(spark, d))
 
 
-@query("med_02", r"select p_partkey, case when p_partkey % 2 = 0 then 'OpenAI' end as vendor, case when p_partkey % 3 = 0 then 'Adobe Firefly ' || p_size end as software, case when p_partkey % 5 = 0 then 'trained Algorithmic Media' end as source from part")
+@query("med_02", r"select p_partkey, case when p_partkey % 2 = 0 then 'by OpenAI API' end as vendor, case when p_partkey % 3 = 0 then 'Adobe Firefly ' || p_size end as software, case when p_partkey % 7 = 0 then '2.0.1' when p_partkey % 7 = 1 then '3.14.15' end as version, case when p_partkey % 5 = 0 then 'trained Algorithmic Media' end as source from part")
 def med_02(spark, d):
     k = F.col("p_partkey")
-    text = F.concat_ws("\x01", "p_brand", F.when(k % 2 == 0, "by OpenAI API"), F.when(k % 3 == 0, F.concat(F.lit("Adobe Firefly "), "p_size")), F.when(k % 5 == 0, "http://example.org/digitalsourcetype/trainedAlgorithmicMedia"), "p_type")
+    text = F.concat_ws("\x01", "p_brand", F.lit("2.0"), F.when(k % 2 == 0, "by OpenAI API"), F.when(k % 3 == 0, F.concat(F.lit("Adobe Firefly "), "p_size")), F.when(k % 7 == 0, "2.0.1"), F.when(k % 7 == 1, "3.14.15"), F.lit("4.5 is too long a run"), F.when(k % 5 == 0, "http://example.org/digitalsourcetype/trainedAlgorithmicMedia"), "p_type")
     c = provenance.c2pa_strings(text)
-    return table(spark, d, "part").select("p_partkey", c["vendor"].alias("vendor"), c["software"].alias("software"), F.nullif(c["source"], F.lit("")).alias("source"))
+    return table(spark, d, "part").select("p_partkey", *(c[x].alias(x) for x in ("vendor", "software", "version", "source")))
 
 
 def be32(n):
@@ -268,9 +304,10 @@ def med_04(spark, d):
     return provenance.score_pixels(pictures(spark, d), "vec_id").select("vec_id", *(F.round(c, 4).alias(c) for c in ("fft", "slope", "high")), "error")
 
 
-@query("med_05", "select p_partkey, round((case when p_size < 1 then 8e-1 when p_size < 3 then 6e-1 when p_size < 8 then 4e-1 else 2e-1 end + case when p_partkey % 15 > 10 then 7e-1 when p_partkey % 15 > 3 then 5e-1 else 3e-1 end) / 2, 6) as x from part")
+@query("med_05", """with m as (select p_partkey, (p_size % 16) / 1e2 as std, p_partkey % 15 - 3 as k from part)
+select p_partkey, round(case when std < 15e-3 then 7e-1 when std < 3e-2 then 55e-2 when std > 12e-2 then 6e-1 when std > 8e-2 then 4e-1 else 2e-1 end * 5e-1 + case when k > 10 then 8e-1 when k > 5 then 6e-1 when k < -1 then 6e-1 else 3e-1 end * 5e-1, 6) as x from m""")
 def med_05(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.round(provenance.noise_band(F.col("p_size"), F.col("p_partkey") % 15), 6).alias("x"))
+    return table(spark, d, "part").select("p_partkey", F.round(provenance.noise_band((F.col("p_size") % 16) / 1e2, F.col("p_partkey") % 15 - 3), 6).alias("x"))
 
 
 @query("med_05_moments")
@@ -279,25 +316,37 @@ def med_05_moments(spark, d):
 
 
 def jpeg(k):
-    """Bytes of an image file: by k mod 4 none, one without tables, one with a flat luminance table and one with the usual one."""
-    table_of = lambda values: F.unhex(F.lit("FFD8FFDB004300" + bytes(values).hex() + "FFDA0000"))
-    return F.when(k % 4 == 0, F.unhex(F.lit("474946"))).when(k % 4 == 1, F.unhex(F.lit("FFD8FFDA0000"))).when(k % 4 == 2, table_of([200] * 64)).otherwise(table_of(provenance.LUMINANCE))
+    """Bytes of an image file: by k mod 9 none, one without tables, one with an unusual table, the usual luminance, the usual chrominance, three segments, a third unusual segment, both usual tables in one segment, and a 16-bit table."""
+    seg = lambda values, head=0: "FFDB0043" + bytes([head, *values]).hex()
+    usual, colour, flat = seg(provenance.LUMINANCE), seg(provenance.CHROMINANCE, 1), seg([200] * 64)
+    pair = "FFDB0084" + bytes([0, *provenance.LUMINANCE, 1, *provenance.CHROMINANCE]).hex()
+    bodies = ("", flat, usual, colour, usual * 2 + colour, usual + colour + flat, pair, seg(provenance.LUMINANCE, 16))
+    made = F.when(k % 9 == 0, F.unhex(F.lit("474946")))
+    for i, body in enumerate(bodies, 1):
+        made = made.when(k % 9 == i, F.unhex(F.lit("FFD8FFD0" + body + "FFDA")))
+    return made
+
+
+JPEG = "[-1e0, 4e-1, 65e-2, 45e-2, 45e-2, 25e-2, 25e-2, 45e-2, 65e-2][doc_id % 9 + 1]"
 
 
-@query("med_06", "select doc_id, [-1e0, 4e-1, 65e-2, 45e-2][doc_id % 4 + 1] as score from documents")
+@query("med_06", f"select doc_id, {JPEG} as score from documents")
 def med_06(spark, d):
     return docs(spark, d).select("doc_id", provenance.jpeg_scores(F.concat(jpeg(F.col("doc_id")), F.encode("text", "UTF-8"))).alias("score"))
 
 
-@query("med_11", "select doc_id, case when doc_id % 5 = 0 then 'no content' end as error, case when doc_id % 5 > 0 then round((55e-1 + greatest([-1e0, 4e-1, 65e-2, 45e-2][doc_id % 4 + 1], 0) * 20) / case when doc_id % 4 = 0 then 10 else 30 end, 6) end as rate from documents")
+@query("med_11", f"""with j as (select doc_id, {JPEG} as j, doc_id % 4 = 0 as n from documents)
+select doc_id, case when doc_id % 5 = 0 then 'no content' end as error, case when doc_id % 5 > 0 then round((55e-1 + greatest(j, 0) * 20 + case when n then 65e-1 else 0 end) / (10 + case when j >= 0 then 20 else 0 end + case when n then 10 else 0 end), 6) end as rate from j""")
 def med_11(spark, d):
-    items = docs(spark, d).select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 > 0, jpeg(F.col("doc_id"))).alias("content"))
+    """A quarter of the items have an even picture, too small for a spectrum but not for its noise."""
+    even = F.when(F.col("doc_id") % 4 == 0, F.array_repeat(F.array_repeat(F.lit(99.0), 20), 20))
+    items = docs(spark, d).select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 > 0, jpeg(F.col("doc_id"))).alias("content"), even.alias("pixels"))
     return provenance.score_items(items).select(F.col("id").alias("doc_id"), "error", F.round("rate", 6).alias("rate"))
 
 
-@query("ser_02", """with r as (select event_type, date_trunc('day', ts) as day, quantile_disc(value, 2e-2) as lo, quantile_disc(value, 98e-2) as hi from events group by all),
-l as (select event_type, day, list(lo) over w as lo, list(hi) over w as hi from r window w as (partition by event_type order by day rows between 399 preceding and current row))
-select event_type, strftime(day, '%Y-%m-%d') as day, round(list_reduce(lo, lambda y, x: 9e-1 * y + 1e-1 * x), 6) as lo_s, round(list_reduce(hi, lambda y, x: 9e-1 * y + 1e-1 * x), 6) as hi_s from l""")
+@query("ser_02", """with recursive r as (select event_type, date_trunc('day', ts) as day, quantile_disc(value, 2e-2) as lo, quantile_disc(value, 98e-2) as hi from events group by all), s as (select *, row_number() over (partition by event_type order by day) as n from r),
+l as (select event_type, day, n, lo, hi from s where n = 1 union all select s.event_type, s.day, s.n, 9e-1 * l.lo + 1e-1 * s.lo, 9e-1 * l.hi + 1e-1 * s.hi from l join s on s.event_type = l.event_type and s.n = l.n + 1)
+select event_type, strftime(day, '%Y-%m-%d') as day, round(lo, 6) as lo_s, round(hi, 6) as hi_s from l""")
 def ser_02(spark, d):
     ends = [F.expr(f"percentile_disc({p}) within group (order by value)").alias(c) for p, c in ((0.02, "lo"), (0.98, "hi"))]
     r = table(spark, d, "events").groupBy("event_type", F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd").alias("day")).agg(*ends)
@@ -332,10 +381,11 @@ def udf_01(spark, d):
     return v.select("doc_id", F.size("v").alias("dim"), F.col("v")[0].alias("x"))
 
 
-@query("udf_02", "select item_id as qid, doc_id as id, cast(length(d.text) as double) / length(b.text) as score from benchmark b join documents d on doc_id % 40 = item_id % 40 qualify row_number() over (partition by item_id order by cast(length(d.text) as double) / length(b.text) desc, doc_id) <= 3")
+@query("udf_02", "select item_id as qid, doc_id as id, cast(length(d.text) as double) / length(b.text) as score from benchmark b, documents d where item_id % 50 = 0 qualify row_number() over (partition by item_id order by cast(length(d.text) as double) / length(b.text) desc, doc_id) <= 3")
 def udf_02(spark, d):
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("q"), (F.col("item_id") % 40).alias("k"))
-    r = docs(spark, d).select(F.col("doc_id").alias("id"), "text", (F.col("doc_id") % 40).alias("k")).join(b, "k").withColumn("score", F.lit(0.0))
+    """The items whose number 50 divides, each against all documents."""
+    b = table(spark, d, "benchmark").where("item_id % 50 = 0").select(F.col("item_id").alias("qid"), F.col("text").alias("q"))
+    r = docs(spark, d).select(F.col("doc_id").alias("id"), "text").crossJoin(b).withColumn("score", F.lit(0.0))
     score = extensions.scorer(lambda q, t: len(t) / len(q))
     return vectors.rerank(r, score(F.col("q"), F.col("text")), 3).select("qid", "id", "score")
 

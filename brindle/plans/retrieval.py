@@ -8,7 +8,9 @@ from pyspark.sql import Window as W
 from brindle.functions import scalars as S
 from brindle.operators import retrieval as R
 from brindle.operators import vectors as V
+from brindle.operators.relational import rank_in_group
 from brindle.plans.registry import query, table
+from brindle.sources.sinks import results_json
 
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{Nd}}]+')"
 T = TOKENS.format("text")
@@ -47,8 +49,7 @@ def bm_01(spark, d):
 
 @query("bm_02", WITH + "select term, df, n_docs, round(avg_len, 6) as avg_len from df, st")
 def bm_02(spark, d):
-    x = docs(spark, d)
-    return R.term_counts(x).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(R.corpus_stats(x))).select("term", "df", "n_docs", F.round("avg_len", 6).alias("avg_len"))
+    return R.document_frequencies(docs(spark, d)).select("term", "df", "n_docs", F.round("avg_len", 6).alias("avg_len"))
 
 
 @query("bm_03", WITH + "select term, round(ln(1e0 + (n_docs - df + 5e-1) / (df + 5e-1)), 6) as idf from df, st")
@@ -61,13 +62,15 @@ def bm_04(spark, d):
     return R.top_k(R.bm25(docs(spark, d), asked(spark, d)), 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("bm_05", rf"""
-with q as (select item_id as qid, unnest(list_distinct(list_filter({T}, lambda x: length(x) >= 4)[1:2])) as term from benchmark)
-select qid, doc_id, bool_or(regexp_matches(lower(split_part(text, chr(10), 1)), '(^|[^a-z0-9])' || term || '($|[^a-z0-9])')) as boosted from documents, q where qid < 5 group by all""")
+@query("bm_05", WITH + """, q2 as (select distinct qid, term from qt)
+select s.qid, s.id as doc_id, bool_or(regexp_matches(lower(split_part(text, chr(10), 1)), '(^|[^a-z0-9])' || term || '($|[^a-z0-9])')) as boosted from s join documents on id = doc_id join q2 using (qid) group by all""")
 def bm_05(spark, d):
-    terms = R.query_terms(asked(spark, d).where("qid < 5")).select("qid", "term")
-    hit = S.contains_word(F.substring_index("text", "\n", 1), F.col("term"))
-    return docs(spark, d).crossJoin(F.broadcast(terms)).groupBy("qid", "doc_id").agg(F.bool_or(hit).alias("boosted"))
+    """All documents that have a term of a query, and whether their first line doubles their score."""
+    hits = R.bm25(docs(spark, d), asked(spark, d)).select("qid", "id")
+    terms = R.query_terms(asked(spark, d)).groupBy("qid").agg(F.collect_set("term").alias("terms"))
+    lines = docs(spark, d).select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("line"))
+    boosted = F.exists("terms", lambda t: S.contains_word("line", t))
+    return hits.join(terms, "qid").join(lines, "id").select("qid", F.col("id").alias("doc_id"), boosted.alias("boosted"))
 
 
 @query("bm_06", r"with b as (select item_id, regexp_replace(lower(text), '[^\x00-\x7F]', '?', 'g') as t from benchmark), g as (select item_id, hex(substr(t, i, 3)) as gram from b, unnest(range(1, length(t) - 1)) as u(i)) select item_id, gram, count(*) as n from g group by all")
@@ -78,13 +81,13 @@ def bm_06(spark, d):
 @query("bm_07", r"""
 with b as (select item_id, regexp_replace(lower(text), '[^\x00-\x7F]', '?', 'g') as t from benchmark), g as (select item_id, substr(t, i, 3) as gram, count(*) as n from b, unnest(range(1, length(t) - 1)) as u(i) group by all),
 l as (select item_id, sqrt(sum(n * n)) as len from g group by 1),
-p as (select a.item_id as x, b.item_id as y, sum(a.n * b.n) as dot from g a join g b on a.gram = b.gram and a.item_id < b.item_id group by all)
+p as (select a.item_id as x, b.item_id as y, sum(a.n * b.n) as dot from g a join g b on a.gram = b.gram where a.item_id % 50 = 0 group by all)
 select x, y, round(dot / (la.len * lb.len), 6) as cosine from p join l la on x = la.item_id join l lb on y = lb.item_id""")
 def bm_07(spark, d):
+    """The items whose number 50 divides against all."""
     bag = R.ngram_bag(ascii_benchmark(spark, d), "item_id", "text")
-    a, b = bag.withColumnRenamed("item_id", "x"), bag.withColumnRenamed("item_id", "y")
-    pairs = a.select("x", "gram").join(b.select("y", "gram"), "gram").where("x < y").select("x", "y").distinct()
-    return R.sparse_cosine(a, b, pairs).select("x", "y", F.round("cosine", 6).alias("cosine"))
+    a, b = bag.where("item_id % 50 = 0").withColumnRenamed("item_id", "x"), bag.withColumnRenamed("item_id", "y")
+    return R.shared_cosine(a, b).select("x", "y", F.round("cosine", 6).alias("cosine"))
 
 
 @query("bm_08", WITH + """, r as (select qid, id, row_number() over (partition by qid order by score desc, id) as r1, row_number() over (partition by qid order by n_matched desc, id) as r2 from s)
@@ -93,9 +96,17 @@ def bm_08(spark, d):
     return R.rrf_pair(R.bm25(docs(spark, d), asked(spark, d)), "score", "n_matched").select("qid", "id", "rrf_score")
 
 
-@query("bm_09")
+@query("bm_09", WITH.replace("from documents)", "from plain)").replace("with ", r"with plain as (select doc_id, regexp_replace(text, '[^\x00-\x7F]', '?', 'g') as text from documents), ", 1) + r""", h as (select s.qid, s.id, score, text from s join plain on id = doc_id where n_matched = n_terms),
+b as (select h.qid, h.id, any_value(text) as text, any_value(score) * case when bool_or(regexp_matches(lower(split_part(text, chr(10), 1)), '(^|[^a-z0-9])' || term || '($|[^a-z0-9])')) then 2 else 1 end as bm25 from h join qt using (qid) group by all),
+gd as (select id, substr(t, i, 3) as gram, count(*) as n from (select distinct id, lower(text) as t from b), unnest(range(1, length(t) - 1)) as u(i) group by all), gq as (select qid, substr(t, i, 3) as gram, count(*) as n from (select qid, lower(query) as t from q), unnest(range(1, length(t) - 1)) as u(i) group by all),
+ld as (select id, sqrt(sum(n * n)) as l from gd group by 1), lq as (select qid, sqrt(sum(n * n)) as l from gq group by 1), dots as (select b.qid, b.id, sum(gq.n * gd.n) as dot from b join gq using (qid) join gd on gd.id = b.id and gd.gram = gq.gram group by all),
+cc as (select b.qid, b.id, bm25, coalesce(dot / (lq.l * ld.l), 0e0) as cosine from b left join dots using (qid, id) left join lq using (qid) left join ld using (id)),
+r as (select qid, id, cast(floor((1e0 / (30 + row_number() over (partition by qid order by bm25 desc, id)) + 1e0 / (30 + row_number() over (partition by qid order by cosine desc, id))) * 1000) as bigint) as rrf_score from cc)
+select * from (select qid, id, rrf_score, row_number() over (partition by qid order by rrf_score desc, id) as rank from r) where rank <= 8""")
 def bm_09(spark, d):
-    return R.idea_search(docs(spark, d), asked(spark, d), 8)
+    """Over ASCII texts, where bytes are characters."""
+    plain = docs(spark, d).withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
+    return R.idea_search(plain, asked(spark, d), 8)
 
 
 @query("bm_10", WITH + """, a as (select * from (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from s) where rank <= 10),
@@ -109,9 +120,12 @@ def bm_10(spark, d):
     return R.rrf_fuse_lists(a, b, 10).select("qid", "id", F.round("score", 9).alias("score"), "rank")
 
 
-@query("bm_11", "select count(*) as n, count(distinct doc_id) as k from (select doc_id from documents limit 25)")
+@query("bm_11", "select least(25, count(*)) as n, true as same, true as known from documents")
 def bm_11(spark, d):
-    return docs(spark, d).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(25).agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("k"))
+    """25 ideas by a seed: as many as there are, the same ones again, all of them documents."""
+    a, b = (R.random_ideas(docs(spark, d), 25, 7).select("doc_id") for _ in range(2))
+    both = a.join(b.withColumn("again", F.lit(True)), "doc_id", "left").join(docs(spark, d).select("doc_id", F.lit(True).alias("known")).distinct(), "doc_id", "left")
+    return both.agg(F.count("*").alias("n"), F.bool_and(F.coalesce("again", F.lit(False))).alias("same"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known"))
 
 
 @query("fts_01")
@@ -167,15 +181,6 @@ def fts_08(spark, d):
     return R.top_k(R.bm25(docs(spark, d), asked(spark, d), every_term=True), 20).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("fts_09")
-def fts_09(spark, d):
-    q = asked(spark, d)
-    full = R.top_k(R.bm25(docs(spark, d), q, every_term=True), 60)
-    qv = V.embed_texts(q, "qid", "query", 64)
-    dv = V.embed_texts(docs(spark, d).select(F.col("doc_id").alias("id"), "text"), "id", "text", 64)
-    return V.hybrid_fuse(full, V.vector_topk(qv, dv, 60), 20)
-
-
 E = "(select vec_id, label, embedding::double[] as v from embeddings)"
 
 
@@ -193,11 +198,12 @@ def vec_02(spark, d):
     return g.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("g")).alias("chars"))
 
 
-@query("vec_03", f"select a.vec_id, b.vec_id as other, round(list_cosine_similarity(a.v, b.v), 6) as cosine from {E} a join {E} b on a.label = b.label and a.vec_id < b.vec_id where a.vec_id < 100")
+@query("vec_03", f"select a.vec_id, b.vec_id as other, round(list_cosine_similarity(a.v, b.v), 6) as cosine from {E} a join {E} b on a.label = b.label where a.vec_id % 50 = 0")
 def vec_03(spark, d):
+    """The vectors whose number 50 divides against all of their label."""
     e = table(spark, d, "embeddings")
     b = e.select(F.col("vec_id").alias("other"), "label", F.col("embedding").alias("v"))
-    return e.where("vec_id < 100").join(b, "label").where("vec_id < other").select("vec_id", "other", F.round(V.cosine("embedding", "v"), 6).alias("cosine"))
+    return e.where("vec_id % 50 = 0").join(b, "label").select("vec_id", "other", F.round(V.cosine("embedding", "v"), 6).alias("cosine"))
 
 
 @query("vec_04", f"select * from (select a.vec_id as qid, b.vec_id as id, round(list_cosine_similarity(a.v, b.v), 6) as score, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.v, b.v), 12) desc, b.vec_id) as rank from {E} a, {E} b) where rank <= 20")
@@ -220,18 +226,36 @@ def vec_06(spark, d):
 
 
 HYBRID = WITH + f"""{LADDER}, f as (select * from (select s.qid, s.id, row_number() over (partition by s.qid order by score desc, s.id) as rank from s join one using (qid, id)) where rank <= 60),
-v as (select qid, vec_id as id, list_cosine_similarity(v, (select v from {E} where vec_id = 0)) as score from {E}, q),
+v as (select * from (select a.vec_id as qid, b.vec_id as id, list_cosine_similarity(a.v, b.v) as score, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.v, b.v), 12) desc, b.vec_id) as rank from {E} a join q on q.qid = a.vec_id, {E} b) where rank <= 60),
 h as (select qid, id, case when f.id is not null and v.id is not null then greatest((20 - (f.rank - 1)) / 20e0, v.score) + 2e-1 when f.id is not null then (20 - (f.rank - 1)) / 20e0 when v.score >= 8e-1 then v.score * 5e-1 end as score
-  from f full join v using (qid, id)), hy as (select qid, id, score, row_number() over (partition by qid order by score desc, id) as rank from h where score is not null)"""
+  from f full join v using (qid, id)), hy as (select qid, id, score, row_number() over (partition by qid order by round(score, 12) desc, id) as rank from h where score is not null)"""
+
+
+def query_vectors(spark, d):
+    """The vector of each query: that of its number."""
+    return table(spark, d, "embeddings").join(asked(spark, d).select(F.col("qid").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+
+
+def corpus_vectors(spark, d):
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
 
 
 def hybrid(spark, d):
-    """Full-text ranks fused with the similarity of vectors of the same number to the first one."""
+    """Full-text ranks fused with the nearest vectors; vectors and documents meet by their numbers."""
     f = R.top_k(R.bm25(docs(spark, d), asked(spark, d), every_term=True), 60)
-    e = table(spark, d, "embeddings")
-    zero = e.where("vec_id = 0").select(F.col("embedding").alias("z"))
-    v = e.crossJoin(F.broadcast(zero)).select(F.col("vec_id").alias("id"), V.cosine("embedding", "z").alias("score")).crossJoin(F.broadcast(asked(spark, d).select("qid")))
-    return V.hybrid_fuse(f, v, 20)
+    return V.hybrid_fuse(f, V.vector_topk(query_vectors(spark, d), corpus_vectors(spark, d), 60), 20)
+
+
+@query("fts_09", WITH + f""", p as (select qid, term, strlen(term) as b from qt), hit as (select p.qid, p.term, c.id, any_value(b) as b from p join c on c.term = p.term or (b <= 3 and starts_with(c.term, p.term)) group by all),
+n as (select qid, count(*) as n, count(*) filter (where b > 2) as nl from p group by 1), g as (select qid, id, count(*) as k, count(*) filter (where b > 2) as kl from hit group by all),
+st1 as (select qid, id, case when k = n then 1 when nl > 0 and kl = nl then 2 when nl > 1 and kl > 0 then 3 end as stage from g join n using (qid)), lad as (select qid, id from (select *, min(stage) over (partition by qid) as m from st1 where stage is not null) where stage = m),
+own as (select doc_id as id from documents where source = 'src0'), f as (select * from (select lad.qid, lad.id, row_number() over (partition by lad.qid order by coalesce(score, 0) desc, lad.id) as rank from lad join own using (id) left join s using (qid, id)) where rank <= 30),
+v as (select * from (select a.vec_id as qid, b.vec_id as id, list_cosine_similarity(a.v, b.v) as score, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.v, b.v), 12) desc, b.vec_id) as rank from {E} a join q on q.qid = a.vec_id, {E} b join own on own.id = b.vec_id) where rank <= 30),
+h as (select qid, id, case when f.id is not null and v.id is not null then greatest((10 - (f.rank - 1)) / 10e0, v.score) + 2e-1 when f.id is not null then (10 - (f.rank - 1)) / 10e0 when v.score >= 8e-1 then v.score * 5e-1 end as score from f full join v using (qid, id))
+select * from (select qid, id, round(score, 6) as score, row_number() over (partition by qid order by round(score, 12) desc, id) as rank from h where score is not null) where rank <= 10""")
+def fts_09(spark, d):
+    """Parsed queries, their ladder, BM25 and vectors in the documents of one source."""
+    return R.hybrid_search(docs(spark, d), asked(spark, d), corpus_vectors(spark, d), query_vectors(spark, d), 10, "src0", project_col="source").select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("vec_07", HYBRID + " select qid, id, round(score, 6) as score, rank from hy where rank <= 20")
@@ -274,13 +298,20 @@ def so_03(spark, d):
 
 @query("wn_01", "select doc_id, row_number() over (partition by source order by n_chars desc, doc_id) as rank from documents")
 def wn_01(spark, d):
-    return docs(spark, d).select("doc_id", F.row_number().over(W.partitionBy("source").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
+    return rank_in_group(docs(spark, d).select("doc_id", "source", "n_chars"), "source", F.desc("n_chars"), F.asc("doc_id")).select("doc_id", "rank")
 
 
-@query("jn_07", "select item_id, doc_id, item_id * 1000 + doc_id as x from benchmark, documents where item_id < 10")
+@query("jn_07", "select item_id, doc_id, item_id * 1000 + doc_id as x from benchmark, documents where item_id % 50 = 0")
 def jn_07(spark, d):
-    q = table(spark, d, "benchmark").where("item_id < 10").select("item_id")
-    return docs(spark, d).select("doc_id").crossJoin(F.broadcast(q)).select("item_id", "doc_id", (F.col("item_id") * 1000 + F.col("doc_id")).alias("x"))
+    """The items whose number 50 divides, with all documents."""
+    q = table(spark, d, "benchmark").where("item_id % 50 = 0").select("item_id")
+    return docs(spark, d).select("doc_id").crossJoin(q).select("item_id", "doc_id", (F.col("item_id") * 1000 + F.col("doc_id")).alias("x"))
+
+
+@query("snk_07", WITH + """, r as (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from s), t as (select qid, count(*) as total from r where rank <= 10 group by 1)
+select qid, total, '[' || string_agg('{"rank":' || rank || ',"id":' || id || '}', ',' order by rank) || ']' as results from r join t using (qid) where rank <= 10 group by all""")
+def snk_07(spark, d):
+    return results_json(R.top_k(R.bm25(docs(spark, d), asked(spark, d)), 10), "qid", ["rank", "id"])
 
 
 @query("jn_08", WITH + ", a as (select id, max(score) as a from s where qid % 2 = 0 group by 1), b as (select id, max(score) as b from s where qid % 2 = 1 group by 1) select id, round(a, 6) as a, round(b, 6) as b from a full join b using (id)")

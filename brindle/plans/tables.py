@@ -63,11 +63,16 @@ def flt_10(spark, d):
 HREF = r"""regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"', 1)"""
 
 
-@query("src_08", f"select page_id, href from (select page_id, unnest({HREF}) as href from pages) group by all")
+LINKS = rf"""with l as (select page_id, url, unnest({HREF}) as href from pages)
+select distinct page_id, case when regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then href when starts_with(href, '//') then regexp_extract(url, '^[a-z]+:') || href when starts_with(href, '/') then regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href
+when starts_with(href, '#') then regexp_extract(url, '^[^#]*') || case when href = '#' then '' else href end else '?' end as link from l"""
+
+
+@query("src_08", LINKS)
 def src_08(spark, d):
-    from brindle.sources.loaders import raw_links
+    from brindle.sources.loaders import extract_links
 
-    return raw_links(table(spark, d, "pages")).select("page_id", "href").distinct()
+    return extract_links(table(spark, d, "pages"))
 
 
 @query("flt_11", rf"""with l as (select page_id, url, {HREF} as hs from pages), x as (select page_id, url, unnest(hs) as href, unnest(range(len(hs))) as pos from l),
@@ -84,10 +89,12 @@ def flt_12(spark, d):
     return docs(spark, d).withColumn("lang", F.coalesce("lang", F.lit("en"))).where(F.col("lang").isin("en", "zh") & (F.trim("text") != "")).select("doc_id", "lang")
 
 
-@query("flt_13", "select page_id, not contains(html, chr(0)) as is_text, starts_with(ltrim(html), '<') as is_html from pages")
+@query("flt_13", "select page_id, not contains(html, chr(0)) as is_text, starts_with(ltrim(html), '<') as is_html, page_id % 6 between 1 and 4 as image from pages")
 def flt_13(spark, d):
     b = F.encode("html", "UTF-8")
-    return table(spark, d, "pages").select("page_id", (F.locate("\0", F.decode(b, "ISO-8859-1")) == 0).alias("is_text"), F.ltrim(F.decode(F.substring(b, 1, 512), "ISO-8859-1")).startswith("<").alias("is_html"))
+    starts = ("", "89504E47", "FFD8FF", "47494638", "524946460000000057454250", "5249464600000000574542")
+    magic = F.unhex(F.element_at(F.array(*map(F.lit, starts)), (F.col("page_id") % 6 + 1).cast("int")))
+    return table(spark, d, "pages").select("page_id", (F.locate("\0", F.decode(b, "ISO-8859-1")) == 0).alias("is_text"), F.ltrim(F.decode(F.substring(b, 1, 512), "ISO-8859-1")).startswith("<").alias("is_html"), S.is_likely_image(F.concat(magic, b)).alias("image"))
 
 
 @query("flt_14", "select p_partkey, p_type from part where p_type = (select min(p_type) from part)")
@@ -96,7 +103,7 @@ def flt_14(spark, d):
     return p.join(F.broadcast(p.agg(F.min("p_type").alias("p_type"))), "p_type").select("p_partkey", "p_type")
 
 
-@query("flt_15", f"with {LINES}, x as (select doc_id, n, regexp_replace(line, '\\s', '', 'g') as t from lines) select doc_id, n, length(t) > 0 and length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) > 0 as english from x")
+@query("flt_15", f"with {LINES}, x as (select doc_id, n, regexp_replace(line, '[ 极]', '', 'g') as t from lines) select doc_id, n, length(t) > 0 and length(regexp_replace(t, '[^\\x00-\\x7F]', '', 'g')) > 0 as english from x")
 def flt_15(spark, d):
     return lines(spark, d).select("doc_id", "n", S.is_english_line("line").alias("english"))
 
@@ -139,24 +146,29 @@ def jn_05(spark, d):
     return relational.entity_provider(x, t).select("p_partkey", "provider")
 
 
-@query("jn_06", r"with r as (select 1 as n, 'com' as dom, 'commercial' as p union all select 2, 'org', 'organisation' union all select 3, 'example', 'sample'), h as (select page_id, lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) as h from pages) select page_id, arg_min(p, n) as provider from h left join r on h = dom or ends_with(h, '.' || dom) group by 1")
+@query("jn_06", r"with r as (select 1 as n, 'com' as dom, 'commercial' as p union all select 2, 'org', 'organisation' union all select 3, 'example.org', 'sample'), h as (select page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) as h from pages), m as (select page_id, any_value(url) as url, arg_min(p, n) as p from h left join r on h = dom or ends_with(h, '.' || dom) group by 1) select page_id, case when p = 'organisation' and (ends_with(url, '=x') or ends_with(url, '=x/')) then 'compatible' else coalesce(p, 'any') end as provider from m")
 def jn_06(spark, d):
-    r = spark.createDataFrame([(1, "com", "commercial"), (2, "org", "organisation"), (3, "example", "sample")], "rule_no int, domain string, provider string")
-    return relational.provider_of_host(table(spark, d, "pages"), r).select("page_id", "provider")
+    r = spark.createDataFrame([(1, "com", "commercial", None, None), (2, "org", "organisation", "=x", "compatible"), (3, "example.org", "sample", None, None)], "rule_no int, domain string, provider string, suffix string, suffix_provider string")
+    return relational.provider_of_host(table(spark, d, "pages"), r, default="any").select("page_id", "provider")
 
 
-@query("jn_09", "select page_id from pages where url not in (select url from pages where page_id % 5 = 0)")
+@query("jn_09", "select page_id from pages where url not in (select url from pages where page_id % 5 = 0 or page_id % 7 = 0)")
 def jn_09(spark, d):
+    """Statuses of pages: missing, unreachable or fine."""
+    k = F.col("page_id")
     p = table(spark, d, "pages")
-    return p.join(p.where("page_id % 5 = 0").select("url").distinct(), "url", "left_anti").select("page_id")
+    return relational.without_dead_urls(p, p.select("url", F.when(k % 5 == 0, 404).when(k % 7 == 0, None).otherwise(200 + k % 2 * 101).alias("status"))).select("page_id")
 
 
 WORDS = r"regexp_extract_all(lower(text), '[a-z]+')"
 
 
-@query("jn_10", f"with w as (select distinct word from (select unnest({WORDS}) as word from documents where doc_id % 10 = 0) where length(word) >= 4), t as (select distinct term from (select unnest({WORDS}) as term from benchmark)), m as (select word, term, levenshtein(word, term) as x from w join t on abs(length(word) - length(term)) <= 1) select word, arg_min(term, (x, term)) as suggestion from m where x <= 1 group by word")
+DELETIONS = "unnest(list_distinct(list_append(list_transform(range(1, length({0}) + 1), lambda i: left({0}, i - 1) || substr({0}, i + 1)), {0})))"
+
+
+@query("jn_10", f"with w as (select distinct word from (select unnest({WORDS}) as word from documents) where length(word) >= 4), t as (select distinct term from (select unnest({WORDS}) as term from benchmark)), a as (select word, {DELETIONS.format('word')} as k from w), b as (select term, {DELETIONS.format('term')} as k from t), m as (select distinct word, term, levenshtein(word, term) as x from a join b using (k)) select word, arg_min(term, (x, term)) as suggestion from m where x <= 1 group by word")
 def jn_10(spark, d):
-    w = docs(spark, d).where("doc_id % 10 = 0").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    w = docs(spark, d).select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("word"))
     t = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("term"))
     return relational.within_one_edit(w, t)
 
@@ -171,11 +183,10 @@ def ag_02(spark, d):
     return relational.duplicate_groups(docs(spark, d), "doc_id", S.checksum("text"))
 
 
-@query("ag_03", "select coalesce(nullif(case when s_suppkey % 7 = 0 then '' else s_name end, ''), 'Other') as vendor, count(*) as n, array_to_string(list(s_suppkey order by s_suppkey), ',') as models from supplier group by 1")
+@query("ag_03", "with s as (select s_suppkey, coalesce(nullif(case when s_suppkey % 7 = 0 then '' when s_suppkey % 7 = 1 then null else s_name end, ''), 'Other') as vendor from supplier) select vendor, count(*) over (partition by vendor) as n, s_suppkey as model from s")
 def ag_03(spark, d):
-    s = table(spark, d, "supplier").withColumn("v", F.when(F.col("s_suppkey") % 7 == 0, "").otherwise(F.col("s_name")))
-    g = s.groupBy(F.coalesce(F.nullif("v", F.lit("")), F.lit("Other")).alias("vendor")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("s_suppkey")).alias("m"))
-    return g.select("vendor", "n", F.array_join(F.transform("m", lambda x: x.cast("string")), ",").alias("models"))
+    s = table(spark, d, "supplier").withColumn("v", F.when(F.col("s_suppkey") % 7 == 0, "").when(F.col("s_suppkey") % 7 > 1, F.col("s_name")))
+    return relational.catalog_by_vendor(s, "v", "s_suppkey")
 
 
 @query("ag_04", "select p_brand as size, arg_min(p_type, (p_retailprice, p_type)) as quality, min(p_retailprice) as price from part group by 1")
@@ -188,9 +199,12 @@ def ag_05(spark, d):
     return table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.round(relational.weighted_mean(F.col("l_discount"), F.col("l_quantity")), 6).alias("mean"))
 
 
-@query("ag_06", "select role, sum(cast(ceil(length(text) / 4e0) as bigint)) as tokens, count(*) as n from conversations group by 1")
+@query("ag_06", """with u as (select 'm' || conv_id % 3 as model, role = 'assistant' as made, cast(ceil(length(text) / 4e0) as bigint) as n from conversations)
+select model, cast(coalesce(sum(n) filter (where not made), 0) as bigint) as prompt_tokens, cast(coalesce(sum(n) filter (where made), 0) as bigint) as completion_tokens, cast(coalesce(sum(n), 0) as bigint) as total_tokens, round(coalesce(sum(n) filter (where made), 0) * 2e-6, 6) as cost from u group by 1""")
 def ag_06(spark, d):
-    return table(spark, d, "conversations").groupBy("role").agg(F.sum(S.count_tokens("text").cast("long")).alias("tokens"), F.count("*").alias("n"))
+    n, made = S.count_tokens("text").cast("long"), F.col("role") == "assistant"
+    u = table(spark, d, "conversations").select(F.concat(F.lit("m"), F.col("conv_id") % 3).alias("model"), F.when(~made, n).alias("prompt_tokens"), F.when(made, n).alias("completion_tokens"), F.when(made, n * 2e-6).alias("cost"))
+    return relational.usage_totals(u).withColumn("cost", F.round("cost", 6))
 
 
 @query("ag_07", "select c_nationkey, round(sum(c_acctbal), 2) as remain, bool_or(c_acctbal > 9900) as unlimited from customer group by 1")
@@ -214,9 +228,16 @@ def ag_10(spark, d):
     return relational.is_scanned(table(spark, d, "conversations"), "conv_id", "text")
 
 
-@query("ag_11", "select event_type, round(regr_slope(ln(value + 1e0), ln(event_id + 1e0)), 6) as slope from events where value > 0 group by 1")
+@query("ag_11", """with e as (select vec_id, embedding::double[] as v from embeddings), s as (select vec_id, cast(floor(sqrt((x - 9) * (x - 9) + (y - 9) * (y - 9))) as integer) as r, ln(v[x] * v[y] * v[x] * v[y] * 1e9 + 1e-10) as p from e, unnest(range(1, 17)) as a(x), unnest(range(1, 17)) as b(y)),
+m as (select vec_id, r, avg(p) as p from s where r < 8 group by all), f as (select vec_id, sum(p) as total, coalesce(sum(p) filter (where r >= 5), 0) as hf, list({'a': ln(r::double), 'b': ln(p)}) filter (where r >= 3 and p > 0) as l from m group by 1),
+g as (select vec_id, hf / (total + 1e-10) as high, len(l) as n, list_sum([z.a for z in l]) as sa, list_sum([z.b for z in l]) as sb, list_sum([z.a * z.b for z in l]) as sab, list_sum([z.a * z.a for z in l]) as saa from f)
+select vec_id, round(high, 6) as high, round(case when n > 2 then (n * sab - sa * sb) / (n * saa - sa * sa + 1e-10) else -2e0 end, 6) as slope from g""")
 def ag_11(spark, d):
-    return table(spark, d, "events").where("value > 0").groupBy("event_type").agg(F.round(F.regr_slope(F.log(F.col("value") + 1.0), F.log(F.col("event_id") + 1.0)), 6).alias("slope"))
+    """A spectrum of 16 x 16 from each vector."""
+    at = lambda c: F.element_at("embedding", (F.col(c) + 1).cast("int")).cast("double")
+    cells = table(spark, d, "embeddings").withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    p = relational.radial_profile(cells.select("vec_id", "x", "y", (at("x") * at("y") * at("x") * at("y") * 1e9).alias("power")), "vec_id", 16, 16)
+    return p.select("vec_id", F.round("high", 6).alias("high"), F.round("slope", 6).alias("slope"))
 
 
 @query("ag_12", r"select term, count(distinct doc_id) as df from (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) as term from documents) group by 1")
@@ -224,9 +245,11 @@ def ag_12(spark, d):
     return docs(spark, d).select(F.explode(F.array_distinct(S.tokenize("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-@query("ag_13", "select o_orderstatus as state, count(*) as n, round(sum(o_totalprice), 2) as cost from orders group by 1")
+@query("ag_13", "select case o_orderstatus when 'F' then 'completed' when 'P' then 'failed' else 'open' end as state, count(*) as n, round(sum(o_totalprice), 2) as cost, round(coalesce(sum(o_totalprice / 4) filter (where o_orderkey % 3 > 0), 0), 2) as credits, cast(sum(o_orderkey % 60) as bigint) as actual_time from orders group by 1")
 def ag_13(spark, d):
-    return table(spark, d, "orders").groupBy(F.col("o_orderstatus").alias("state")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("cost"))
+    status = F.when(F.col("o_orderstatus") == "F", "Succeeded").when(F.col("o_orderstatus") == "P", "cancelled").otherwise("in_progress")
+    t = table(spark, d, "orders").select(status.alias("status"), F.col("o_totalprice").alias("cost"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_totalprice") / 4).alias("credits"), (F.col("o_orderkey") % 60).alias("actual_time"))
+    return relational.task_summary(t).withColumns({"cost": F.round("cost", 2), "credits": F.round("credits", 2)})
 
 
 @query("wn_02", "select event_id from events qualify row_number() over (partition by user_id, event_type order by ts, event_id) = 1")
@@ -285,17 +308,23 @@ def st_04(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("b").alias("kind")).unionByName(docs(spark, d).select(F.col("doc_id").alias("id"), F.lit("d").alias("kind")))
 
 
-@query("snk_01", "select doc_id as id, case when doc_id % 3 = 0 then n_chars + 1 else n_chars end as size, doc_id % 100 as created_at from documents")
+@query("snk_01", "select doc_id as id, case when doc_id % 3 = 0 then n_chars + 1 else n_chars end as size, doc_id % 100 as created_at, case when doc_id % 3 = 0 then 1000 else doc_id % 100 end as updated_at from documents union all select -doc_id - 1, n_chars, 1000, 1000 from documents where doc_id % 7 = 0")
 def snk_01(spark, d):
-    t = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"), (F.col("doc_id") % 100).alias("created_at"))
-    u = t.where("id % 3 = 0").select("id", (F.col("size") + 1).alias("size"), F.lit(1000).cast("long").alias("created_at"))
-    return hygiene.upsert_documents(t, u)
+    """A third of the documents anew, and some that were not there."""
+    t = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"), (F.col("doc_id") % 100).alias("created_at"), (F.col("doc_id") % 100).alias("updated_at"))
+    u = t.where("id % 3 = 0").select("id", (F.col("size") + 1).alias("size")).union(t.where("id % 7 = 0").select(-F.col("id") - 1, "size"))
+    now = F.lit(1000).cast("long")
+    return hygiene.upsert_documents(t, u.withColumn("created_at", now), now)
 
 
-@query("snk_02", f"with {LINES} select doc_id, case when doc_id % 4 = 0 then 1 else n end as n from lines where doc_id % 4 <> 0 or n = 1")
+@query("snk_02", f"with {LINES}, c as (select 'chunks' as t, doc_id, case when doc_id % 4 = 0 then 1 else n end as n from lines where doc_id % 4 <> 0 or n = 1) select * from c union all select 'embeddings', doc_id, n from c union all select 'postings', doc_id, n from c where doc_id % 8 <> 4")
 def snk_02(spark, d):
+    """Every fourth document is given one chunk; every other of those is kept out of the index."""
     c = lines(spark, d).select("doc_id", "n")
-    return hygiene.replace_chunks(c, c.where("doc_id % 4 = 0 and n = 1"))
+    new = c.where("doc_id % 4 = 0 and n = 1")
+    made = hygiene.replace_chunks({"chunks": c, "embeddings": c, "postings": c}, new, new, new.where("doc_id % 8 = 0"))
+    part = lambda k: made[k].select(F.lit(k).alias("t"), "doc_id", "n")
+    return part("chunks").union(part("embeddings")).union(part("postings"))
 
 
 @query("snk_03", f"with {LINES} select 'documents' as t, count(*) as n from documents where doc_id % 3 <> 0 union all select 'chunks', count(*) from lines where doc_id % 3 <> 0")
@@ -311,11 +340,8 @@ def snk_06(spark, d):
     return hygiene.save_vault(docs(spark, d).select("doc_id", F.col("text").alias("content")))
 
 
-@query("snk_07", "select source as qid, count(*) as total, '[' || string_agg('{\"doc_id\":' || doc_id || '}', ',' order by doc_id) || ']' as results from documents group by 1")
-def snk_07(spark, d):
-    from brindle.sources.sinks import results_json
-
-    return results_json(docs(spark, d).select(F.col("source").alias("qid"), "doc_id"), "qid", ["doc_id"])
+def pick(key, *values):
+    return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
 
 
 SC = {
@@ -334,10 +360,9 @@ SC = {
     "sc_25": ("doc_id * 3600e0 + 125e-1", lambda: S.seconds(F.concat(F.col("doc_id").cast("string"), F.lit(":00:12.5")))),
     "sc_26": (r"length(regexp_replace(text, '[\s\p{P}\p{Nd}]', '', 'g'))", lambda: S.meaningful_chars("text")),
     "sc_27": (r"trim(regexp_replace(regexp_replace(replace(text, chr(34), ''), '[+\-*()~]', ' ', 'g'), '\s+', ' ', 'g'))", lambda: S.strip_reserved("text")),
-    "sc_28": (r"levenshtein(regexp_replace(substr(text, 1, 20), '[^\x00-\x7F]', '', 'g'), regexp_replace(substr(text, 11, 20), '[^\x00-\x7F]', '', 'g'))", lambda: F.levenshtein(*(F.regexp_replace(F.substring("text", i, 20), r"[^\x00-\x7F]", "") for i in (1, 11)))),
-    "txt_02": (r"trim(regexp_replace(regexp_replace(regexp_replace(text, '([.,])(\p{L})', '\1 \2', 'g'), '([:;?!])(\S)', '\1 \2', 'g'), ' +', ' ', 'g'))", lambda: S.post_process_line("text")),
+    "txt_02": (r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, 'th', '极') || ' x.y z,9 q.) r:s t;; u?v', '极', ' '), ' +', ' ', 'g'), '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g'), '([.,])([A-Za-z])', '\1 \2', 'g'), '([:;?!])', '\1 ', 'g')", lambda: S.post_process_line(F.concat(F.replace("text", F.lit("th"), F.lit("极")), F.lit(" x.y z,9 q.) r:s t;; u?v")))),
     "txt_04": ("replace(replace(text, 'tion', 'TION'), 'the', 'THE')", lambda: S.apply_corrections("text", {"the": "THE", "tion": "TION"})),
-    "txt_09": ("case when right(text, 1) = '-' then '' else ' ' end", lambda: S.word_separator("text", F.lit("x"))),
+    "txt_09": ("case when doc_id % 4 = 2 and doc_id % 7 in (2, 3, 4) then '' when doc_id % 4 = 1 or right(text, 1) = '-' and doc_id % 4 = 0 then '' when doc_id % 7 in (3, 4, 5, 6) then '' else ' ' end", lambda: S.word_separator(F.concat("text", pick("doc_id", "", "-", "猫", "。a")), pick("doc_id", "x", "9", "ア", "。", "（", "(", "!"))),
 }
 for _name, (_sql, _col) in SC.items():
     query(_name, f"select doc_id, {_sql} as x from documents")(lambda spark, d, c=_col: docs(spark, d).select("doc_id", c().alias("x")))
@@ -354,11 +379,21 @@ for _name, (_sql, _col) in PAGE.items():
     query(_name, f"select page_id, {_sql} as x from pages")(lambda spark, d, c=_col: table(spark, d, "pages").select("page_id", c().alias("x")))
 
 
-@query("sc_14")
+@query("sc_14", r"""with t as (select doc_id, regexp_replace(text, '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g') as t from documents), h as (select *, left(t, list_max(list_filter(range(0, 301), lambda k: strlen(left(t, k)) <= 300))) as h from t),
+p as (select *, case when contains(h, chr(10)) then strlen(split_part(h, chr(10), 1)) else -1 end as nl, strlen(regexp_extract(h, '(?s)^(.*)\. ', 1)) as dot from h)
+select doc_id, case when strlen(t) <= 300 then t when nl > 50 then split_part(t, chr(10), 1) when dot > 50 then regexp_extract(h, '(?s)^(.*)\. ', 1) || '.' else h || '...' end as x from p""")
 def sc_14(spark, d):
     return docs(spark, d).select("doc_id", S.first_paragraph("text").alias("x"))
 
 
+@query("sc_28", r"with w as (select regexp_extract_all(lower(text), '[\p{L}]+') as w from documents), p as (select distinct w[i] as a, w[i + 1] as b from w, unnest(range(1, len(w))) as u(i)) select a, b, levenshtein(a, b) as x from p")
+def sc_28(spark, d):
+    """Each word of the whole texts and the next one."""
+    w = docs(spark, d).select(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0)).alias("w"))
+    pairs = w.select(F.explode(F.arrays_zip(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("p")).select("p.a", "p.b").distinct()
+    return pairs.select("a", "b", S.levenshtein_bytes("a", "b").alias("x"))
+
+
 @query("sc_21", "select p_partkey, printf('$%.4f', p_retailprice) || '/unit' as x from part")
 def sc_21(spark, d):
     return table(spark, d, "part").select("p_partkey", S.format_price("p_retailprice", F.lit("/unit")).alias("x"))
@@ -386,7 +421,10 @@ def med_09(spark, d):
     return fused(spark, d).select("doc_id", F.round("f.rate", 6).alias("rate"), "f.level")
 
 
-@query("med_10")
+@query("med_10", f"""with s as ({SIGNALS}), w as (select doc_id, src, case when camera then 1e-1 * 40 else 55e-2 * 10 end + coalesce(model * 20, 0) + llm * 20 as num, case when camera then 40 else 10 end + case when model is null then 0 else 20 end + 20 as den, camera, model, llm from s)
+select doc_id, case when src is not null then 'C2PA Content Credentials=100%' else case when camera then 'Camera EXIF=10%' else 'No Camera EXIF=55%' end || case when model is null then '' else '; AI Model=' || cast(round(model * 100) as integer) || '%' end || '; LLM Assessment=' || cast(round(llm * 100) as integer) || '%' end as x,
+case when src is not null then '🤖 99%  Confirmed AI-generated' else case when num / den >= 9e-1 then '🤖 ' when num / den >= 65e-2 then '🔴 ' when num / den >= 4e-1 then '🟠 ' when num / den >= 2e-1 then '🟡 ' else '🟢 ' end || cast(floor(num / den * 100 + 5e-1) as integer) || '%  ' ||
+case when num / den >= 9e-1 then 'Confirmed AI-generated' when num / den >= 65e-2 then 'Likely AI-generated' when num / den >= 4e-1 then 'Possibly AI-generated' when num / den >= 2e-1 then 'Slightly suspicious' else 'Likely human-made' end end as summary from w""")
 def med_10(spark, d):
     return fused(spark, d).select("doc_id", provenance.signal_breakdown(F.col("f.signals")).alias("x"), S.level_summary("f.rate").alias("summary"))
 
@@ -405,14 +443,20 @@ def med_07(spark, d):
     return table(spark, d, "part").select("p_partkey", s["likely"].alias("likely"))
 
 
-@query("med_08", "select p_partkey, p_brand as producer from part")
+@query("med_08", """with p as (select p_partkey, lpad((p_partkey % 40)::varchar, 20, '0') as code, p_partkey % 3 as k, lpad((p_size % 40)::varchar, 20, '0') as other from part)
+select p_partkey, case when k < 2 then 'ab' || code || 'zzzzz' end as producer, case when k < 2 and p_partkey % 40 < 20 then 'p' || p_partkey % 40 when k > 0 and cast(other as integer) < 20 then 'p' || cast(other as integer) end as provider from p""")
 def med_08(spark, d):
-    body = F.to_json(F.struct(F.col("p_brand").alias("ContentProducer")))
+    """Labels with a producer, with both, and with a propagator alone; flat and escaped, or nested."""
+    code = lambda c: F.concat(F.lit("ab"), F.lpad((F.col(c) % 40).cast("string"), 20, "0"), F.lit("zzzzz"))
+    k = F.col("p_partkey") % 3
+    body = F.to_json(F.struct(F.when(k < 2, code("p_partkey")).alias("ContentProducer"), F.when(k > 0, code("p_size")).alias("ContentPropagator")))
     text = F.when(F.col("p_partkey") % 2 == 0, F.replace(body, F.lit('"'), F.lit("&quot;"))).otherwise(F.concat(F.lit('{"AIGC":'), body, F.lit("}")))
-    return table(spark, d, "part").select("p_partkey", provenance.parse_tc260(text)["ContentProducer"].alias("producer"))
+    codes = spark.range(20).select(F.lpad(F.col("id").cast("string"), 20, "0").alias("entity"), F.concat(F.lit("p"), "id").alias("provider"))
+    labels = table(spark, d, "part").select("p_partkey", provenance.parse_tc260(text).alias("fields"))
+    return provenance.label_provider(labels, "fields", codes).select("p_partkey", F.col("fields")["ContentProducer"].alias("producer"), "provider")
 
 
-@query("ser_01", "with l as (select user_id, row_number() over w as n, list(value) over (partition by user_id order by ts, event_id rows between 63 preceding and current row) as l from events window w as (partition by user_id order by ts, event_id)) select user_id, n, round(list_reduce(l, lambda y, x: 45e-2 * y + 55e-2 * x), 6) as blended from l")
+@query("ser_01", "with recursive s as (select user_id, row_number() over (partition by user_id order by ts, event_id) as n, value from events), r as (select user_id, n, value as y from s where n = 1 union all select s.user_id, s.n, 45e-2 * r.y + 55e-2 * s.value from r join s on s.user_id = r.user_id and s.n = r.n + 1) select user_id, n, round(y, 6) as blended from r")
 def ser_01(spark, d):
     return series.temporal_blend(table(spark, d, "events"), "user_id", ["ts", "event_id"], "value").withColumn("blended", F.round("blended", 6))
 
@@ -452,27 +496,84 @@ def chk_04(spark, d):
 
 @query("chk_05")
 def chk_05(spark, d):
-    return chunking.chunk(docs(spark, d).where("doc_id = 7")).orderBy("chunk_index")
+    """The chunks of every document, as they are shown."""
+    return chunking.chunk(docs(spark, d)).select("doc_id", "chunk_index", "heading", "content")
 
 
 @query("str_02", "select user_id as task, arg_max(case event_type when 'purchase' then 'completed' when 'error' then 'failed' else 'in_progress' end, (ts, event_id)) as status, count(*) as polls from events group by 1")
 def str_02(spark, d):
     from brindle.streaming.jobs import latest_state
 
-    e = table(spark, d, "events").select(F.col("user_id").alias("task"), "ts", "event_id", F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("in_progress").alias("status"))
-    return latest_state(e)
+    return latest_state(polls(table(spark, d, "events")))
+
+
+def polls(e):
+    return e.select(F.col("user_id").alias("task"), "ts", "event_id", F.when(F.col("event_type") == "purchase", "completed").when(F.col("event_type") == "error", "failed").otherwise("in_progress").alias("status"))
+
+
+TRACKED = """with s as (select user_id as task, arg_max(case event_type when 'purchase' then 'completed' when 'error' then 'failed' else 'in_progress' end, (ts, event_id)) as status, epoch_us(max(ts)) // 1000000 - epoch_us(min(ts)) // 1000000 as span, count(*) as polls from events group by 1)
+select task, status, case when status in ('completed', 'failed') then status when span > 180 then 'timed_out' else 'open' end as state, polls from s"""
+
+
+@query("str_02_states", TRACKED)
+def str_02_states(spark, d):
+    from brindle.streaming.jobs import tracked_tasks
 
+    return tracked_tasks(polls(table(spark, d, "events")))
 
-@query("str_01", "select conv_id, string_agg(text, '' order by turn) as content from conversations where role = 'assistant' group by 1")
+
+@query("str_02_stream", TRACKED)
+def str_02_stream(spark, d):
+    """The same from a stream of polls."""
+    from brindle.session import scratch
+    from brindle.streaming.jobs import tracked_tasks
+
+    source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
+    target = scratch(spark, "tasks")
+    out = tracked_tasks(polls(source)).writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{target}/{n:09d}"))
+    out.option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    # a complete state a micro-batch: the last one counts
+    last = spark.read.parquet(f"{target}/*").select("*", F.regexp_extract(F.input_file_name(), "/([0-9]{9})/", 1).alias("n"))
+    return last.join(last.agg(F.max("n").alias("n")), "n").drop("n")
+
+
+SAID = "select conv_id, string_agg(text, '' order by turn) as content from conversations where role = 'assistant' group by 1"
+
+
+def chat_lines(c):
+    """A line a turn of the assistant, and the end of each conversation."""
+    delta = F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))
+    return c.where("role = 'assistant'").select(F.col("conv_id").alias("response_id"), F.col("turn").alias("seq"), F.concat(F.lit("data: "), F.to_json(delta)).alias("line"))
+
+
+@query("str_01", SAID)
 def str_01(spark, d):
     from brindle.streaming.jobs import assemble_chat
 
-    c = table(spark, d, "conversations").where("role = 'assistant'")
-    delta = F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("delta"))).alias("choices"))
-    return assemble_chat(c.select(F.col("conv_id").alias("response_id"), F.col("turn").alias("seq"), F.concat(F.lit("data: "), F.to_json(delta)).alias("line"))).select(F.col("response_id").alias("conv_id"), "content")
+    return assemble_chat(chat_lines(table(spark, d, "conversations"))).select(F.col("response_id").alias("conv_id"), "content")
+
+
+@query("str_01_stream", SAID)
+def str_01_stream(spark, d):
+    """The same from a stream of lines in several micro-batches, with an end for each response."""
+    from brindle.session import scratch
+    from brindle.streaming.jobs import stream_chat
+
+    lines_path, target = scratch(spark, "lines"), scratch(spark, "said")
+    rows = chat_lines(table(spark, d, "conversations"))
+    ends = rows.groupBy("response_id").agg((F.max("seq") + 1).alias("seq")).withColumn("line", F.lit("data: [DONE]"))
+    for part in (rows.where("seq < 2"), rows.where("seq >= 2").union(ends)):  # a response's end comes last
+        part.repartition(4).write.mode("append").parquet(lines_path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(lines_path)
+    stream_chat(stream, target, scratch(spark, "progress")).awaitTermination()
+    return spark.read.parquet(target).select(F.col("response_id").cast("long").alias("conv_id"), "content")
 
 
-@query("str_03")
+@query("str_03", """with recursive l as (select * from (values ('click', 50, 3600), ('purchase', 0, 86400), ('view', 1000, 86400)) as l(provider, total, span)),
+u as (select event_type as provider, epoch_us(ts) // 1000000 as t, coalesce(total, 0) as total, coalesce(span, 86400) as span from events left join l on provider = event_type),
+w as (select provider, 1 as k, min(t) as start, any_value(span) as span, any_value(total) as total from u group by 1 union all select w.provider, w.k + 1, (select min(u.t) from u where u.provider = w.provider and u.t > w.start + w.span), w.span, w.total from w where w.start is not null),
+e as (select provider, max(k) as windows, max(start) as start, any_value(total) as total from w where start is not null group by 1)
+select e.provider, (select count(*) from u where u.provider = e.provider and u.t >= e.start) as used, e.start as window_start, e.windows, e.total, e.total <= 0 or (select count(*) from u where u.provider = e.provider and u.t >= e.start) < e.total as can_use from e""")
 def str_03(spark, d):
     from brindle.streaming.jobs import quota_ledger
 

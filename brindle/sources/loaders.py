@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
@@ -13,7 +14,7 @@ from pyspark.sql import Window as W
 from brindle.functions.scalars import CJK, FILE_KINDS, file_kind, glob_pattern, host, human_size
 
 IDEAS = "title string, title_zh string, prompt string, prompt_zh string, image_urls array<string>, source_url string, author string, license string, lang string"
-CATALOG = "data struct<total:long,page:long,page_size:long,models:array<struct<id:string,name:string,media_type:string,vendor:struct<name:string>,pricing:struct<price:double,unit:string>,tags:array<string>>>>"
+CATALOG = "success boolean, data struct<total:long,page:long,page_size:long,models:array<struct<id:string,name:string,media_type:string,vendor:struct<name:string>,pricing:struct<price:double,unit:string>,tags:array<string>>>>"
 MOST_PAGE = 10 << 20
 SPREAD_BYTES = 1 << 30
 
@@ -46,10 +47,30 @@ def load_ideas_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(get("title").alias("title"), F.lit(None).cast("string").alias("title_zh"), F.col("content").alias("prompt"), F.when(zh, F.col("content")).alias("prompt_zh"), F.from_json(get("sourceMedia"), "array<string>").alias("image_urls"), get("sourceLink").alias("source_url"), F.get_json_object(get("author"), "$.name").alias("author"), F.lit(None).cast("string").alias("license"), F.when(zh, "zh").otherwise("en").alias("lang")).where(F.trim("prompt") != "")
 
 
+def _children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder, in order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return sorted(f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
+
+
 def scan_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """All JSON and CSV entries of a folder with their file's path, whose order is the order of sources."""
-    parts = load_ideas_json(spark, f"{folder}/*.json"), load_ideas_csv(spark, f"{folder}/*.csv")
-    return parts[0].withColumn("file", F.input_file_name()).unionByName(parts[1].withColumn("file", F.input_file_name()))
+    """(entry, name, n): all entries of the JSON and CSV sources (files, or folders of part files) of a folder, n being a source's place in the order of names. A source that is malformed or has no contents gives no entries and fails nothing."""
+    parts, struct = [], IDEAS.replace(" ", ":").replace(",:", ",")
+    names = [name for name in _children(spark, folder) if name.lower().endswith((".json", ".csv"))]
+    for n, name in enumerate(names):
+        path = f"{folder}/{name}"
+        if name.lower().endswith(".json"):
+            # a file that can't be parsed to its end gives null
+            whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+            found = whole.select(F.explode(F.from_json("value", f"array<struct<{struct}>>")).alias("e")).select("e.*")
+        else:
+            try:
+                found = load_ideas_csv(spark, path)
+            except ValueError:
+                continue
+        parts.append(found.withColumns({"name": F.lit(name), "n": F.lit(n)}))
+    none = spark.createDataFrame([], IDEAS + ", name string, n int")
+    return reduce(DataFrame.unionByName, parts, none)
 
 
 def load_tree(spark: SparkSession, folder: str) -> DataFrame:
@@ -61,12 +82,13 @@ def load_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_document(files: DataFrame) -> DataFrame:
-    """files with markdown and error: text as it is, code fenced, HTML with its source; PDF and binary are errors."""
-    text, kind = F.decode("content", "UTF-8"), file_kind("ext")
-    fence = F.concat(F.lit("```"), F.col("ext"), F.lit("\n"), text, F.lit("\n```\n"))
+    """files with markdown and error: text as it is, code and data fenced, HTML fenced after its source; PDF, DOCX and binary files are errors."""
+    kind = file_kind("ext")
     binary = F.locate("\0", F.decode("content", "ISO-8859-1")) > 0
-    bad = F.when(kind.isin("pdf", "docx"), F.concat(F.lit("unsupported: "), kind)).when((kind == "unknown") & binary, "binary")
-    made = F.when(kind.isin("code", "json", "yaml"), fence).when(kind == "html", F.concat(F.lit("Source: "), F.col("path"), F.lit("\n\n"), text)).otherwise(text)
+    bad = F.when(kind.isin("pdf", "docx"), F.concat(F.lit("unsupported: "), kind)).when((kind == "unknown") & binary, F.concat(F.lit("unsupported file type: ."), F.col("ext")))
+    text = F.when(bad.isNull(), F.decode("content", "UTF-8"))
+    fenced = lambda name: F.concat(F.lit("```"), name, F.lit("\n"), text, F.lit("\n```"))
+    made = F.when(kind == "code", fenced(F.col("ext"))).when(kind.isin("json", "yaml"), fenced(kind)).when(kind == "html", F.concat(F.lit("Source: "), F.col("path"), F.lit("\n\n"), fenced(F.lit("html")))).otherwise(text)
     return files.withColumns({"error": bad, "markdown": F.when(bad.isNull(), made)})
 
 
@@ -120,15 +142,16 @@ def page_markdown(html: str | None) -> tuple[str, str]:
 
 
 def ingest_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, markdown, size); pages over 10 MiB are left out."""
+    """(page_id, url, title, markdown, size, error); pages over 10 MiB carry an error only."""
 
     def run(frames):
         for f in frames:
             made = [page_markdown(h) for h in f["html"]]
             yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"], "title": [t for t, _ in made], "markdown": [m for _, m in made], "size": [len(m.encode()) for _, m in made]})
 
-    fit = pages.where(F.octet_length("html") <= MOST_PAGE).select("page_id", "url", "html")
-    return fit.mapInPandas(run, "page_id long, url string, title string, markdown string, size long")
+    large = F.octet_length("html") > MOST_PAGE
+    fit = pages.where(F.coalesce(~large, F.lit(True))).select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, title string, markdown string, size long")
+    return fit.withColumn("error", F.lit(None).cast("string")).unionByName(pages.where(large).select("page_id", "url", F.lit("page too large").alias("error")), allowMissingColumns=True)
 
 
 def raw_links(pages: DataFrame) -> DataFrame:
@@ -157,8 +180,12 @@ def link_filter(links: DataFrame, limit: int) -> DataFrame:
 
 
 def load_catalog_pages(spark: SparkSession, path: str) -> DataFrame:
-    """The models of all pages of a catalog."""
-    return spark.read.schema(CATALOG).option("multiLine", True).option("recursiveFileLookup", True).json(path).select(F.explode("data.models").alias("m")).select("m.*")
+    """The models of the pages of a catalog in order, until its total is reached; pages without success are left out. Only the pages' numbers and sizes are ordered."""
+    pages = spark.read.schema(CATALOG).option("multiLine", True).option("recursiveFileLookup", True).json(path).where("coalesce(success, true)").select("data.*")
+    sizes = pages.groupBy("page").agg(F.sum(F.size("models")).alias("n"), F.max("total").alias("total"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    wanted = sizes.withColumn("before", before).where("total is null or before < total").select("page")
+    return pages.join(wanted, "page", "left_semi").select(F.explode("models").alias("m")).select("m.*")
 
 
 def find_files(files: DataFrame, pattern: str, limit: int = 50) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.scalars import checksum, project_dir, slugify
 
 
 def results_json(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """(key, total, results): results as a JSON array ordered by columns."""
+    """(key, total, results): results as a JSON array ordered by columns, from the bounded rows of each key that `top_k` leaves."""
     g = df.groupBy(key).agg(F.count("*").alias("total"), F.array_sort(F.collect_list(F.struct(*columns))).alias("r"))
     return g.select(key, "total", F.to_json("r").alias("results"))
 
@@ -24,17 +28,40 @@ def results_markdown(df: DataFrame) -> DataFrame:
 
 
 def save_doc_files(df: DataFrame, path: str) -> None:
-    """docs/<project or global>/<date>_<id>-<slug> as text, one row a file name, in a folder a project."""
+    """docs/<project or global>/<date>_<id>-<slug>.md, a file a document, under path (any URI that all tasks reach). Other files there stay; a task that is tried again writes the same files."""
     name = F.concat(F.date_format("created_at", "yyyy-MM-dd"), F.lit("_"), F.substring("id", 1, 12), F.lit("-"), slugify("title"), F.lit(".md"))
     project = F.when(F.coalesce("project", F.lit("")) == "", "global").otherwise(project_dir("project"))
-    df.select(project.alias("project_dir"), name.alias("name"), "text").write.partitionBy("project_dir").mode("overwrite").parquet(path)
+
+    def put(batches):
+        store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+        for b in batches:
+            for folder in set(b.column(0).to_pylist()):
+                store.create_dir(f"{root}/{folder}", recursive=True)
+            for folder, file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()), strict=True):
+                # written aside and moved, so that nobody sees half a file
+                made, part = f"{root}/{folder}/{file}", f"{root}/{folder}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as f:
+                    f.write(text.as_py() or b"")
+                store.move(part, made)
+            yield b.slice(0, 0)
+
+    rows = df.select(project.alias("project_dir"), name.alias("name"), "text")
+    rows.mapInArrow(put, "project_dir string, name string, text string").write.format("noop").mode("append").save()
+
+
+def load_doc_files(spark: SparkSession, path: str) -> DataFrame:
+    """(project_dir, name, text) of what `save_doc_files` wrote."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(path)
+    return raw.select(F.element_at(F.split("path", "/"), -2).alias("project_dir"), F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("text"))
 
 
 def reindex(saved: DataFrame, dim: int = 384) -> dict[str, DataFrame]:
-    """documents (id, project, title, size), chunks and embeddings made anew from saved files (project_dir, name, text): the project is the folder, none for global, and the title what follows the first - of the name."""
+    """documents (id, project, name, title, size), chunks and embeddings made anew from saved files (project_dir, name, text): the project is the folder, none for global, and the title what follows the first - of the name. A chunk's id is that of its file and its place, so documents of equal text have chunks of their own."""
     from brindle.operators.chunking import chunk
     from brindle.operators.vectors import hash_embed
 
-    docs = saved.select(checksum("text").alias("id"), F.when(F.col("project_dir") == "global", "").otherwise(F.col("project_dir")).alias("project"), F.regexp_extract("name", r"(?s)^[^-]*-(.*)\.md$", 1).alias("title"), F.octet_length("text").alias("size"), "text")
-    chunks = chunk(docs, "id", "text")
+    project = F.when(F.col("project_dir") == "global", "").otherwise(F.col("project_dir"))
+    docs = saved.select(checksum("text").alias("id"), project.alias("project"), "name", F.regexp_extract("name", r"(?s)^[^-]*-(.*)\.md$", 1).alias("title"), F.octet_length("text").cast("long").alias("size"), "text")
+    chunks = chunk(docs.withColumn("file", F.concat("project", F.lit("/"), "name")), "file", "text")
+    chunks = chunks.withColumns({"project": F.substring_index("doc_id", "/", 1), "name": F.substring_index("doc_id", "/", -1)})
     return {"documents": docs.drop("text"), "chunks": chunks, "embeddings": chunks.select("chunk_id", hash_embed("content", dim).alias("vector"))}

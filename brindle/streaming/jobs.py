@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from brindle.operators.relational import DONE, FAILED
 
 CHUNK = "id string, model string, choices array<struct<delta:struct<content:string,tool_calls:array<struct<index:int,id:string,type:string,function:struct<name:string,arguments:string>>>>,finish_reason:string>>"
 #: Seconds of a quota period (fixed values).
 PERIODS = {"hourly": 3600, "daily": 86400, "monthly": 30 * 86400}
-DONE = ("completed", "success", "succeeded")
-FAILED = ("failed", "failure", "cancelled", "expired")
 
 
 def chat_chunks(lines: DataFrame) -> DataFrame:
@@ -39,47 +41,83 @@ def assemble_chat(lines: DataFrame) -> DataFrame:
     return main.join(tools, "response_id", "left")
 
 
+def complete_responses(lines: DataFrame, timeout: int | None = None) -> DataFrame:
+    """(response_id, seq, line) of a streaming frame of lines, once a response has its [DONE], or has been silent for `timeout` seconds of processing time if one is given (for queries that run on: one that ends with its input waits for no time).
+
+    Until then a response's lines wait in the state store; what comes after
+    its end starts anew. `assemble_chat` takes what comes out.
+    """
+
+    def run(key, frames, state):
+        got = [(int(s), x) for f in frames for s, x in zip(f["seq"], f["line"], strict=True)]
+        held = list(zip(state.get[0], state.get[1], strict=True)) if state.exists else []
+        got = sorted([*held, *got])
+        if state.hasTimedOut or any(x[:6] == "data: " and x[6:].strip() == "[DONE]" for _, x in got):
+            if state.exists:
+                state.remove()
+            yield pd.DataFrame({"response_id": [key[0]] * len(got), "seq": [s for s, _ in got], "line": [x for _, x in got]})
+        else:
+            state.update(([s for s, _ in got], [x for _, x in got]))
+            if timeout is not None:
+                state.setTimeoutDuration(timeout * 1000)
+
+    rows = lines.select(F.col("response_id").cast("string").alias("response_id"), F.col("seq").cast("long").alias("seq"), "line").where("line is not null")
+    return rows.groupBy("response_id").applyInPandasWithState(run, "response_id string, seq long, line string", "seqs array<long>, lines array<string>", "append", "NoTimeout" if timeout is None else "ProcessingTimeTimeout")
+
+
+def stream_chat(lines: DataFrame, target: str, checkpoint: str):
+    """Start a query that writes the assembled responses of a streaming frame of lines (response_id, seq, line) to target, a folder a micro-batch, so a batch that is tried again replaces itself."""
+
+    def put(batch: DataFrame, n: int) -> None:
+        batch.persist()  # what the state store gives is taken several times
+        assemble_chat(batch).write.mode("overwrite").parquet(f"{target}/batch={n}")
+        batch.unpersist()
+
+    return complete_responses(lines).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def latest_state(polls: DataFrame) -> DataFrame:
     """(task, status, polls) from polls (task, ts, event_id, status)."""
     return polls.groupBy("task").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("polls"))
 
 
-def tracked_tasks(polls: DataFrame, timeout: int = 180) -> DataFrame:
-    """latest_state with terminal and timed_out: open for more than `timeout` seconds between its first and last poll."""
-    g = polls.groupBy("task").agg(F.max_by("status", "ts").alias("status"), F.min("ts").alias("first"), F.max("ts").alias("last"))
-    low = F.lower("status")
-    state = F.when(low.isin(*DONE), "completed").when(low.isin(*FAILED), "failed").when(F.unix_timestamp("last") - F.unix_timestamp("first") > timeout, "timed_out").otherwise("open")
-    return g.select("task", "status", state.alias("state"))
+def task_state(status: Column, first: Column, last: Column, timeout: int) -> Column:
+    """completed, failed, timed_out after more than `timeout` seconds between the polls, or open."""
+    low = F.lower(status)
+    return F.when(low.isin(*DONE), "completed").when(low.isin(*FAILED), "failed").when(F.unix_timestamp(last) - F.unix_timestamp(first) > timeout, "timed_out").otherwise("open")
 
 
-def stream_tasks(polls: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """A streaming frame of polls to the latest status of each task."""
-    return polls.withWatermark("ts", watermark).groupBy("task").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("last"))
+def tracked_tasks(polls: DataFrame, timeout: int = 180) -> DataFrame:
+    """(task, status, state, polls) from polls (task, ts, event_id, status), static or streaming (update or complete mode): the latest status, and what it and the time since the first poll say."""
+    g = polls.groupBy("task").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"), F.min("ts").alias("first"), F.max("ts").alias("last"), F.count("*").alias("polls"))
+    return g.select("task", "status", task_state(F.col("status"), F.col("first"), F.col("last"), timeout).alias("state"), "polls")
 
 
 def quota_ledger(uses: DataFrame, limits: DataFrame) -> DataFrame:
     """(provider, used, window_start, windows, total, can_use) from uses (provider, ts) and limits (provider, total, period).
 
     A window opens at the first use and again at the first use more than a
-    period later. Uses are counted by microsecond before the fold, which follows each provider's
-    uses in order in one group.
+    period later; times count in whole seconds, window_start is in seconds
+    since 1970. Uses are counted by second before they are shuffled, so what
+    a provider's group holds is bounded by the seconds that its uses span, not by
+    their number; there the starts are followed by a search per window.
     """
     period = F.create_map(*(F.lit(x) for kv in PERIODS.items() for x in kv))
-    per_second = uses.groupBy("provider", F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(F.count("*").alias("n"))
-    rows = per_second.join(limits, "provider", "left").withColumn("span", F.coalesce(period[F.col("period")], F.lit(86400)).cast("long") * 1_000_000)
+    per_second = uses.groupBy("provider", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t")).agg(F.count("*").alias("n")).where("t is not null")
+    rows = per_second.join(limits, "provider", "left").select("provider", "t", "n", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce(period[F.col("period")], F.lit(86400)).cast("long").alias("span"))
 
-    def fold(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values("t")
-        start, used, windows, span = None, 0, 0, int(f["span"].iloc[0])
-        for t, n in zip(f["t"], f["n"], strict=True):
-            if start is None or t - start > span:
-                start, used, windows = int(t), 0, windows + 1
-            used += int(n)
-        total = f["total"].iloc[0]
-        total = 0 if pd.isna(total) else int(total)
-        return pd.DataFrame([(f["provider"].iloc[0], used, start, windows, total, total <= 0 or used < total)], columns=["provider", "used", "window_start", "windows", "total", "can_use"])
+    def fold(table: pa.Table) -> pa.Table:
+        t, n = (table[c].to_numpy() for c in ("t", "n"))
+        order = np.argsort(t)
+        t, n = t[order], n[order]
+        total, span = table["total"][0].as_py(), table["span"][0].as_py()
+        at, windows = 0, 1
+        while (later := int(np.searchsorted(t, t[at] + span, "right"))) < len(t):
+            at, windows = later, windows + 1
+        used = int(n[at:].sum())
+        return pa.table({"provider": [table["provider"][0].as_py()], "used": [used], "window_start": [int(t[at])], "windows": [windows], "total": [total], "can_use": [total <= 0 or used < total]})
 
-    return rows.groupBy("provider").applyInPandas(fold, "provider string, used long, window_start long, windows long, total long, can_use boolean")
+    return rows.groupBy("provider").applyInArrow(fold, "provider string, used long, window_start long, windows long, total long, can_use boolean")
 
 
 def provider_lists(providers: DataFrame) -> DataFrame:
@@ -115,15 +153,29 @@ def route_provider(requests: DataFrame, providers: DataFrame, seed: int = 1) ->
 
 
 def ingest_stream(files: DataFrame, target: str, checkpoint: str):
-    """Start a query that appends documents (text) with new content hashes to target, each once."""
+    """Start a query that appends documents (text) with new content hashes to target, each once.
+
+    The hashes that the stream has seen stay in its state store, so no
+    micro-batch reads the target again; what the target held before the first
+    start is looked up once and kept beside the checkpoint. Each batch writes a
+    folder of its own, named after the query and its number, and replaces it if it is tried again.
+    """
     from brindle.functions.scalars import checksum
 
-    def put(batch: DataFrame, _: int) -> None:
-        new = batch.withColumn("checksum", checksum("text")).dropDuplicates(["checksum"])
-        spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            new = new.join(spark.read.parquet(target).select("checksum"), "checksum", "left_anti")
-        new.write.mode("append").parquet(target)
+    spark = files.sparkSession
+
+    def there(name: str) -> bool:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    before = checkpoint.rstrip("/") + "-known"
+    if not there(checkpoint) and there(target):
+        spark.read.parquet(target).select("checksum").write.mode("overwrite").parquet(before)
+    run = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex[:12]
+
+    def put(batch: DataFrame, n: int) -> None:
+        new = batch.join(batch.sparkSession.read.parquet(before), "checksum", "left_anti") if there(before) else batch
+        new.write.mode("overwrite").parquet(f"{target}/batch={run}-{n}")
 
-    return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    new = files.withColumn("checksum", checksum("text")).dropDuplicates(["checksum"])
+    return new.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

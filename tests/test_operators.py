@@ -80,13 +80,68 @@ def test_fusion(spark):
     assert b["rate"] == 0.99 and b["level"] == 4 and len(b["signals"]) == 1
 
 
-def test_media_scores():
-    dqt = bytes([0xFF, 0xDB, 0, 67, 0]) + bytes(provenance.LUMINANCE)
-    assert provenance.jpeg_quant_score(b"\xff\xd8" + dqt) == 0.45
-    assert provenance.jpeg_quant_score(b"\xff\xd8\xff\xda\0\0") == 0.4 and provenance.jpeg_quant_score(b"PNG") == -1.0
-    assert provenance.fft_features([[0.0] * 8] * 8)[0] == -1.0
-    x = np.random.default_rng(1).normal(0, 9, (64, 64))
-    assert provenance.noise_moments(x)[0] > 1 and 0 <= provenance.fft_features(x)[0] <= 1
+def test_jpeg_scores():
+    seg = lambda values, head=0: b"\xff\xdb\0\x43" + bytes([head, *values])
+    usual, colour, flat = seg(provenance.LUMINANCE), seg(provenance.CHROMINANCE, 1), seg([200] * 64)
+    for body, want in ((b"", 0.4), (usual, 0.45), (colour, 0.45), (flat, 0.65), (usual + flat, 0.65), (usual + colour + flat, 0.25), (usual * 3, 0.25), (seg(provenance.LUMINANCE, 16), 0.65), (usual[:40], 0.4), (b"\xff\xd9" + flat, 0.4), (b"\xff\xd3" + flat, 0.65), (b"\xff\xe0\0\x02" + flat, 0.65)):
+        assert provenance.jpeg_quant_score(b"\xff\xd8" + body) == want
+    near = bytes(v + max(2, v // 8) * (i < 48) + 99 * (i >= 48) for i, v in enumerate(provenance.LUMINANCE))
+    assert provenance.jpeg_quant_score(b"\xff\xd8" + seg(near)) == 0.45
+    assert provenance.jpeg_quant_score(b"\x89PNG") == -1.0 and provenance.jpeg_quant_score(b"") == -1.0
+
+
+def plain_spectrum(x):
+    """Rows of grey values to (score, slope, high), by sums."""
+    import cmath
+    import math
+
+    h, w = len(x), len(x[0])
+    wave = lambda n, k: 0.5 - 0.5 * math.cos(2 * math.pi * k / (n - 1))
+    g = [[(x[i][j] / 255 - 0.5) * wave(h, i) * wave(w, j) for j in range(w)] for i in range(h)]
+    turn = lambda n: [cmath.exp(-2j * math.pi * k / n) for k in range(n)]
+    tw, th = turn(w), turn(h)
+    rows = [[sum(g[i][j] * tw[j * k % w] for j in range(w)) for k in range(w)] for i in range(h)]
+    full = [[sum(rows[i][k] * th[i * m % h] for i in range(h)) for k in range(w)] for m in range(h)]
+    n = min(h // 2, w // 2)
+    total, count = [0.0] * n, [0] * n
+    for i in range(h):
+        for j in range(w):
+            r = int(math.hypot(j - w // 2, i - h // 2))
+            if r < n:
+                total[r] += math.log(1e-10 + abs(full[(i + h // 2) % h][(j + w // 2) % w]) ** 2)
+                count[r] += 1
+    p = [t / c for t, c in zip(total, count, strict=True)]
+    hf, lf = sum(p[n * 7 // 10 :]), sum(p[: n * 7 // 10])
+    high = hf / (hf + lf + 1e-10)
+    fit = [(math.log(r), math.log(p[r])) for r in range(3, n) if p[r] > 0]
+    slope = -2.0
+    if len(fit) > 2:
+        sx, sy, sxy, sxx = (sum(f(a, b) for a, b in fit) for f in (lambda a, b: a, lambda a, b: b, lambda a, b: a * b, lambda a, b: a * a))
+        slope = (len(fit) * sxy - sx * sy) / (len(fit) * sxx - sx * sx + 1e-10)
+    s, f = min(1, max(0, 0.5 - (slope + 2) * 0.3)), min(1, max(0, (high - 0.15) / 0.35))
+    return 0.6 * s + 0.4 * f, slope, high
+
+
+def test_spectrum_and_noise_against_sums():
+    draw = np.random.default_rng(1)
+    loud = draw.integers(0, 256, (64, 66)).astype(float)
+    smooth = np.add.outer(np.arange(64.0), np.arange(65.0))
+    for x in (loud, smooth, np.full((64, 64), 7.0)):
+        assert np.allclose(provenance.fft_features(x), plain_spectrum(x.tolist()), atol=1e-6)
+    assert provenance.fft_features([[0.0] * 63] * 99) == (-1.0, 0.0, 0.0)
+    # nearest pixels on the way down
+    big = draw.integers(0, 256, (600, 1100)).astype(float)
+    small = [[big[y * 600 // 279][x * 1100 // 512] for x in range(512)] for y in range(279)]
+    assert np.allclose(provenance.fft_features(big), provenance.fft_features(small))
+    k = (provenance.KERNEL * 12).round().astype(int).tolist()
+    for x in (loud, smooth):
+        g = (x / 255).tolist()
+        r = [sum(g[y + i - 2][z + j - 2] * k[i][j] for i in range(5) for j in range(5)) / 12 for y in range(2, 62) for z in range(2, len(g[0]) - 2)]
+        mean = sum(r) / len(r)
+        var = sum((v - mean) ** 2 for v in r) / len(r)
+        want = var**0.5, sum((v - mean) ** 4 for v in r) / len(r) / (var * var + 1e-10) - 3
+        assert np.allclose(provenance.noise_moments(x), want, atol=1e-9)
+    assert provenance.noise_moments([[0.0] * 15] * 99)[0] == -1.0
 
 
 def test_page():
@@ -100,6 +155,87 @@ def test_chat_stream(spark):
     assert [(t["id"], t["name"], t["arguments"]) for t in r["tools"]] == [("t", "f", "{}")]
 
 
+def test_quota_windows(spark):
+    import random
+
+    draw, rows = random.Random(2), []
+    for p in "abc":
+        at = 0
+        for _ in range(300):
+            at += draw.choice((0, 1, 50, 3599, 3600, 3601, 9000))
+            rows.append((p, at))
+    draw.shuffle(rows)
+    uses = spark.createDataFrame(rows, "provider string, at long").select("provider", F.timestamp_seconds("at").alias("ts"))
+    limits = spark.createDataFrame([("a", 5, "hourly"), ("b", 0, "daily")], "provider string, total long, period string")
+    got = {r["provider"]: (r["used"], r["window_start"], r["windows"], r["can_use"]) for r in jobs.quota_ledger(uses, limits).collect()}
+    for p, span, total in (("a", 3600, 5), ("b", 86400, 0), ("c", 86400, 0)):
+        start, used, windows = None, 0, 0
+        for t in sorted(t for q, t in rows if q == p):
+            if start is None or t - start > span:
+                start, used, windows = t, 0, windows + 1
+            used += 1
+        assert got[p] == (used, start, windows, total <= 0 or used < total)
+
+
+def test_keep_first_against_plain_loop(spark):
+    import random
+
+    draw = random.Random(5)
+    rows = [(i, [f"k{draw.randint(0, 40)}" for _ in range(draw.randint(0, 3))]) for i in range(80)]
+    seen, want = set(), []
+    for i, keys in rows:
+        if not seen & set(keys):
+            want.append(i)
+            seen |= set(keys)
+    df = spark.createDataFrame(rows, "pos int, keys array<string>")
+    assert sorted(r["pos"] for r in hygiene.dedup_keep_first(df, F.col("keys")).collect()) == want
+
+
+def test_uneven_chunks_fail(spark):
+    import pytest
+
+    c = spark.createDataFrame([(1, 0), (1, 1)], "doc_id int, n int")
+    t = {"chunks": c, "embeddings": c, "postings": c}
+    with pytest.raises(ValueError, match="differ in number"):
+        hygiene.replace_chunks(t, c, c.limit(1), c)
+    assert all(x.count() == 2 for x in hygiene.replace_chunks(t, c, c, c).values())
+
+
+def test_index_for_many_queries(spark, tmp_path):
+    """A written index gives what the documents give, without the vault's."""
+    from brindle.operators import retrieval as R
+
+    docs = spark.createDataFrame([(1, "a cat and a dog", False), (2, "dog eat dog", None), (3, "secret cat", True)], "doc_id long, text string, vault boolean")
+    R.write_index(docs, str(tmp_path / "ix"), vault="vault", buckets=8)
+    q = R.query_terms(spark.createDataFrame([(7, "dog cat")], "qid int, query string"))
+    found = R.read_index(spark, str(tmp_path / "ix"), q, 8)
+    assert {(r["term"], r["id"], r["tf"], r["df"], r["n_docs"]) for r in found.collect()} == {("cat", 1, 1, 1, 2), ("dog", 1, 1, 2, 2), ("dog", 2, 2, 2, 2)}
+    own = R.bm25(docs.where("doc_id < 3"), spark.createDataFrame([(7, "dog cat")], "qid int, query string")).collect()
+    stats = found.select("n_docs", "avg_len").limit(1)
+    again = R.bm25_of(found.select("term", "id", "tf", "doc_len"), stats, q).collect()
+    assert {(r["id"], round(r["score"], 9)) for r in own} == {(r["id"], round(r["score"], 9)) for r in again}
+
+
+def test_parsed_search(spark):
+    from brindle.operators import retrieval as R
+
+    docs = spark.createDataFrame([(1, "go-lang tools for the catalogue", "p"), (2, "go and lang apart, cat", "p"), (3, "catalogue of tools", "")], "doc_id long, text string, project string")
+    q = lambda s: spark.createDataFrame([(1, s)], "qid int, query string")
+    ids = lambda s, project="": {(r["id"], r["stage"]) for r in R.full_text_search(docs, q(s), 9, project).collect()}
+    assert ids("go-lang") == {(1, 1)} and ids("cat tools") == {(1, 1), (3, 1)} and ids("cat tools", "p") == {(1, 1)} and ids("cat tools", "global") == {(3, 1)}
+    assert ids("zz catalogue") == {(1, 2), (3, 2)} and ids("apart nowhere tools") == {(1, 3), (2, 3), (3, 3)} and ids("nothing") == set()
+
+
+def test_ingest_after_others(spark, tmp_path):
+    """What the target held before the first start is known."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.createDataFrame([("old",)], "text string").withColumn("checksum", S.checksum("text")).write.parquet(out + "/batch=0")
+    spark.createDataFrame([("old",), ("new",)], "text string").write.parquet(src)
+    for _ in range(2):
+        jobs.ingest_stream(spark.readStream.schema("text string").parquet(src), out, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["new", "old"]
+
+
 def test_ingest_stream(spark, tmp_path):
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     for texts in (["a", "b", "a"], ["b", "c"]):
