@@ -177,7 +177,7 @@ def hybrid_fuse(fts: DataFrame, vec: DataFrame, limit: int, min_score: float = 0
 def rollup_docs(results: DataFrame, limit: int) -> DataFrame:
     """(qid, doc, score, n_chunks, first_chunk, rank) from chunk results (qid, doc, chunk, score, rank)."""
     g = results.groupBy("qid", "doc").agg(F.max("score").alias("score"), F.count("*").alias("n_chunks"), F.min_by("chunk", "rank").alias("first_chunk"))
-    w = W.partitionBy("qid").orderBy(F.desc("score"), "doc")
+    w = W.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "doc")
     return g.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
 
 
@@ -186,7 +186,7 @@ def rerank(results: DataFrame, scorer: Column | None, k: int) -> DataFrame:
     if scorer is None:
         return results
     ok = scorer.isNotNull() & ~F.isnan(scorer) & (F.abs(scorer) != float("inf"))
-    w = W.partitionBy("qid").orderBy(F.desc("score"), "id")
+    w = W.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "id")
     return results.withColumn("score", F.when(ok, scorer).otherwise(F.col("score"))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -265,13 +265,13 @@ def vec_07(spark, d):
 
 @query("vec_08", HYBRID + """, x as (select qid, id % 7 as doc, id as chunk, score, rank from hy where rank <= 20),
 g as (select qid, doc, max(score) as score, count(*) as n_chunks, arg_min(chunk, rank) as first_chunk from x group by all)
-select * from (select qid, doc, round(score, 6) as score, n_chunks, first_chunk, row_number() over (partition by qid order by score desc, doc) as rank from g) where rank <= 5""")
+select * from (select qid, doc, round(score, 6) as score, n_chunks, first_chunk, row_number() over (partition by qid order by round(score, 12) desc, doc) as rank from g) where rank <= 5""")
 def vec_08(spark, d):
     x = hybrid(spark, d).select("qid", (F.col("id") % 7).alias("doc"), F.col("id").alias("chunk"), "score", "rank")
     return V.rollup_docs(x, 5).withColumn("score", F.round("score", 6))
 
 
-@query("vec_09", HYBRID + ", x as (select qid, id, case when id % 10 = 0 then score else (id % 100) / 100e0 end as score from hy where rank <= 20) select * from (select qid, id, round(score, 6) as score, row_number() over (partition by qid order by score desc, id) as rank from x) where rank <= 10")
+@query("vec_09", HYBRID + ", x as (select qid, id, case when id % 10 = 0 then score else (id % 100) / 100e0 end as score from hy where rank <= 20) select * from (select qid, id, round(score, 6) as score, row_number() over (partition by qid order by round(score, 12) desc, id) as rank from x) where rank <= 10")
 def vec_09(spark, d):
     score = F.when(F.col("id") % 10 == 0, F.lit(float("nan"))).otherwise((F.col("id") % 100) / 100.0)
     return V.rerank(hybrid(spark, d), score, 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")

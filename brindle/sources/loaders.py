@@ -141,15 +141,15 @@ def page_markdown(html: str | None) -> tuple[str, str]:
     return p.title.strip(), p.text()
 
 
-def ingest_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, url, title, markdown, size, error); pages over 10 MiB carry an error only."""
+def ingest_pages(pages: DataFrame, most: int = MOST_PAGE) -> DataFrame:
+    """(page_id, url, title, markdown, size, error); pages of over `most` bytes (10 MiB) carry an error only."""
 
     def run(frames):
         for f in frames:
             made = [page_markdown(h) for h in f["html"]]
             yield pd.DataFrame({"page_id": f["page_id"], "url": f["url"], "title": [t for t, _ in made], "markdown": [m for _, m in made], "size": [len(m.encode()) for _, m in made]})
 
-    large = F.octet_length("html") > MOST_PAGE
+    large = F.octet_length("html") > most
     fit = pages.where(F.coalesce(~large, F.lit(True))).select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, title string, markdown string, size long")
     return fit.withColumn("error", F.lit(None).cast("string")).unionByName(pages.where(large).select("page_id", "url", F.lit("page too large").alias("error")), allowMissingColumns=True)
 
