@@ -86,14 +86,19 @@ def bm25(docs: DataFrame, queries: DataFrame, every_term: bool = False) -> DataF
     """(qid, id, score, n_matched): BM25 of each document that has a term (or every term) of each query.
 
     Only terms that queries ask for are counted and shuffled: the corpus'
-    tokens meet the distinct query terms first, and the few counts that are
-    left are stored for the frequencies and the scores.
+    tokens meet the distinct query terms first. Texts are read once, as each
+    document's length comes along under the empty term, which no token is; the
+    few counts that are left are stored for totals, frequencies and scores.
     """
     terms = query_terms(queries)
     asked = terms.select("term").distinct()
-    found = spread(docs.select("doc_id", "text")).select(F.col("doc_id").alias("id"), tokenize("text").alias("t")).select("id", F.size("t").alias("doc_len"), F.explode("t").alias("term")).join(asked, "term")
+    asked = asked.union(asked.sparkSession.range(1).select(F.lit("")))
+    tokens = spread(docs.select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.coalesce(tokenize("text"), F.array().cast("array<string>")).alias("t"))
+    found = tokens.select("id", F.size("t").alias("doc_len"), F.explode(F.concat(F.array(F.lit("")), "t")).alias("term")).join(asked, "term")
     counts = stored(found.groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf")), "asked-terms")
-    out = bm25_of(counts, corpus_stats(docs), terms)
+    own = counts.where("term = ''")
+    stats = own.agg(F.sum("tf").alias("n_docs"), (F.coalesce(F.sum(F.col("doc_len") * F.col("tf")), F.lit(0)) / F.greatest(F.coalesce(F.sum("tf"), F.lit(0)), F.lit(1))).alias("avg_len"))
+    out = bm25_of(counts.where("term <> ''"), stats, terms)
     if every_term:
         out = out.where("n_matched = n_terms")
     return out.select("qid", "id", "score", "n_matched")
