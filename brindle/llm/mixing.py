@@ -73,7 +73,8 @@ def mixed_sources(docs: DataFrame, share: float = 1.5, most: float = 2.0, weight
     successive blocks from a seeded start: a document is taken again only
     when all others of its shard have been taken. taken: its words in the run,
     at most twice its size. Rows without a source are the last source; equal
-    rows may swap their taken words. An empty table gives no rows.
+    rows may swap their taken words. Texts count whole, other columns are left
+    out. An empty table gives no rows.
     """
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words_in(F.col("text")).alias("size"))
     sizes = cut(sizes.withColumn("key", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))))
