@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from brindle.functions.scalars import text_key, url_basename
-from brindle.session import cut
+from brindle.session import stored
+from brindle.sources.loaders import spread
 
 
 def entry_keys() -> Column:
@@ -21,24 +24,27 @@ def entry_keys() -> Column:
 def dedup_keep_first(rows: DataFrame, keys: Column, order: str = "pos") -> DataFrame:
     """rows that share no key with an earlier kept row; dropped rows mark nothing.
 
-    Each round decides what is certain: a row goes if a kept row has one of
+    Only keys of several rows can decide anything, so the others are left out
+    at once. Each round decides what is certain: a row goes if a kept row has one of
     its keys, and stays if it is the first open one on all of its keys. The
     least open row is always decided, so it ends; a round more is needed for
     each link of the longest chain of open rows in which each shares a key
-    with the next, and few sources have chains of more than a handful.
+    with the next, and few sources have chains of more than a handful. Keys
+    longer than their SHA-256 go as that, so no texts are shuffled.
     """
-    pairs = cut(rows.select(order, F.explode_outer(keys).alias("key")).distinct())
-    kept = pairs.where("key is null").select(order)
-    pairs = pairs.where("key is not null")
-    while pairs.limit(1).count():
-        first = pairs.groupBy("key").agg(F.min(order).alias("first"))
-        state = pairs.join(first, "key").groupBy(order).agg(F.bool_and(F.col(order) == F.col("first")).alias("stays"))
-        now = cut(state.where("stays").select(order))
-        kept = cut(kept.union(now))
+    brief = F.when(F.octet_length("key") > 64, F.sha2("key", 256)).otherwise(F.col("key"))
+    pairs = stored(spread(rows).select(order, F.explode(keys).alias("key")).select(order, brief.alias("key")).distinct(), "keys")
+    several = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
+    pairs = stored(pairs.join(several.select("key", "first"), "key").select(order, "key", "first"), "open")
+    gone = []
+    while not pairs.isEmpty():
+        now = pairs.groupBy(order).agg(F.bool_and(F.col(order) == F.col("first")).alias("stays")).where("stays").select(order)
         taken = pairs.join(now, order, "left_semi").select("key").distinct()
-        gone = pairs.join(taken, "key", "left_semi").select(order).distinct()
-        pairs = cut(pairs.join(gone, order, "left_anti"))
-    return rows.join(kept, order, "left_semi")
+        done = stored(pairs.join(taken, "key", "left_semi").groupBy(order).agg(F.bool_and(F.col(order) == F.col("first")).alias("first")), "decided")
+        gone.append(done.where("not first").select(order))
+        pairs = pairs.drop("first").join(done, order, "left_anti")
+        pairs = stored(pairs.join(pairs.groupBy("key").agg(F.min(order).alias("first")), "key").select(order, "key", "first"), "open")
+    return rows.join(reduce(DataFrame.union, gone), order, "left_anti") if gone else rows
 
 
 def merge_sources(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

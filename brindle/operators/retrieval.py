@@ -17,9 +17,22 @@ K1, B, RRF_PAIR, RRF_LISTS = 1.2, 0.75, 30, 60
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, id, tf, positions, doc_len): the inverted index; write it partitioned by a hash of term to reuse it."""
-    tokens = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), tokenize(text_col).alias("t")).select("id", F.size("t").alias("doc_len"), F.posexplode("t").alias("pos", "term"))
-    return tokens.groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions")).select("term", "id", "tf", "positions", "doc_len")
+    """(term, id, tf, positions, doc_len): the inverted index; write it partitioned by a hash of term to reuse it.
+
+    A document's tokens are sorted within its row, and each run of equal ones
+    is a posting, so nothing is shuffled; a row that repeats an id is a document of its own.
+    """
+    rows = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), tokenize(text_col).alias("t"))
+    places = rows.select("id", F.size("t").alias("doc_len"), F.array_sort(F.transform("t", lambda x, i: F.struct(x.alias("term"), i.alias("pos")))).alias("s"))
+    first = lambda i: (i == 1) | (F.col("s")[i - 1]["term"] != F.col("s")[F.greatest(i - 2, F.lit(0))]["term"])
+    runs = places.select("id", "doc_len", "s", F.when(F.col("doc_len") > 0, F.filter(F.sequence(F.lit(1), F.greatest("doc_len", F.lit(1))), first)).alias("at"))
+
+    def posting(i, k):
+        n = F.coalesce(F.get("at", k + 1), F.col("doc_len") + 1) - i
+        return F.struct(F.col("s")[i - 1]["term"].alias("term"), n.cast("long").alias("tf"), F.transform(F.slice("s", i, n), lambda x: x["pos"]).alias("positions"))
+
+    found = runs.select("id", "doc_len", F.explode(F.transform("at", posting)).alias("p"))
+    return found.select("p.term", "id", "p.tf", "p.positions", "doc_len")
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

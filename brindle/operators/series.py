@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -45,6 +47,7 @@ def peak_normalize(df: DataFrame, key: str, value: str, share: float = 0.9, full
 
 def ema_range(df: DataFrame, key: str, step: str, lo: str, hi: str, b: float = 0.9) -> DataFrame:
     """(key, n, lo_s, hi_s): both ends of a range per step, smoothed; as b ** 400 is below double precision, over the last 400 steps."""
+    rest = float(1 - Decimal(str(b)))  # 1 - 0.9 as floats is not 0.1
     w = W.partitionBy(key).orderBy(step).rowsBetween(-399, 0)
-    fold = lambda c: F.aggregate(F.collect_list(F.col(c).cast("double")).over(w), F.lit(None).cast("double"), lambda y, x: F.when(y.isNull(), x).otherwise(y * b + x * (1 - b)))
+    fold = lambda c: F.aggregate(F.collect_list(F.col(c).cast("double")).over(w), F.lit(None).cast("double"), lambda y, x: F.when(y.isNull(), x).otherwise(y * b + x * rest))
     return df.select(key, F.col(step).alias("n"), fold(lo).alias("lo_s"), fold(hi).alias("hi_s"))
