@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.operators.relational import within_one_edit
+from brindle.session import stored
+from brindle.sources.loaders import spread
 
 #: Endings of inflected words: ending, length that the word must exceed, letters to cut, letters to add (fixed values).
 ENDINGS = (("'s", 0, 2, ""), ("s", 3, 1, ""), ("ies", 4, 3, "y"), ("ed", 4, 2, ""), ("ed", 4, 1, ""), ("ing", 5, 3, ""), ("ing", 5, 3, "e"), ("er", 4, 2, ""), ("est", 5, 3, ""))
@@ -123,11 +125,17 @@ def replace_words(df: DataFrame, key: str, text: str, fixes: DataFrame) -> DataF
     return df.join(mine, key, "left").withColumn(text, done).drop("_fixes")
 
 
+def _once(df: DataFrame, dictionary: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The distinct words of df and terms of dictionary as tables, of sizes that the planner knows: several joins read them."""
+    words = distinct_words(spread(df.select(key, text)), key, text).select("word").distinct()
+    return stored(words, "words"), stored(dictionary.select("term").distinct(), "terms")
+
+
 def spell_fix(df: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the misspelt words of text repaired."""
-    return replace_words(df, key, text, spelling_fixes(distinct_words(df, key, text), dictionary))
+    return replace_words(df, key, text, spelling_fixes(*_once(df, dictionary, key, text)))
 
 
 def split_words(df: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df with the run-together words of text parted."""
-    return replace_words(df, key, text, word_splits(distinct_words(df, key, text), dictionary))
+    return replace_words(df, key, text, word_splits(*_once(df, dictionary, key, text)))
