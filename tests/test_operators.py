@@ -1,5 +1,7 @@
 """Operators against plain Python on small tables."""
 
+import re
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -276,3 +278,23 @@ def test_pooling_gathers_no_vectors(spark):
 
     plan = vec_10(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(embedding" not in plan and "collect_list(" in plan
+
+
+def test_postings_against_plain_loop(spark):
+    from brindle.operators import retrieval as R
+
+    texts = [(1, "b a B c a b"), (2, None), (3, ""), (4, " .,!"), (5, "one"), (6, "你好世界 x"), (7, "w " * 3000 + "v")]
+    want = {}
+    for i, t in texts:
+        words = ["你好", "好世", "世界", "x"] if i == 6 else [w for w in re.findall("[a-z]+", (t or "").lower())]
+        for at, w in enumerate(words):
+            want.setdefault((w, i, len(words)), []).append(at)
+    got = {(r["term"], r["id"], r["doc_len"]): (r["tf"], r["positions"]) for r in R.postings(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == {k: (len(p), p) for k, p in want.items()}
+
+
+def test_keep_first_with_long_keys(spark):
+    long = "k" * 500
+    df = spark.createDataFrame([(1, [long]), (2, [long, "a"]), (3, ["a"]), (4, [long + "x"]), (5, [])], "pos int, keys array<string>")
+    assert sorted(r["pos"] for r in hygiene.dedup_keep_first(df, F.col("keys")).collect()) == [1, 3, 4, 5]
+    assert hygiene.dedup_keep_first(df.limit(0), F.col("keys")).count() == 0
