@@ -35,9 +35,11 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return found.select("p.term", "id", "p.tf", "p.positions", "doc_len")
 
 
-def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(term, id, tf, doc_len) without positions: tokens are counted before they are shuffled."""
+def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", terms: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf, doc_len) without positions: tokens are counted before they are shuffled. With terms (term) only of those, which the tokens meet first, so nothing else is counted or shuffled."""
     tokens = spread(docs.select(id_col, text_col)).select(F.col(id_col).alias("id"), tokenize(text_col).alias("t")).select("id", F.size("t").alias("doc_len"), F.explode("t").alias("term"))
+    if terms is not None:
+        tokens = tokens.join(terms.select("term").distinct(), "term", "left_semi")
     return tokens.groupBy("term", "id", "doc_len").agg(F.count("*").alias("tf")).select("term", "id", "tf", "doc_len")
 
 

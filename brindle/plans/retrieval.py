@@ -10,6 +10,7 @@ from brindle.operators import retrieval as R
 from brindle.operators import vectors as V
 from brindle.operators.relational import rank_in_group
 from brindle.plans.registry import query, table
+from brindle.session import stored
 from brindle.sources.sinks import results_json
 
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{Nd}}]+')"
@@ -37,6 +38,12 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
+def counted(spark, d):
+    """The counts of the terms asked for, and these terms: each read several times, the texts once."""
+    terms = stored(R.query_terms(asked(spark, d)), "terms")
+    return stored(R.term_counts(docs(spark, d), terms=terms), "counts"), terms
+
+
 def ascii_benchmark(spark, d):
     """Byte n-grams equal character n-grams only here."""
     return table(spark, d, "benchmark").withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
@@ -128,11 +135,19 @@ def bm_11(spark, d):
     return both.agg(F.count("*").alias("n"), F.bool_and(F.coalesce("again", F.lit(False))).alias("same"), F.bool_and(F.coalesce("known", F.lit(False))).alias("known"))
 
 
-@query("fts_01")
+RAW = """'"' || left(text, 20) || '" x-' || text || ' a+b (né) "open ' || left(text, 9)"""
+
+
+@query("fts_01", rf"""with r as (select item_id, {RAW} as raw from benchmark), t as (select item_id, unnest(ts) as t, unnest(range(len(ts))) as pos from (select item_id, regexp_extract_all(raw, '([^ \t\n"]|"[^"]*"|"[^"]*$)+') as ts from r)),
+c as (select item_id, pos, contains(t, '-') or contains(t, '.') as phrase, trim(regexp_replace(regexp_replace(replace(t, '"', ''), case when contains(t, '-') or contains(t, '.') then '[+*()~]' else '[+*()~-]' end, ' ', 'g'), '\s+', ' ', 'g')) as term from t)
+select item_id, row_number() over (partition by item_id order by pos) - 1 as part, case when phrase then 'phrase' when strlen(term) <= 3 then 'prefix' else 'term' end as kind, term from c where term <> ''""")
 def fts_01(spark, d):
+    """Each benchmark text as a search string, between a quoted part, operators and an open quote."""
     from brindle.functions.queries import parse_query
 
-    return table(spark, d, "benchmark").select("item_id", parse_query(F.col("text")).alias("terms"))
+    raw = F.concat(F.lit('"'), F.substring("text", 1, 20), F.lit('" x-'), F.col("text"), F.lit(' a+b (né) "open '), F.substring("text", 1, 9))
+    parts = table(spark, d, "benchmark").select("item_id", F.posexplode(parse_query(raw)).alias("part", "p"))
+    return parts.select("item_id", F.col("part").cast("long").alias("part"), "p.kind", "p.term")
 
 
 @query("fts_02", WITH + ", p as (select id, unnest(t) as term, unnest(range(0, len(t))) as pos from tok) select term, id, count(*) as tf, array_to_string(list(pos order by pos), ',') as positions, any_value(len(t)) as doc_len from p join tok using (id) group by term, id")
@@ -142,7 +157,7 @@ def fts_02(spark, d):
 
 @query("fts_03", WITH + "select qid, id from c join qt using (term) group by qid, id, n_terms having count(*) = n_terms")
 def fts_03(spark, d):
-    return R.match_and(R.term_counts(docs(spark, d)), R.query_terms(asked(spark, d)))
+    return R.match_and(*counted(spark, d))
 
 
 @query("fts_04", WITH + ", p as (select qid, substr(query, 1, 3) as prefix from q where query <> '') select distinct qid, id from p join c on starts_with(c.term, p.prefix)")
@@ -161,7 +176,7 @@ def fts_05(spark, d):
 
 @query("fts_06", WITH + ", l as (select * from qt where strlen(term) >= 3), k as (select qid from l group by 1 having count(*) >= 2) select distinct qid, id from c join l using (term) where qid in (select qid from k)")
 def fts_06(spark, d):
-    return R.match_or(R.term_counts(docs(spark, d)), R.query_terms(asked(spark, d)))
+    return R.match_or(*counted(spark, d))
 
 
 @query("fts_07", WITH + """, one as (select qid, id, 1 as stage from c join qt using (term) group by qid, id, n_terms having count(*) = n_terms),
@@ -170,7 +185,7 @@ l as (select *, count(*) over (partition by qid) as n from qt where strlen(term)
 u as (select * from one union all select * from two union all select * from three)
 select qid, id, stage from (select *, min(stage) over (partition by qid) as m from u) where stage = m""")
 def fts_07(spark, d):
-    return R.query_ladder(R.term_counts(docs(spark, d)), R.query_terms(asked(spark, d)))
+    return R.query_ladder(*counted(spark, d))
 
 
 LADDER = """, one as (select qid, id from c join qt using (term) group by qid, id, n_terms having count(*) = n_terms)"""

@@ -25,11 +25,11 @@ def spread(df: DataFrame) -> DataFrame:
     A file of one row group is read by one task, which would then do all the
     work on its texts. Tables beyond SPREAD_BYTES are never shuffled for this.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if not 0 < len(df.inputFiles()) < cores:
-        return df
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(min(cores, 1 + (size >> 20))) if size <= SPREAD_BYTES else df
+    if size > SPREAD_BYTES:  # no files are listed for large tables
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(min(cores, 1 + (size >> 20))) if 0 < len(df.inputFiles()) < cores else df
 
 
 def load_ideas_json(spark: SparkSession, path: str) -> DataFrame:
