@@ -96,16 +96,15 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """(doc_id, n_words, n_tokens, longest_word_tokens) for each row of docs (doc_id, text).
 
     Texts are lower-cased and split at white space; each word is split greedily into the longest
-    pieces of the vocabulary file (a parameter; read on the driver and sent to
+    pieces of the vocabulary file (a parameter; its automaton is built once and sent to
     the tasks, as it is of fixed size). Null and blank texts have no words and no tokens; long texts and
     long words are counted whole, in linear time. Repeated rows get equal counts, a null doc_id stays null, other columns
     are left out, an empty table gives no rows.
     """
-    pieces = load_pieces(vocabulary or default_vocabulary())
-    sent = docs.sparkSession.sparkContext.broadcast(pieces)
+    sent = docs.sparkSession.sparkContext.broadcast(Automaton(load_pieces(vocabulary or default_vocabulary())))
 
     def run(batches):
-        automaton, known = Automaton(sent.value), {}
+        automaton, known = sent.value, {}
         for b in batches:
             words, tokens, most = [], [], []
             for text in b.column(1):
