@@ -101,14 +101,19 @@ def entity_provider(df: DataFrame, table: DataFrame, code: str = "code") -> Data
     return b.withColumn("provider", F.coalesce("_p1", "_p2")).drop("_p1", "_p2", "_inner")
 
 
+def dealt(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column of df, over all shuffle partitions: adaptive plans would leave what is small, but grows a hundredfold in the next step, to one task."""
+    return df.select(column).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column).distinct()
+
+
 def within_one_edit(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(word, suggestion): for words (word) of 4 letters or more, the least dictionary word (term) at distance 1 at most, closest first.
 
     Words at distance 1 share themselves or a string with one letter less, so that is joined instead of all pairs.
     """
     keys = lambda c: F.concat(F.array(c), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substr(c, F.lit(1), i - 1), F.substr(c, i + 1))))
-    a = words.where(F.length("word") >= 4).select("word").distinct().select("word", F.explode(F.array_distinct(keys(F.col("word")))).alias("k"))
-    b = dictionary.select("term").distinct().where("term <> ''").select("term", F.explode(F.array_distinct(keys(F.col("term")))).alias("k"))
+    a = dealt(words.where(F.length("word") >= 4).select("word").distinct(), "word").select("word", F.explode(F.array_distinct(keys(F.col("word")))).alias("k"))
+    b = dealt(dictionary.where("term <> ''").select("term").distinct(), "term").select("term", F.explode(F.array_distinct(keys(F.col("term")))).alias("k"))
     near = a.join(b, "k").select("word", "term", F.levenshtein("word", "term").alias("d")).where("d <= 1").distinct()
     return near.groupBy("word").agg(F.min(F.struct("d", "term")).alias("m")).select("word", F.col("m.term").alias("suggestion"))
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators.relational import within_one_edit
+from brindle.operators.relational import dealt, within_one_edit
 from brindle.session import stored
 from brindle.sources.loaders import spread
 
@@ -24,18 +24,25 @@ ALIKE = {"i": "lI1", "I": "il1", "l": "iI1", "1": "iIl", "0": "Oo", "O": "0o", "
 PER_WORD, PER_CHARACTER, LONGEST = 15.0, 6.0, 30
 
 
-def stems(word: Column) -> Column:
-    """The dictionary forms that would make a word known; none for single letters other than a and i."""
-    w = F.lower(word)
-    made = [F.when(F.endswith(w, F.lit(end)) & (F.octet_length(w) > least), F.concat(F.substr(w, F.lit(1), F.length(w) - cut), F.lit(add))) for end, least, cut, add in ENDINGS]
-    lone = (F.octet_length(w) == 1) & ~w.isin("a", "i")
-    return F.when(lone, F.array().cast("array<string>")).otherwise(F.array_distinct(F.array_compact(F.array(w, *made))))
+def inflected(dictionary: DataFrame) -> DataFrame:
+    """(form): the lower-case words that the terms of dictionary (term) make known, themselves and with `ENDINGS`; no single letters other than a and i.
+
+    A term has a few forms, while texts have far more words (and spans of
+    words) to look up, so the forms are what is made.
+    """
+    t = F.col("term")
+    made = [t]
+    for end, least, cut, add in ENDINGS:
+        form = F.concat(F.substr(t, F.lit(1), F.length(t) - len(add)), F.lit(end[-cut:]))
+        made.append(F.when(F.endswith(t, F.lit(add)) & F.endswith(form, F.lit(end)) & (F.octet_length(form) > least), form))
+    forms = dictionary.select("term").distinct().select(F.explode(F.array_distinct(F.array_compact(F.array(*made)))).alias("form"))
+    return forms.where((F.octet_length("form") != 1) | F.col("form").isin("a", "i")).distinct()
 
 
 def known_words(words: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """The distinct words (word) of which a form is in dictionary (term)."""
-    forms = words.select("word").distinct().select("word", F.explode(stems(F.col("word"))).alias("term"))
-    return forms.join(dictionary.select("term").distinct(), "term", "left_semi").select("word").distinct()
+    """The distinct words (word) of which dictionary (term) has a form, in any case."""
+    w = words.select("word").distinct()
+    return w.join(inflected(dictionary), F.lower("word") == F.col("form"), "left_semi")
 
 
 def _restored(fixed: Column, original: Column) -> Column:
@@ -60,9 +67,8 @@ def spelling_fixes(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     swap = lambda i: F.transform(F.split(F.coalesce(alike[F.substr("clean", i, F.lit(1))], F.lit("")), ""), lambda c: F.when(c != "", F.concat(F.substr("clean", F.lit(1), i - 1), c, F.substr("clean", i + 1))))
     swaps = F.when(F.length("clean") >= 2, F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length("clean"), F.lit(1))), swap)))
     tries = F.filter(F.concat(F.array(F.when(typo != low, typo)), F.coalesce(swaps, F.array().cast("array<string>"))), lambda c: c.isNotNull())
-    cand = w.select("clean").distinct().select("clean", F.posexplode(F.concat(F.array("clean"), tries)).alias("place", "cand"))
-    forms = cand.select("clean", "place", "cand", F.explode(stems(F.col("cand"))).alias("term"))
-    hits = forms.join(dictionary.select("term").distinct(), "term", "left_semi").groupBy("clean").agg(F.min(F.struct("place", "cand")).alias("hit"))
+    cand = dealt(w, "clean").select("clean", F.posexplode(F.concat(F.array("clean"), tries)).alias("place", "cand"))
+    hits = cand.join(inflected(dictionary), F.lower("cand") == F.col("form"), "left_semi").groupBy("clean").agg(F.min(F.struct("place", "cand")).alias("hit"))
     seen = w.join(hits, "clean", "left").where("hit is null or hit.place > 0")
     lost = seen.where("hit is null").select(F.lower("clean").alias("word"))
     near = within_one_edit(lost, dictionary).select(F.col("word").alias("low"), "suggestion")
@@ -101,9 +107,9 @@ def word_splits(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     w = words.select("word").distinct().where(F.octet_length("word") >= 10).withColumn("clean", F.regexp_replace("word", "[^A-Za-z]", ""))
     w = w.where((F.length("clean") >= 10) & (F.length("clean") >= 0.7 * F.octet_length("word")))
     ends = lambda a: F.transform(F.sequence(a + 1, F.least(a + LONGEST, F.length("clean"))), lambda b: F.struct(a.alias("a"), b.alias("b")))
-    spans = w.select("clean").distinct().select("clean", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.length("clean") - 1), ends))).alias("s"))
+    spans = dealt(w, "clean").select("clean", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.length("clean") - 1), ends))).alias("s"))
     spans = spans.select("clean", "s", F.lower(F.substr("clean", F.col("s.a") + 1, F.col("s.b") - F.col("s.a"))).alias("word"))
-    known = spans.join(known_words(spans, dictionary), "word", "left_semi").groupBy("clean").agg(F.collect_list("s.a").alias("starts"), F.collect_list("s.b").alias("ends"))
+    known = spans.join(inflected(dictionary), F.col("word") == F.col("form"), "left_semi").groupBy("clean").agg(F.collect_list("s.a").alias("starts"), F.collect_list("s.b").alias("ends"))
 
     @F.pandas_udf("string")
     def cut(clean: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:

@@ -1,5 +1,7 @@
 """Spelling, routing, plug-ins and media items on small tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from brindle.functions import extensions
@@ -25,6 +27,27 @@ def test_known_words(spark):
     assert {r["word"] for r in got.collect()} == {"Companies", "walked", "liked", "walking", "liking", "smaller", "smallest", "dog's", "dogs", "a"}
 
 
+def test_known_words_against_plain_rules(spark):
+    """Words are known by the endings that leave a term, whatever their case."""
+    draw = random.Random(12)
+    letters = lambda most: "".join(draw.choice("aeiysédgr") for _ in range(draw.randint(0, most)))
+    terms = sorted({letters(5) for _ in range(300)} | {"b", "A", "ey", "y", "e"})
+    ends = ("", "'s", "s", "ies", "ed", "d", "ing", "er", "est", "b")
+    words = sorted({draw.choice(terms)[: draw.choice((9, -1))] + draw.choice(ends) for _ in range(4000)} | {"B", "A", "i", "'s", ""})
+
+    def known(word):
+        w = word.lower()
+        n = len(w.encode())
+        if n == 1 and w not in "ai":
+            return False
+        cut = [w[: len(w) - c] + add for end, least, c, add in spelling.ENDINGS if w.endswith(end) and n > least]
+        return any(t in terms for t in (w, *cut))
+
+    words += [w.upper() for w in words[::7]]
+    got = spelling.known_words(spark.createDataFrame([(w,) for w in words], "word string"), spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert sorted(r["word"] for r in got.collect()) == sorted({w for w in words if known(w)})
+
+
 def test_spell_fix(spark):
     rows = ["the srnall house,", "he11o  wor1d\nclog.", "smal wolrd", "A1 Modrn 123 --", "the dog", "", None, "wxyz"]
     got = [r["text"] for r in spelling.spell_fix(texts(spark, *rows), terms(spark)).orderBy("doc_id").collect()]
