@@ -163,7 +163,7 @@ def fts_03(spark, d):
 @query("fts_04", WITH + ", p as (select qid, substr(query, 1, 3) as prefix from q where query <> '') select distinct qid, id from p join c on starts_with(c.term, p.prefix)")
 def fts_04(spark, d):
     p = asked(spark, d).where("query <> ''").select("qid", F.substring("query", 1, 3).alias("prefix"))
-    return R.match_prefix(R.term_counts(docs(spark, d)), p)
+    return R.match_prefix(stored(R.term_counts(docs(spark, d)), "counts"), p)
 
 
 @query("fts_05", rf"""with tok as (select doc_id as id, ' ' || array_to_string({T}, ' ') || ' ' as t from documents),
