@@ -2,48 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.session import cut, scratch, shared_dir, stored  # noqa: F401
+
 #: The white space of the contracts: blank, tab, line feed, vertical tab, form feed, carriage return.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). A temporary one only where none is set and all run on this machine; else an error."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="brindle-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, deleted when the application ends."""
-    made = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    path = spark._jvm.org.apache.hadoop.fs.Path(made)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return made
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut: a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: compressed, and of a size that the planner knows."""
-    path = new_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+new_path = scratch
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

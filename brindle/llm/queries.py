@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from brindle.llm.chat import chat_digest, format_chat
 from brindle.llm.common import table
 from brindle.llm.decontam import contaminated
+from brindle.llm.exactdup import exact_duplicates
 from brindle.llm.langid import identify_language
 from brindle.llm.linededup import with_unique_lines
 from brindle.llm.media import stored_texts
 from brindle.llm.mixing import mixed_sources
 from brindle.llm.neardup import near_duplicates
+from brindle.llm.periodic import periodic_runs, planted
+from brindle.llm.ranked import ranked_search
 from brindle.llm.secrets import scan_secrets
 from brindle.llm.sql import SQL
 from brindle.llm.tokens import token_counts
@@ -84,3 +87,18 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(planted(table(spark, sf_dir, "documents")))
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))

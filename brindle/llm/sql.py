@@ -82,4 +82,26 @@ select s.doc_id, cast(len(sh) as bigint) as n_shingles, min(r.other) as componen
 from s join r using (doc_id) group by s.doc_id, len(sh)
 """
 
-SQL = {"op1_chat_format": OP1, "op2_mix_sources": OP2, "op7_line_dedup": OP7, "op8_near_duplicates": OP8}
+OP12 = r"""
+with d as (
+  select row_number() over () as id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as ts from documents),
+q as (
+  select item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) as term from benchmark),
+t as (select count(*) filter (where len(ts) > 0) as n_docs, cast(sum(len(ts)) as bigint) as n_terms from d),
+c as (select id, doc_id, len(ts) as n, term, count(*) as tf from (select id, doc_id, ts, unnest(ts) as term from d) group by id, doc_id, len(ts), term),
+w as (select term, cast(floor(1000 * ln((2 * any_value(n_docs) + 2)::double / (2 * count(*) + 1))) as bigint) as w from c, t group by term),
+s as (
+  select item_id, id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) as bigint) as score
+  from q join c using (term) join w using (term), t group by item_id, id, doc_id),
+r as (select item_id, cast(row_number() over (partition by item_id order by score desc, doc_id, id) as integer) as rank, doc_id, score from s where score > 0)
+select * from r where rank <= 50
+"""
+
+OP13 = rf"""
+with n as (select doc_id, coalesce(length(text), 0) as points, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as t from documents)
+select doc_id, first_value(doc_id) over own as keep_id, count(*) over (partition by t) as group_size,
+  row_number() over own = 1 as kept, sha256(t) as text_sha256
+from n window own as (partition by t order by points desc, doc_id)
+"""
+
+SQL = {"op1_chat_format": OP1, "op2_mix_sources": OP2, "op7_line_dedup": OP7, "op8_near_duplicates": OP8, "op12_ranked_search": OP12, "op13_exact_dedup": OP13}
