@@ -27,6 +27,9 @@ FILE_KINDS = {
     "yaml": ("yaml", "yml"),
     "html": ("html", "htm", "xhtml"),
 }
+#: Brands of boxed image files (fixed values).
+AVIF_BRANDS = ("avif", "avis")
+HEIC_BRANDS = ("heic", "heix", "hevc", "hevx", "mif1", "msf1")
 #: Words that lower or raise a score read from an answer (fixed values).
 AI_WORDS = ("ai-generated", "likely ai", "artificial", "synthetic", "deepfake", "generated")
 HUMAN_WORDS = ("human-made", "real photo", "natural", "authentic", "realistic")
@@ -88,21 +91,33 @@ def checksum(text) -> Column:
 
 
 def content_hash(*cols) -> Column:
-    """MD5 of the JSON of the columns, with keys in order."""
-    return F.md5(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}))
+    """MD5 of the JSON of the columns, with keys in order and a blank after each colon and comma."""
+    value = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v")), {"ignoreNullFields": "false"}), r'(?s)^\{"v":(.*)\}$', 1)
+    return F.md5(F.concat(F.lit("{"), F.concat_ws(", ", *(F.concat(F.lit(f'"{c}": '), value(c)) for c in sorted(cols))), F.lit("}")))
+
+
+#: White space of any script, and what counts as a letter, digit or underscore.
+BLANK = r"\s\x1C-\x1F\x85\p{Z}"
+WORD = r"\p{L}\p{N}_"
 
 
 def text_key(text) -> Column:
-    """Lower-cased, without punctuation, spaces squeezed, the first 200 characters."""
-    t = F.regexp_replace(F.lower(col(text)), r"[^\p{L}\p{Nd}_\s]", "")
-    return F.substring(F.trim(F.regexp_replace(t, r"\s+", " ")), 1, 200)
+    """Lower-cased and stripped; then without all but letters, digits, _ and blanks, and each run of blanks one blank; the first 200 characters. Blanks that punctuation set apart at the ends stay."""
+    t = F.regexp_replace(F.lower(col(text)), f"^[{BLANK}]+|[{BLANK}]+$", "")
+    t = F.regexp_replace(t, f"[^{WORD}{BLANK}]", "")
+    return F.substring(F.regexp_replace(t, f"[{BLANK}]+", " "), 1, 200)
+
 
+def slugify(text) -> Column:
+    """ASCII letters in lower case, digits, and a dash for each run of blanks, dashes and underscores; all else goes, so blanks on both sides of what goes are one dash."""
+    t = F.translate(F.regexp_replace(col(text), "[^A-Za-z0-9 _-]", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.regexp_replace(t, "[ _-]+", "-")
 
-def slugify(text, most: int = 60) -> Column:
-    t = F.regexp_replace(F.regexp_replace(F.lower(col(text)), "[ _]", "-"), "[^a-z0-9-]", "")
-    t = F.btrim(F.regexp_replace(t, "-+", "-"), F.lit("-"))
-    t = F.rtrim(F.substring(t, 1, most), F.lit("-"))
-    return F.when(t == "", "untitled").otherwise(t)
+
+def file_slug(title, most: int = 60) -> Column:
+    """The slug of a title as a file name holds it: at most 60 characters, untitled for none."""
+    t = F.coalesce(slugify(title), F.lit(""))
+    return F.when(t == "", "untitled").otherwise(F.substring(t, 1, most))
 
 
 def project_dir(name) -> Column:
@@ -116,7 +131,13 @@ def git_project_id(url) -> Column:
 
 
 def host(url) -> Column:
-    return F.lower(F.regexp_extract(col(url), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^@/?#]*@)?(\[[^\]]*\]|[^:/?#]*)", 1))
+    """Host and port of a URL as they are written, without a user; '' if it has none."""
+    return F.regexp_extract(col(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#]*@)?([^/?#]*)", 1)
+
+
+def hostname(url) -> Column:
+    """The host without its port, in lower case."""
+    return F.lower(F.regexp_extract(host(url), r"^(\[[^\]]*\]|[^:]*)", 1))
 
 
 def display_source(url, path) -> Column:
@@ -124,7 +145,9 @@ def display_source(url, path) -> Column:
 
 
 def url_basename(url) -> Column:
-    return F.regexp_extract(col(url), r"([^/?#]*)(?:[?#].*)?$", 1)
+    """What follows the last slash of a URL's path, without parameters, query and fragment; '' for a host alone."""
+    path = F.regexp_replace(col(url), r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/?#]*)?|[?#].*$", "")
+    return F.regexp_replace(F.substring_index(path, "/", -1), "(?s);.*$", "")
 
 
 def url_ext(url, default: str = "jpg") -> Column:
@@ -138,16 +161,16 @@ def file_kind(ext) -> Column:
 
 
 def sniff_media(content) -> Column:
-    """Kind of an image by its first bytes."""
+    """Kind of an image by its first bytes, '' for others; boxed files go by their brand, and other brands than those known are heif."""
     h = F.hex(F.substring(col(content), 1, 12))
-    brand = F.substring(h, 17, 8)
+    brand = F.decode(F.substring(col(content), 9, 4), "ISO-8859-1")
+    boxed = (F.substring(h, 9, 8) == "66747970") & (F.length(h) == 24)
+    starts = lambda *magic: reduce(lambda a, m: a | h.startswith(m), magic, F.lit(False))
     return (
-        F.when(h.startswith("FFD8FF"), "jpg").when(h.startswith("89504E47"), "png").when(h.startswith("47494638"), "gif").when(h.startswith("424D"), "bmp")
-        .when(h.startswith("52494646") & (brand == "57454250"), "webp")
-        .when((F.substring(h, 9, 8) == "66747970") & brand.isin("61766966", "61766973"), "avif")
-        .when((F.substring(h, 9, 8) == "66747970") & brand.isin("68656963", "68656978"), "heic")
-        .when((F.substring(h, 9, 8) == "66747970") & brand.isin("6D696631", "6D736631"), "heif")
-        .when(h.startswith("FF0A") | h.startswith("0000000C4A584C20"), "jxl").otherwise("")
+        F.when(starts("FFD8FF"), "jpg").when(starts("89504E470D0A1A0A"), "png").when(starts("474946383761", "474946383961"), "gif").when(starts("424D"), "bmp")
+        .when(starts("52494646") & (brand == "WEBP"), "webp")
+        .when(boxed, F.when(brand.isin(*AVIF_BRANDS), "avif").when(brand.isin(*HEIC_BRANDS), "heic").otherwise("heif"))
+        .when(starts("FF0A"), "jxl").otherwise("")
     )
 
 
@@ -179,15 +202,22 @@ def human_size(n) -> Column:
 
 
 def camel_to_words(s) -> Column:
-    return F.regexp_replace(col(s), r"([a-z0-9])([A-Z])", "$1 $2")
+    """A blank before each ASCII capital but the first character."""
+    return F.regexp_replace(col(s), r"(?s)(?<=.)(?=[A-Z])", " ")
 
 
 def truncate_meta(s, most: int = 160) -> Column:
-    return F.when(F.length(col(s)) > most, F.concat(F.substring(col(s), 1, most), F.lit("..."))).otherwise(col(s))
+    """Runs of blanks squeezed to one and none at the ends; of more than 160 bytes the characters that lie in them whole, and dots."""
+    t = F.regexp_replace(F.regexp_replace(col(s), f"^[{BLANK}]+|[{BLANK}]+$", ""), f"[{BLANK}]+", " ")
+    head = F.decode(F.substring(F.encode(t, "UTF-8"), 1, most), "ISO-8859-1")  # a character a byte
+    inside = F.hex(F.substring(F.encode(t, "UTF-8"), most + 1, 1)).between("80", "BF")
+    whole = F.when(inside, F.regexp_replace(head, r"[\xC0-\xFF][\x80-\xBF]*$", "")).otherwise(head)
+    return F.when(F.octet_length(t) > most, F.concat(F.decode(F.encode(whole, "ISO-8859-1"), "UTF-8"), F.lit("…"))).otherwise(t)
 
 
 def has_control_chars(s) -> Column:
-    return col(s).rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F]")
+    """Has one of the characters 1 to 31."""
+    return col(s).rlike(r"[\x01-\x1F]")
 
 
 def decode_base64_any(s) -> Column:
@@ -196,8 +226,19 @@ def decode_base64_any(s) -> Column:
     return F.try_to_binary(F.rpad(t, (F.ceil(F.length(t) / 4) * 4).cast("int"), F.lit("=")), F.lit("base64"))
 
 
+#: The unit of a price without one (fixed value).
+PRICE_UNIT = "/次"
+
+
 def format_price(price, unit) -> Column:
-    return F.when(col(price).isNull(), "—").otherwise(F.concat(F.format_string("$%.4f", col(price)), col(unit)))
+    """The price with its unit, a dash without a price."""
+    own = F.when(F.coalesce(col(unit), F.lit("")) == "", PRICE_UNIT).otherwise(col(unit))
+    return F.when(col(price).isNull(), "—").otherwise(F.concat(F.format_string("$%.4f", col(price)), own))
+
+
+def format_discount(rate) -> Column:
+    """What a rate leaves to one, in whole per cent."""
+    return F.format_string("%.0f%%", (1 - col(rate)) * 100)
 
 
 def score_level(rate) -> Column:
@@ -227,9 +268,10 @@ def parse_llm_score(text) -> Column:
 
 
 def seconds(s) -> Column:
-    """[[hh:]mm:]ss(.f) in seconds; null if it is none."""
-    parts = F.transform(F.split(F.trim(col(s)), ":"), lambda x: x.try_cast("double"))
-    return F.when(F.size(parts) > 3, None).otherwise(F.aggregate(parts, F.lit(0.0), lambda a, x: a * 60 + x))
+    """[[hh:]mm:]ss(.f) in seconds, 0 for ''; null for others, negative parts and blanks among them."""
+    parts = F.transform(F.split(col(s), ":"), lambda x: F.when(x.rlike(r"\s"), None).otherwise(x.try_cast("double")))
+    bad = (F.size(parts) > 3) | F.exists(parts, lambda x: x < 0)
+    return F.when(col(s) == "", 0.0).when(bad, None).otherwise(F.aggregate(parts, F.lit(0.0), lambda a, x: a * 60 + x))
 
 
 def meaningful_chars(text) -> Column:

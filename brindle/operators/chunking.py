@@ -47,8 +47,10 @@ def sections_of(text: str) -> list[tuple[str, str]]:
 
 
 def pieces_of(head: str, content: str, most: int, overlap: int) -> list[tuple[str, str]]:
-    """A section in pieces of at most `most` bytes: cut at a blank line, a full stop, a line break or, backed up to a character, anywhere."""
+    """A section of at most `most` bytes as it is; a longer one in pieces of about that, each after its heading: cut at a blank line, a full stop, a line break or, backed up to a character, anywhere."""
     b, out = content.encode(), []
+    if len(b) <= most:
+        return [(head, content)]
     while len(b) > most:
         at = max(1, most - overlap) if overlap > 0 else most
         if (p := b.rfind(b"\n\n", 0, at)) > most // 2:
@@ -74,7 +76,7 @@ def pieces_of(head: str, content: str, most: int, overlap: int) -> list[tuple[st
 def merged(pieces: list[tuple[str, str]], most: int) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     for head, text in pieces:
-        if out and len(out[-1][1].encode()) + len(text.encode()) < most / 2:
+        if out and len(out[-1][1].encode()) + len(text.encode()) < most // 2:
             out[-1] = (out[-1][0], out[-1][1] + "\n\n" + text)
         else:
             out.append((head, text))
@@ -82,8 +84,9 @@ def merged(pieces: list[tuple[str, str]], most: int) -> list[tuple[str, str]]:
 
 
 def chunks_of(text: str | None, most: int = 2048, overlap: int = 128) -> list[tuple[int, str, str]]:
-    parts = [p for head, content in sections_of(text or "") for p in pieces_of(head, content, most, overlap)]
-    return [(i, h, c) for i, (h, c) in enumerate(merged(parts, most))]
+    """(number, heading, content) of the chunks of a text, none for null and ''. Without an overlap small ones are left alone."""
+    parts = [p for head, content in sections_of(text) for p in pieces_of(head, content, most, overlap)] if text else []
+    return [(i, h, c) for i, (h, c) in enumerate(merged(parts, most) if overlap > 0 else parts)]
 
 
 def chunk_array(text: Column, most: int = 2048, overlap: int = 128) -> Column:

@@ -69,12 +69,12 @@ def skip_known(new: DataFrame, known: DataFrame, *keys: str) -> DataFrame:
 
 
 def provider_of_host(df: DataFrame, rules: DataFrame, url: str = "url", default: str | None = None) -> DataFrame:
-    """df with provider: the first rule (rule_no, domain, provider) whose domain the host is or ends with after a dot; default for other URLs, none for empty ones.
+    """df with provider: the first rule (rule_no, domain, provider) whose domain the host, its port included, is or ends with after a dot in any case; default for other URLs, none for empty ones.
 
     Rules may have suffix and suffix_provider: URLs that end in suffix, or in it and a slash, are of the latter.
     A host has few suffixes, so these are joined with the domains instead of trying every rule.
     """
-    h = host(url)
+    h = F.lower(host(url))
     labels = F.split(h, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     pairs = df.select(url).distinct().select(url, F.explode(suffixes).alias("domain")).join(rules, "domain")
@@ -189,13 +189,15 @@ def is_scanned(df: DataFrame, doc: str, text: str, least: int = 50) -> DataFrame
     return df.groupBy(doc).agg(F.bool_and(meaningful_chars(F.coalesce(F.col(text), F.lit(""))) < least).alias("is_scanned"))
 
 
-def percentile_range(df: DataFrame, key: str, value: str, lo: float, hi: float) -> DataFrame:
-    """(key, lo, hi): least values that at least lo and hi of the rows don't exceed, from counts of equal values."""
-    counts = df.groupBy(key, value).agg(F.count("*").alias("n"))
-    w = W.partitionBy(key)
+def percentile_range(df: DataFrame, key: str | list[str], value: str, lo: float = 2, hi: float = 98) -> DataFrame:
+    """(key, lo, hi): the least value after lo per cent of the rows, in whole rows, are left out at the low end, and the greatest after all above hi per cent are at the high end; from counts of equal values, which are few."""
+    keys = [key] if isinstance(key, str) else key
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+    w = W.partitionBy(*keys)
     cum = counts.withColumn("c", F.sum("n").over(w.orderBy(value))).withColumn("total", F.sum("n").over(w))
-    pick = lambda p: F.min(F.when(F.col("c") >= F.ceil(F.col("total") * p), F.col(value)))
-    return cum.groupBy(key).agg(pick(lo).alias("lo"), pick(hi).alias("hi"))
+    low = F.min(F.when(F.col("c") > F.floor(F.col("total") * lo / 100), F.col(value)))
+    high = F.max(F.when(F.col("total") - F.col("c") + F.col("n") > F.floor(F.col("total") * (100 - hi) / 100), F.col(value)))
+    return cum.groupBy(*keys).agg(low.alias("lo"), high.alias("hi"))
 
 
 def kth_largest(df: DataFrame, key: str, value: str, k: int) -> DataFrame:

@@ -233,11 +233,15 @@ def search_ladder(index: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def full_text_search(docs: DataFrame, queries: DataFrame, limit: int, project: str = "", project_col: str = "project") -> DataFrame:
-    """(qid, id, score, stage, rank): the best `limit` documents of docs (doc_id, text, project) that the ladder of each parsed query finds, by BM25 of the query's tokens in the scoped documents' corpus (rank 0 where a document holds prefixes only)."""
+    """(qid, id, score, stage, rank): the best `limit` documents of docs (doc_id, text, project) that the ladder of each parsed query finds in the project, by BM25 of the query's tokens (rank 0 where a document holds prefixes only).
+
+    Each stage looks at the project's documents alone, so a query falls through to
+    the next one though another project would have held it. The statistics of BM25 are those of all documents.
+    """
     index = stored(postings(docs), "postings")
     own = scope(docs, project, project_col).select(F.col("doc_id").alias("id"))
     parts = stored(parsed_terms(queries), "parsed")
-    found = search_ladder(index, parts).join(own, "id", "left_semi")
+    found = search_ladder(index if project == "" else stored(index.join(own, "id", "left_semi"), "scoped"), parts)
     scored = bm25_of(index.select("term", "id", "tf", "doc_len"), corpus_stats(docs), query_terms(queries))
     both = found.join(scored, ["qid", "id"], "left").select("qid", "id", F.coalesce("score", F.lit(0.0)).alias("score"), "stage")
     return top_k(both, limit)

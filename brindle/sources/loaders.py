@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
+from html import unescape
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from brindle.functions.scalars import CJK, FILE_KINDS, file_kind, glob_pattern, host, human_size
+from brindle.functions.scalars import CJK, FILE_KINDS, file_kind, glob_pattern, host
 
 IDEAS = "title string, title_zh string, prompt string, prompt_zh string, image_urls array<string>, source_url string, author string, license string, lang string"
 CATALOG = "success boolean, data struct<total:long,page:long,page_size:long,models:array<struct<id:string,name:string,media_type:string,vendor:struct<name:string>,pricing:struct<price:double,unit:string>,tags:array<string>>>>"
@@ -37,7 +39,7 @@ def load_ideas_json(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(IDEAS).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(path)
 
 
-def load_ideas_csv(spark: SparkSession, path: str) -> DataFrame:
+def load_ideas_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Rows with a content column; author and sourceMedia are JSON."""
     raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("recursiveFileLookup", True).csv(path)
     if "content" not in raw.columns:
@@ -53,16 +55,41 @@ def _children(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
 
 
+def json_kind(text) -> Column:
+    """What a whole text is as JSON: array, other, or bad."""
+
+    def kind(t):
+        try:
+            return "array" if isinstance(json.loads(t or ""), list) else "other"
+        except ValueError:
+            return "bad"
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(kind)
+
+    return run(text)
+
+
 def scan_sources(spark: SparkSession, folder: str) -> DataFrame:
-    """(entry, name, n): all entries of the JSON and CSV sources (files, or folders of part files) of a folder, n being a source's place in the order of names. A source that is malformed or has no contents gives no entries and fails nothing."""
+    """(entry, name, n): all entries of the JSON and CSV sources (files, or folders of part files) of a folder, n being a source's place in the order of names.
+
+    A JSON file must be an array from its start to its end; one that is no JSON is tried as CSV, and one that is other
+    JSON gives no entries. A source without contents gives no entries and fails nothing.
+    """
     parts, struct = [], IDEAS.replace(" ", ":").replace(",:", ",")
     names = [name for name in _children(spark, folder) if name.lower().endswith((".json", ".csv"))]
     for n, name in enumerate(names):
         path = f"{folder}/{name}"
         if name.lower().endswith(".json"):
-            # a file that can't be parsed to its end gives null
-            whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-            found = whole.select(F.explode(F.from_json("value", f"array<struct<{struct}>>")).alias("e")).select("e.*")
+            whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).withColumn("kind", json_kind("value"))
+            arrays = whole.where("kind = 'array'")
+            found = arrays.select(F.explode(F.from_json("value", f"array<struct<{struct}>>")).alias("e")).select("e.*")
+            bad = [r[0] for r in whole.where("kind = 'bad'").select(F.col("_metadata.file_path")).collect()]  # names of broken files
+            try:
+                found = found.unionByName(load_ideas_csv(spark, bad)) if bad else found
+            except ValueError:
+                pass
         else:
             try:
                 found = load_ideas_csv(spark, path)
@@ -74,11 +101,14 @@ def scan_sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_tree(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, modificationTime, length, content, ext) of supported files, hidden folders left out."""
+    """(path, modificationTime, length, content, ext) of supported files; hidden folders below the given one are left out."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = root.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(root).toString().rstrip("/")
+    below = F.when(F.startswith("path", F.lit(root)), F.substr("path", F.lit(len(root) + 1))).otherwise(F.col("path"))
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     known = [e for es in FILE_KINDS.values() for e in es]
-    return raw.withColumn("ext", ext).where(F.col("ext").isin(known) & ~F.col("path").rlike(r"/\.[^/]+/"))
+    return raw.withColumn("ext", ext).where(F.col("ext").isin(known) & ~below.rlike(r"/\.[^/]+/"))
 
 
 def load_document(files: DataFrame) -> DataFrame:
@@ -154,29 +184,55 @@ def ingest_pages(pages: DataFrame, most: int = MOST_PAGE) -> DataFrame:
     return fit.withColumn("error", F.lit(None).cast("string")).unionByName(pages.where(large).select("page_id", "url", F.lit("page too large").alias("error")), allowMissingColumns=True)
 
 
+HREF = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+
+
 def raw_links(pages: DataFrame) -> DataFrame:
-    """(page_id, url, pos, href) of every link."""
-    return pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(r'(?is)<a\s[^>]*?href="([^"]*)"'), F.lit(1))).alias("pos", "href"))
+    """(page_id, url, pos, href) of every link, in double, single or no quotes, in order."""
+    found = pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("pos", "href"))
+    return found.withColumn("href", F.regexp_replace("href", r"""(?s)^(["'])(.*)\1$""", "$2"))
 
 
 def resolve(base, href):
+    """href, whose entities are undone, against base; null where that can't be."""
+
     @F.pandas_udf("string")
     def join(b: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([urljoin(x or "", y or "") for x, y in zip(b, h, strict=True)])
+        def one(x, y):
+            try:
+                return urljoin(x or "", unescape(y or ""))
+            except ValueError:
+                return None
+
+        return pd.Series([one(x, y) for x, y in zip(b, h, strict=True)], dtype=object)
 
     return join(base, href)
 
 
 def extract_links(pages: DataFrame) -> DataFrame:
-    """(page_id, link): resolved against the page, once a page."""
-    return raw_links(pages).select("page_id", resolve(F.col("url"), F.col("href")).alias("link")).distinct()
+    """(page_id, url, pos, link) of the links of each page, resolved against it, each once, pos being its first place; blank ones, fragments of the page and scripts are none."""
+    raw = raw_links(pages).withColumn("href", F.regexp_replace("href", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).where(~F.col("href").rlike("^(#|javascript:|$)"))
+    links = raw.select("page_id", "url", "pos", resolve(F.col("url"), F.col("href")).alias("link")).where("link <> ''")
+    return links.groupBy("page_id", "url", "link").agg(F.min("pos").alias("pos")).select("page_id", "url", "pos", "link")
 
 
-def link_filter(links: DataFrame, limit: int) -> DataFrame:
-    """The first `limit` links of each page that stay on its host; fragments, scripts and mail left out."""
-    local = F.col("href").startswith("/") | (host("href") == host("url"))
-    own = links.where(~F.col("href").rlike("^(#|javascript:|mailto:)") & local).groupBy("page_id", "href").agg(F.min("pos").alias("pos"))
-    return own.withColumn("_n", F.row_number().over(W.partitionBy("page_id").orderBy("pos"))).where(F.col("_n") <= limit).drop("_n")
+def link_filter(links: DataFrame, limit: int, same_host: bool = True) -> DataFrame:
+    """The first `limit` (0 for all) of the resolved links (page_id, url, pos, link) of each page that have its host and port; mail is left out."""
+    own = links.where(~F.col("link").contains("mailto:"))
+    own = own.where(host("link") == host("url")) if same_host else own
+    placed = own.withColumn("n", F.row_number().over(W.partitionBy("page_id").orderBy("pos", "link")))
+    return placed.where(F.col("n") <= limit) if limit else placed
+
+
+def page_title(html) -> Column:
+    """The title of a page, its entities undone; '' without one."""
+
+    @F.pandas_udf("string")
+    def undone(t: pd.Series) -> pd.Series:
+        return t.map(lambda x: None if x is None else unescape(x))
+
+    raw = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
+    return F.when(raw.contains("&"), undone(raw)).otherwise(raw)
 
 
 def load_catalog_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -188,8 +244,11 @@ def load_catalog_pages(spark: SparkSession, path: str) -> DataFrame:
     return pages.join(wanted, "page", "left_semi").select(F.explode("models").alias("m")).select("m.*")
 
 
-def find_files(files: DataFrame, pattern: str, limit: int = 50) -> DataFrame:
-    """The first `limit` files (path, length) by path whose name matches the glob or holds pattern in any case."""
+def find_files(files: DataFrame, pattern: str, limit: int = 0) -> DataFrame:
+    """(path, length, size) of the first `limit` files (path, length) whose name matches the glob or holds pattern in any case, folder by folder in order of names; 30 if limit is none, 100 at most. Sizes above 1024 bytes are in KB or MB with one decimal."""
+    limit = 30 if limit <= 0 else min(limit, 100)
     name = F.substring_index("path", "/", -1)
     hit = F.regexp_like(name, glob_pattern(F.lit(pattern))) | F.contains(F.lower(name), F.lit(pattern.lower()))
-    return files.where(hit).select("path", "length", human_size("length").alias("size")).orderBy("path", "length").limit(limit)
+    n = F.col("length")
+    size = F.when(n > 1 << 20, F.format_string("%.1f MB", n / float(1 << 20))).when(n > 1 << 10, F.format_string("%.1f KB", n / float(1 << 10))).otherwise(F.concat(n.cast("string"), F.lit(" B")))
+    return files.where(hit).select("path", "length", size.alias("size")).orderBy(F.split("path", "/"), "length").limit(limit)

@@ -9,7 +9,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.scalars import checksum, project_dir, slugify
+from brindle.functions.scalars import checksum, file_slug, project_dir
 
 
 def results_json(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
@@ -29,7 +29,7 @@ def results_markdown(df: DataFrame) -> DataFrame:
 
 def save_doc_files(df: DataFrame, path: str) -> None:
     """docs/<project or global>/<date>_<id>-<slug>.md, a file a document, under path (any URI that all tasks reach). Other files there stay; a task that is tried again writes the same files."""
-    name = F.concat(F.date_format("created_at", "yyyy-MM-dd"), F.lit("_"), F.substring("id", 1, 12), F.lit("-"), slugify("title"), F.lit(".md"))
+    name = F.concat(F.date_format("created_at", "yyyy-MM-dd"), F.lit("_"), F.substring("id", 1, 12), F.lit("-"), file_slug("title"), F.lit(".md"))
     project = F.when(F.coalesce("project", F.lit("")) == "", "global").otherwise(project_dir("project"))
 
     def put(batches):
