@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from brindle.functions import extensions
 from brindle.functions import scalars as S
-from brindle.operators import chunking, provenance, series, spelling, vectors
+from brindle.operators import chunking, provenance, relational, series, spelling, vectors
 from brindle.plans.registry import query, table
+from brindle.plans.tables import AG_09
 from brindle.session import scratch
-from brindle.sources import loaders, sinks
+from brindle.sources import loaders, sinks, versioned
 from brindle.streaming import jobs
 
 
@@ -47,15 +48,18 @@ def src_02(spark, d):
 
 
 @query("src_03", """select n, name, source_url, len from (select 0 as n, 'a.json' as name, doc_id::varchar as source_url, length(text) as len from documents
-union all select 1, 'b.csv', doc_id::varchar, length(text) from documents where trim(text) <> '' union all select 4, 'e.json', doc_id::varchar, length(text) from documents where doc_id % 2 = 0)""")
+union all select 1, 'b.csv', doc_id::varchar, length(text) from documents where trim(text) <> '' union all select 4, 'e.json', doc_id::varchar, length(text) from documents where doc_id % 2 = 0
+union all select 5, 'f.json', doc_id::varchar, length(text) from documents where trim(text) <> '')""")
 def src_03(spark, d):
-    """A folder whose third and fourth sources, a broken array and a table without contents, count for nothing."""
+    """A folder whose third, fourth and seventh sources, a broken array, a table without contents and arrays with more after their end, count for nothing; the sixth is a table under the name of an array."""
     path = scratch(spark, "ideas")
     ideas_json(spark, d, path + "/a.json")
     ideas_csv(spark, d, path + "/b.csv")
     docs(spark, d).select(F.concat(F.lit('[{"title": "'), "doc_id").alias("value")).write.text(path + "/c.json")
     docs(spark, d).select("doc_id").write.option("header", True).csv(path + "/d.csv")
     ideas_json(spark, d, path + "/e.json", "doc_id % 2 = 0")
+    ideas_csv(spark, d, path + "/f.json")
+    docs(spark, d).select(F.concat(F.lit('[{"prompt": "p"}] '), "doc_id").alias("value")).write.text(path + "/g.json")
     return loaders.scan_sources(spark, path).select("n", "name", "source_url", F.length("prompt").cast("long").alias("len"))
 
 
@@ -107,7 +111,7 @@ def src_09(spark, d):
 
 
 SAVED = r"""select coalesce(nullif(regexp_replace(case when doc_id % 10 = 0 then '' else source end, '[^A-Za-z0-9._-]', '_', 'g'), ''), 'global') as project_dir, strftime(date '2024-01-01' + cast(doc_id % 28 as integer), '%Y-%m-%d') || '_' || substr(sha256(text), 1, 12) || '-' ||
-coalesce(nullif(rtrim(substr(trim(regexp_replace(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[ _]', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-'), 1, 60), '-'), ''), 'untitled') || '.md' as name, text from documents"""
+coalesce(nullif(substr(regexp_replace(translate(regexp_replace(split_part(text, chr(10), 1), '[^A-Za-z0-9 _-]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ _-]+', '-', 'g'), 1, 60), ''), 'untitled') || '.md' as name, text from documents"""
 
 
 def saved_files(spark, d):
@@ -152,10 +156,13 @@ def flt_06(spark, d):
     return search_by_image(e, "REF=x", order="page_id").select("page_id", "hit")
 
 
-@query("flt_08", r"with f as (select regexp_extract(url, '^[^?#]*') as path, strlen(html) as length from pages), n as (select *, regexp_extract(path, '[^/]*$') as name from f) select path, length from n where regexp_matches(name, '^.*5$') or contains(lower(name), '*5') order by path, length limit 50")
+@query("flt_08", r"with f as (select regexp_extract(url, '^[^?#]*') as path, case when page_id % 4 = 0 then strlen(html) * 997 when page_id % 4 = 1 then 1024 else strlen(html) end as length from pages), n as (select *, regexp_extract(path, '[^/]*$') as name from f), m as (select path, length from n where regexp_matches(name, '^.*5$') or contains(lower(name), '*5') order by string_split(path, '/'), length limit 100) select path, length, case when length > 1048576 then printf('%.1f MB', length / 1048576e0) when length > 1024 then printf('%.1f KB', length / 1024e0) else length || ' B' end as size from m")
 def flt_08(spark, d):
-    files = table(spark, d, "pages").select(F.regexp_extract("url", "^[^?#]*", 0).alias("path"), F.octet_length("html").cast("long").alias("length"))
-    return loaders.find_files(files, "*5").select("path", "length")
+    """The limit is cut to 100."""
+    n = F.octet_length("html").cast("long")
+    size = F.when(F.col("page_id") % 4 == 0, n * 997).when(F.col("page_id") % 4 == 1, 1024).otherwise(n)
+    files = table(spark, d, "pages").select(F.regexp_extract("url", "^[^?#]*", 0).alias("path"), size.alias("length"))
+    return loaders.find_files(files, "*5", 1000)
 
 
 @query("chk_02")
@@ -171,14 +178,14 @@ def chk_03(spark, d):
     return docs(spark, d).select("doc_id", F.posexplode(chunking.merge_small(pieces)).alias("chunk_index", "p")).select("doc_id", "chunk_index", "p.content")
 
 
-@query("sc_04", "select doc_id, md5('{\"lang\":\"' || lang || '\",\"n_chars\":' || n_chars || ',\"source\":\"' || source || '\"}') as x from documents")
+@query("sc_04", "select doc_id, md5('{\"lang\": \"' || lang || '\", \"n_chars\": ' || n_chars || ', \"source\": \"' || source || '\"}') as x from documents")
 def sc_04(spark, d):
     return docs(spark, d).select("doc_id", S.content_hash("source", "lang", "n_chars").alias("x"))
 
 
-@query("sc_10", r"""with l as (select distinct page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"', 1)) as href from pages) select distinct page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href as link from l where starts_with(href, '/')""")
+@query("sc_10", r"""with l as (select distinct page_id, url, unnest(regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"', 1)) as href from pages) select distinct page_id, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href as link from l where starts_with(href, '/') and not contains(href, '&')""")
 def sc_10(spark, d):
-    links = loaders.raw_links(table(spark, d, "pages")).where("href like '/%'")
+    links = loaders.raw_links(table(spark, d, "pages")).where("href like '/%' and href not like '%&%'")
     return links.select("page_id", loaders.resolve(F.col("url"), F.col("href")).alias("link")).distinct()
 
 
@@ -194,9 +201,11 @@ def sc_12(spark, d):
     return table(spark, d, "part").select("p_partkey", S.file_kind(ext).alias("kind"), S.mime_type(ext).alias("mime"), S.is_audio(ext).alias("audio"), S.is_image(ext).alias("image"))
 
 
-@query("sc_18", r"select doc_id, regexp_replace(lang || upper(lang[1]) || source, '([a-z0-9])([A-Z])', '\1 \2', 'g') as spaced, case when length(text) > 160 then substr(text, 1, 160) || '...' else text end as short, regexp_matches(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]') as control from documents")
+@query("sc_18", r"""with t as (select *, regexp_replace(regexp_replace('  ' || text, '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g'), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g') as t from documents)
+select doc_id, upper(lang[1]) || lang[2:] || ' ' || upper(lang[1]) || ' ' || upper(lang[1]) || source as spaced, case when strlen(t) > 160 then left(t, list_max(list_filter(range(0, 161), lambda k: strlen(left(t, k)) <= 160))) || '…' else t end as short, regexp_matches(text, '[\x01-\x1F]') as control from t""")
 def sc_18(spark, d):
-    return docs(spark, d).select("doc_id", S.camel_to_words(F.concat("lang", F.upper(F.substring("lang", 1, 1)), "source")).alias("spaced"), S.truncate_meta("text").alias("short"), S.has_control_chars("text").alias("control"))
+    first = F.upper(F.substring("lang", 1, 1))
+    return docs(spark, d).select("doc_id", S.camel_to_words(F.concat(first, F.substr("lang", F.lit(2)), first, first, "source")).alias("spaced"), S.truncate_meta(F.concat(F.lit("  "), "text")).alias("short"), S.has_control_chars("text").alias("control"))
 
 
 @query("sc_20", "select vec_id, embedding::float[] as back, 4 * len(embedding) as bytes from embeddings")
@@ -343,22 +352,40 @@ def med_11(spark, d):
     return provenance.score_items(items).select(F.col("id").alias("doc_id"), "error", F.round("rate", 6).alias("rate"))
 
 
-@query("ser_02", """with recursive r as (select event_type, date_trunc('day', ts) as day, quantile_disc(value, 2e-2) as lo, quantile_disc(value, 98e-2) as hi from events group by all), s as (select *, row_number() over (partition by event_type order by day) as n from r),
+@query("ser_02", f"""with recursive g as (select event_type, date_trunc('day', ts) as day, value as v from events), {AG_09.format(key="event_type, day", rows="g").removeprefix("with ")}, s as (select *, row_number() over (partition by event_type order by day) as n from r),
 l as (select event_type, day, n, lo, hi from s where n = 1 union all select s.event_type, s.day, s.n, 9e-1 * l.lo + 1e-1 * s.lo, 9e-1 * l.hi + 1e-1 * s.hi from l join s on s.event_type = l.event_type and s.n = l.n + 1)
 select event_type, strftime(day, '%Y-%m-%d') as day, round(lo, 6) as lo_s, round(hi, 6) as hi_s from l""")
 def ser_02(spark, d):
-    ends = [F.expr(f"percentile_disc({p}) within group (order by value)").alias(c) for p, c in ((0.02, "lo"), (0.98, "hi"))]
-    r = table(spark, d, "events").groupBy("event_type", F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd").alias("day")).agg(*ends)
+    e = table(spark, d, "events").select("event_type", F.date_format(F.date_trunc("day", "ts"), "yyyy-MM-dd").alias("day"), "value")
+    r = relational.percentile_range(e, ["event_type", "day"], "value")
     return series.ema_range(r, "event_type", "day", "lo", "hi").select("event_type", F.col("n").alias("day"), F.round("lo_s", 6).alias("lo_s"), F.round("hi_s", 6).alias("hi_s"))
 
 
+def streamed(spark, d):
+    """A store that a stream of two micro-batches fills."""
+    target, source = scratch(spark, "ingested"), scratch(spark, "arriving")
+    docs(spark, d).select("text", F.col("source").alias("project")).repartition(2).write.parquet(source)
+    files = spark.readStream.schema("text string, project string").option("maxFilesPerTrigger", 1).parquet(source)
+    jobs.ingest_stream(files, target, scratch(spark, "progress"), 16).awaitTermination()
+    return target
+
+
 @query("str_04", "select distinct sha256(text) as checksum from documents")
 def str_04(spark, d):
-    target = scratch(spark, "ingested")
-    source = docs(spark, d)
-    files = spark.readStream.schema(source.schema).parquet(f"{d}/documents.parque[t]")  # a pattern, as the table may be one file
-    jobs.ingest_stream(files, target, scratch(spark, "progress")).awaitTermination()
-    return spark.read.parquet(target).select("checksum")
+    return versioned.read(spark, streamed(spark, d), "documents").select(F.col("doc_id").alias("checksum"))
+
+
+@query("str_04_tables", "select sha256(text) as doc_id, any_value(strlen(text)) as size, text <> '' as chunked, true as whole from documents group by text")
+def str_04_tables(spark, d):
+    """Each document with whether it has chunks, and whether these are numbered without a gap and have a vector and their tokens' postings each."""
+    path = streamed(spark, d)
+    t = {n: versioned.read(spark, path, n) for n in ("documents", "chunks", "embeddings", "postings")}
+    terms = t["postings"].groupBy("doc_id", "chunk_id").agg(F.sum("tf").alias("tokens"), F.max("doc_len").alias("doc_len"))
+    own = t["chunks"].join(t["embeddings"], ["doc_id", "chunk_id"], "left").join(terms, ["doc_id", "chunk_id"], "left")
+    n = S.token_count("content")
+    fine = (F.size("vector") == 16) & (n == F.coalesce("tokens", F.lit(0))) & (n == F.coalesce("doc_len", F.lit(0)))
+    g = own.groupBy("doc_id").agg((F.bool_and(F.coalesce(fine, F.lit(False))) & (F.count("*") == F.count_distinct("chunk_index")) & (F.count("*") == F.max("chunk_index") + 1)).alias("fine"))
+    return t["documents"].join(g, "doc_id", "left").select("doc_id", "size", F.col("fine").isNotNull().alias("chunked"), F.coalesce("fine", F.col("size") == 0).alias("whole"))
 
 
 @query("str_05", """with p as (select n_name as provider, n_nationkey % 3 = 0 as free, n_nationkey % 4 = 0 as good, n_nationkey % 5 as used, n_nationkey % 3 * 2 as total from nation), u as (select * from p where total <= 0 or used < total),

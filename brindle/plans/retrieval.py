@@ -8,9 +8,10 @@ from pyspark.sql import Window as W
 from brindle.functions import scalars as S
 from brindle.operators import retrieval as R
 from brindle.operators import vectors as V
+from brindle.operators.blockindex import BlockIndex, write_segment
 from brindle.operators.relational import rank_in_group
 from brindle.plans.registry import query, table
-from brindle.session import stored
+from brindle.session import scratch, stored
 from brindle.sources.sinks import results_json
 
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{Nd}}]+')"
@@ -38,6 +39,21 @@ def docs(spark, d):
     return table(spark, d, "documents")
 
 
+#: Indexes of this application by the folder of the tables: written once, and read by every search after that.
+INDEXES: dict[tuple[str, str], str] = {}
+
+
+def index(spark, d):
+    """The stored index of the documents, which are written in two segments."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in INDEXES:
+        path = scratch(spark, "index")
+        write_segment(docs(spark, d).where("doc_id % 4 > 0"), path)
+        write_segment(docs(spark, d).where("doc_id % 4 = 0"), path)
+        INDEXES[key] = path
+    return BlockIndex(spark, INDEXES[key])
+
+
 def counted(spark, d):
     """The counts of the terms asked for, and these terms: each read several times, the texts once."""
     terms = stored(R.query_terms(asked(spark, d)), "terms")
@@ -64,8 +80,18 @@ def bm_03(spark, d):
     return R.with_idf(bm_02(spark, d)).select("term", F.round("idf", 6).alias("idf"))
 
 
-@query("bm_04", WITH + "select * from (select qid, id, round(score, 6) as score, row_number() over (partition by qid order by score desc, id) as rank from s) where rank <= 10")
+BM_04 = WITH + "select * from (select qid, id, round(score, 6) as score, row_number() over (partition by qid order by score desc, id) as rank from s) where rank <= 10"
+
+
+@query("bm_04", BM_04)
 def bm_04(spark, d):
+    """From the stored index, whose blocks are skipped where they can't reach the tenth place."""
+    return index(spark, d).search(asked(spark, d), 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("bm_04_unindexed", BM_04)
+def bm_04_unindexed(spark, d):
+    """The same from the texts themselves."""
     return R.top_k(R.bm25(docs(spark, d), asked(spark, d)), 10).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -162,8 +188,11 @@ def fts_03(spark, d):
 
 @query("fts_04", WITH + ", p as (select qid, substr(query, 1, 3) as prefix from q where query <> '') select distinct qid, id from p join c on starts_with(c.term, p.prefix)")
 def fts_04(spark, d):
-    p = asked(spark, d).where("query <> ''").select("qid", F.substring("query", 1, 3).alias("prefix"))
-    return R.match_prefix(stored(R.term_counts(docs(spark, d)), "counts"), p)
+    """The prefixes are ranges of the stored dictionary; only the postings of the terms in them are read."""
+    p = stored(asked(spark, d).where("query <> ''").select("qid", F.substring("query", 1, 3).alias("prefix")), "prefixes")
+    own = index(spark, d)
+    terms = stored(own.prefixed(p), "heads")
+    return own.postings(terms).select("term", "id").join(terms.join(p, "prefix").select("term", "qid"), "term").select("qid", "id").distinct()
 
 
 @query("fts_05", rf"""with tok as (select doc_id as id, ' ' || array_to_string({T}, ' ') || ' ' as t from documents),
@@ -193,7 +222,7 @@ LADDER = """, one as (select qid, id from c join qt using (term) group by qid, i
 
 @query("fts_08", WITH + LADDER + ", r as (select s.qid, s.id, score, row_number() over (partition by s.qid order by score desc, s.id) as rank from s join one using (qid, id)) select qid, id, round(score, 6) as score, rank from r where rank <= 20")
 def fts_08(spark, d):
-    return R.top_k(R.bm25(docs(spark, d), asked(spark, d), every_term=True), 20).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+    return index(spark, d).search(asked(spark, d), 20, every_term=True).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
 E = "(select vec_id, label, embedding::double[] as v from embeddings)"
@@ -257,14 +286,14 @@ def corpus_vectors(spark, d):
 
 def hybrid(spark, d):
     """Full-text ranks fused with the nearest vectors; vectors and documents meet by their numbers."""
-    f = R.top_k(R.bm25(docs(spark, d), asked(spark, d), every_term=True), 60)
+    f = index(spark, d).search(asked(spark, d), 60, every_term=True)
     return V.hybrid_fuse(f, V.vector_topk(query_vectors(spark, d), corpus_vectors(spark, d), 60), 20)
 
 
-@query("fts_09", WITH + f""", p as (select qid, term, strlen(term) as b from qt), hit as (select p.qid, p.term, c.id, any_value(b) as b from p join c on c.term = p.term or (b <= 3 and starts_with(c.term, p.term)) group by all),
+@query("fts_09", WITH + f""", own as (select doc_id as id from documents where source = 'src0'), p as (select qid, term, strlen(term) as b from qt), hit as (select p.qid, p.term, c.id, any_value(b) as b from p join c on c.term = p.term or (b <= 3 and starts_with(c.term, p.term)) where c.id in (select id from own) group by all),
 n as (select qid, count(*) as n, count(*) filter (where b > 2) as nl from p group by 1), g as (select qid, id, count(*) as k, count(*) filter (where b > 2) as kl from hit group by all),
 st1 as (select qid, id, case when k = n then 1 when nl > 0 and kl = nl then 2 when nl > 1 and kl > 0 then 3 end as stage from g join n using (qid)), lad as (select qid, id from (select *, min(stage) over (partition by qid) as m from st1 where stage is not null) where stage = m),
-own as (select doc_id as id from documents where source = 'src0'), f as (select * from (select lad.qid, lad.id, row_number() over (partition by lad.qid order by coalesce(score, 0) desc, lad.id) as rank from lad join own using (id) left join s using (qid, id)) where rank <= 30),
+f as (select * from (select lad.qid, lad.id, row_number() over (partition by lad.qid order by coalesce(score, 0) desc, lad.id) as rank from lad join own using (id) left join s using (qid, id)) where rank <= 30),
 v as (select * from (select a.vec_id as qid, b.vec_id as id, list_cosine_similarity(a.v, b.v) as score, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.v, b.v), 12) desc, b.vec_id) as rank from {E} a join q on q.qid = a.vec_id, {E} b join own on own.id = b.vec_id) where rank <= 30),
 h as (select qid, id, case when f.id is not null and v.id is not null then greatest((10 - (f.rank - 1)) / 10e0, v.score) + 2e-1 when f.id is not null then (10 - (f.rank - 1)) / 10e0 when v.score >= 8e-1 then v.score * 5e-1 end as score from f full join v using (qid, id))
 select * from (select qid, id, round(score, 6) as score, row_number() over (partition by qid order by round(score, 12) desc, id) as rank from h where score is not null) where rank <= 10""")
@@ -302,7 +331,7 @@ def vec_10(spark, d):
 
 @query("so_01", WITH + "select qid, id, rank from (select qid, id, row_number() over (partition by qid order by score desc, id) as rank from s) where rank <= 5")
 def so_01(spark, d):
-    return R.top_k(R.bm25(docs(spark, d), asked(spark, d)), 5).select("qid", "id", "rank")
+    return index(spark, d).search(asked(spark, d), 5).select("qid", "id", "rank")
 
 
 @query("so_03", WITH + ", w as (select qid, id, score, row_number() over (partition by qid order by score desc, id) as rank from s) select qid, id from w where rank <= 15 and n_ok(id)".replace("n_ok(id)", "id % 2 = 0") + " qualify row_number() over (partition by qid order by rank) <= 5")

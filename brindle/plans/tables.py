@@ -8,6 +8,9 @@ from pyspark.sql import Window as W
 from brindle.functions import scalars as S
 from brindle.operators import chunking, hygiene, provenance, relational, series
 from brindle.plans.registry import query, table
+from brindle.session import scratch
+from brindle.sources import versioned
+from brindle.sources.loaders import page_title
 
 
 def docs(spark, d):
@@ -60,28 +63,34 @@ def flt_10(spark, d):
     return table(spark, d, "events").where("value >= 50").select("event_id", "value")
 
 
-HREF = r"""regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"', 1)"""
+#: Links of other kinds than the given pages have, before the page's own: relative ones, single and no quotes, blanks, fragments, scripts, mail, another port, an entity.
+MORE_LINKS = "<a href='/one'>1</a> <a class=x href=two>2</a> <a href='  ?q=1 '>3</a> <a href='#top'>4</a> <a href=''>5</a> <a href='javascript:go()'>6</a> <a href='mailto:a@b.c'>7</a> <a href='//other.example:81/z'>8</a> <a data-href='/no' href='/a?b&amp;c'>9</a> <a href='/one'>1</a>"
+LINKS = rf"""p as (select page_id, url, regexp_extract(url, '^([a-z]+:)', 1) as scheme, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) as site, regexp_extract(url, '^[^?#]*') as bare, regexp_extract_all(html, '(?is)<a\s[^>]*?href="([^"]*)"', 1) as hs from pages),
+own as (select *, regexp_replace(bare, '[^/]*$', '') as folder from p),
+l as (select page_id, url, unnest([site || '/one', folder || 'two', bare || '?q=1', 'mailto:a@b.c', scheme || '//other.example:81/z', site || '/a?b&c']) as link, unnest(range(-6, 0)) as pos from own
+  union all select page_id, url, case when regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then href when starts_with(href, '//') then scheme || href when starts_with(href, '/') then site || href else '?' end, pos
+  from (select *, unnest(hs) as href, unnest(range(len(hs))) as pos from own) where href <> '' and href not like '#%' and href not like 'javascript:%'),
+k as (select page_id, url, link, min(pos) as pos from l group by all)"""
 
 
-LINKS = rf"""with l as (select page_id, url, unnest({HREF}) as href from pages)
-select distinct page_id, case when regexp_matches(href, '^[a-zA-Z][a-zA-Z0-9+.-]*:') then href when starts_with(href, '//') then regexp_extract(url, '^[a-z]+:') || href when starts_with(href, '/') then regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href
-when starts_with(href, '#') then regexp_extract(url, '^[^#]*') || case when href = '#' then '' else href end else '?' end as link from l"""
+def linked(spark, d):
+    return table(spark, d, "pages").withColumn("html", F.concat(F.lit(MORE_LINKS), "html"))
 
 
-@query("src_08", LINKS)
+@query("src_08", f"with {LINKS} select page_id, row_number() over (partition by page_id order by pos) as n, link from k")
 def src_08(spark, d):
+    """The links of each page in order, each once."""
     from brindle.sources.loaders import extract_links
 
-    return extract_links(table(spark, d, "pages"))
+    own = W.partitionBy("page_id").orderBy("pos")
+    return extract_links(linked(spark, d)).select("page_id", F.row_number().over(own).alias("n"), "link")
 
 
-@query("flt_11", rf"""with l as (select page_id, url, {HREF} as hs from pages), x as (select page_id, url, unnest(hs) as href, unnest(range(len(hs))) as pos from l),
-y as (select page_id, href, min(pos) as pos from x where href not like '#%' and href not like 'javascript:%' and href not like 'mailto:%' and (href like '/%' or lower(regexp_extract(href, '^[a-z]+://([^/:?#]*)', 1)) = lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1))) group by all)
-select page_id, href from y qualify row_number() over (partition by page_id order by pos) <= 5""")
+@query("flt_11", rf"with {LINKS} select page_id, link from k where regexp_extract(link, '^[a-z]+://([^/?#]*)', 1) = regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) and not contains(link, 'mailto:') qualify row_number() over (partition by page_id order by pos) <= 5")
 def flt_11(spark, d):
-    from brindle.sources.loaders import link_filter, raw_links
+    from brindle.sources.loaders import extract_links, link_filter
 
-    return link_filter(raw_links(table(spark, d, "pages")), 5).select("page_id", "href")
+    return link_filter(extract_links(linked(spark, d)), 5).select("page_id", "link")
 
 
 @query("flt_12", "select doc_id, lang from documents where lang in ('en', 'zh') and trim(text) <> ''")
@@ -110,7 +119,7 @@ def flt_15(spark, d):
 
 @query("flt_16", r"select page_id, regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1) in ('localhost', '127.0.0.1', '::1') as local from pages")
 def flt_16(spark, d):
-    return table(spark, d, "pages").select("page_id", F.btrim(S.host("url"), F.lit("[]")).isin(*S.LOCAL_HOSTS).alias("local"))
+    return table(spark, d, "pages").select("page_id", F.btrim(S.hostname("url"), F.lit("[]")).isin(*S.LOCAL_HOSTS).alias("local"))
 
 
 @query("jn_01", "select c_custkey, n_name, o_orderkey from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_totalprice > 100000")
@@ -146,7 +155,7 @@ def jn_05(spark, d):
     return relational.entity_provider(x, t).select("p_partkey", "provider")
 
 
-@query("jn_06", r"with r as (select 1 as n, 'com' as dom, 'commercial' as p union all select 2, 'org', 'organisation' union all select 3, 'example.org', 'sample'), h as (select page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)) as h from pages), m as (select page_id, any_value(url) as url, arg_min(p, n) as p from h left join r on h = dom or ends_with(h, '.' || dom) group by 1) select page_id, case when p = 'organisation' and (ends_with(url, '=x') or ends_with(url, '=x/')) then 'compatible' else coalesce(p, 'any') end as provider from m")
+@query("jn_06", r"with r as (select 1 as n, 'com' as dom, 'commercial' as p union all select 2, 'org', 'organisation' union all select 3, 'example.org', 'sample'), h as (select page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) as h from pages), m as (select page_id, any_value(url) as url, arg_min(p, n) as p from h left join r on h = dom or ends_with(h, '.' || dom) group by 1) select page_id, case when p = 'organisation' and (ends_with(url, '=x') or ends_with(url, '=x/')) then 'compatible' else coalesce(p, 'any') end as provider from m")
 def jn_06(spark, d):
     r = spark.createDataFrame([(1, "com", "commercial", None, None), (2, "org", "organisation", "=x", "compatible"), (3, "example.org", "sample", None, None)], "rule_no int, domain string, provider string, suffix string, suffix_provider string")
     return relational.provider_of_host(table(spark, d, "pages"), r, default="any").select("page_id", "provider")
@@ -217,10 +226,16 @@ def ag_08(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.stddev_pop("value"), 6).alias("std"), F.round(F.kurtosis("value"), 6).alias("kurt"))
 
 
-@query("ag_09", "select event_type, quantile_disc(v, 2e-2) as lo, quantile_disc(v, 98e-2) as hi from (select event_type, cast(floor(value) as bigint) % 256 as v from events) group by 1")
+AG_09 = """with placed as (select {key}, v, row_number() over (partition by {key} order by v) as up, row_number() over (partition by {key} order by v desc) as down, count(*) over (partition by {key}) as n from {rows}),
+r as (select {key}, min(v) filter (where up > floor(n * 2 / 100)) as lo, max(v) filter (where down > floor(n * (100 - 98) / 100)) as hi from placed group by {key})"""
+
+
+@query("ag_09", "with g as (select event_type || event_id % 7 as event_type, cast(floor(value) as bigint) % 256 as v from events union all select 'whole', event_id % 50 from events where event_id < 100), " + AG_09.format(key="event_type", rows="g").removeprefix("with ") + " select event_type, lo, hi from r")
 def ag_09(spark, d):
-    e = table(spark, d, "events").select("event_type", (F.floor("value").cast("long") % 256).alias("v"))
-    return relational.percentile_range(e, "event_type", "v", 0.02, 0.98)
+    """Groups of many sizes, and one (0 to 49, twice) of which 2 per cent are whole rows."""
+    e = table(spark, d, "events")
+    g = e.select(F.concat("event_type", (F.col("event_id") % 7).cast("string")).alias("event_type"), (F.floor("value").cast("long") % 256).alias("v"))
+    return relational.percentile_range(g.union(e.where("event_id < 100").select(F.lit("whole"), F.col("event_id") % 50)), "event_type", "v")
 
 
 @query("ag_10", r"select conv_id, bool_and(length(regexp_replace(coalesce(text, ''), '[\s\p{P}\p{Nd}]', '', 'g')) < 50) as is_scanned from conversations group by 1")
@@ -285,11 +300,16 @@ def so_05(spark, d):
     return relational.kth_largest(table(spark, d, "lineitem"), "l_suppkey", "l_extendedprice", 3)
 
 
-@query("st_02", "with n as (select text, min(doc_id) as doc_id from documents where text not in (select text from benchmark) group by 1) select item_id as id, 0 as origin from benchmark union all select doc_id, 1 from n")
+@query("st_02", r"""with e as (select doc_id, 'u' || doc_id % 50 as source_url, ['img/' || doc_id % 3 || '.png'] as image_urls, lang, split_part(text, chr(10), 1) as title, text as prompt from documents),
+k as (select *, [source_url, doc_id % 3 || '.png', title || '|' || prompt, substr(regexp_replace(regexp_replace(regexp_replace(lower(prompt), '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g'), '[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\p{Z}]', '', 'g'), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'), 1, 200)] as key,
+  md5('{"image_urls": ' || to_json(image_urls) || ', "lang": ' || to_json(lang) || ', "prompt": ' || to_json(prompt) || ', "source_url": ' || to_json(source_url) || ', "title": ' || to_json(title) || '}') as h from e),
+n as (select * from k where doc_id % 3 > 0 and key not in (select key from k where doc_id % 3 = 0) qualify row_number() over (partition by key order by doc_id) = 1)
+select doc_id, 0 as origin, row_number() over (order by doc_id) as place from e where doc_id % 3 = 0 union all select doc_id, 1, row_number() over (order by source_url, lang, title, h) from n""")
 def st_02(spark, d):
-    old = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), "text")
-    new = docs(spark, d).select(F.col("doc_id").alias("id"), "text")
-    return hygiene.merge_sources(old, new, ["text"], ["id"]).select("id", "origin")
+    """A third of the documents as what there is, the others as what comes: those with an unknown key, in the order of a merged file."""
+    e = docs(spark, d).select("doc_id", F.concat(F.lit("u"), (F.col("doc_id") % 50).cast("string")).alias("source_url"), F.array(F.concat(F.lit("img/"), (F.col("doc_id") % 3).cast("string"), F.lit(".png"))).alias("image_urls"), "lang", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("prompt"))
+    made = hygiene.merge_entries(e.where("doc_id % 3 = 0"), e.where("doc_id % 3 > 0"), "doc_id")
+    return made.select("doc_id", "origin", "place")
 
 
 @query("st_01")
@@ -308,16 +328,37 @@ def st_04(spark, d):
     return table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.lit("b").alias("kind")).unionByName(docs(spark, d).select(F.col("doc_id").alias("id"), F.lit("d").alias("kind")))
 
 
-@query("snk_01", "select doc_id as id, case when doc_id % 3 = 0 then n_chars + 1 else n_chars end as size, doc_id % 100 as created_at, case when doc_id % 3 = 0 then 1000 else doc_id % 100 end as updated_at from documents union all select -doc_id - 1, n_chars, 1000, 1000 from documents where doc_id % 7 = 0")
-def snk_01(spark, d):
+SNK_01 = "select doc_id as id, case when doc_id % 3 = 0 then n_chars + 1 else n_chars end as size, doc_id % 100 as created_at, case when doc_id % 3 = 0 then 1000 else doc_id % 100 end as updated_at from documents union all select -doc_id - 1, n_chars, 1000, 1000 from documents where doc_id % 7 = 0"
+
+
+def updates_of(spark, d):
     """A third of the documents anew, and some that were not there."""
     t = docs(spark, d).select(F.col("doc_id").alias("id"), F.col("n_chars").alias("size"), (F.col("doc_id") % 100).alias("created_at"), (F.col("doc_id") % 100).alias("updated_at"))
     u = t.where("id % 3 = 0").select("id", (F.col("size") + 1).alias("size")).union(t.where("id % 7 = 0").select(-F.col("id") - 1, "size"))
     now = F.lit(1000).cast("long")
-    return hygiene.upsert_documents(t, u.withColumn("created_at", now), now)
+    return t, u.withColumn("created_at", now), now
+
 
+@query("snk_01", SNK_01)
+def snk_01(spark, d):
+    return hygiene.upsert_documents(*updates_of(spark, d))
 
-@query("snk_02", f"with {LINES}, c as (select 'chunks' as t, doc_id, case when doc_id % 4 = 0 then 1 else n end as n from lines where doc_id % 4 <> 0 or n = 1) select * from c union all select 'embeddings', doc_id, n from c union all select 'postings', doc_id, n from c where doc_id % 8 <> 4")
+
+@query("snk_01_stored", SNK_01)
+def snk_01_stored(spark, d):
+    """The same on a stored table, with a second update of a few rows that changes nothing but their buckets."""
+    path = scratch(spark, "store")
+    t, u, now = updates_of(spark, d)
+    versioned.create(spark, path, {"documents": (t, "id")}, 16)
+    versioned.upsert(spark, path, "documents", u, now)
+    versioned.upsert(spark, path, "documents", u.where("id % 300 = 0"), now)
+    return versioned.read(spark, path, "documents")
+
+
+SNK_02 = (f"with {LINES}, c as (select 'chunks' as t, doc_id, case when doc_id % 4 = 0 then 1 else n end as n from lines where doc_id % 4 <> 0 or n = 1) select * from c union all select 'embeddings', doc_id, n from c union all select 'postings', doc_id, n from c where doc_id % 8 <> 4")
+
+
+@query("snk_02", SNK_02)
 def snk_02(spark, d):
     """Every fourth document is given one chunk; every other of those is kept out of the index."""
     c = lines(spark, d).select("doc_id", "n")
@@ -327,6 +368,20 @@ def snk_02(spark, d):
     return part("chunks").union(part("embeddings")).union(part("postings"))
 
 
+@query("snk_02_stored", SNK_02)
+def snk_02_stored(spark, d):
+    """The same on three stored tables that change at once, after rows of a document number that is taken out again."""
+    path = scratch(spark, "store")
+    c = lines(spark, d).select("doc_id", "n")
+    more = c.where("doc_id % 100 = 1").select((-F.col("doc_id")).alias("doc_id"), "n")
+    versioned.create(spark, path, {k: (c.union(more), "doc_id") for k in ("chunks", "embeddings", "postings")}, 16)
+    new = c.where("doc_id % 4 = 0 and n = 1")
+    versioned.replace(spark, path, {"chunks": new, "embeddings": new, "postings": new.where("doc_id % 8 = 0")})
+    versioned.delete(spark, path, more.select("doc_id"))
+    part = lambda k: versioned.read(spark, path, k).select(F.lit(k).alias("t"), "doc_id", "n")
+    return part("chunks").union(part("embeddings")).union(part("postings"))
+
+
 @query("snk_03", f"with {LINES} select 'documents' as t, count(*) as n from documents where doc_id % 3 <> 0 union all select 'chunks', count(*) from lines where doc_id % 3 <> 0")
 def snk_03(spark, d):
     x = docs(spark, d)
@@ -340,6 +395,11 @@ def snk_06(spark, d):
     return hygiene.save_vault(docs(spark, d).select("doc_id", F.col("text").alias("content")))
 
 
+def pick_text(key, *forms):
+    """One of forms by key, with the key put in."""
+    return F.replace(pick(key, *forms), F.lit("{}"), F.col(key).cast("string"))
+
+
 def pick(key, *values):
     return F.element_at(F.array(*map(F.lit, values)), (F.col(key) % len(values) + 1).cast("int"))
 
@@ -348,8 +408,8 @@ SC = {
     "sc_01": (r"array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+'), ' ')", lambda: F.array_join(S.tokenize("text"), " ")),
     "sc_02": (r"len(regexp_extract_all(lower(trim(text)), '[\p{L}\p{Nd}''-]+'))", lambda: F.size(S.words("text"))),
     "sc_03": ("sha256(text)", lambda: S.checksum("text")),
-    "sc_05": (r"substr(trim(regexp_replace(regexp_replace(lower(text), '[^\p{L}\p{Nd}_\s]', '', 'g'), '\s+', ' ', 'g')), 1, 200)", lambda: S.text_key("text")),
-    "sc_06": (r"coalesce(nullif(rtrim(substr(trim(regexp_replace(regexp_replace(regexp_replace(lower(split_part(text, chr(10), 1)), '[ _]', '-', 'g'), '[^a-z0-9-]', '', 'g'), '-+', '-', 'g'), '-'), 1, 60), '-'), ''), 'untitled')", lambda: S.slugify(F.substring_index("text", "\n", 1))),
+    "sc_05": (r"substr(regexp_replace(regexp_replace(regexp_replace(lower(chr(160) || ' .' || text || ' m²  - ½' || chr(160) || '!'), '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g'), '[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\p{Z}]', '', 'g'), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'), 1, 200)", lambda: S.text_key(F.concat(F.lit("\xa0 ."), "text", F.lit(" m²  - ½\xa0!")))),
+    "sc_06": (r"regexp_replace(translate(regexp_replace(' K' || split_part(text, chr(10), 1) || ' é _x-', '[^A-Za-z0-9 _-]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ _-]+', '-', 'g')", lambda: S.slugify(F.concat(F.lit(" K"), F.substring_index("text", "\n", 1), F.lit(" é _x-")))),
     "sc_07": ("regexp_replace(source || '/' || coalesce(lang, '') || ' x', '[^A-Za-z0-9._-]', '_', 'g')", lambda: S.project_dir(F.concat("source", F.lit("/"), F.coalesce("lang", F.lit("")), F.lit(" x")))),
     "sc_08": ("case when doc_id % 2 = 0 then 'h.org/' || source || '/r' else 'h.org/o/' || source end", lambda: S.git_project_id(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("git@h.org:"), "source", F.lit("/r.git"))).otherwise(F.concat(F.lit("https://u@h.org/o/"), "source", F.lit(".git"))))),
     "sc_15": (r"len(regexp_extract_all(text, '[^\s\p{P}]+'))", lambda: S.word_count("text")),
@@ -357,7 +417,7 @@ SC = {
     "sc_17": ("case when strlen(text) * 997 >= 1048576 then printf('%.2f MB', strlen(text) * 997 / 1048576e0 + 1e-9) when strlen(text) * 997 >= 1024 then printf('%.2f KB', strlen(text) * 997 / 1024e0 + 1e-9) else (strlen(text) * 997)::varchar || ' B' end", lambda: S.human_size(F.octet_length("text") * 997)),
     "sc_23": (r"case when len(list_filter(string_split_regex(text, '\s+'), lambda x: regexp_matches(x, '^[0-9]{1,3}[.,!?%]*$') and contains(x, '%') and try_cast(regexp_extract(x, '^[0-9]+') as int) <= 100)) > 0 then try_cast(regexp_extract(list_filter(string_split_regex(text, '\s+'), lambda x: regexp_matches(x, '^[0-9]{1,3}[.,!?%]*$') and contains(x, '%'))[1], '^[0-9]+') as int) / 100e0 else 5e-1 end", lambda: S.parse_llm_score("text")),
     "sc_24": ("case when doc_id % 100 >= 90 then 4 when doc_id % 100 >= 65 then 3 when doc_id % 100 >= 40 then 2 when doc_id % 100 >= 20 then 1 else 0 end", lambda: S.score_level((F.col("doc_id") % 100) / 100.0)),
-    "sc_25": ("doc_id * 3600e0 + 125e-1", lambda: S.seconds(F.concat(F.col("doc_id").cast("string"), F.lit(":00:12.5")))),
+    "sc_25": ("[0e0, null, doc_id * 3600e0 + 125e-1, doc_id * 60e0 + 9, doc_id::double, null, null, null][doc_id % 8 + 1]", lambda: S.seconds(pick_text("doc_id", "", "-{}", "{}:00:12.5", "{}:9", "{}", "1:2:3:{}", " {}", "{}::1"))),
     "sc_26": (r"length(regexp_replace(text, '[\s\p{P}\p{Nd}]', '', 'g'))", lambda: S.meaningful_chars("text")),
     "sc_27": (r"trim(regexp_replace(regexp_replace(replace(text, chr(34), ''), '[+\-*()~]', ' ', 'g'), '\s+', ' ', 'g'))", lambda: S.strip_reserved("text")),
     "txt_02": (r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(text, 'th', '极') || ' x.y z,9 q.) r:s t;; u?v', '极', ' '), ' +', ' ', 'g'), '^[\s\p{Z}\x{85}]+|[\s\p{Z}\x{85}]+$', '', 'g'), '([.,])([A-Za-z])', '\1 \2', 'g'), '([:;?!])', '\1 ', 'g')", lambda: S.post_process_line(F.concat(F.replace("text", F.lit("th"), F.lit("极")), F.lit(" x.y z,9 q.) r:s t;; u?v")))),
@@ -368,11 +428,21 @@ for _name, (_sql, _col) in SC.items():
     query(_name, f"select doc_id, {_sql} as x from documents")(lambda spark, d, c=_col: docs(spark, d).select("doc_id", c().alias("x")))
 
 
+#: First bytes of files, each before a page, and the kind that they tell.
+MAGIC = [("", ""), ("FFD8FF", "jpg"), ("89504E470D0A1A0A", "png"), ("89504E47", ""), ("474946383761", "gif"), ("474946383961", "gif"), ("4749463830", ""), ("424D", "bmp"), ("524946460000000057454250", "webp"), ("524946460000000057415645", ""), *((f"00000018{b'ftyp'.hex()}{b.encode().hex()}", k) for b, k in (("avif", "avif"), ("avis", "avif"), ("heic", "heic"), ("hevx", "heic"), ("mif1", "heic"), ("msf1", "heic"), ("abcd", "heif"))), ("FF0A", "jxl"), ("0000000C4A584C20", "")]
+
+
+def pick_url(key, *urls):
+    """A page's own URL or one of urls."""
+    k = F.col(key) % (len(urls) + 1)
+    return F.when(k == 0, F.col("url")).otherwise(F.element_at(F.array(*map(F.lit, urls)), F.greatest(k, F.lit(1)).cast("int")))
+
+
 PAGE = {
-    "src_07": (r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)", lambda: F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1)),
-    "sc_09": (r"lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1))", lambda: S.host("url")),
-    "sc_11": (r"regexp_extract(url, '([^/?#]*)([?#].*)?$', 1)", lambda: S.url_basename("url")),
-    "sc_13": ("case when page_id % 2 = 0 then 'png' else '' end", lambda: S.sniff_media(F.when(F.col("page_id") % 2 == 0, F.unhex(F.lit("89504E470D0A1A0A"))).otherwise(F.encode("html", "UTF-8")))),
+    "src_07": (r"replace(replace(replace(replace(regexp_extract(replace(html, '</title>', ' &lt;&#169; &eacute;&amp;lt;</title>'), '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&#169;', '©'), '&eacute;', 'é'), '&amp;', '&')", lambda: page_title(F.replace("html", F.lit("</title>"), F.lit(" &lt;&#169; &eacute;&amp;lt;</title>")))),
+    "sc_09": (r"[regexp_extract(url, '^[a-z]+://([^/?#]*)', 1), 'Ex.org:81', 'ex.org', '', '', '[::1]:5'][page_id % 6 + 1]", lambda: S.host(pick_url("page_id", "http://Ex.org:81/a", "https://u:p@ex.org?q=@z", "a/b", "mailto:a@b.c", "http://[::1]:5#x"))),
+    "sc_11": (r"[regexp_extract(url, '^[a-z]+://[^/?#]*/?([^/?#]*/)*([^/?#;]*)', 2), '', 'b.png', '', 'c', 'e'][page_id % 6 + 1]", lambda: S.url_basename(pick_url("page_id", "http://ex.org", "img/b.png?x=/y#/z", "http://ex.org/d/", "c;v=1", "//h/e"))),
+    "sc_13": (f"{[k for _, k in MAGIC]}[page_id % {len(MAGIC)} + 1]", lambda: S.sniff_media(F.concat(F.unhex(pick("page_id", *(m for m, _ in MAGIC))), F.encode("html", "UTF-8")))),
     "sc_19": ("html", lambda: F.decode(S.decode_base64_any(F.rtrim(F.base64(F.encode("html", "UTF-8")), F.lit("="))), "UTF-8")),
 }
 for _name, (_sql, _col) in PAGE.items():
@@ -394,9 +464,11 @@ def sc_28(spark, d):
     return pairs.select("a", "b", S.levenshtein_bytes("a", "b").alias("x"))
 
 
-@query("sc_21", "select p_partkey, printf('$%.4f', p_retailprice) || '/unit' as x from part")
+@query("sc_21", "select p_partkey, case when p_partkey % 5 = 4 then '—' else printf('$%.4f', p_retailprice) || case p_partkey % 3 when 0 then '/unit' else '/次' end end as x, (100 - p_size) || '%' as discount from part")
 def sc_21(spark, d):
-    return table(spark, d, "part").select("p_partkey", S.format_price("p_retailprice", F.lit("/unit")).alias("x"))
+    """Parts without a price, and prices with, without and with an empty unit."""
+    price = F.when(F.col("p_partkey") % 5 < 4, F.col("p_retailprice"))
+    return table(spark, d, "part").withColumns({"price": price, "unit": pick("p_partkey", "/unit", "", None)}).select("p_partkey", S.format_price("price", "unit").alias("x"), S.format_discount(F.col("p_size") / 100.0).alias("discount"))
 
 
 @query("txt_05", f"select distinct w from (select unnest({WORDS}) as w from benchmark) where length(w) between 3 and 20")
@@ -494,10 +566,24 @@ def chk_04(spark, d):
     return chunking.chunk(docs(spark, d))
 
 
-@query("chk_05")
+CUT = """case when pp > 0 and 1919 - pp > 1024 then 1919 - pp when pn > 0 and 1920 - pn > 682 then 1920 - pn else 1920 end"""
+
+
+@query("chk_05", rf"""with recursive b as (select doc_id, regexp_replace(replace(text, '#', '.'), '[^\x00-\x7F]', '?', 'g') || chr(10) as b from documents where text <> ''),
+c(doc_id, k, b) as (select doc_id, 0, b from b where length(b) > 2048 union all
+  select doc_id, k + 1, substr(b, case when n > 128 then n - 127 else n + 1 end) from (
+    select doc_id, k, b, {CUT} as n
+    from (select doc_id, k, b, instr(reverse(left(b, 1920)), repeat(chr(10), 2)) as pp, instr(reverse(left(b, 1920)), chr(10)) as pn from c where length(b) > 2048))),
+a as (select doc_id, k, b, case when length(b) <= 2048 then length(b) else {CUT} end as n
+  from (select doc_id, k, b, instr(reverse(left(b, 1920)), repeat(chr(10), 2)) as pp, instr(reverse(left(b, 1920)), chr(10)) as pn from c)),
+x as (select doc_id, k, repeat(chr(10), 2) || left(b, n) as content, lead(n) over (partition by doc_id order by k) + 2 as later, lag(n) over (partition by doc_id order by k) + 2 as before from a),
+m as (select doc_id, k, content, coalesce(length(content) + later < 1024, false) as joins, coalesce(before + length(content) < 1024, false) as joined from x)
+select m.doc_id, cast(m.k as integer) as chunk_index, '' as heading, m.content || case when m.joins then repeat(chr(10), 2) || y.content else '' end as content from m left join m y on y.doc_id = m.doc_id and y.k = m.k + 1 where not m.joined
+union all select doc_id, 0, '', b from b where length(b) <= 2048""")
 def chk_05(spark, d):
-    """The chunks of every document, as they are shown."""
-    return chunking.chunk(docs(spark, d)).select("doc_id", "chunk_index", "heading", "content")
+    """The chunks of every document as they are shown, over texts in ASCII, where bytes are characters, and without headings."""
+    plain = docs(spark, d).withColumn("text", F.regexp_replace(F.replace("text", F.lit("#"), F.lit(".")), r"[^\x00-\x7F]", "?"))
+    return chunking.chunk(plain).select("doc_id", "chunk_index", "heading", "content")
 
 
 @query("str_02", "select user_id as task, arg_max(case event_type when 'purchase' then 'completed' when 'error' then 'failed' else 'in_progress' end, (ts, event_id)) as status, count(*) as polls from events group by 1")
@@ -530,11 +616,11 @@ def str_02_stream(spark, d):
 
     source = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parque[t]")
     target = scratch(spark, "tasks")
-    out = tracked_tasks(polls(source)).writeStream.outputMode("complete").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{target}/{n:09d}"))
+    # each micro-batch writes the tasks that it changes; of a task's versions the last one counts
+    out = tracked_tasks(polls(source)).writeStream.outputMode("update").foreachBatch(lambda b, n: b.write.mode("overwrite").parquet(f"{target}/batch={n}"))
     out.option("checkpointLocation", scratch(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    # a complete state a micro-batch: the last one counts
-    last = spark.read.parquet(f"{target}/*").select("*", F.regexp_extract(F.input_file_name(), "/([0-9]{9})/", 1).alias("n"))
-    return last.join(last.agg(F.max("n").alias("n")), "n").drop("n")
+    one = F.max_by(F.struct("status", "state", "polls"), "batch").alias("x")
+    return spark.read.parquet(target).groupBy("task").agg(one).select("task", "x.*")
 
 
 SAID = "select conv_id, string_agg(text, '' order by turn) as content from conversations where role = 'assistant' group by 1"
@@ -569,13 +655,17 @@ def str_01_stream(spark, d):
     return spark.read.parquet(target).select(F.col("response_id").cast("long").alias("conv_id"), "content")
 
 
-@query("str_03", """with recursive l as (select * from (values ('click', 50, 3600), ('purchase', 0, 86400), ('view', 1000, 86400)) as l(provider, total, span)),
-u as (select event_type as provider, epoch_us(ts) // 1000000 as t, coalesce(total, 0) as total, coalesce(span, 86400) as span from events left join l on provider = event_type),
+@query("str_03", """with recursive l as (select * from (values ('click', 50, 3600), ('purchase', 0, 86400), ('view', 1000, 2592000), ('all', 7, 3600), ('never', 5, null)) as l(provider, total, span)),
+e0 as (select event_type as p, ts from events union all select 'all', ts from events union all select 'never', ts from events where event_id % 9 = 0),
+u as (select p as provider, epoch_us(ts) // 1000000 as t, coalesce(total, 0) as total, span from e0 left join l on l.provider = p),
 w as (select provider, 1 as k, min(t) as start, any_value(span) as span, any_value(total) as total from u group by 1 union all select w.provider, w.k + 1, (select min(u.t) from u where u.provider = w.provider and u.t > w.start + w.span), w.span, w.total from w where w.start is not null),
 e as (select provider, max(k) as windows, max(start) as start, any_value(total) as total from w where start is not null group by 1)
 select e.provider, (select count(*) from u where u.provider = e.provider and u.t >= e.start) as used, e.start as window_start, e.windows, e.total, e.total <= 0 or (select count(*) from u where u.provider = e.provider and u.t >= e.start) < e.total as can_use from e""")
 def str_03(spark, d):
+    """Each kind of event as a provider, one with all events by the hour, one whose period is unknown, and others without limits: both never start anew."""
     from brindle.streaming.jobs import quota_ledger
 
-    limits = spark.createDataFrame([("click", 50, "hourly"), ("purchase", 0, "daily"), ("view", 1000, "daily")], "provider string, total long, period string")
-    return quota_ledger(table(spark, d, "events").select(F.col("event_type").alias("provider"), "ts"), limits)
+    limits = spark.createDataFrame([("click", 50, "hourly"), ("purchase", 0, "daily"), ("view", 1000, "monthly"), ("all", 7, "hourly"), ("never", 5, "weekly")], "provider string, total long, period string")
+    e = table(spark, d, "events")
+    uses = e.select(F.col("event_type").alias("provider"), "ts").union(e.select(F.lit("all"), "ts")).union(e.where("event_id % 9 = 0").select(F.lit("never"), "ts"))
+    return quota_ledger(uses, limits)

@@ -5,13 +5,15 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from brindle.operators.relational import DONE, FAILED
+from brindle.session import stored
+from brindle.sources.versioned import ingest
+from brindle.streaming.stateful import complete_responses
 
 CHUNK = "id string, model string, choices array<struct<delta:struct<content:string,tool_calls:array<struct<index:int,id:string,type:string,function:struct<name:string,arguments:string>>>>,finish_reason:string>>"
 #: Seconds of a quota period (fixed values).
@@ -41,30 +43,6 @@ def assemble_chat(lines: DataFrame) -> DataFrame:
     return main.join(tools, "response_id", "left")
 
 
-def complete_responses(lines: DataFrame, timeout: int | None = None) -> DataFrame:
-    """(response_id, seq, line) of a streaming frame of lines, once a response has its [DONE], or has been silent for `timeout` seconds of processing time if one is given (for queries that run on: one that ends with its input waits for no time).
-
-    Until then a response's lines wait in the state store; what comes after
-    its end starts anew. `assemble_chat` takes what comes out.
-    """
-
-    def run(key, frames, state):
-        got = [(int(s), x) for f in frames for s, x in zip(f["seq"], f["line"], strict=True)]
-        held = list(zip(state.get[0], state.get[1], strict=True)) if state.exists else []
-        got = sorted([*held, *got])
-        if state.hasTimedOut or any(x[:6] == "data: " and x[6:].strip() == "[DONE]" for _, x in got):
-            if state.exists:
-                state.remove()
-            yield pd.DataFrame({"response_id": [key[0]] * len(got), "seq": [s for s, _ in got], "line": [x for _, x in got]})
-        else:
-            state.update(([s for s, _ in got], [x for _, x in got]))
-            if timeout is not None:
-                state.setTimeoutDuration(timeout * 1000)
-
-    rows = lines.select(F.col("response_id").cast("string").alias("response_id"), F.col("seq").cast("long").alias("seq"), "line").where("line is not null")
-    return rows.groupBy("response_id").applyInPandasWithState(run, "response_id string, seq long, line string", "seqs array<long>, lines array<string>", "append", "NoTimeout" if timeout is None else "ProcessingTimeTimeout")
-
-
 def stream_chat(lines: DataFrame, target: str, checkpoint: str):
     """Start a query that writes the assembled responses of a streaming frame of lines (response_id, seq, line) to target, a folder a micro-batch, so a batch that is tried again replaces itself."""
 
@@ -93,31 +71,59 @@ def tracked_tasks(polls: DataFrame, timeout: int = 180) -> DataFrame:
     return g.select("task", "status", task_state(F.col("status"), F.col("first"), F.col("last"), timeout).alias("state"), "polls")
 
 
+def next_starts(seconds: DataFrame) -> DataFrame:
+    """seconds (provider, t, span) with far: the first second of the provider more than span later; itself if there is none.
+
+    Seconds lie in buckets of span + 1. The first one that is late enough is in the
+    next bucket or, if that has none, the least of the next bucket that holds any, so windows
+    run over a bucket's seconds and over a provider's buckets, never over a provider's uses.
+    """
+    width = F.col("span") + 1
+    own = seconds.where("span is not null").withColumn("b", F.floor(F.col("t") / width))
+    # each second stands in its own bucket, and again a bucket later to look for its successor
+    looks = own.select("provider", "t", "span", (F.col("b") + 1).alias("b"), (F.col("t") + width).alias("at"), F.lit(1).alias("look"))
+    both = own.select("provider", "t", "span", "b", F.col("t").alias("at"), F.lit(0).alias("look")).unionByName(looks)
+    w = W.partitionBy("provider", "b").orderBy("at").rangeBetween(W.currentRow, W.unboundedFollowing)
+    found = both.withColumn("near", F.min(F.when(F.col("look") == 0, F.col("t"))).over(w)).where("look = 1").select("provider", "t", "span", "b", "near")
+    least = own.groupBy("provider", "b").agg(F.min("t").alias("least")).withColumn("e", F.lit(0))
+    asked = found.where("near is null").select("provider", "b").distinct().select("provider", "b", F.lit(None).cast("long").alias("least"), F.lit(1).alias("e"))
+    after = F.first("least", ignorenulls=True).over(W.partitionBy("provider").orderBy("b", "e").rowsBetween(1, W.unboundedFollowing))
+    later = least.unionByName(asked).withColumn("later", after).where("e = 1").select("provider", "b", "later")
+    out = found.join(later, ["provider", "b"], "left").select("provider", "t", F.coalesce("near", "later", "t").alias("far"))
+    return out.unionByName(seconds.where("span is null").select("provider", "t", F.col("t").alias("far")))
+
+
 def quota_ledger(uses: DataFrame, limits: DataFrame) -> DataFrame:
     """(provider, used, window_start, windows, total, can_use) from uses (provider, ts) and limits (provider, total, period).
 
     A window opens at the first use and again at the first use more than a
-    period later; times count in whole seconds, window_start is in seconds
-    since 1970. Uses are counted by second before they are shuffled, so what
-    a provider's group holds is bounded by the seconds that its uses span, not by
-    their number; there the starts are followed by a search per window.
+    period later; without a known period it never ends, and a provider without limits has none.
+    Times count in whole seconds, window_start is in seconds since 1970. Uses are counted by
+    second before they are shuffled. Each second's next start is known from
+    `next_starts`; the path from the first second to the last start is followed by pointer
+    doubling, four times as far each round, so 1,000 windows take five rounds.
     """
     period = F.create_map(*(F.lit(x) for kv in PERIODS.items() for x in kv))
-    per_second = uses.groupBy("provider", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t")).agg(F.count("*").alias("n")).where("t is not null")
-    rows = per_second.join(limits, "provider", "left").select("provider", "t", "n", F.coalesce("total", F.lit(0)).cast("long").alias("total"), F.coalesce(period[F.col("period")], F.lit(86400)).cast("long").alias("span"))
-
-    def fold(table: pa.Table) -> pa.Table:
-        t, n = (table[c].to_numpy() for c in ("t", "n"))
-        order = np.argsort(t)
-        t, n = t[order], n[order]
-        total, span = table["total"][0].as_py(), table["span"][0].as_py()
-        at, windows = 0, 1
-        while (later := int(np.searchsorted(t, t[at] + span, "right"))) < len(t):
-            at, windows = later, windows + 1
-        used = int(n[at:].sum())
-        return pa.table({"provider": [table["provider"][0].as_py()], "used": [used], "window_start": [int(t[at])], "windows": [windows], "total": [total], "can_use": [total <= 0 or used < total]})
-
-    return rows.groupBy("provider").applyInArrow(fold, "provider string, used long, window_start long, windows long, total long, can_use boolean")
+    per_second = uses.groupBy("provider", F.unix_seconds(F.col("ts").cast("timestamp")).alias("t")).agg(F.count("*").alias("n")).where("t is not null and provider is not null")
+    limits = limits.select("provider", F.coalesce("total", F.lit(0)).cast("long").alias("total"), period[F.col("period")].cast("long").alias("span"))
+    seconds = stored(per_second.join(limits, "provider", "left"), "seconds")
+    jumps = stored(next_starts(seconds.select("provider", "t", "span")).withColumn("hops", (F.col("far") > F.col("t")).cast("long")), "starts")
+
+    def further(a: DataFrame, b: DataFrame) -> DataFrame:
+        onward = b.select("provider", F.col("t").alias("far"), F.col("far").alias("end"), F.col("hops").alias("more"))
+        return a.join(onward, ["provider", "far"]).select("provider", "t", F.col("end").alias("far"), (F.col("hops") + F.col("more")).alias("hops"))
+
+    first = seconds.groupBy("provider").agg(F.min("t").alias("t"))
+    while True:
+        here = stored(jumps.join(first, ["provider", "t"]), "here")
+        ends = jumps.where("far = t").select("provider", F.col("t").alias("far"))
+        if here.join(ends, ["provider", "far"], "left_anti").isEmpty():
+            break
+        twice = further(jumps, jumps)
+        jumps = stored(further(twice, further(jumps, jumps)), "jumps")
+    last = here.select("provider", F.col("far").alias("window_start"), (F.col("hops") + 1).alias("windows"))
+    used = seconds.join(last, "provider").where("t >= window_start").groupBy("provider", "window_start", "windows").agg(F.sum("n").alias("used"), F.coalesce(F.max("total"), F.lit(0).cast("long")).alias("total"))
+    return used.select("provider", "used", "window_start", "windows", "total", ((F.col("total") <= 0) | (F.col("used") < F.col("total"))).alias("can_use"))
 
 
 def provider_lists(providers: DataFrame) -> DataFrame:
@@ -152,30 +158,12 @@ def route_provider(requests: DataFrame, providers: DataFrame, seed: int = 1) ->
     return r.select("req", F.transform(F.array_sort(keyed), lambda p: p["provider"]).alias("ordered"))
 
 
-def ingest_stream(files: DataFrame, target: str, checkpoint: str):
-    """Start a query that appends documents (text) with new content hashes to target, each once.
+def ingest_stream(files: DataFrame, target: str, checkpoint: str, dim: int = 384):
+    """Start a query that ingests the documents (text) of a streaming frame into the store target: documents, chunks, vectors and postings, a version a micro-batch.
 
-    The hashes that the stream has seen stay in its state store, so no
-    micro-batch reads the target again; what the target held before the first
-    start is looked up once and kept beside the checkpoint. Each batch writes a
-    folder of its own, named after the query and its number, and replaces it if it is tried again.
+    What the store holds is told from its own buckets, so no state grows with the stream. A
+    batch that is tried again after its version was made changes nothing.
     """
-    from brindle.functions.scalars import checksum
-
-    spark = files.sparkSession
-
-    def there(name: str) -> bool:
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-
-    before = checkpoint.rstrip("/") + "-known"
-    if not there(checkpoint) and there(target):
-        spark.read.parquet(target).select("checksum").write.mode("overwrite").parquet(before)
-    run = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex[:12]
-
-    def put(batch: DataFrame, n: int) -> None:
-        new = batch.join(batch.sparkSession.read.parquet(before), "checksum", "left_anti") if there(before) else batch
-        new.write.mode("overwrite").parquet(f"{target}/batch={run}-{n}")
-
-    new = files.withColumn("checksum", checksum("text")).dropDuplicates(["checksum"])
-    return new.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    stream = uuid.uuid5(uuid.NAMESPACE_URL, checkpoint).hex
+    put = lambda batch, n: ingest(batch.sparkSession, target, batch, stream, n, dim) and None
+    return files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

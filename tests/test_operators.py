@@ -65,7 +65,7 @@ def test_chunks():
     assert [i for i, _, _ in parts] == list(range(len(parts)))
     assert {h for _, h, _ in parts} == {"", "# A", "## B"}
     assert all(len(c.encode()) <= 2048 + 16 for _, _, c in parts)
-    assert chunking.chunks_of(None) == [(0, "", "\n\n\n")] and chunking.chunks_of("a\nb") == [(0, "", "\n\na\nb\n")]
+    assert chunking.chunks_of(None) == [] and chunking.chunks_of("a\nb") == [(0, "", "a\nb\n")]
 
 
 def test_sections_twice(spark):
@@ -170,7 +170,7 @@ def test_quota_windows(spark):
     uses = spark.createDataFrame(rows, "provider string, at long").select("provider", F.timestamp_seconds("at").alias("ts"))
     limits = spark.createDataFrame([("a", 5, "hourly"), ("b", 0, "daily")], "provider string, total long, period string")
     got = {r["provider"]: (r["used"], r["window_start"], r["windows"], r["can_use"]) for r in jobs.quota_ledger(uses, limits).collect()}
-    for p, span, total in (("a", 3600, 5), ("b", 86400, 0), ("c", 86400, 0)):
+    for p, span, total in (("a", 3600, 5), ("b", 86400, 0), ("c", float("inf"), 0)):
         start, used, windows = None, 0, 0
         for t in sorted(t for q, t in rows if q == p):
             if start is None or t - start > span:
@@ -229,21 +229,26 @@ def test_parsed_search(spark):
 
 
 def test_ingest_after_others(spark, tmp_path):
-    """What the target held before the first start is known."""
+    """What the store held before the first start is known."""
+    from brindle.sources import versioned
+
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.createDataFrame([("old",)], "text string").withColumn("checksum", S.checksum("text")).write.parquet(out + "/batch=0")
+    versioned.ingest(spark, out, spark.createDataFrame([("old",)], "text string"))
     spark.createDataFrame([("old",), ("new",)], "text string").write.parquet(src)
     for _ in range(2):
         jobs.ingest_stream(spark.readStream.schema("text string").parquet(src), out, str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["new", "old"]
+    assert sorted(r["content"] for r in versioned.read(spark, out, "chunks").collect()) == ["new\n", "old\n"]
 
 
 def test_ingest_stream(spark, tmp_path):
+    from brindle.sources import versioned
+
     src, out = str(tmp_path / "in"), str(tmp_path / "out")
     for texts in (["a", "b", "a"], ["b", "c"]):
         spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1).write.mode("append").parquet(src)
         jobs.ingest_stream(spark.readStream.schema("text string").parquet(src), out, str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["a", "b", "c"]
+    assert sorted(r["content"] for r in versioned.read(spark, out, "chunks").collect()) == ["a\n", "b\n", "c\n"]
+    assert versioned.read(spark, out, "documents").count() == 3
 
 
 def test_nearest_vectors_with_ties(spark):
