@@ -26,3 +26,10 @@ def words_in(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased and nothing else; all-ASCII texts take the fast built-in."""
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
+def sliced(batches, rows: int):
+    """Arrow batches in parts of at most `rows` rows."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)

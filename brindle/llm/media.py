@@ -117,7 +117,8 @@ class ArchiveWriter(DataSourceArrowWriter):
                     name = f"{uuid.uuid4().hex}.zip"
                     sink, k = store.open_output_stream(f"{root}/{name}"), 0
                     archive = zipfile.ZipFile(sink, "w", zipfile.ZIP_STORED)
-                archive.writestr(zipfile.ZipInfo(f"{k}/{'' if doc_id.as_py() is None else doc_id.as_py()}.png"), media.as_py())
+                kind = "none" if media.as_py() is None else "png"
+                archive.writestr(zipfile.ZipInfo(f"{k}/{'' if doc_id.as_py() is None else doc_id.as_py()}.{kind}"), media.as_py() or b"")
                 k += 1
         if archive is not None:
             close()
@@ -137,7 +138,11 @@ class ArchiveWriter(DataSourceArrowWriter):
 
 
 class ArchiveReader(DataSourceReader):
-    """A partition is a byte range of an archive: it reads the members that start there, each on its own, by offset, again if that fails. An archive that can't be opened gives one row with its error for each range."""
+    """A partition is a byte range of an archive: it reads the members that start there, each on its own, by offset, again if that fails. An archive that can't be opened gives one row with its error for each range.
+
+    Archives are those of the manifests, so what failed attempts left doesn't count. A folder without a
+    manifest was written by others: all its ZIP archives are read, those in folders below it too. An empty folder gives no rows.
+    """
 
     def __init__(self, options):
         self.path, self.split = options["path"], int(options.get("splitbytes", 16 << 20))
@@ -145,12 +150,15 @@ class ArchiveReader(DataSourceReader):
 
     def partitions(self):
         store, root = _opened(self.path)
+        manifests = [i.path for i in store.get_file_info(fs.FileSelector(root)) if i.base_name.startswith("_manifest-")]
         found = []
-        for info in store.get_file_info(fs.FileSelector(root)):
-            if info.base_name.startswith("_manifest-"):
-                with store.open_input_stream(info.path) as f:
-                    found += json.loads(f.read())
-        ranges = [ByteRange(f"{root}/{name}", size, at, at + self.split) for name, size in sorted(found) for at in range(0, size, self.split)]
+        for path in manifests:
+            with store.open_input_stream(path) as f:
+                found += [[f"{root}/{name}", size] for name, size in json.loads(f.read())]
+        if not manifests:
+            every = store.get_file_info(fs.FileSelector(root, recursive=True))
+            found = [[i.path, i.size] for i in every if i.type == fs.FileType.File and i.extension.lower() == "zip"]
+        ranges = [ByteRange(path, size, at, at + self.split) for path, size in sorted(found) for at in range(0, max(size, 1), self.split)]
         return ranges or [ByteRange("", 0, 0, 0)]
 
     def read(self, partition):
@@ -165,7 +173,11 @@ class ArchiveReader(DataSourceReader):
         for member in archive.infolist():
             if not partition.start <= member.header_offset < partition.end:
                 continue
+            if member.is_dir():
+                continue
             media, error = self.tried(lambda m=member: archive.read(m), lambda m=member: self.anew(store, partition.archive, m))
+            if member.filename.endswith(".none"):
+                media = None
             rows.append((_own_id(member.filename), partition.archive, member.header_offset, media, error))
             held += len(media or b"")
             if held >= self.batch:
@@ -214,7 +226,7 @@ class MediaArchives(DataSource):
 
 
 def write_archives(media: DataFrame, path: str) -> None:
-    """Store media (doc_id, media) under path."""
+    """Store media (doc_id, media) under path; a null medium comes back as null, without an error."""
     media.sparkSession.dataSource.register(MediaArchives)
     media.select("doc_id", "media").write.format(FORMAT).mode("append").save(path)
 

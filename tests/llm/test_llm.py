@@ -463,3 +463,24 @@ def test_pipeline_stages_by_the_row(spark, odd, empty):
 
 def test_names():
     assert {int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES} == set(range(1, 11))
+
+
+def test_foreign_archives(spark, tmp_path):
+    """A folder of archives without a manifest is read whole; a null medium comes back as null."""
+    import zipfile
+
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for name, members in (("a.zip", {"1/7.png": b"x", "d/": b"", "other.bin": b"y" * 50}), ("sub/b.ZIP", {"z": b""})):
+        with zipfile.ZipFile(tmp_path / "in" / name, "w") as z:
+            for m, b in members.items():
+                z.writestr(m, b)
+    (tmp_path / "in" / "c.zip").write_bytes(b"")
+    (tmp_path / "in" / "d.txt").write_bytes(b"no")
+    got = rows(media.read_archives(spark, str(tmp_path / "in"), splitbytes=40))
+    assert sorted((r["doc_id"] or 0, len(r["media"])) for r in got if r["error"] is None) == [(0, 0), (0, 50), (7, 1)]
+    assert {r["archive"].rsplit("/", 1)[-1] for r in got if r["error"]} == {"c.zip"}
+    path = str(tmp_path / "own")
+    media.write_archives(spark.createDataFrame([(1, None), (None, bytearray(b"z"))], "doc_id long, media binary"), path)
+    back = {(r["doc_id"], r["media"] and bytes(r["media"]), r["error"]) for r in rows(media.read_archives(spark, path))}
+    assert back == {(1, None, None), (None, b"z", None)}
+    assert {r["error"] for r in rows(media.media_features(media.read_archives(spark, path)))} >= {"no medium"}
