@@ -19,11 +19,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
-from brindle.llm.common import WHITE, new_path, stored
+from brindle.llm.common import WHITE, new_path, sliced, stored
 
 #: Bits of a hash key; bytes of text that a bucket holds before it splits.
 KEY_BITS = 63
 BUCKET_BYTES = 64 << 20
+#: Rows that a task has in Python at once.
+SLICE = 512
 
 
 def normalised(text: bytes) -> bytes:
@@ -46,7 +48,7 @@ def combined(docs: DataFrame, bits: int = KEY_BITS) -> DataFrame:
 
     def run(batches):
         made = TaskContext.get().partitionId() << 36
-        for b in batches:
+        for b in sliced(batches, SLICE):
             found: dict[bytes, list] = {}
             entry, at, first = [], [], []
             for t in b.column(2).to_pylist():
@@ -98,7 +100,7 @@ def chained(entries: DataFrame) -> DataFrame:
 
     def run(batches):
         last, heads = None, {}
-        for b in batches:
+        for b in sliced(batches, SLICE):
             key, texts = b.column("key").to_pylist(), b.column("text").to_pylist()
             chain, kept = [], []
             for k, t in zip(key, texts, strict=True):
