@@ -6,6 +6,10 @@ side has to fit into a task; the repairs then go back into the texts.
 
 from __future__ import annotations
 
+try:
+    import ahocorasick
+except ImportError:  # then spans are joined
+    ahocorasick = None
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +26,8 @@ TYPOS = (("rn", "m"), ("cl", "d"), ("1", "l"), ("0", "o"), ("5", "s"), ("8", "b"
 ALIKE = {"i": "lI1", "I": "il1", "l": "iI1", "1": "iIl", "0": "Oo", "O": "0o", "o": "0O"}
 #: Costs of a segmentation: a word, a character of an unknown word (fixed values); longest word.
 PER_WORD, PER_CHARACTER, LONGEST = 15.0, 6.0, 30
+#: Forms of a dictionary that are sent to all tasks.
+MOST_FORMS = 1_000_000
 
 
 def inflected(dictionary: DataFrame) -> DataFrame:
@@ -99,17 +105,42 @@ def best_split(word: str, known: set[tuple[int, int]]) -> str:
     return " ".join(word[a:b] for a, b in reversed(cuts))
 
 
-def word_splits(words: DataFrame, dictionary: DataFrame) -> DataFrame:
+def automaton_of(forms: DataFrame, most: int):
+    """The forms (form) as an automaton that finds all of them in one walk over a word; None if there are more than `most`."""
+    if forms.limit(most + 1).count() > most:
+        return None
+    found = ahocorasick.Automaton()
+    for (form,) in forms.where(F.length("form") <= LONGEST).collect():  # `most` words at most
+        found.add_word(form, len(form))
+    if len(found):
+        found.make_automaton()
+    return found
+
+
+def word_splits(words: DataFrame, dictionary: DataFrame, most: int = MOST_FORMS) -> DataFrame:
     """(word, fixed) for run-together words (word) of ten bytes or more, at least ten ASCII letters and these 0.7 of it: its letters with blanks between the words found in them.
 
-    Spans of up to LONGEST letters are joined with the dictionary; each word is then cut by its own known spans.
+    Known spans have up to LONGEST letters. A dictionary of up to `most` forms, which is that of any language, goes to all tasks as an
+    automaton, and each word is walked once. Spans are joined with the forms of a larger one. The rows are the same.
     """
     w = words.select("word").distinct().where(F.octet_length("word") >= 10).withColumn("clean", F.regexp_replace("word", "[^A-Za-z]", ""))
     w = w.where((F.length("clean") >= 10) & (F.length("clean") >= 0.7 * F.octet_length("word")))
+    forms = inflected(dictionary)
+    walker = automaton_of(forms, most) if ahocorasick is not None else None
+    if walker is not None:
+        sent = words.sparkSession.sparkContext.broadcast(walker)
+
+        @F.pandas_udf("string")
+        def walk(clean: pd.Series) -> pd.Series:
+            spans = lambda c: {(end + 1 - n, end + 1) for end, n in sent.value.iter(c.lower())} if len(sent.value) else set()
+            # a word without any known span stays, as in the join
+            return clean.map(lambda c: best_split(c, k) if (k := spans(c)) else c)
+
+        return dealt(w, "word").withColumn("clean", F.regexp_replace("word", "[^A-Za-z]", "")).withColumn("fixed", walk("clean")).where("clean <> fixed").select("word", "fixed")
     ends = lambda a: F.transform(F.sequence(a + 1, F.least(a + LONGEST, F.length("clean"))), lambda b: F.struct(a.alias("a"), b.alias("b")))
     spans = dealt(w, "clean").select("clean", F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.length("clean") - 1), ends))).alias("s"))
     spans = spans.select("clean", "s", F.lower(F.substr("clean", F.col("s.a") + 1, F.col("s.b") - F.col("s.a"))).alias("word"))
-    known = spans.join(inflected(dictionary), F.col("word") == F.col("form"), "left_semi").groupBy("clean").agg(F.collect_list("s.a").alias("starts"), F.collect_list("s.b").alias("ends"))
+    known = spans.join(forms, F.col("word") == F.col("form"), "left_semi").groupBy("clean").agg(F.collect_list("s.a").alias("starts"), F.collect_list("s.b").alias("ends"))
 
     @F.pandas_udf("string")
     def cut(clean: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from brindle.functions.scalars import CJK, col
+from brindle.operators.relational import scope
 from brindle.sources.loaders import spread
 
 #: Constants of the hash embedding (fixed values): FNV-1a and splitmix64.
@@ -128,8 +129,8 @@ def _nearest(q: np.ndarray, y: np.ndarray, c: np.ndarray, x: np.ndarray, k: int)
     return pa.RecordBatch.from_arrays([pa.array(q[i]), pa.array(c[j]), pa.array(s[i, j])], ["qid", "id", "score"])
 
 
-def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, block: int = 1024) -> DataFrame:
-    """(qid, id, score, rank): exact cosine top k of corpus (id, vector) for queries (qid, vector).
+def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, block: int = 1024, project: str = "", project_col: str = "project") -> DataFrame:
+    """(qid, id, score, rank): exact cosine top k of corpus (id, vector) for queries (qid, vector); with a project, of the vectors of that project ('global': of none) alone.
 
     Both sides are packed into blocks of at most `block` vectors; each pair of
     blocks is one product of matrices that passes on k rows a query, however
@@ -145,7 +146,7 @@ def vector_topk(queries: DataFrame, corpus: DataFrame, k: int = 20, block: int =
                 yield _nearest(q, y, c, x, k)
 
     asked = _packed(queries, "qid", block).withColumnsRenamed({"ids": "qids", "units": "qunits"})
-    near = asked.crossJoin(_packed(corpus, "id", block)).mapInArrow(best, "qid long, id long, score double")
+    near = asked.crossJoin(_packed(scope(corpus, project, project_col), "id", block)).mapInArrow(best, "qid long, id long, score double")
     w = W.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "id")
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -257,6 +257,15 @@ def vec_04(spark, d):
     return V.vector_topk(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 20).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("vec_04_scoped", f"select * from (select a.vec_id as qid, b.vec_id as id, round(list_cosine_similarity(a.v, b.v), 6) as score, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.v, b.v), 12) desc, b.vec_id) as rank from {E} a, {E} b where b.label % 3 = 0) where rank <= 20")
+def vec_04_scoped(spark, d):
+    """The same in one project: the vectors of a third of the labels are outside of all."""
+    e = table(spark, d, "embeddings")
+    q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    c = e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), F.when(F.col("label") % 3 > 0, F.col("label").cast("string")).alias("project"))
+    return V.vector_topk(q, c, 20, project="global").select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("vec_05", f"select vec_id, round(v[1] / sqrt(list_dot_product(v, v)), 6) as first, round(v[64] / sqrt(list_dot_product(v, v)), 6) as last from {E}")
 def vec_05(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", V.l2_normalize("embedding").alias("u"))

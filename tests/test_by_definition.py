@@ -309,3 +309,17 @@ def test_block_index(spark):
     p = spark.createDataFrame([("w1",), ("w39",), ("zz",), ("",)], "prefix string")
     terms = {t for _, x in rows for t in (x or "").split()}
     assert {tuple(r) for r in index.prefixed(p).collect()} == {(p, t) for p in ("w1", "w39", "zz") for t in terms if t.startswith(p)}
+
+
+def test_splits_both_ways(spark):
+    """The automaton and the join with the dictionary give the same splits."""
+    from brindle.operators import spelling
+
+    draw = random.Random(9)
+    terms = ["alpha", "beta", "gam", "gamma", "in", "the", "house", "walk", "a", "box", "x" * 31]
+    words = ["".join(draw.choice([*terms, "walking", "boxes", "qz", "House"]) for _ in range(draw.randint(1, 5))) for _ in range(300)] + ["", "short", "ALPHABETAGAMMA", "alpha-beta-gamma", "1234567890ab", "zzzzzzzzzzzz"]
+    w = spark.createDataFrame([(x,) for x in words], "word string")
+    d = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = [sorted(map(tuple, spelling.word_splits(w, d, n).collect())) for n in (10**6, 0)]
+    assert got[0] == got[1] and len(got[0]) > 100
+    assert spelling.word_splits(w, d.limit(0)).count() == spelling.word_splits(w, d.limit(0), 0).count() == 0
