@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
-from brindle.llm.common import stored
+from brindle.llm.common import new_path, sliced, stored
 
 #: Words of a document that one task takes whole; longer ones are exploded into tiles.
 MOST_WORDS = 1 << 15
+#: Documents that a task has in Python at once.
+SLICE = 1024
 #: A run has at least so many words and periods; a fragment of one at least WHOLE periods, and reaches REACH * B words beyond its boundary.
 LEAST, TIMES, WHOLE, REACH = 6, 4, 3, 6
 #: Shifts of a boundary that are tried one by one; with more of them the Z-functions are made for all.
@@ -179,12 +181,12 @@ def coded(words: pa.Array) -> np.ndarray:
     return words.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def batch_fragments(words: pa.ListArray) -> tuple[np.ndarray, ...]:
-    """document, period, start and stop of the fragments of all documents of a batch, which are laid end to end, long ones first, between words that occur once."""
+def batch_fragments(words: pa.ListArray, most: int) -> tuple[np.ndarray, ...]:
+    """document, period, start and stop of the fragments of all documents of up to `most` words of a batch, which are laid end to end, long ones first, between words that occur once."""
     sizes = pa.compute.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     x, ends = coded(words.flatten()), np.cumsum(sizes)
     order = np.argsort(-sizes, kind="stable")
-    order = order[sizes[order] >= LEAST]
+    order = order[(sizes[order] >= LEAST) & (sizes[order] <= most)]
     parts, starts, at = [], [], 0
     for i in order.tolist():
         parts += [x[ends[i] - sizes[i] : ends[i]], np.array([-1 - i])]
@@ -207,32 +209,33 @@ def found_struct(q, s, e) -> list[dict[str, int]]:
     return [{"period": int(a), "start": int(b), "stop": int(c)} for a, b, c in zip(q, s, e, strict=True)]
 
 
-def solved(docs: DataFrame) -> DataFrame:
-    """docs (key, doc_id, words) with fragments, and with the words of those that have any; the digest of all words for the others."""
+def solved(docs: DataFrame, most: int) -> DataFrame:
+    """docs (key, doc_id, words) with fragments, and with the text (words joined by blanks) of those that have any; the digest of the text for the others. Documents of more than `most` words are long: they have their text, and no fragments yet."""
     kind = docs.schema["doc_id"].dataType
     frag = ArrayType(StructType([StructField(c, LongType()) for c in ("period", "start", "stop")]))
-    schema = StructType([StructField("key", LongType()), StructField("doc_id", kind), StructField("fragments", frag), StructField("words", ArrayType(StringType())), StructField("collapsed_sha256", StringType())])
+    schema = StructType([StructField("key", LongType()), StructField("doc_id", kind), StructField("long", BooleanType()), StructField("fragments", frag), StructField("text", StringType()), StructField("collapsed_sha256", StringType())])
     arrow = pa.list_(pa.struct([(c, pa.int64()) for c in ("period", "start", "stop")]))
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, SLICE):
             words = b.column(2)
-            doc, q, s, e = batch_fragments(words)
+            long = pa.compute.list_value_length(words).to_numpy(zero_copy_only=False) > most
+            doc, q, s, e = batch_fragments(words, most)
             order = np.argsort(doc, kind="stable")
             doc, q, s, e = doc[order], q[order], s[order], e[order]
             lo, hi = (np.searchsorted(doc, np.arange(len(words)), side) for side in ("left", "right"))
             found = [found_struct(q[i:j], s[i:j], e[i:j]) if j > i else None for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
-            has = pa.array(hi > lo)
-            texts = pa.compute.binary_join(words, " ").cast(pa.binary())
-            digests = [None if j > i else hashlib.sha256(t.as_py()).hexdigest() for i, j, t in zip(lo.tolist(), hi.tolist(), texts, strict=True)]
-            kept = pa.compute.if_else(has, words, pa.nulls(len(words), words.type))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, arrow), kept, pa.array(digests, pa.string())], names=schema.names)
+            some = (hi > lo) | long
+            texts = pa.compute.binary_join(words, " ")
+            digests = [None if has else hashlib.sha256(t.as_buffer()).hexdigest() for has, t in zip(some.tolist(), texts.cast(pa.binary()), strict=True)]
+            kept = pa.compute.if_else(pa.array(some), texts, pa.nulls(len(texts), texts.type))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(long), pa.array(found, arrow), kept, pa.array(digests, pa.string())], names=schema.names)
 
     return docs.select("key", "doc_id", "words").mapInArrow(run, schema)
 
 
 def tiles(docs: DataFrame, most: int) -> DataFrame:
-    """(key, at, low, high, words) of docs (key, words) of more than `most` words: tiles for the octaves from low to high - 1.
+    """(key, at, low, high, words) of docs (key, words), each of more than `most` words: tiles for the octaves from low to high - 1.
 
     Octaves whose tiles fit share tiles of `most` words; the others have tiles of 16 times their
     period. Tiles overlap by 8 times the greatest, so every run has its fragments.
@@ -292,22 +295,22 @@ def digest(words: list[str], runs: list[tuple[int, int, int]]) -> tuple:
 
 
 def collapsed(docs: DataFrame) -> DataFrame:
-    """(doc_id, RESULT) of docs (doc_id, words, runs)."""
+    """(doc_id, RESULT) of docs (doc_id, text, runs)."""
     kind = docs.schema["doc_id"].dataType
     schema = StructType([StructField("doc_id", kind), *StructType.fromDDL(RESULT).fields])
     arrow = [pa.int64()] * 5 + [pa.string()] * 2
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, SLICE):
             runs = [[(r["start"], r["length"], r["period"]) for r in rs or ()] for rs in b.column(2).to_pylist()]
-            made = list(zip(*(digest(w.as_py() or [], r) for w, r in zip(b.column(1), runs, strict=True)), strict=True)) or [()] * 7
+            made = list(zip(*(digest(t.as_py().split(" "), r) for t, r in zip(b.column(1), runs, strict=True)), strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(made, arrow, strict=True))], names=schema.names)
 
-    return docs.select("doc_id", "words", "runs").mapInArrow(run, schema)
+    return docs.select("doc_id", "text", "runs").mapInArrow(run, schema)
 
 
 def periodic_runs(docs: DataFrame, most: int = MOST_WORDS) -> DataFrame:
-    """(doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256): a row for each row of docs (doc_id, words).
+    """(doc_id, n_runs, start, length, period, exponent_milli, runs_sha256, collapsed_sha256): a row for each row of docs (doc_id, words), whose words hold no blank.
 
     A run is a stretch with least period q, of LEAST words and TIMES periods or
     more, that no neighbouring word extends. start to exponent_milli are of the run with
@@ -321,20 +324,21 @@ def periodic_runs(docs: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     count as none; null and repeated doc_ids are rows of their own; no rows give no rows; extra columns are left alone.
     """
     own = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", F.coalesce("words", F.array().cast("array<string>")).alias("words"))
-    short = stored(solved(own.where(F.size("words") <= most)), "short")
-    long = stored(own.where(F.size("words") > most), "long")
-    n = long.agg(F.sum(F.size("words"))).head()[0] or 0
+    path = new_path(docs.sparkSession, "solved")
+    solved(own, most).write.option("compression", "zstd").parquet(path)
+    short = docs.sparkSession.read.parquet(path)
     found = short.select("key", F.explode("fragments").alias("f")).select("key", "f.*")
-    whole = short.where("fragments is not null").select("key", "doc_id", "words")
+    long = short.where("long").select("key", F.split("text", " ").alias("words"))
+    n = long.agg(F.sum(F.size("words"))).head()[0] or 0
     if n:
         wide = tiles(long, most).repartition(1 + n // (4 * most))
         found = found.unionByName(stored(solved_tiles(wide), "fragments"))
-        whole = whole.unionByName(long)
+    whole = short.where("text is not null").select("key", "doc_id", "text")
     runs = stitched(found).groupBy("key").agg(F.collect_list(F.struct("start", "length", "period")).alias("runs"))
     with_some = collapsed(whole.join(runs, "key", "left"))
     none = F.lit(None).cast("long")
     empty = hashlib.sha256(b"").hexdigest()
-    without = short.where("fragments is null").select("doc_id", F.lit(0).cast("long").alias("n_runs"), *(none.alias(c) for c in ("start", "length", "period", "exponent_milli")), F.lit(empty).alias("runs_sha256"), "collapsed_sha256")
+    without = short.where("text is null").select("doc_id", F.lit(0).cast("long").alias("n_runs"), *(none.alias(c) for c in ("start", "length", "period", "exponent_milli")), F.lit(empty).alias("runs_sha256"), "collapsed_sha256")
     return without.unionByName(with_some)
 
 
