@@ -115,8 +115,8 @@ def best_of(docs, items, k):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("k", "probe"), [(50, 32), (3, 1), (1, 1)])
-def test_ranks_brute_force(spark, k, probe):
+@pytest.mark.parametrize(("k", "first"), [(50, 64), (3, 1), (1, 2)])
+def test_ranks_brute_force(spark, k, first):
     draw = random.Random(5)
     words = [f"w{i}" for i in range(60)] + ["Ünd", "I", "ÄB"]
     text = lambda n: " ".join(words[min(int(draw.expovariate(0.08)), len(words) - 1)] for _ in range(n))
@@ -124,7 +124,7 @@ def test_ranks_brute_force(spark, k, probe):
     items = [(i, text(draw.randint(1, 30))) for i in range(12)] + [(3, "W1, w59!"), (None, "w2"), (50, None), (51, "unknown"), (52, "same"), (53, " ".join(words))]
     d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3).withColumns({"id": F.lit(1), "tid": F.lit(2)})
     q = spark.createDataFrame(items, "item_id long, text string").withColumn("item", F.lit(0))
-    got = sorted(map(tuple, ranked.ranked_search(d, q, k, probe).collect()), key=str)
+    got = sorted(map(tuple, ranked.ranked_search(d, q, k, first).collect()), key=str)
     assert got == best_of(docs, items, k)
 
 
