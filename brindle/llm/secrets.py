@@ -24,7 +24,9 @@ IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
 #: Symbols of the models, after the start symbol 0.
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 #: Labelled random strings besides those that the corpus has: alphabets to draw from.
-RANDOM_KINDS = (ALPHABET[:62], "0123456789abcdef", ALPHABET[26:62], ALPHABET[:64])
+RANDOM_KINDS = (ALPHABET[:62], "0123456789abcdef", ALPHABET[26:62], ALPHABET[:64], ALPHABET[:26])
+#: Counts that the shorter context is worth where the longer one is backed off to it.
+BACKED_OFF = 5
 #: Scores of strings that a task keeps.
 REMEMBERED = 100_000
 #: Least log-likelihood ratio of a span, in nats, and per character, where the ordinary strings ask for no more.
@@ -63,18 +65,27 @@ def codes(s: str) -> np.ndarray:
     return _TABLE[np.frombuffer(s.encode("ascii"), np.uint8)]
 
 
+def contexts(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The last character but one and the last one before each of c, 0 where there is none."""
+    padded = np.concatenate(([0, 0], c)).astype(np.intp)
+    return padded[:-2], padded[1:-1]
+
+
 class Markov:
-    """Log probabilities of a character after another, from labelled strings, backed off to the characters alone with the weight of five counts."""
+    """Log probabilities of a character after two others, from labelled strings, backed off to the last one and to the characters alone with the weight of BACKED_OFF counts each."""
 
     def __init__(self, samples: list[str]):
         n = len(ALPHABET) + 1
-        counts = np.zeros((n, n))
+        counts = np.zeros((n, n, n))
         for s in samples:
             c = codes(s)
-            np.add.at(counts, (np.concatenate(([0], c[:-1])), c), 1)
-        single = counts[:, 1:].sum(axis=0) + 0.5
-        p = counts[:, 1:] + 5 * single / single.sum()
-        self.log = np.log(p / p.sum(axis=1, keepdims=True))
+            np.add.at(counts, (*contexts(c), c), 1)
+        two = counts[:, :, 1:]
+        one = two.sum(axis=0)
+        single = one.sum(axis=0) + 0.5
+        one = one + BACKED_OFF * single / single.sum()
+        two = two + BACKED_OFF * one / one.sum(axis=1, keepdims=True)
+        self.log = np.log(two / two.sum(axis=2, keepdims=True))
 
 
 def labelled_samples(docs: DataFrame, how: Sample) -> tuple[list[str], list[str]]:
@@ -108,7 +119,7 @@ def labelled_samples(docs: DataFrame, how: Sample) -> tuple[list[str], list[str]
 
 def log_ratio(ratio: np.ndarray, s: str) -> float:
     c = codes(s).astype(np.intp)
-    return float(ratio[np.concatenate(([0], c[:-1])), c - 1].sum())
+    return float(ratio[(*contexts(c), c - 1)].sum())
 
 
 class Detector:
@@ -122,7 +133,7 @@ class Detector:
         top = lambda x, floor: max(floor, float(np.quantile(x, 1 - FALSE_HITS))) if scores else floor
         self.per_char = top([r / n for r, n in scores], LEAST_PER_CHAR)
         self.least = top([r for r, _ in scores], LEAST)
-        self.ratio = Markov(random).log - Markov(ordinary).log
+        self.ratio = (Markov(random).log - Markov(ordinary).log).astype(np.float32)
 
     def __call__(self, s: str) -> bool:
         return log_ratio(self.ratio, s) >= max(self.least, self.per_char * len(s))
@@ -133,7 +144,7 @@ def scan_secrets(docs: DataFrame, how: Sample = Sample()) -> DataFrame:
 
     Every whole text is scanned, however long (null: empty). The pattern matches stay as
     they are; kind markov adds runs of 8 or more of `ALPHABET`, letters or digits alone too, that
-    overlap none of them and that a first-order Markov model of random strings finds
+    overlap none of them and that a second-order Markov model of random strings finds
     likelier than one of ordinary identifiers, by the values of `Detector`. The
     models are trained on a bounded sample of the corpus: see
     `labelled_samples`. Repeated rows get equal spans, other columns are left
