@@ -84,6 +84,7 @@ def format_chat(conversations: DataFrame, how: ChatFormat = ChatFormat()) -> Dat
     `learn_role`, code points from 0 into formatted, so repeated targets are masked. Null roles and texts are
     empty; conversations without an id are one conversation; equal rows are
     turns of their own; further columns are left out; an empty table gives no rows.
+    A text of any length stays whole, in one window.
     """
     turns = stored(placed_turns(conversations, how), "turns")
     system = F.col("at") == 0

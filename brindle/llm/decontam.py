@@ -148,7 +148,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, how: Tiling = Tiling())
     in the item and then in the document, and the tiles
     must cover `coverage` of the item. Texts are tiled whole, however long.
     Items and documents of fewer words, null texts and null item ids
-    match nothing; repeated rows give repeated matches, a null doc_id a match without an id. An empty table gives no rows.
+    match nothing; repeated rows give repeated matches, a null doc_id a match without an id. An empty table gives no rows. Further columns, whatever their names, are left alone.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = _bounded(benchmark, how)
