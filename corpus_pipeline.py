@@ -21,7 +21,7 @@ LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text, or no letter in it) go, and those whose language the network gives less than LEAST_SCORE. Each row by its own text."""
+    """Documents without a language (no text, or no letter in it) go, and those whose language the network gives less than LEAST_SCORE. Each row by its own text, so repeated rows go or stay together; of equally likely languages either will do, as the score alone decides."""
     p = language(docs)(F.col("text"))
     return docs.where((p["lang_pred"] != "und") & (p["score"] >= LEAST_SCORE))
 
@@ -42,7 +42,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes; every row has its own answer."""
+    """How many words of each document the mix takes; every row has its own answer, and equal rows may swap theirs."""
     return mixed_sources(docs)
 
 
