@@ -312,7 +312,12 @@ def st_02(spark, d):
     return made.select("doc_id", "origin", "place")
 
 
-@query("st_01")
+@query("st_01", r"""with recursive t as (select doc_id, source || '/' || doc_id % 400 as u, split_part(text, chr(10), 1) || '|' || text as c,
+  substr(regexp_replace(regexp_replace(regexp_replace(lower(text), '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g'), '[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\p{Z}]', '', 'g'), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'), 1, 200) as k from documents),
+k as (select doc_id, row_number() over (order by doc_id) as n, list_filter([hash('u:' || u), hash('c:' || c), case when k <> '' then hash('t:' || k) end], lambda x: x is not null) as ks from t),
+r(n, seen, kept) as (select 0::bigint, []::ubigint[], null::bigint union all
+  select k.n, case when list_has_any(seen, ks) then seen else list_concat(seen, ks) end, case when not list_has_any(seen, ks) then doc_id end from r join k on k.n = r.n + 1)
+select kept as pos from r where kept is not null""")
 def st_01(spark, d):
     p = docs(spark, d).select(F.col("doc_id").alias("pos"), F.concat("source", F.lit("/"), (F.col("doc_id") % 400).cast("string")).alias("source_url"), F.array().cast("array<string>").alias("image_urls"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("prompt"))
     return hygiene.dedup_keep_first(p, hygiene.entry_keys()).select("pos")
