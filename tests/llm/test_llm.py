@@ -462,7 +462,7 @@ def test_pipeline_stages_by_the_row(spark, odd, empty):
 
 
 def test_names():
-    assert {int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES} == set(range(1, 14))
 
 
 def test_foreign_archives(spark, tmp_path):
