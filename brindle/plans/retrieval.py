@@ -9,6 +9,7 @@ from brindle.functions import scalars as S
 from brindle.operators import retrieval as R
 from brindle.operators import vectors as V
 from brindle.operators.blockindex import BlockIndex, write_segment
+from brindle.operators.pivots import nearest
 from brindle.operators.relational import rank_in_group
 from brindle.plans.registry import query, table
 from brindle.session import scratch, stored
@@ -250,13 +251,24 @@ def vec_03(spark, d):
     return e.where("vec_id % 50 = 0").join(b, "label").select("vec_id", "other", F.round(V.cosine("embedding", "v"), 6).alias("cosine"))
 
 
-@query("vec_04", f"select * from (select a.vec_id as qid, b.vec_id as id, round(list_cosine_similarity(a.v, b.v), 6) as score, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.v, b.v), 12) desc, b.vec_id) as rank from {E} a, {E} b) where rank <= 20")
+VEC_04 = f"select * from (select a.vec_id as qid, b.vec_id as id, round(list_cosine_similarity(a.v, b.v), 6) as score, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.v, b.v), 12) desc, b.vec_id) as rank from {E} a, {E} b) where rank <= 20"
+
+
+@query("vec_04", VEC_04)
 def vec_04(spark, d):
     e = table(spark, d, "embeddings")
     q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
     return V.vector_topk(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 20).select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
+@query("vec_04_pivots", VEC_04)
+def vec_04_pivots(spark, d):
+    """The same with blocks left out by their angle to pivots."""
+    e = table(spark, d, "embeddings")
+    q = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    return nearest(q, e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector")), 20, 64).select("qid", "id", F.round("score", 6).alias("score"), "rank")
+
+
 @query("vec_04_scoped", f"select * from (select a.vec_id as qid, b.vec_id as id, round(list_cosine_similarity(a.v, b.v), 6) as score, row_number() over (partition by a.vec_id order by round(list_cosine_similarity(a.v, b.v), 12) desc, b.vec_id) as rank from {E} a, {E} b where b.label % 3 = 0) where rank <= 20")
 def vec_04_scoped(spark, d):
     """The same in one project: the vectors of a third of the labels are outside of all."""

@@ -323,3 +323,23 @@ def test_splits_both_ways(spark):
     got = [sorted(map(tuple, spelling.word_splits(w, d, n).collect())) for n in (10**6, 0)]
     assert got[0] == got[1] and len(got[0]) > 100
     assert spelling.word_splits(w, d.limit(0)).count() == spelling.word_splits(w, d.limit(0), 0).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0.15, 3.0])
+def test_pivots(spark, spread):
+    """Clustered vectors leave most blocks out, scattered ones may not; the rows are those of the products of all blocks."""
+    from brindle.operators import pivots, vectors
+
+    draw = np.random.default_rng(3)
+    centres = draw.normal(size=(20, 16))
+    v = centres[draw.integers(0, 20, 3000)] + spread * draw.normal(size=(3000, 16))
+    v[5:40] = v[5]
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)] + [(None, [1.0] * 16), (9999, None)], "id long, vector array<double>")
+    q = df.where("id % 7 = 0").select(F.col("id").alias("qid"), "vector")
+    seen = {}
+    got = sorted((r["qid"], r["rank"], r["id"]) for r in pivots.nearest(q, df, 9, 64, 32, seen=seen).collect())
+    assert got == sorted((r["qid"], r["rank"], r["id"]) for r in vectors.vector_topk(q, df, 9).collect())
+    assert seen["multiplied"] <= seen["pairs"] and (spread > 1 or seen["multiplied"] < 0.5 * seen["pairs"])
+    assert pivots.nearest(q, df.limit(0), 9).count() == pivots.nearest(q.limit(0), df, 9).count() == 0
+    few = pivots.nearest(q.limit(3), df.where("id < 4"), 9, 64, 32)
+    assert few.count() == 12
