@@ -83,11 +83,12 @@ def next_starts(seconds: DataFrame) -> DataFrame:
     # each second stands in its own bucket, and again a bucket later to look for its successor
     looks = own.select("provider", "t", "span", (F.col("b") + 1).alias("b"), (F.col("t") + width).alias("at"), F.lit(1).alias("look"))
     both = own.select("provider", "t", "span", "b", F.col("t").alias("at"), F.lit(0).alias("look")).unionByName(looks)
-    w = W.partitionBy("provider", "b").orderBy("at").rangeBetween(W.currentRow, W.unboundedFollowing)
+    # from the end, so that each window is a running minimum
+    w = W.partitionBy("provider", "b").orderBy(F.desc("at")).rangeBetween(W.unboundedPreceding, W.currentRow)
     found = both.withColumn("near", F.min(F.when(F.col("look") == 0, F.col("t"))).over(w)).where("look = 1").select("provider", "t", "span", "b", "near")
     least = own.groupBy("provider", "b").agg(F.min("t").alias("least")).withColumn("e", F.lit(0))
     asked = found.where("near is null").select("provider", "b").distinct().select("provider", "b", F.lit(None).cast("long").alias("least"), F.lit(1).alias("e"))
-    after = F.first("least", ignorenulls=True).over(W.partitionBy("provider").orderBy("b", "e").rowsBetween(1, W.unboundedFollowing))
+    after = F.last("least", ignorenulls=True).over(W.partitionBy("provider").orderBy(F.desc("b"), F.desc("e")).rowsBetween(W.unboundedPreceding, -1))
     later = least.unionByName(asked).withColumn("later", after).where("e = 1").select("provider", "b", "later")
     out = found.join(later, ["provider", "b"], "left").select("provider", "t", F.coalesce("near", "later", "t").alias("far"))
     return out.unionByName(seconds.where("span is null").select("provider", "t", F.col("t").alias("far")))
