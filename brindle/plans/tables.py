@@ -414,7 +414,6 @@ SC = {
     "sc_02": (r"len(regexp_extract_all(lower(trim(text)), '[\p{L}\p{Nd}''-]+'))", lambda: F.size(S.words("text"))),
     "sc_03": ("sha256(text)", lambda: S.checksum("text")),
     "sc_05": (r"substr(regexp_replace(regexp_replace(regexp_replace(lower(chr(160) || ' .' || text || ' m²  - ½' || chr(160) || '!'), '^[\s\x{1c}-\x{1f}\x{85}\p{Z}]+|[\s\x{1c}-\x{1f}\x{85}\p{Z}]+$', '', 'g'), '[^\p{L}\p{N}_\s\x{1c}-\x{1f}\x{85}\p{Z}]', '', 'g'), '[\s\x{1c}-\x{1f}\x{85}\p{Z}]+', ' ', 'g'), 1, 200)", lambda: S.text_key(F.concat(F.lit("\xa0 ."), "text", F.lit(" m²  - ½\xa0!")))),
-    "sc_06": (r"regexp_replace(translate(regexp_replace(' K' || split_part(text, chr(10), 1) || ' é _x-', '[^A-Za-z0-9 _-]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ _-]+', '-', 'g')", lambda: S.slugify(F.concat(F.lit(" K"), F.substring_index("text", "\n", 1), F.lit(" é _x-")))),
     "sc_07": ("regexp_replace(source || '/' || coalesce(lang, '') || ' x', '[^A-Za-z0-9._-]', '_', 'g')", lambda: S.project_dir(F.concat("source", F.lit("/"), F.coalesce("lang", F.lit("")), F.lit(" x")))),
     "sc_08": ("case when doc_id % 2 = 0 then 'h.org/' || source || '/r' else 'h.org/o/' || source end", lambda: S.git_project_id(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("git@h.org:"), "source", F.lit("/r.git"))).otherwise(F.concat(F.lit("https://u@h.org/o/"), "source", F.lit(".git"))))),
     "sc_15": (r"len(regexp_extract_all(text, '[^\s\p{P}]+'))", lambda: S.word_count("text")),
@@ -461,6 +460,18 @@ def sc_14(spark, d):
     return docs(spark, d).select("doc_id", S.first_paragraph("text").alias("x"))
 
 
+SLUG = r"regexp_replace(translate(regexp_replace({}, '[^A-Za-z0-9 _-]', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ _-]+', '-', 'g')"
+TITLE = "case when doc_id % 10 = 9 then 'é' else split_part(text, chr(10), 1) end"
+
+
+@query("sc_06", f"select doc_id, {SLUG.format("' K' || split_part(text, chr(10), 1) || ' é _x-'")} as x, coalesce(nullif(substr({SLUG.format(TITLE)}, 1, 60), ''), 'untitled') as file from documents")
+def sc_06(spark, d):
+    """The slug of each title, of any length, and as a file name holds it; a tenth of the titles have nothing that a slug keeps."""
+    line = F.substring_index("text", "\n", 1)
+    title = F.when(F.col("doc_id") % 10 == 9, "é").otherwise(line)
+    return docs(spark, d).select("doc_id", S.slugify(F.concat(F.lit(" K"), line, F.lit(" é _x-"))).alias("x"), S.file_slug(title).alias("file"))
+
+
 @query("sc_28", r"with w as (select regexp_extract_all(lower(text), '[\p{L}]+') as w from documents), p as (select distinct w[i] as a, w[i + 1] as b from w, unnest(range(1, len(w))) as u(i)) select a, b, levenshtein(a, b) as x from p")
 def sc_28(spark, d):
     """Each word of the whole texts and the next one."""
