@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from brindle.functions import extensions
@@ -20,10 +21,13 @@ def docs(spark, d):
 
 
 def ideas_json(spark, d, path, which="true"):
-    """documents as files of a JSON array each: a folder a thousand ids, so that no array grows with the table."""
+    """documents as files of a JSON array each: a folder a thousand ids, so that no array grows with the table. An entry is a line."""
     entry = F.struct(F.col("source").alias("title"), F.col("text").alias("prompt"), F.array(F.concat(F.lit("img/"), "doc_id")).alias("image_urls"), F.col("doc_id").cast("string").alias("source_url"), "lang")
-    g = docs(spark, d).where(which).groupBy(F.floor(F.col("doc_id") / 1000).alias("part")).agg(F.to_json(F.collect_list(entry)).alias("value"))
-    g.write.partitionBy("part").text(path)
+    rows = docs(spark, d).where(which).select(F.floor(F.col("doc_id") / 1000).alias("part"), "doc_id", F.to_json(entry).alias("entry"))
+    # an entry a line, so that no task holds an array; its first and last one have the brackets
+    w = W.partitionBy("part").orderBy("doc_id", "entry")
+    start, end = F.when(F.lag(F.lit(1)).over(w).isNull(), "[").otherwise(""), F.when(F.lead(F.lit(1)).over(w).isNull(), "]").otherwise(",")
+    rows.select("part", F.concat(start, "entry", end).alias("value")).write.partitionBy("part").text(path)
 
 
 def ideas_csv(spark, d, path):

@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -55,8 +56,23 @@ def _children(spark: SparkSession, folder: str) -> list[str]:
     return sorted(f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
 
 
-def json_kind(text) -> Column:
-    """What a whole text is as JSON: array, other, or bad."""
+#: Characters of a file's first line that tell whether it could be JSON.
+HEAD = 1 << 16
+
+
+def file_heads(spark: SparkSession, path: str) -> DataFrame:
+    """(file, head): the start of the first line that isn't blank of each file, whose other lines are read one at a time; none for files without such a line."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.substring("value", 1, HEAD).alias("value"))
+    return lines.where(F.col("value").rlike(r"[^ \t\r\n]")).groupBy("file").agg(F.min_by("value", F.struct("block", "at")).alias("head"))
+
+
+def could_be_json(head: Column) -> Column:
+    """Whether a file that starts with this line can be JSON: an array or object, or one value that ends with the line, or a line too long to tell."""
+    return head.rlike(r"^[ \t\r]*[\[{]") | head.rlike(r'^[ \t\r]*("(\\.|[^"\\])*"|true|false|null|NaN|-?Infinity|-?[0-9][0-9.eE+-]*)[ \t\r]*$') | (F.length(head) >= HEAD)
+
+
+def json_kinds(spark: SparkSession, files: list[str]) -> DataFrame:
+    """(file, kind): what each file is as JSON: array, other, or bad. A task has one text at a time as Python objects."""
 
     def kind(t):
         try:
@@ -64,28 +80,33 @@ def json_kind(text) -> Column:
         except ValueError:
             return "bad"
 
-    @F.pandas_udf("string")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(kind)
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([kind(t.as_py()) for t in b.column(1)], pa.string())], ["file", "kind"])
 
-    return run(text)
+    return spark.read.text(files, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value").mapInArrow(run, "file string, kind string")
 
 
 def scan_sources(spark: SparkSession, folder: str) -> DataFrame:
     """(entry, name, n): all entries of the JSON and CSV sources (files, or folders of part files) of a folder, n being a source's place in the order of names.
 
     A JSON file must be an array from its start to its end; one that is no JSON is tried as CSV, and one that is other
-    JSON gives no entries. A source without contents gives no entries and fails nothing.
+    JSON gives no entries. Only what may be JSON by its first line is read as one text. A source without contents gives no entries and fails nothing.
     """
     parts, struct = [], IDEAS.replace(" ", ":").replace(",:", ",")
     names = [name for name in _children(spark, folder) if name.lower().endswith((".json", ".csv"))]
     for n, name in enumerate(names):
         path = f"{folder}/{name}"
         if name.lower().endswith(".json"):
-            whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).withColumn("kind", json_kind("value"))
-            arrays = whole.where("kind = 'array'")
-            found = arrays.select(F.explode(F.from_json("value", f"array<struct<{struct}>>")).alias("e")).select("e.*")
-            bad = [r[0] for r in whole.where("kind = 'bad'").select(F.col("_metadata.file_path")).collect()]  # names of broken files
+            # names of files: Spark's own list of a folder has them on the driver too
+            heads = [(r["file"], r["json"]) for r in file_heads(spark, path).select("file", could_be_json(F.col("head")).alias("json")).collect()]
+            some = sorted(file for file, json_like in heads if json_like)
+            kinds = [tuple(r) for r in json_kinds(spark, some).collect()] if some else []
+            arrays = sorted(file for file, kind in kinds if kind == "array")
+            bad = sorted([file for file, json_like in heads if not json_like] + [file for file, kind in kinds if kind == "bad"])
+            found = spark.createDataFrame([], IDEAS)
+            if arrays:
+                found = spark.read.text(arrays, wholetext=True).select(F.explode(F.from_json("value", f"array<struct<{struct}>>")).alias("e")).select("e.*")
             try:
                 found = found.unionByName(load_ideas_csv(spark, bad)) if bad else found
             except ValueError:
