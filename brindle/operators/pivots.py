@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from brindle.operators.relational import scope
-from brindle.operators.vectors import _nearest
+from brindle.operators.vectors import HELD, Best
 from brindle.session import stored
 
 PIVOTS, BLOCK = 64, 1024
@@ -70,73 +70,93 @@ def blocked(vectors: DataFrame, pivots: np.ndarray, block: int) -> DataFrame:
     return rows.repartitionByRange("pivot", "angle").sortWithinPartitions("pivot", "angle").mapInArrow(packed, BLOCKS)
 
 
-def best_possible(units: bytes, n: int, pivot: int, lo: float, hi: float, pivots: np.ndarray) -> np.ndarray:
-    """What each query could score at most in a block."""
-    a = angles(np.frombuffer(units).reshape(n, -1), pivots[pivot : pivot + 1])[:, 0]
-    return np.cos(np.clip(np.maximum(a - hi, lo - a), 0, np.pi)) + SLACK
+def grouped(batches, sizes: str, wholes: list[str], most: int):
+    """Rows of small blocks as rows of up to `most` vectors: binary columns are joined, and the numbers of each block (all other columns) become bytes."""
+    for b in batches:
+        n = b.column(sizes).to_numpy()
+        part = np.cumsum(n) // most
+        for own in np.split(np.arange(len(n)), np.flatnonzero(np.diff(part)) + 1) if len(n) else []:
+            t = b.slice(int(own[0]), len(own))
+            made = [b"".join(v.as_py() for v in t.column(c)) if c in wholes else t.column(c).to_numpy().tobytes() for c in b.schema.names]
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.binary()) for v in made], b.schema.names)
 
 
 def nearest(queries: DataFrame, corpus: DataFrame, k: int = 20, block: int = BLOCK, pivots: int = PIVOTS, project: str = "", project_col: str = "project", seen: dict | None = None) -> DataFrame:
     """(qid, id, score, rank): what `vector_topk` gives, with blocks skipped.
 
-    Each block of queries first meets the blocks that it could find most in, as many as hold
-    2 * k vectors; the k-th score of each query so far then tells which other blocks,
-    and which queries of the block, are multiplied. Blocks meet by their bounds, the vectors only
-    where these allow. Query ids are distinct; rows without id or vector are left out. seen, if given, receives the number of pairs of blocks and of those that are multiplied.
+    Each block of queries first meets the blocks of its own pivot that are next to it, as many as hold
+    2 * k vectors. The k-th score of each query so far, and of all that a task has
+    seen since, then tells which blocks, and which queries, are multiplied. Pairs of blocks are never stored: what is written and shuffled is in proportion
+    to the vectors. Query ids are distinct; rows without id or vector are left out. seen, if given, receives the number of pairs of blocks and of those that are multiplied.
     """
+    spark = queries.sparkSession
     own = scope(corpus, project, project_col).select("id", "vector").where("id is not null and vector is not null")
     p = pivots_of(own, pivots)
     if not len(p):
-        return queries.sparkSession.createDataFrame([], RESULT + ", rank int")
+        return spark.createDataFrame([], RESULT + ", rank int")
     blocks = stored(blocked(own, p, block).withColumn("b", F.monotonically_increasing_id()), "vector-blocks")
-    asked = stored(blocked(queries.select(F.col("qid").alias("id"), "vector"), p, block).select(F.col("ids").alias("qids"), F.col("units").alias("qunits"), F.col("n").alias("qn"), F.monotonically_increasing_id().alias("q")), "query-blocks")
-
-    def bound(batches):
-        for b in batches:
-            got = [best_possible(u.as_py(), n, g, lo, hi, p) for u, n, g, lo, hi in zip(b.column("qunits"), *(b.column(c).to_pylist() for c in ("qn", "pivot", "lo", "hi")), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("q"), b.column("b"), b.column("n"), pa.array([float(x.max()) for x in got]), pa.array([x.tobytes() for x in got], pa.binary())], ["q", "b", "n", "most", "bounds"])
+    asked = stored(blocked(queries.select(F.col("qid").alias("id"), "vector"), p, block).withColumn("q", F.monotonically_increasing_id()), "query-blocks")
 
-    meet = asked.select("q", "qn", "qunits").crossJoin(blocks.select("b", "pivot", "lo", "hi", "n"))
-    pairs = stored(meet.mapInArrow(bound, "q long, b long, n int, most double, bounds binary"), "block-pairs")
-    before = F.sum("n").over(W.partitionBy("q").orderBy(F.desc("most"), "b").rowsBetween(W.unboundedPreceding, -1))
-    ranked = pairs.withColumn("before", F.coalesce(before, F.lit(0)))
-    first = stored(ranked.where(F.col("before") < 2 * k).select("q", "b", "bounds"), "first-pairs")
+    gap = F.greatest(F.col("b.lo") - F.col("a.hi"), F.col("a.lo") - F.col("b.hi"), F.lit(0.0))
+    close = asked.select("q", "pivot", "lo", "hi").alias("a").join(blocks.select("b", "pivot", "lo", "hi", "n").alias("b"), "pivot").select("q", "b", "n", gap.alias("gap"))
+    before = F.sum("n").over(W.partitionBy("q").orderBy("gap", "b").rowsBetween(W.unboundedPreceding, -1))
+    first = close.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < 2 * k).select("q", "b")
+    # at most 2 * k blocks each
+    met = first.join(blocks.select("b", "ids", "units"), "b").groupBy("q").agg(F.collect_list(F.struct("ids", "units")).alias("near"))
+    ready = asked.select("q", F.col("ids").alias("qids"), F.col("units").alias("qunits"), F.col("n").alias("qn")).join(met, "q", "left")
 
-    def multiplied(batches):
+    def floors(batches):
         for b in batches:
-            for qids, qunits, ids, units, bounds, least in zip(*(b.column(c) for c in ("qids", "qunits", "ids", "units", "bounds", "least")), strict=True):
-                q, c = np.frombuffer(qids.as_buffer(), np.int64), np.frombuffer(ids.as_buffer(), np.int64)
-                y, x = np.frombuffer(qunits.as_buffer()).reshape(len(q), -1), np.frombuffer(units.as_buffer()).reshape(len(c), -1)
-                if least.as_py() is not None:
-                    at = np.asarray(least.as_py()["k"], np.int64)
-                    floor = np.full(len(q), -np.inf)
-                    floor[np.searchsorted(q, at)] = np.asarray(least.as_py()["v"])
-                    some = np.frombuffer(bounds.as_buffer()) >= floor
-                    q, y = q[some], y[some]
-                if len(q):
-                    yield _nearest(q, y, c, x, k)
-
-    def products(which, least):
-        rows = which.join(asked, "q").join(blocks.select("b", "ids", "units"), "b")
-        rows = rows.withColumn("least", F.lit(None).cast("struct<k:array<bigint>,v:array<double>>")) if least is None else rows.join(least, "q", "left")
-        return rows.select("qids", "qunits", "ids", "units", "bounds", "least").mapInArrow(multiplied, RESULT)
-
-    w = W.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "id")
-    sure = stored(products(first, None), "first-products")
-    kth = sure.withColumn("r", F.row_number().over(w)).where(F.col("r") == k).select("qid", "score")
-    of = asked.select("q", "qids").mapInArrow(_queries, "q long, qid long")
-    # at most as many rows a block as it has queries
-    least = stored(of.join(kth, "qid").groupBy("q").agg(F.array_sort(F.collect_list(F.struct("qid", "score"))).alias("s"), F.count("*").alias("m")).select("q", "m", F.struct(F.transform("s", lambda s: s["qid"]).alias("k"), F.transform("s", lambda s: s["score"]).alias("v")).alias("least")), "least")
-    lowest = least.select("q", F.array_min("least.v").alias("low"), "m").join(asked.select("q", "qn"), "q").select("q", F.when(F.col("m") == F.col("qn"), F.col("low")).alias("low"))
-    rest = stored(ranked.where(F.col("before") >= 2 * k).join(lowest, "q", "left").where("low is null or most >= low").select("q", "b", "bounds"), "other-pairs")
+            made = []
+            for qids, qunits, near in zip(b.column("qids"), b.column("qunits"), b.column("near"), strict=True):
+                q = np.frombuffer(qids.as_buffer(), np.int64)
+                top = Best(q, np.frombuffer(qunits.as_buffer()).reshape(len(q), -1), k)
+                for x in near.as_py() or []:
+                    c = np.frombuffer(x["ids"], np.int64)
+                    top.add(c, np.frombuffer(x["units"]).reshape(len(c), -1))
+                made.append((top.floor - 1e-9).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("qids"), b.column("qunits"), b.column("qn"), pa.array(made, pa.binary())], ["qids", "qunits", "qn", "least"])
+
+    ready = ready.mapInArrow(floors, "qids binary, qunits binary, qn int, least binary")
+    ready = ready.mapInArrow(lambda batches: grouped(batches, "qn", ["qids", "qunits", "least"], BLOCK), "qids binary, qunits binary, qn binary, least binary")
+    ready = stored(ready, "query-groups").repartition(2 * spark.sparkContext.defaultParallelism)
+    groups = stored(blocks.drop("b").mapInArrow(lambda batches: grouped(batches, "n", ["ids", "units"], BLOCK), "pivot binary, lo binary, hi binary, n binary, ids binary, units binary"), "vector-groups")
+    multiplied = spark.sparkContext.accumulator(0)
+
+    def best(batches):
+        held: dict[bytes, tuple[Best, np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for row in zip(*b.columns, strict=True):
+                qids = row[0].as_py()
+                if qids not in held:
+                    q, qn = np.frombuffer(qids, np.int64), np.frombuffer(row[2].as_buffer(), np.int32)
+                    y = np.frombuffer(row[1].as_buffer()).reshape(len(q), -1)
+                    if len(held) == HELD:
+                        yield held.pop(next(iter(held)))[0].rows()
+                    held[qids] = Best(q, y, k, np.frombuffer(row[3].as_buffer())), angles(y, p), np.cumsum(qn) - qn
+                top, a, starts = held[qids]
+                pivot, n = (np.frombuffer(row[at].as_buffer(), np.int32) for at in (4, 7))
+                lo, hi = (np.frombuffer(row[at].as_buffer()) for at in (5, 6))
+                c = np.frombuffer(row[8].as_buffer(), np.int64)
+                x = np.frombuffer(row[9].as_buffer()).reshape(len(c), -1)
+                mine = a[:, pivot]
+                could = np.cos(np.clip(np.maximum(mine - hi, lo - mine), 0, np.pi)) + SLACK >= top.floor[:, None]
+                multiplied.add(int(np.logical_or.reduceat(could, starts, axis=0).sum()))
+                if could.mean() > 0.5:
+                    top.add(c, x)
+                    continue
+                at = 0
+                for i, size in enumerate(n):
+                    some = np.flatnonzero(could[:, i])
+                    if len(some):
+                        top.add(c[at : at + size], x[at : at + size], some)
+                    at += size
+        for top, _, _ in held.values():
+            yield top.rows()
+
+    every = ready.crossJoin(groups).mapInArrow(best, RESULT)
     if seen is not None:
-        seen.update(pairs=pairs.count(), multiplied=first.count() + rest.count())
-    every = sure.unionByName(products(rest, least.select("q", "least")))
+        every = stored(every, "nearest")
+        seen.update(pairs=asked.count() * blocks.count(), multiplied=multiplied.value)
+    w = W.partitionBy("qid").orderBy(F.desc(F.round("score", 12)), "id")
     return every.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _queries(batches):
-    for b in batches:
-        for q, ids in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            own = np.frombuffer(ids.as_buffer(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), q)), pa.array(own)], ["q", "qid"])
