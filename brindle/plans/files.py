@@ -368,8 +368,11 @@ def ser_02(spark, d):
 def streamed(spark, d):
     """A store that a stream of two micro-batches fills."""
     target, source = scratch(spark, "ingested"), scratch(spark, "arriving")
-    docs(spark, d).select("text", F.col("source").alias("project")).repartition(2).write.parquet(source)
-    files = spark.readStream.schema("text string, project string").option("maxFilesPerTrigger", 1).parquet(source)
+    # two micro-batches of as many files as the table has parts, so that no task reads a batch
+    rows = loaders.spread(docs(spark, d)).select("text", F.col("source").alias("project"))
+    (rows if rows.rdd.getNumPartitions() > 1 else rows.repartition(2)).write.parquet(source)
+    n = max(2, len(spark.read.parquet(source).inputFiles()))
+    files = spark.readStream.schema("text string, project string").option("maxFilesPerTrigger", (n + 1) // 2).parquet(source)
     jobs.ingest_stream(files, target, scratch(spark, "progress"), 16).awaitTermination()
     return target
 
