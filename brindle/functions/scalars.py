@@ -258,13 +258,13 @@ def level_summary(rate) -> Column:
 
 def parse_llm_score(text) -> Column:
     """An integer of 0 to 100 with a % or before /100, as a share; else 0.5 and 0.3 more or less for each telling word."""
-    parts = F.regexp_extract_all(col(text), F.lit(r"\S+"), F.lit(0))
-    number = lambda p: F.regexp_extract(p, r"^\+?(\d{1,3})(?:[.,!?%]*)$", 1).try_cast("int")
-    hits = F.filter(F.arrays_zip(parts.alias("p"), F.concat(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), F.array(F.lit(""))).alias("q")), lambda z: (number(z["p"]) <= 100) & ((z["q"] == "/100") | z["p"].contains("%")))
+    # only words that are such numbers are taken out, as few are
+    words = F.regexp_extract_all(col(text), F.lit(r"(?<!\S)\+?(\d{1,3})(?:[.,!?]*%[.,!?%]*[\x{85}\x{2028}\x{2029}]?(?!\S)|[.,!?%]*[\x{85}\x{2028}\x{2029}]?(?=\s+/100(?!\S)))"), F.lit(1))
+    hits = F.filter(words, lambda n: n.cast("int") <= 100)
     low = F.lower(col(text))
     votes = sum((F.when(low.contains(w), 3).otherwise(0) for w in AI_WORDS), F.lit(0)) - sum((F.when(low.contains(w), 3).otherwise(0) for w in HUMAN_WORDS), F.lit(0))
     guess = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (votes + 5) / 10.0))
-    return F.when(F.size(hits) > 0, number(hits[0]["p"]) / 100.0).otherwise(guess)
+    return F.when(F.size(hits) > 0, hits[0].cast("int") / 100.0).otherwise(guess)
 
 
 def seconds(s) -> Column:
