@@ -146,10 +146,13 @@ def match_prefix(counts: DataFrame, prefixes: DataFrame) -> DataFrame:
 
 def match_phrase(index: DataFrame, phrases: DataFrame) -> DataFrame:
     """(qid, id) where the words of phrase (an array) stand in a row."""
-    p = phrases.select("qid", F.size("phrase").alias("n"), F.posexplode("phrase").alias("i", "term"))
-    at = index.join(p, "term").select("qid", "id", "n", "i", F.explode("positions").alias("pos"))
-    starts = at.groupBy("qid", "id", "n", (F.col("pos") - F.col("i")).alias("start")).agg(F.count_distinct("i").alias("k"))
-    return starts.where("k = n").select("qid", "id").distinct()
+    # a table of known size meets the index where it lies; places are shuffled as arrays, one a term of a document
+    p = stored(phrases.select("qid", F.size("phrase").alias("n"), F.posexplode("phrase").alias("i", "term")), "phrase-terms")
+    at = index.join(p, "term").select("qid", "id", "n", "i", F.transform("positions", lambda x: x - F.col("i")).alias("starts"))
+    held = at.groupBy("qid", "id", "n").agg(F.collect_list(F.struct("i", "starts")).alias("h")).where(F.size(F.array_distinct("h.i")) == F.col("n"))
+    of = lambda i: F.flatten(F.transform(F.filter("h", lambda x: x["i"] == i), lambda x: x["starts"]))
+    common = F.aggregate(F.sequence(F.lit(0), F.col("n") - 1), of(F.lit(0)), lambda found, i: F.array_intersect(found, of(i)))
+    return held.where(F.size(common) > 0).select("qid", "id").distinct()
 
 
 def query_ladder(counts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -260,9 +263,12 @@ def idea_search(docs: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     scored = bm25(docs, queries, every_term=True)
     own = docs.select(F.col("doc_id").alias("id"), "text")
     asked = query_terms(queries).groupBy("qid").agg(F.collect_set("term").alias("terms"))
-    hit = scored.join(own, "id").join(asked, "qid").join(queries, "qid")
-    boost = F.exists("terms", lambda t: contains_word(F.substring_index("text", "\n", 1), t))
-    hit = hit.select("qid", "id", "query", F.when(boost, F.col("score") * 2).otherwise(F.col("score")).alias("bm25"))
+    # queries first: what has a text is never dealt by its query, of which there are few
+    small = scored.join(asked, "qid").join(queries, "qid")
+    lines = own.select("id", F.substring_index("text", "\n", 1).alias("line"))
+    boost = F.exists("terms", lambda t: contains_word("line", t))
+    hit = small.join(lines, "id").select("qid", "id", "query", F.when(boost, F.col("score") * 2).otherwise(F.col("score")).alias("bm25"))
+    hit = stored(hit, "hits")
     texts = ngram_bag(hit.select("id").distinct().join(own, "id"), "id", "text").withColumnRenamed("id", "y")
     bags = ngram_bag(queries, "qid", "query").withColumnRenamed("qid", "x")
     pairs = hit.select(F.col("qid").alias("x"), F.col("id").alias("y"))
