@@ -6,11 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.scalars import CJK
 
+#: Files of an Arrow batch that are Python objects at once.
+ROWS = 256
+
 #: By name: a function without arguments that makes, once a task, a function of texts giving a row of floats for each.
 EMBEDDERS: dict[str, Callable[[], Callable[[list[str]], np.ndarray]]] = {}
 
@@ -55,19 +59,20 @@ def scorer(score: Callable[[str, str], float]) -> Callable[[Column, Column], Col
 def load_with(files: DataFrame, loaders: dict[str, Callable[[bytes], str]]) -> DataFrame:
     """(path, text, error) of files (path, ext, content) by the loader of their extension; a file that fails or has none carries an error."""
 
-    def run(frames):
-        for f in frames:
-            rows = []
-            for path, ext, content in zip(f["path"], f["ext"], f["content"], strict=True):
-                try:
-                    rows.append((path, loaders[ext](content), None))
-                except KeyError:
-                    rows.append((path, None, "no loader"))
-                except Exception as e:  # a user's loader may raise anything, and must not end the job
-                    rows.append((path, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "text", "error"])
-
-    return files.select("path", "ext", "content").mapInPandas(run, "path string, text string, error string")
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                rows = []
+                for path, ext, content in zip(*(c.to_pylist() for c in b.slice(at, ROWS).columns), strict=True):
+                    try:
+                        rows.append((path, loaders[ext](content), None))
+                    except KeyError:
+                        rows.append((path, None, "no loader"))
+                    except Exception as e:  # a user's loader may raise anything, and must not end the job
+                        rows.append((path, None, f"{type(e).__name__}: {e}"))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["path", "text", "error"])
+
+    return files.select("path", "ext", "content").mapInArrow(run, "path string, text string, error string")
 
 
 #: Functions for SQL that stay in the JVM.
