@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -12,9 +14,19 @@ from pyspark.sql import Window as W
 from brindle.sources.loaders import spread
 
 HEADING = re.compile(r"#{1,6} ")
+#: Texts of an Arrow batch that are Python objects at once.
+ROWS = 256
+PIECE = pa.list_(pa.struct([("heading", pa.string()), ("content", pa.string())]))
+CHUNK = pa.list_(pa.struct([("chunk_index", pa.int32()), ("heading", pa.string()), ("content", pa.string())]))
 CHUNKS = "array<struct<chunk_index:int,heading:string,content:string>>"
 
 
+def in_parts(values: pa.Array, kind: pa.DataType, f: Callable) -> pa.Array:
+    """f of each value, a few at a time as Python objects."""
+    made = [pa.array([f(v) for v in values.slice(at, ROWS).to_pylist()], kind) for at in range(0, len(values), ROWS)]
+    return pa.concat_arrays(made) if made else pa.array([], kind)
+
+
 def split_sections(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, section, heading, content): heading lines outside fences start sections; as window functions over lines."""
     lines = df.select(key, F.posexplode(F.split(text, "\n", -1)).alias("at", "line")).withColumn("t", F.trim("line"))
@@ -90,9 +102,9 @@ def chunks_of(text: str | None, most: int = 2048, overlap: int = 128) -> list[tu
 
 
 def chunk_array(text: Column, most: int = 2048, overlap: int = 128) -> Column:
-    @F.pandas_udf(CHUNKS)
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [{"chunk_index": i, "heading": h, "content": c} for i, h, c in chunks_of(t, most, overlap)])
+    @F.arrow_udf(CHUNKS)
+    def run(texts: pa.Array) -> pa.Array:
+        return in_parts(texts, CHUNK, lambda t: [{"chunk_index": i, "heading": h, "content": c} for i, h, c in chunks_of(t, most, overlap)])
 
     return run(text)
 
@@ -119,8 +131,8 @@ def split_large(heading, content, most: int = 2048, overlap: int = 128) -> Colum
 def merge_small(pieces, most: int = 2048) -> Column:
     """Pieces in order, joined while both together are shorter than half of `most`; the first heading stays."""
 
-    @F.pandas_udf(PIECES)
-    def run(all_pieces: pd.Series) -> pd.Series:
-        return pd.Series([[{"heading": h, "content": c} for h, c in merged([(p["heading"], p["content"]) for p in ps], most)] for ps in all_pieces])
+    @F.arrow_udf(PIECES)
+    def run(all_pieces: pa.Array) -> pa.Array:
+        return in_parts(all_pieces, PIECE, lambda ps: [{"heading": h, "content": c} for h, c in merged([(p["heading"], p["content"]) for p in ps or []], most)])
 
     return run(pieces)
