@@ -1,6 +1,6 @@
 """A stored index in blocks, with the best score that a block could give, for searches that skip blocks.
 
-A term's postings lie in blocks of about 64 documents of like length; a block
+A term's postings lie in blocks of about 64 documents of like length, fewer where they are very long; a block
 says how many documents it has and the greatest share that the term has in the score of
 one of them, before its weight. An index has segments: documents that come later make one more, and
 nothing that is there is written again. A segment counts once its totals, which come last, are there.
@@ -9,13 +9,17 @@ nothing that is there is written again. A segment counts once its totals, which
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from math import ceil
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions.scalars import token_count
-from brindle.operators.retrieval import K1, B, postings, query_terms, top_k
+from brindle.functions.scalars import token_count, tokenize
+from brindle.operators.retrieval import K1, B, query_terms, top_k
 from brindle.session import stored
 from brindle.sources.loaders import spread
 
@@ -27,36 +31,97 @@ FEW_POSTINGS = 20_000_000
 BLOCKS = "term string, block long, n long, top double, docs array<struct<id:{kind},tf:long,doc_len:int,positions:array<int>>>, segment string, bucket int"
 SEGMENTS = "segment string, n_docs long, n_tokens long, avg_len double, buckets int, id_kind string"
 LAST = "\U0010ffff"
+#: Bytes of texts that a task makes one file a bucket of, and the fewest that it is given for more tasks; tokens that it has in arrays at once.
+TEXTS, LEAST_TEXTS, TOKENS = 32 << 20, 4 << 20, 1 << 19
 
 
 def length_class(n: Column) -> Column:
-    """Documents of one class differ in length by a fifth at most."""
+    """Documents of one class differ in bytes by a fifth at most."""
     return F.floor(F.log2(n + 1.0) * 4).cast("int")
 
 
+def share_of(tf, doc_len, avg_len: float):
+    """What a posting adds to a score, before its term's weight; of columns or arrays."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * doc_len / (avg_len or 1.0)))
+
+
 def share(avg_len: float) -> Column:
-    """What a posting (tf, doc_len) adds to a score, before its term's weight."""
-    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / F.lit(avg_len or 1.0)))
+    return share_of(F.col("tf"), F.col("doc_len"), avg_len)
+
+
+def inverted(blocks: pa.Array, ids: pa.Array, texts: pa.Array, avg_len: float) -> pa.RecordBatch:
+    """(term, block, n, top, docs) of the tokens of documents, which come by block and id."""
+    size = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    words = texts.flatten().dictionary_encode()
+    names, own = np.unique(blocks.to_numpy(zero_copy_only=False), return_inverse=True)
+    doc = np.repeat(np.arange(len(size)), size)
+    pos = np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)
+    key = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) * max(1, len(names)) + own[doc]
+    order = np.argsort(key, kind="stable")  # tokens of a key stay by document and place
+    key, doc, pos = key[order], doc[order], pos[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    tf, key, doc = np.diff(np.append(at, len(key))), key[at], doc[at]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    start = np.flatnonzero(new)
+    places = pa.ListArray.from_arrays(pa.array(np.append(at, len(pos)).astype(np.int32)), pa.array(pos.astype(np.int32)))
+    one = pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(tf.astype(np.int64)), pa.array(size[doc].astype(np.int32)), places], ["id", "tf", "doc_len", "positions"])
+    top = np.maximum.reduceat(share_of(tf, size[doc], avg_len), start) if len(start) else np.empty(0)
+    rows = {"term": words.dictionary.take(pa.array(key[start] // max(1, len(names)))), "block": pa.array(names[key[start] % max(1, len(names))].astype(np.int64)), "n": pa.array(np.diff(np.append(start, len(key))).astype(np.int64)), "top": pa.array(top)}
+    return pa.RecordBatch.from_pydict(rows | {"docs": pa.ListArray.from_arrays(pa.array(np.append(start, len(key)).astype(np.int32)), one)})
+
+
+def whole_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that come by block, in batches of whole blocks with about TOKENS tokens (of the column t)."""
+    held, n = [], 0
+    for b in batches:
+        for at in range(0, b.num_rows, BLOCK):
+            part = b.slice(at, BLOCK)
+            held.append(part)
+            n += pc.sum(pc.list_value_length(part.column("t"))).as_py() or 0
+            if n < TOKENS:
+                continue
+            last = part.column("block")[-1].as_py()
+            if held[0].column("block")[0].as_py() == last:
+                continue
+            rows = pa.concat_batches(held)
+            end = int(np.searchsorted(rows.column("block").to_numpy(), last))
+            yield rows.slice(0, end)
+            held = [rows.slice(end)]
+            n = pc.sum(pc.list_value_length(held[0].column("t"))).as_py() or 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def write_segment(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> str:
     """Add docs to the index under path as a segment, and return its name. A document that is in the index already counts twice."""
     name = uuid.uuid4().hex[:12]
-    sizes = spread(docs.select(text_col)).groupBy(length_class(token_count(text_col)).alias("c")).agg(F.count("*").alias("n"), F.sum(token_count(text_col)).alias("tokens"))
+    spark, length = docs.sparkSession, F.coalesce(F.octet_length(text_col), F.lit(0))
+    sizes = spread(docs.select(text_col)).groupBy(length_class(length).alias("c")).agg(F.count("*").alias("n"), F.sum(token_count(text_col)).alias("tokens"), F.sum(length.cast("long")).alias("bytes"))
     sizes = sizes.collect()  # a row a class of lengths, which are less than 200
-    many = F.create_map(*(F.lit(x) for r in sizes for x in (r["c"], ceil(r["n"] / BLOCK)))) if sizes else F.create_map(F.lit(0), F.lit(1))
-    p = postings(docs, id_col, text_col).withColumn("c", length_class(F.col("doc_len")))
-    p = p.withColumn("block", F.col("c").cast("long") * (1 << 40) + F.pmod(F.xxhash64("id"), many[F.col("c")]))
-    one = F.struct("id", "tf", "doc_len", "positions")
+    many = F.create_map(*(F.lit(x) for r in sizes for x in (r["c"], ceil(max(r["n"] / BLOCK, r["bytes"] / TEXTS))))) if sizes else F.create_map(F.lit(0), F.lit(1))
     avg_len = sum(r["tokens"] for r in sizes) / max(1, sum(r["n"] for r in sizes))
-    b = p.groupBy("term", "block").agg(F.count("*").alias("n"), F.max(share(avg_len)).alias("top"), F.array_sort(F.collect_list(one)).alias("docs"))
+    n_bytes = sum(r["bytes"] for r in sizes)
+    tasks = max(1, ceil(n_bytes / TEXTS), min(spark.sparkContext.defaultParallelism, ceil(n_bytes / LEAST_TEXTS)))
+    # texts, not postings, are shuffled: a task has whole blocks, and writes what it makes of them
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), length_class(length).alias("c"))
+    rows = rows.select((F.col("c").cast("long") * (1 << 40) + F.pmod(F.xxhash64("id"), many[F.col("c")])).alias("block"), "id", "text")
+    rows = rows.repartition(tasks, "block").sortWithinPartitions("block", "id").select("block", "id", tokenize("text").alias("t"))
+
+    def run(batches):
+        for b in whole_blocks(batches):
+            yield inverted(b.column("block"), b.column("id"), b.column("t"), avg_len)
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    b = rows.mapInArrow(run, BLOCKS.format(kind=kind).split(", segment")[0])
     b = b.withColumns({"segment": F.lit(name), "bucket": F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")})
-    b.repartition("bucket").sortWithinPartitions("bucket", "term", "block").write.partitionBy("segment", "bucket").option("compression", "zstd").mode("append").parquet(f"{path}/blocks")
-    spark = docs.sparkSession
+    b.sortWithinPartitions("segment", "bucket", "term", "block").write.partitionBy("segment", "bucket").option("compression", "zstd").mode("append").parquet(f"{path}/blocks")
     terms = spark.read.parquet(f"{path}/blocks/segment={name}").groupBy("term").agg(F.sum("n").alias("df")).withColumn("segment", F.lit(name))
     # sorted files: a range of terms is in one or two of them, which their least and greatest terms tell
     terms.repartitionByRange("term").sortWithinPartitions("term").write.partitionBy("segment").mode("append").parquet(f"{path}/dictionary")
-    totals = [(name, sum(r["n"] for r in sizes), sum(r["tokens"] for r in sizes), avg_len, buckets, docs.schema[id_col].dataType.simpleString())]
+    totals = [(name, sum(r["n"] for r in sizes), sum(r["tokens"] for r in sizes), avg_len, buckets, kind)]
     spark.createDataFrame(totals, SEGMENTS).coalesce(1).write.mode("append").parquet(f"{path}/segments")
     return name
 
