@@ -235,15 +235,30 @@ def search_ladder(index: DataFrame, parts: DataFrame) -> DataFrame:
     return g.join(best, ["qid", "stage"]).select("qid", "id", "stage")
 
 
+def asked_postings(docs: DataFrame, terms: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """The rows of `postings` whose term is one of terms (term) or starts with one of prefixes (prefix): tokens meet these before they are shuffled, so nothing else is."""
+    heads = prefixes.where("prefix <> ''").select(F.length("prefix").alias("k"), F.col("prefix").alias("key")).distinct()
+    lengths = sorted(r[0] for r in heads.select("k").distinct().collect())  # few: prefixes are of up to three bytes
+    keys = terms.select(F.lit(0).alias("k"), F.col("term").alias("key")).distinct().union(heads)
+    # numbered before it is exploded, so that a row that repeats an id is a document of its own
+    rows = spread(docs.select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.monotonically_increasing_id().alias("row"), tokenize("text").alias("t"))
+    tokens = rows.select("id", "row", F.size("t").alias("doc_len"), F.posexplode("t").alias("pos", "term"))
+    both = F.array(F.struct(F.lit(0).alias("k"), F.col("term").alias("key")), *(F.struct(F.lit(n).alias("k"), F.substring("term", 1, n).alias("key")) for n in lengths))
+    found = tokens.withColumn("a", F.explode(both)).select("id", "row", "doc_len", "pos", "term", "a.*").join(keys, ["k", "key"], "left_semi")
+    held = found.groupBy("term", "id", "row", "doc_len").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
+    return held.select("term", "id", F.size("positions").cast("long").alias("tf"), "positions", "doc_len")
+
+
 def full_text_search(docs: DataFrame, queries: DataFrame, limit: int, project: str = "", project_col: str = "project") -> DataFrame:
     """(qid, id, score, stage, rank): the best `limit` documents of docs (doc_id, text, project) that the ladder of each parsed query finds in the project, by BM25 of the query's tokens (rank 0 where a document holds prefixes only).
 
     Each stage looks at the project's documents alone, so a query falls through to
     the next one though another project would have held it. The statistics of BM25 are those of all documents.
     """
-    index = stored(postings(docs), "postings")
     own = scope(docs, project, project_col).select(F.col("doc_id").alias("id"))
     parts = stored(parsed_terms(queries), "parsed")
+    terms = stored(parts.select(F.explode("terms").alias("term")).union(query_terms(queries).select("term")).distinct(), "asked")
+    index = stored(asked_postings(docs, terms, parts.where("kind = 'prefix'").select(F.element_at("terms", -1).alias("prefix"))), "postings")
     found = search_ladder(index if project == "" else stored(index.join(own, "id", "left_semi"), "scoped"), parts)
     scored = bm25_of(index.select("term", "id", "tf", "doc_len"), corpus_stats(docs), query_terms(queries))
     both = found.join(scored, ["qid", "id"], "left").select("qid", "id", F.coalesce("score", F.lit(0.0)).alias("score"), "stage")
