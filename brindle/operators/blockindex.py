@@ -23,7 +23,7 @@ from brindle.operators.retrieval import K1, B, query_terms, top_k
 from brindle.session import stored
 from brindle.sources.loaders import spread
 
-BLOCK, BUCKETS = 64, 32
+BLOCK, BUCKETS = 64, 8
 #: Prefixes of one search that become ranges of the sorted dictionary; more of them are joined.
 MOST_RANGES = 200
 #: Postings of a search, each as often as queries ask for it, that are all scored at once; beyond that blocks are skipped.
@@ -32,7 +32,7 @@ BLOCKS = "term string, block long, n long, top double, docs array<struct<id:{kin
 SEGMENTS = "segment string, n_docs long, n_tokens long, avg_len double, buckets int, id_kind string"
 LAST = "\U0010ffff"
 #: Bytes of texts that a task makes one file a bucket of, and the fewest that it is given for more tasks; tokens that it has in arrays at once.
-TEXTS, LEAST_TEXTS, TOKENS = 32 << 20, 4 << 20, 1 << 19
+TEXTS, LEAST_TEXTS, TOKENS = 8 << 20, 4 << 20, 1 << 18
 
 
 def length_class(n: Column) -> Column:
