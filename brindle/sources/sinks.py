@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from brindle.functions.scalars import checksum, file_slug, project_dir
 
+#: Files whose texts a task has as Python objects at once.
+ROWS = 256
+
 
 def results_json(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, total, results): results as a JSON array ordered by columns, from the bounded rows of each key that `top_k` leaves."""
@@ -51,8 +54,40 @@ def save_doc_files(df: DataFrame, path: str) -> None:
 
 def load_doc_files(spark: SparkSession, path: str) -> DataFrame:
     """(project_dir, name, text) of what `save_doc_files` wrote."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").load(path)
-    return raw.select(F.element_at(F.split("path", "/"), -2).alias("project_dir"), F.element_at(F.split("path", "/"), -1).alias("name"), F.decode("content", "UTF-8").alias("text"))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    store = lambda: fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
+
+    def found(kind, folder):
+        place, root = store()
+        return [x.base_name for x in place.get_file_info(fs.FileSelector(f"{root}/{folder}".rstrip("/"))) if x.type == kind]
+
+    def folders(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(found(fs.FileType.Directory, ""), pa.string())], ["project_dir"])
+
+    def names(batches):
+        for b in batches:
+            for folder in b.column(0).to_pylist():
+                own = [n for n in found(fs.FileType.File, folder) if n.endswith(".md") and not n.startswith((".", "_"))]
+                for at in range(0, len(own), ROWS):
+                    part = own[at : at + ROWS]
+                    yield pa.RecordBatch.from_arrays([pa.array([folder] * len(part), pa.string()), pa.array(part, pa.string())], ["project_dir", "name"])
+
+    def read(batches):
+        place, root = store()
+        for b in batches:
+            for at in range(0, b.num_rows, ROWS):
+                part = b.slice(at, ROWS)
+                texts = []
+                for folder, name in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    with place.open_input_stream(f"{root}/{folder}/{name}") as f:
+                        texts.append(f.read())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.binary())], ["project_dir", "name", "content"])
+
+    listed = spark.range(0, 1, 1, 1).mapInArrow(folders, "project_dir string").repartition(tasks, "project_dir").mapInArrow(names, "project_dir string, name string")
+    # files are dealt by number: Spark's reader lists them all on the driver and gives a task a few small files
+    raw = listed.repartition(tasks, "project_dir", "name").mapInArrow(read, "project_dir string, name string, content binary")
+    return raw.select("project_dir", "name", F.decode("content", "UTF-8").alias("text"))
 
 
 def reindex(saved: DataFrame, dim: int = 384) -> dict[str, DataFrame]:
