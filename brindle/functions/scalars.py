@@ -110,14 +110,14 @@ def text_key(text) -> Column:
 
 def slugify(text) -> Column:
     """ASCII letters in lower case, digits, and a dash for each run of blanks, dashes and underscores; all else goes, so blanks on both sides of what goes are one dash."""
-    t = F.translate(F.regexp_replace(col(text), "[^A-Za-z0-9 _-]", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_replace(t, "[ _-]+", "-")
+    # only ASCII is left when it is put in lower case
+    return F.regexp_replace(F.lower(F.regexp_replace(col(text), "[^A-Za-z0-9 _-]+", "")), "[ _-]+", "-")
 
 
 def file_slug(title, most: int = 60) -> Column:
     """The slug of a title as a file name holds it: at most 60 characters, untitled for none."""
-    t = F.coalesce(slugify(title), F.lit(""))
-    return F.when(t == "", "untitled").otherwise(F.substring(t, 1, most))
+    # a slug that is named twice is made twice
+    return F.regexp_replace(F.substring(F.coalesce(slugify(title), F.lit("")), 1, most), "^$", "untitled")
 
 
 def project_dir(name) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.functions.scalars import checksum, file_slug, project_dir
+from brindle.session import stored
 
 #: Files whose texts a task has as Python objects at once.
 ROWS = 256
@@ -91,12 +92,14 @@ def load_doc_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reindex(saved: DataFrame, dim: int = 384) -> dict[str, DataFrame]:
-    """documents (id, project, name, title, size), chunks and embeddings made anew from saved files (project_dir, name, text): the project is the folder, none for global, and the title what follows the first - of the name. A chunk's id is that of its file and its place, so documents of equal text have chunks of their own."""
-    from brindle.operators.chunking import chunk
+    """documents (id, project, name, title, size), chunks and embeddings made anew from saved files (project_dir, name, text): the project is the folder, none for global, and the title what follows the first - of the name. A chunk's id is that of its file and its place, so documents of equal text have chunks of their own. Files are read, cut and embedded once, here; the tables are columns of what that wrote."""
+    from brindle.operators.chunking import chunk_array
     from brindle.operators.vectors import hash_embed
 
     project = F.when(F.col("project_dir") == "global", "").otherwise(F.col("project_dir"))
-    docs = saved.select(checksum("text").alias("id"), project.alias("project"), "name", F.regexp_extract("name", r"(?s)^[^-]*-(.*)\.md$", 1).alias("title"), F.octet_length("text").cast("long").alias("size"), "text")
-    chunks = chunk(docs.withColumn("file", F.concat("project", F.lit("/"), "name")), "file", "text")
-    chunks = chunks.withColumns({"project": F.substring_index("doc_id", "/", 1), "name": F.substring_index("doc_id", "/", -1)})
-    return {"documents": docs.drop("text"), "chunks": chunks, "embeddings": chunks.select("chunk_id", hash_embed("content", dim).alias("vector"))}
+    docs = saved.select(checksum("text").alias("id"), project.alias("project"), "name", F.regexp_extract("name", r"(?s)^[^-]*-(.*)\.md$", 1).alias("title"), F.octet_length("text").cast("long").alias("size"), chunk_array(F.col("text")).alias("all"))
+    cuts = docs.select("*", F.concat("project", F.lit("/"), "name").alias("doc_id"), F.explode_outer("all").alias("c")).drop("all").select("*", "c.*").drop("c")
+    made = stored(cuts.withColumns({"chunk_id": F.xxhash64("doc_id", "chunk_index"), "vector": hash_embed("content", dim)}), "reindexed")
+    # a document without chunks has a row without a chunk
+    first, chunks = made.where("coalesce(chunk_index, 0) = 0"), made.where("chunk_index is not null")
+    return {"documents": first.select("id", "project", "name", "title", "size"), "chunks": chunks.select("doc_id", "chunk_id", "chunk_index", "heading", "content", "project", "name"), "embeddings": chunks.select("chunk_id", "vector")}
