@@ -136,9 +136,14 @@ def snk_05(spark, d):
     """Each document with whether its chunks are numbered without a gap and have a vector each."""
     t = sinks.reindex(saved_files(spark, d), 16)
     key = ["project", "name"]
-    own = t["chunks"].join(t["embeddings"], "chunk_id", "left").groupBy(*key).agg(F.count("*").alias("n"), F.count_distinct("chunk_index").alias("k"), F.max("chunk_index").alias("last"), F.min(F.coalesce(F.size("vector"), F.lit(0))).alias("dim"))
-    whole = (F.col("dim") == 16) & (F.col("n") == F.col("k")) & (F.col("n") == F.col("last") + 1)
-    return t["documents"].join(own, key, "left").select("id", "project", "title", "size", whole.alias("whole"))
+    # one shuffle of what the tables have of a document: their rows lie together
+    rows = t["documents"].select(*key, F.struct("id", "title", "size").alias("d"))
+    for part in (t["chunks"].select(*key, "chunk_id", "chunk_index"), t["embeddings"].select(*key, F.col("chunk_id").alias("embedded"), F.size("vector").alias("dim"))):
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    own = rows.groupBy(*key).agg(F.first("d", True).alias("d"), F.count("chunk_id").alias("n"), F.size(F.collect_set("chunk_index")).alias("k"), F.max("chunk_index").alias("last"), F.collect_set("chunk_id").alias("ids"), F.collect_set("embedded").alias("embedded"), F.min("dim").alias("dim"))
+    each = F.size(F.array_except("ids", "embedded")) == 0
+    whole = each & (F.col("dim") == 16) & (F.col("n") == F.col("k")) & (F.col("n") == F.col("last") + 1)
+    return own.where("d is not null").select("d.id", "project", "d.title", "d.size", whole.alias("whole"))
 
 
 @query("snk_08", "select doc_id as n, '## ' || doc_id || '. ' || source || repeat(chr(10), 2) || '```' || chr(10) || text || chr(10) || '```' || repeat(chr(10), 2) || '![](img/' || doc_id || ')' || repeat(chr(10), 2) || 'a · u' as markdown from documents")

@@ -42,8 +42,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, of a size that the planner knows."""
+def stored(df: DataFrame, what: str, **options) -> DataFrame:
+    """df as a Parquet table in the shared folder, of a size that the planner knows; options are the writer's."""
     path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

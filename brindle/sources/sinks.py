@@ -97,9 +97,10 @@ def reindex(saved: DataFrame, dim: int = 384) -> dict[str, DataFrame]:
     from brindle.operators.vectors import hash_embed
 
     project = F.when(F.col("project_dir") == "global", "").otherwise(F.col("project_dir"))
-    docs = saved.select(checksum("text").alias("id"), project.alias("project"), "name", F.regexp_extract("name", r"(?s)^[^-]*-(.*)\.md$", 1).alias("title"), F.octet_length("text").cast("long").alias("size"), chunk_array(F.col("text")).alias("all"))
-    cuts = docs.select("*", F.concat("project", F.lit("/"), "name").alias("doc_id"), F.explode_outer("all").alias("c")).drop("all").select("*", "c.*").drop("c")
-    made = stored(cuts.withColumns({"chunk_id": F.xxhash64("doc_id", "chunk_index"), "vector": hash_embed("content", dim)}), "reindexed")
+    docs = saved.select(checksum("text").alias("id"), project.alias("project"), "name", F.octet_length("text").cast("long").alias("size"), chunk_array(F.col("text")).alias("all"))
+    cuts = docs.select("*", F.explode_outer("all").alias("c")).drop("all").select("*", "c.*").drop("c")
+    made = stored(cuts.withColumn("vector", hash_embed("content", dim)), "reindexed", compression="zstd")
     # a document without chunks has a row without a chunk
-    first, chunks = made.where("coalesce(chunk_index, 0) = 0"), made.where("chunk_index is not null")
-    return {"documents": first.select("id", "project", "name", "title", "size"), "chunks": chunks.select("doc_id", "chunk_id", "chunk_index", "heading", "content", "project", "name"), "embeddings": chunks.select("chunk_id", "vector")}
+    first = made.where("coalesce(chunk_index, 0) = 0").withColumn("title", F.regexp_extract("name", r"(?s)^[^-]*-(.*)\.md$", 1))
+    chunks = made.where("chunk_index is not null").withColumn("doc_id", F.concat("project", F.lit("/"), "name")).withColumn("chunk_id", F.xxhash64("doc_id", "chunk_index"))
+    return {"documents": first.select("id", "project", "name", "title", "size"), "chunks": chunks.select("doc_id", "chunk_id", "chunk_index", "heading", "content", "project", "name"), "embeddings": chunks.select("chunk_id", "vector", "project", "name")}
