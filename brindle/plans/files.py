@@ -142,7 +142,8 @@ def snk_05(spark, d):
         rows = rows.unionByName(part, allowMissingColumns=True)
     own = rows.groupBy(*key).agg(F.first("d", True).alias("d"), F.count("chunk_id").alias("n"), F.size(F.collect_set("chunk_index")).alias("k"), F.max("chunk_index").alias("last"), F.collect_set("chunk_id").alias("ids"), F.collect_set("embedded").alias("embedded"), F.min("dim").alias("dim"))
     each = F.size(F.array_except("ids", "embedded")) == 0
-    whole = each & (F.col("dim") == 16) & (F.col("n") == F.col("k")) & (F.col("n") == F.col("last") + 1)
+    # an empty document has no chunk, so nothing is missing
+    whole = each & (F.coalesce("dim", F.lit(16)) == 16) & (F.col("n") == F.col("k")) & (F.col("n") == F.coalesce("last", F.lit(-1)) + 1)
     return own.where("d is not null").select("d.id", "project", "d.title", "d.size", whole.alias("whole"))
 
 
