@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 from brindle.functions.queries import parse_query
 from brindle.functions.scalars import contains_word, token_count, tokenize
@@ -192,6 +198,46 @@ def sparse_cosine(a: DataFrame, b: DataFrame, pairs: DataFrame) -> DataFrame:
     return out.select("x", "y", F.coalesce(F.col("dot") / (F.col("na") * F.col("nb")), F.lit(0.0)).alias("cosine"))
 
 
+def byte_grams(raw: bytes, n: int = 3) -> np.ndarray:
+    """The n-grams of raw (n up to 3) as numbers."""
+    b = np.frombuffer(raw, np.uint8).astype(np.int32)
+    return sum((b[i : len(b) - n + 1 + i] << (8 * (n - 1 - i)) for i in range(n)), np.zeros(max(0, len(b) - n + 1), np.int32))
+
+
+def gram_cosines(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(qid, id, cosine) of pairs (qid, id, query): that of the bags of lower-cased byte triples (as of `ngram_bag`) of the query and of the texts of docs (id, text); 0 if either is empty.
+
+    The texts meet all their queries in one row, where their triples are counted; none of these is a row or shuffled.
+    """
+    kind = pairs.schema
+    low = lambda c: F.encode(F.lower(c), "UTF-8")
+    asked = pairs.groupBy("id").agg(F.collect_set(F.struct("qid", low("query").alias("query"))).alias("asked"))
+    rows = docs.join(asked, "id").groupBy("id").agg(F.first("asked").alias("asked"), F.collect_list(low("text")).alias("texts"))
+
+    def run(batches):
+        @lru_cache(1 << 14)
+        def bag(query: bytes):
+            return np.unique(byte_grams(query), return_counts=True)
+
+        for b in batches:
+            for at in range(0, b.num_rows, 256):
+                out = []
+                for key, asked, texts in zip(*(c.to_pylist() for c in b.slice(at, 256).columns), strict=True):
+                    gram, n = np.unique(np.concatenate([byte_grams(t) for t in texts or [b""]]), return_counts=True)
+                    for x in asked:
+                        own, m = bag(x["query"])
+                        i = np.searchsorted(gram, own)
+                        i[i == len(gram)] = 0
+                        dot = int((m * n[i] * (gram[i] == own)).sum()) if len(gram) else 0
+                        out.append((x["qid"], key, dot, int((m * m).sum()), int((n * n).sum())))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    names, types = ["qid", "id", "dot", "a", "b"], [to_arrow_type(kind["qid"].dataType), to_arrow_type(kind["id"].dataType), *[pa.int64()] * 3]
+    schema = T.StructType([kind["qid"], kind["id"], *(T.StructField(c, T.LongType()) for c in names[2:])])
+    made = rows.select("id", "asked", "texts").mapInArrow(run, schema)
+    return made.select("qid", "id", F.when((F.col("a") > 0) & (F.col("b") > 0), F.col("dot") / (F.sqrt("a") * F.sqrt("b"))).otherwise(0.0).alias("cosine"))
+
+
 def rrf_pair(df: DataFrame, first: str, second: str, k: int = RRF_PAIR) -> DataFrame:
     """df (qid, id, ...) with rrf_score: thousandths of the summed reciprocal ranks by two columns."""
     r = lambda c: F.row_number().over(W.partitionBy("qid").orderBy(F.desc(c), "id"))
@@ -284,10 +330,7 @@ def idea_search(docs: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
     boost = F.exists("terms", lambda t: contains_word("line", t))
     hit = small.join(lines, "id").select("qid", "id", "query", F.when(boost, F.col("score") * 2).otherwise(F.col("score")).alias("bm25"))
     hit = stored(hit, "hits")
-    texts = ngram_bag(hit.select("id").distinct().join(own, "id"), "id", "text").withColumnRenamed("id", "y")
-    bags = ngram_bag(queries, "qid", "query").withColumnRenamed("qid", "x")
-    pairs = hit.select(F.col("qid").alias("x"), F.col("id").alias("y"))
-    cos = sparse_cosine(bags, texts, pairs).withColumnsRenamed({"x": "qid", "y": "id"})
+    cos = gram_cosines(hit.select("qid", "id", "query"), own)
     fused = rrf_pair(hit.join(cos, ["qid", "id"]), "bm25", "cosine")
     return top_k(fused.select("qid", "id", "rrf_score"), k, by="rrf_score")
 
