@@ -33,6 +33,8 @@ HEIC_BRANDS = ("heic", "heix", "hevc", "hevx", "mif1", "msf1")
 #: Words that lower or raise a score read from an answer (fixed values).
 AI_WORDS = ("ai-generated", "likely ai", "artificial", "synthetic", "deepfake", "generated")
 HUMAN_WORDS = ("human-made", "real photo", "natural", "authentic", "realistic")
+#: What parts words: Unicode's blanks and line ends (in a character class).
+SPACES = r"\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
 def col(c: Column | str) -> Column:
@@ -258,8 +260,10 @@ def level_summary(rate) -> Column:
 
 def parse_llm_score(text) -> Column:
     """An integer of 0 to 100 with a % or before /100, as a share; else 0.5 and 0.3 more or less for each telling word."""
-    # only words that are such numbers are taken out, as few are
-    words = F.regexp_extract_all(col(text), F.lit(r"(?<!\S)\+?(\d{1,3})(?:[.,!?]*%[.,!?%]*[\x{85}\x{2028}\x{2029}]?(?!\S)|[.,!?%]*[\x{85}\x{2028}\x{2029}]?(?=\s+/100(?!\S)))"), F.lit(1))
+    # only words that are such numbers are taken out, as few are; what stands before is looked at only where one may begin
+    number = rf"(?=[-+\d])(?<![^{SPACES}])(?:\+?|-(?=0+(?!\d)))0*(\d{{1,3}})"
+    words = F.regexp_extract_all(col(text), F.lit(rf"{number}(?:[.,!?]*%[.,!?%]*(?![^{SPACES}])|[.,!?%]*(?=[{SPACES}]+/100(?![^{SPACES}])))"), F.lit(1))
+    words = F.when(col(text).contains("%") | col(text).contains("/100"), words)
     hits = F.filter(words, lambda n: n.cast("int") <= 100)
     low = F.lower(col(text))
     votes = sum((F.when(low.contains(w), 3).otherwise(0) for w in AI_WORDS), F.lit(0)) - sum((F.when(low.contains(w), 3).otherwise(0) for w in HUMAN_WORDS), F.lit(0))
